@@ -19,9 +19,25 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.substrings import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"), window=35)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pagelens.llm.bpe import token_digests
+
+    return token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_near_duplicates": op2_near_duplicates,
+        "op3_remove_repeats": op3_remove_repeats,
+        "op7_bpe": op7_bpe,
     }
 
 
