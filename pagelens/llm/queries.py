@@ -25,6 +25,13 @@ def op3_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), window=35)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.toxicity import score, train
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +44,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_near_duplicates": op2_near_duplicates,
         "op3_remove_repeats": op3_remove_repeats,
+        "op4_toxicity": op4_toxicity,
         "op7_bpe": op7_bpe,
     }
 
