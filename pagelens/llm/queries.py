@@ -13,6 +13,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.mixing import mixed
+
+    return mixed(read(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.llm.near_duplicates import near_duplicates
 
@@ -32,6 +38,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.hilbert_shards import shard_documents
+
+    return shard_documents(read(spark, sf_dir, "documents"), shards=24)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,12 +54,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_remove_repeats": op3_remove_repeats,
         "op4_toxicity": op4_toxicity,
+        "op6_hilbert_shards": op6_hilbert_shards,
         "op7_bpe": op7_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from pagelens.llm import mixing
+
+    return {"op1_mixing": mixing.oracle()}
