@@ -52,6 +52,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.personal_data import find_personal_data, train
+
+    docs = read(spark, sf_dir, "documents")
+    return find_personal_data(docs, train(docs))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
@@ -60,6 +67,7 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": op4_toxicity,
         "op6_hilbert_shards": op6_hilbert_shards,
         "op7_bpe": op7_bpe,
+        "op8_personal_data": op8_personal_data,
     }
 
 
