@@ -38,6 +38,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.embedding_duplicates import embedding_duplicates
+
+    return embedding_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.llm.hilbert_shards import shard_documents
 
@@ -59,19 +65,28 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(docs, train(docs))
 
 
+def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.hamming_search import hamming_top_k, sign_codes
+
+    codes = sign_codes(read(spark, sf_dir, "embeddings"))
+    return hamming_top_k(codes, codes.where("id % 100 = 0"), k=10)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_remove_repeats": op3_remove_repeats,
         "op4_toxicity": op4_toxicity,
+        "op5_embedding_duplicates": op5_embedding_duplicates,
         "op6_hilbert_shards": op6_hilbert_shards,
         "op7_bpe": op7_bpe,
         "op8_personal_data": op8_personal_data,
+        "op10_hamming_top_k": op10_hamming_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from pagelens.llm import mixing
+    from pagelens.llm import hamming_search, mixing
 
-    return {"op1_mixing": mixing.oracle()}
+    return {"op1_mixing": mixing.oracle(), "op10_hamming_top_k": hamming_search.oracle(k=10)}
