@@ -65,6 +65,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(docs, train(docs))
 
 
+def op9_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.chat_repair import repair_roles
+
+    return repair_roles(read(spark, sf_dir, "conversations"))
+
+
 def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.llm.hamming_search import hamming_top_k, sign_codes
 
@@ -82,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op6_hilbert_shards": op6_hilbert_shards,
         "op7_bpe": op7_bpe,
         "op8_personal_data": op8_personal_data,
+        "op9_chat_repair": op9_chat_repair,
         "op10_hamming_top_k": op10_hamming_top_k,
     }
 
