@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner see that finished phases are garbage, so that their shuffle files leave the disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner see that finished phases are garbage, so that their shuffle files leave the disks.
+
+    Called between phases that each shuffle as much as the input. The cleaner works in a thread of its own and one
+    collection can come while the last job is still being wound up, hence the second, a moment later.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
