@@ -19,11 +19,12 @@ from pagelens.llm.components import connected_components
 from pagelens.llm.storage import discard, release_shuffles, stored
 from pagelens.llm.words import Words, mix, slices
 
-_FEATURES = "doc_id bigint, node bigint, n_shingles bigint, first array<bigint>, second array<bigint>, sketch array<smallint>"
+_FEATURES = "doc_id bigint, node bigint, n_shingles bigint, first array<bigint>, second array<bigint>, sketch array<bigint>"
 _SETS = "node bigint, shingles array<bigint>"
 
-#: Minhashes compared before a pair's full sets are; of 64, fewer than 40 agree for one pair in 10^5 at 0.85.
-_SKETCH, _AGREE = 64, 40
+#: Bits of a set's parity sketch: bit h says whether the shingles hashed to h are odd in number. Two sketches
+#: differ in no more bits than the sets in shingles, so the bound on links that they give loses none.
+_PARITY = 1024
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -62,7 +63,7 @@ def _lists(values: np.ndarray, width: int, kind: pa.DataType) -> pa.Array:
 
 def _features(words: int, side: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = _multipliers(max(4 * side, _SKETCH))
+        factors = _multipliers(4 * side)
         for batch in batches:
             text = batch.column("text")
             for lo, hi in slices(text):
@@ -71,8 +72,10 @@ def _features(words: int, side: int):
                 least = np.empty((len(some), len(factors)), np.uint32)
                 for k, a in enumerate(factors if len(some) else ()):
                     least[:, k] = np.minimum.reduceat((hashes * a) >> np.uint64(32), first[some])
-                pairs = least[:, : 4 * side].astype(np.uint64)
+                pairs = least.astype(np.uint64)
                 groups = mix((pairs[:, 0::2] << np.uint64(32)) | pairs[:, 1::2]).view(np.int64)
+                cells = np.repeat(np.arange(hi - lo), np.diff(first)) * _PARITY + (hashes >> np.uint64(54)).astype(np.int64)
+                odd = np.packbits(np.bincount(cells, minlength=(hi - lo) * _PARITY) & 1, bitorder="little")
                 n, at = hi - lo, np.zeros(hi - lo, np.int64)
                 at[some] = np.arange(len(some))
                 blank = np.diff(first) == 0
@@ -88,7 +91,7 @@ def _features(words: int, side: int):
                         pa.array(np.diff(first), pa.int64()),
                         per_row(groups[:, :side], pa.int64()),
                         per_row(groups[:, side:], pa.int64()),
-                        per_row(least[:, :_SKETCH].astype(np.uint16).view(np.int16), pa.int16()),
+                        _lists(odd.view(np.int64), _PARITY // 64, pa.int64()),
                     ],
                     names=["doc_id", "node", "n_shingles", "first", "second", "sketch"],
                 )
@@ -108,18 +111,19 @@ def _sets(words: int):
     return run
 
 
+def _near_enough(x: str, y: str, percent: int) -> str:
+    """SQL: whether the sketches and sizes of two classes, structs x and y, leave a link possible.
+
+    With d the difference of the sets and s the sum of their sizes, a link needs d * (100 + p) <= s * (100 - p).
+    """
+    differ = " + ".join(f"bit_count({x}.sketch[{k}] ^ {y}.sketch[{k}])" for k in range(_PARITY // 64))
+    return f"({differ}) * {100 + percent} <= ({x}.n_shingles + {y}.n_shingles) * {100 - percent}"
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose full sets reach the similarity."""
-    sketch = classes.select("node", "sketch", "n_shingles")
-    named = lambda side: sketch.select(*(F.col(c).alias(f"{c}_{side}") for c in sketch.columns))
-    agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same: same))
-    likely = (
-        pairs.join(named("a"), F.col("a") == F.col("node_a"))
-        .join(named("b"), F.col("b") == F.col("node_b"))
-        .where(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-        .where(agree >= _AGREE)
-        .select("a", "b")
-    )
+    side = lambda name, to: classes.select(F.col("node").alias(name), F.struct("sketch", "n_shingles").alias(to))
+    likely = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_near_enough("x", "y", percent)).select("a", "b")
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
     return (
         likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -139,7 +143,7 @@ def near_duplicates(
     are kept; texts below `words` words are one shingle. Rows with equal sets are one class and are expanded only
     in the result, so repeated rows link without being paired. Inside a bucket every class is first held
     against the bucket's best-connected class; pairs are listed only between classes that are then still in
-    different components. Equal doc_ids give a row each; the least doc_id of a component is its id.
+    different components and whose sketches leave a link possible. Equal doc_ids give a row each; the least doc_id of a component is its id.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
@@ -176,19 +180,21 @@ def near_duplicates(
         ends = now.groupBy("key").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("weight", "node", "label")).alias("top")
         )
-        open_keys = stored(now.join(ends.where("low <> high"), "key").drop("low", "high"))
+        open_keys = stored(now.join(ends.where("low <> high"), "key").select("key", "node", "weight", "label", "top"))
         if turn < star_rounds:
             pairs = open_keys.where("label <> top.label").select(F.col("node").alias("a"), F.col("top.node").alias("b"))
         else:
-            left = open_keys.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-            right = open_keys.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(right, "key").where("a < b and la <> lb").select("a", "b")
+            shape = F.struct("sketch", "n_shingles")
+            known = open_keys.select("key", "node", "label").join(classes.select("node", shape.alias("x")), "node")
+            other = known.selectExpr("key", "node AS b", "label AS other", "x AS y")
+            pairs = known.withColumnRenamed("node", "a").join(other, "key")
+            pairs = pairs.where(f"a < b AND label <> other AND {_near_enough('x', 'y', percent)}").select("a", "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = stored(_confirmed(pairs, classes, sets, percent))
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        # a class that was held against its bucket's centre needs no second turn there
+        # what was held against its bucket's centre needs no second turn there
         ranked = open_keys.where("node <> top.node").select("key", "node", "weight")
         labels = stored(connected_components(links))
         release_shuffles(spark)
