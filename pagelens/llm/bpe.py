@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Words of more symbols than this use the heap.
 SCAN_LIMIT = 96
 #: Distinct pieces of text whose result a worker remembers before it starts again.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 _NEVER = 1 << 60
 _NOT_SPACE = regex.compile(r"[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -37,70 +37,78 @@ def byte_letters() -> list[str]:
 
 
 class WordBpe:
-    """Encoder and decoder for a vocabulary file with merges and an end-of-word suffix."""
+    """Encoder and decoder for a vocabulary file with merges and an end-of-word suffix.
+
+    A pair of parts is the number left << 16 | right; its entry is rank << 17 | merged, so the least entry of a
+    row is the pair to merge next and names the part it becomes.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.end = model["end_of_word_suffix"] or ""
+        model, end = spec["model"], spec["model"]["end_of_word_suffix"] or ""
+        vocab: dict[str, int] = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ranks = {(a, b): k for k, (a, b) in enumerate(pairs)}
+        self.entries = {vocab[a] << 16 | vocab[b]: k << 17 | vocab[a + b] for k, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
-        self.letters = byte_letters()
+        self.tokens = {i: t for t, i in (vocab | self.special).items()}
+        self.inner = [vocab[c] for c in byte_letters()]
+        self.last = [vocab[c + end] for c in byte_letters()]
         self.piece = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.marker = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
 
-    def word(self, symbols: list[str]) -> list[str]:
-        """The merged parts of one word."""
-        if len(symbols) > SCAN_LIMIT:
-            return self._long_word(symbols)
-        parts, ranks = symbols, self.ranks
-        near = [ranks.get(p, _NEVER) for p in zip(parts, parts[1:])]
+    def word(self, piece: str) -> list[int]:
+        """The ids of one word."""
+        raw = piece.encode()
+        parts = [self.inner[b] for b in raw]
+        parts[-1] = self.last[raw[-1]]
+        if len(parts) > SCAN_LIMIT:
+            return self._long_word(parts)
+        entry = self.entries.get
+        near = [entry(a << 16 | b, _NEVER) for a, b in zip(parts, parts[1:])]
         while near:
             least = min(near)
             if least == _NEVER:
                 break
             i = near.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del near[i]
+            parts[i] = merged = least & 0x1FFFF
+            del parts[i + 1], near[i]
             if i:
-                near[i - 1] = ranks.get((parts[i - 1], parts[i]), _NEVER)
+                near[i - 1] = entry(parts[i - 1] << 16 | merged, _NEVER)
             if i < len(near):
-                near[i] = ranks.get((parts[i], parts[i + 1]), _NEVER)
+                near[i] = entry(merged << 16 | parts[i + 1], _NEVER)
         return parts
 
-    def _long_word(self, parts: list[str | None]) -> list[str]:
-        n, ranks = len(parts), self.ranks
+    def _long_word(self, parts: list[int]) -> list[int]:
+        n, entries = len(parts), self.entries
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+        pairs = [a << 16 | b for a, b in zip(parts, parts[1:])]
+        heap = [(entries[p], i, p) for i, p in enumerate(pairs) if p in entries]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            found, i, pair = heapq.heappop(heap)
             j = right[i]
-            if j < 0 or parts[i] != a or parts[j] != b:
+            if j < 0 or parts[i] << 16 | parts[j] != pair:
                 continue
-            parts[i], parts[j] = a + b, None
+            parts[i], parts[j] = found & 0x1FFFF, -1
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
+            right[j] = -1
             for k in (left[i], i):
-                if k >= 0 and right[k] >= 0 and (p := (parts[k], parts[right[k]])) in ranks:
-                    heapq.heappush(heap, (ranks[p], k, *p))
-        return [p for p in parts if p is not None]
+                if k >= 0 and right[k] >= 0 and (p := parts[k] << 16 | parts[right[k]]) in entries:
+                    heapq.heappush(heap, (entries[p], k, p))
+        return [p for p in parts if p >= 0]
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of a text without white space or special tokens."""
-        ids: list[int] = []
+    def pieces(self, chunk: str) -> list[str]:
+        """The words of a text without white space or special tokens, as the vocabulary spells them."""
         # each letter is lowered by itself: no special form for a sigma that ends a word
-        plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        for piece in self.piece.findall(plain):
-            symbols = [self.letters[b] for b in piece.encode()]
-            symbols[-1] += self.end
-            ids += [self.vocab[p] for p in self.word(symbols) if p in self.vocab]
-        return ids
+        plain = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")).lower()
+        if plain.isalpha():
+            return [plain]
+        if plain[:-1].isalpha():
+            return [plain[:-1], plain[-1]]
+        return self.piece.findall(plain)
 
     def chunks(self, text: str) -> list[str]:
         """The text cut at white space; special tokens stand alone."""
@@ -113,7 +121,14 @@ class WordBpe:
         return _NOT_SPACE.findall(text) if _CONTROL.search(text) else text.split()
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.chunks(text) for i in ([self.special[c]] if c in self.special else self.encode_chunk(c))]
+        found: list[int] = []
+        for chunk in self.chunks(text):
+            if chunk in self.special:
+                found.append(self.special[chunk])
+            else:
+                for piece in self.pieces(chunk):
+                    found += self.word(piece)
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one blank, special ones included; the vocabulary names no decoder of its own."""
@@ -126,15 +141,31 @@ class _Remembered(dict):
     def __init__(self, bpe: WordBpe):
         super().__init__()
         self.bpe = bpe
+        self.words: dict[str, list[int]] = {}
         self.decoded: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        bpe = self.bpe
-        ids = [bpe.special[chunk]] if chunk in bpe.special else bpe.encode_chunk(chunk)
+        bpe, ids = self.bpe, []
+        if chunk in bpe.special:
+            ids = [bpe.special[chunk]]
+        else:
+            for piece in bpe.pieces(chunk):
+                known = self.words.get(piece)
+                if known is None:
+                    known = self.words[piece] = bpe.word(piece)
+                ids += known
         self[chunk] = packed = struct.pack(f"<{len(ids)}I", *ids)
         self.decoded[chunk] = bpe.decode(ids).encode()
         return packed
 
+    def forget(self) -> None:
+        """Start again once much is held, so that memory stays bounded."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.decoded.clear()
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+
 
 _loaded: dict[str, _Remembered] = {}
 
@@ -151,9 +182,7 @@ def _digests(path: str):
                 counts.append(len(packed) // 4)
                 ids_hash.append(hashlib.sha256(packed).hexdigest())
                 text_hash.append(hashlib.sha256(decoded).hexdigest())
-                if len(memory) > REMEMBERED:
-                    memory.clear()
-                    memory.decoded.clear()
+                memory.forget()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
