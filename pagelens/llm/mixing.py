@@ -7,6 +7,8 @@ weight, scaled so that the expected tokens meet the budget and capped at one.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ TEMPER = 0.7
 #: Expected tokens of the sample as a share of all tokens.
 BUDGET = 0.6
 SEED = "mix-1"
+#: Up to so many cells are raked in the driver's memory; more stay a distributed table and take the same steps there.
+DRIVER_CELLS = 20_000
 
 
 def topic_of(text: Column) -> Column:
@@ -50,7 +54,7 @@ def tempered_targets(cells: DataFrame, power: float) -> dict[str, DataFrame]:
     found = {}
     for d in DIMENSIONS:
         sums = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("_p"))
-        found[d] = sums.crossJoin(F.broadcast(sums.agg(F.sum("_p").alias("_all")))).select(d, (F.col("_p") / F.col("_all")).alias("_share"))
+        found[d] = sums.crossJoin(F.broadcast(sums.agg(F.sum("_p").alias("_all")))).select(d, F.try_divide("_p", "_all").alias("_share"))
     return found
 
 
@@ -88,6 +92,49 @@ def calibrated(weighted: DataFrame, budget: float) -> DataFrame:
     return weighted.withColumn("probability", F.least(F.lit(1.0), weight * scale))
 
 
+def _fitted_here(cells: pd.DataFrame, shares: dict[str, dict] | None, power: float, budget: float) -> pd.DataFrame:
+    """What rake() and calibrated() give, for a bounded table of cells."""
+    tokens = cells["tokens"].to_numpy(float)
+    total, weight = tokens.sum(), np.ones(len(cells))
+    parts = []
+    for d in DIMENSIONS:
+        codes, names = pd.factorize(cells[d])
+        if shares is None:
+            tempered = np.bincount(codes, tokens, len(names)) ** power
+            share = tempered / max(tempered.sum(), np.finfo(float).tiny)
+        else:
+            share = np.array([shares[d].get(x) or 0.0 for x in names], float)
+        parts.append((codes, share))
+    for _ in range(RAKES):
+        for codes, share in parts:
+            have = np.bincount(codes, tokens * weight, len(share))
+            weight = weight * np.divide(share * total, have, out=np.zeros(len(share)), where=have > 0)[codes]
+    scale = 0.0
+    for k in range(CAPS):
+        capped = (weight * scale >= 1) & (k > 0)
+        open_ = (tokens * weight)[~capped].sum()
+        if open_ == 0:
+            break
+        scale = max(scale, (budget * total - tokens[capped].sum()) / open_)
+    return cells[list(DIMENSIONS)].assign(weight=weight, probability=np.minimum(1.0, weight * scale))
+
+
+def probabilities(
+    cells: DataFrame, targets: dict[str, DataFrame] | None, power: float, budget: float, driver_cells: int = DRIVER_CELLS
+) -> DataFrame:
+    """(source, lang, topic, weight, probability) for every row of `cells`, raked to `targets` or tempered shares."""
+    few = cells.limit(driver_cells + 1).toPandas()
+    if len(few) > driver_cells:
+        found = calibrated(rake(cells, targets or tempered_targets(cells, power)), budget)
+        return stored(found.select(*DIMENSIONS, "weight", "probability"))
+    # only the values that cells have are asked of a target, so what comes is no more than the cells
+    asked = targets and {d: t.join(cells.select(d).distinct(), d, "left_semi").select(d, "_share").collect() for d, t in targets.items()}
+    shares = asked and {d: {r[0]: r[1] for r in rows} for d, rows in asked.items()}
+    fitted = _fitted_here(few, shares or None, power, budget)
+    schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", weight double, probability double"
+    return cells.sparkSession.createDataFrame(fitted, schema)
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number in [0, 1) that only the key and the seed decide."""
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string")).cast("binary")), 1, 13)
@@ -95,7 +142,13 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def mixed(
-    docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, power: float = TEMPER, budget: float = BUDGET, seed: str = SEED
+    docs: DataFrame,
+    targets: dict[str, DataFrame] | None = None,
+    *,
+    power: float = TEMPER,
+    budget: float = BUDGET,
+    seed: str = SEED,
+    driver_cells: int = DRIVER_CELLS,
 ) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, selected for every row of `docs`.
 
@@ -105,8 +158,7 @@ def mixed(
     """
     rows = described(docs)
     cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    found = calibrated(rake(cells, targets or tempered_targets(cells, power)), budget)
-    found = stored(found.select(*DIMENSIONS, "weight", "probability"))
+    found = probabilities(cells, targets, power, budget, driver_cells)
     drawn = rows.join(found, [*DIMENSIONS]).withColumn("selected", uniform(F.col("doc_id"), seed) < F.col("probability"))
     return drawn.select(
         "doc_id",
@@ -121,11 +173,11 @@ def mixed(
 def sampled(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of `docs` that the mixture draws, with their own columns."""
     cells = stored(described(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    weighted = calibrated(rake(cells, tempered_targets(cells, options.get("power", TEMPER))), options.get("budget", BUDGET))
-    found = stored(weighted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "probability"))
+    fitted = probabilities(cells, None, options.get("power", TEMPER), options.get("budget", BUDGET))
+    found = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("probability").alias("_probability"))
     own = {"source": F.coalesce("source", F.lit("?")), "lang": F.coalesce("lang", F.lit("?")), "topic": topic_of(F.col("text"))}
     match = [own[d] == F.col(f"_{d}") for d in DIMENSIONS]
-    drawn = uniform(F.col("doc_id"), options.get("seed", SEED)) < F.col("probability")
+    drawn = uniform(F.col("doc_id"), options.get("seed", SEED)) < F.col("_probability")
     return docs.join(found, match).where(drawn).select(*(docs[c] for c in docs.columns))
 
 

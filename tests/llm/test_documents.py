@@ -171,7 +171,10 @@ def test_mixing(docs, none):
         assert abs(weighted / tokens - target[s] / sum(target.values())) < 0.02
     assert sampled(docs).count() == sum(r.selected for r in got)
     assert sampled(docs).columns == docs.columns
+    near = lambda rows: sorted(repr((r.doc_id, r.source, r.n_tokens, round(r.weight, 4), round(r.probability, 4))) for r in rows)
+    assert near(mixed(docs, driver_cells=0).collect()) == near(got)
     assert mixed(none).count() == 0 and sampled(none).count() == 0
+    assert all(not r.selected for r in mixed(docs.where("trim(text) = ''")).collect())
 
 
 def test_pipeline_stages_keep_the_columns(spark):
