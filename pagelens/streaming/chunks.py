@@ -68,15 +68,22 @@ def assembled(chunks: DataFrame, max_bytes: int = 10 << 20, timeout_ms: int = 15
     return chunks.groupBy("probe_id").applyInPandasWithState(_assemble(max_bytes, timeout_ms), BODIES, _STATE, "append", "ProcessingTimeTimeout")
 
 
-def start(chunks: DataFrame, path: str, checkpoint: str, max_bytes: int = 10 << 20, timeout_ms: int = 15_000) -> StreamingQuery:
-    """Writes signals, json_ld and late chunks under `path`, one folder a batch, so that a batch done again replaces itself."""
+def start(chunks: DataFrame, path: str, checkpoint: str, max_bytes: int = 10 << 20, timeout_ms: int = 15_000, every: str = "1 second") -> StreamingQuery:
+    """Writes signals, json_ld and late chunks under `path`, one folder a batch, so that a batch done again replaces itself.
+
+    Timeouts make a batch `every` so often even without chunks, hence such a stream is never idle: wait for its
+    progress, not for processAllAvailable. Batches without a body write nothing.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
+        if batch.isEmpty():
+            batch.unpersist()
+            return
         pages = batch.where("completion <> 'late'").withColumn("html", decoded("body", "charset"))
         signals, json_ld, _ = inspect(pages.select("probe_id", "html", "chunk_ends", "chunk_at"))
         for name, df in (("signals", signals), ("json_ld", json_ld), ("late", batch.where("completion = 'late'")), ("probes", pages.select("probe_id", "completion", F.octet_length("body").alias("bytes_read")))):
             df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
         batch.unpersist()
 
-    return assembled(chunks, max_bytes, timeout_ms).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    return assembled(chunks, max_bytes, timeout_ms).writeStream.foreachBatch(write).trigger(processingTime=every).option("checkpointLocation", checkpoint).start()

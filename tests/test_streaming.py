@@ -1,8 +1,18 @@
 """A chunk feed as a stream: assembled, inspected, late chunks set aside."""
 
+import time
+
 from pagelens.streaming.chunks import CHUNKS, start
 
 
+def wait(query, rows, seconds=60):
+    """Until the batches done have read `rows` chunks."""
+    until = time.monotonic() + seconds
+    while sum(p.numInputRows for p in query.recentProgress) < rows:
+        assert query.isActive and time.monotonic() < until
+        time.sleep(0.2)
+
+
 def test_stream(spark, tmp_path):
     html = b"<html><head><title>T</title></head><body><h1>H</h1></body></html>"
     feed = str(tmp_path / "feed")
@@ -10,9 +20,9 @@ def test_stream(spark, tmp_path):
     part([("a", 0, 1.0, html[:20], None, False), ("b", 0, 1.0, html, None, True)])
     chunks = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).parquet(feed)
     query = start(chunks, str(tmp_path / "out"), str(tmp_path / "cp"), timeout_ms=600_000)
-    query.processAllAvailable()
+    wait(query, 2)
     part([("a", 1, 9.0, html[20:], None, True), ("b", 1, 2.0, b"x", None, False)])
-    query.processAllAvailable()
+    wait(query, 4)
     query.stop()
     read = lambda t: spark.read.parquet(str(tmp_path / "out" / t))
     titles = {r.probe_id: r.at_ms for r in read("signals").where("kind = 'title'").collect()}
