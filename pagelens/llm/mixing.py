@@ -132,7 +132,7 @@ def probabilities(
     shares = asked and {d: {r[0]: r[1] for r in rows} for d, rows in asked.items()}
     fitted = _fitted_here(few, shares or None, power, budget)
     schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", weight double, probability double"
-    return cells.sparkSession.createDataFrame(fitted, schema)
+    return F.broadcast(cells.sparkSession.createDataFrame(fitted, schema))  # at most driver_cells rows
 
 
 def uniform(key: Column, seed: str) -> Column:
