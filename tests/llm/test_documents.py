@@ -198,5 +198,28 @@ def test_pipeline_stages_keep_the_columns(spark):
     assert stage["tokens"](spark, four, folder).count() == len(ids(four))
 
 
+def test_pipeline_near_duplicates_link_from_080(docs, spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    folder = "/root/testdata/sf0.001"
+    for frame in (docs, spark.read.parquet(f"{folder}/documents.parquet")):
+        rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect() if r.doc_id is not None]
+        sets = []
+        for _, text in rows:
+            w = [x.lower() for x in words(text)]
+            sets.append(frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)]))
+        group = list(range(len(rows)))
+        for a in range(len(rows)):
+            for b in range(a):
+                same = len(sets[a] & sets[b])
+                if same and 100 * same >= 80 * (len(sets[a]) + len(sets[b]) - same):
+                    old, new = group[a], group[b]
+                    group = [new if g == old else g for g in group]
+        want = {min(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in set(group)}
+        left = stage(spark, frame.where("doc_id IS NOT NULL"), folder)
+        assert left.columns == frame.columns
+        assert {r.doc_id for r in left.select("doc_id").collect()} == want
+
+
 def test_repeated_table_names_do_not_clash(docs):
     assert json.loads(docs.select(F.to_json(F.struct("kept"))).first()[0]) == {"kept": "k"}
