@@ -324,3 +324,75 @@ def rule_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.sinks.reports import sarif_rules
 
     return sarif_rules(_probe_findings(spark, sf_dir))
+
+
+# Whole-table forms of the queries above that take a part of their table: every row is in one of two runs or sources,
+# and keys and severities shift with the side, so that every kind of change occurs.
+
+
+@query("""SELECT user_id::INTEGER AS target_ord, event_type AS code, count(*) AS occurrences_raw, string_agg(DISTINCT (event_id % 3)::VARCHAR, ',' ORDER BY (event_id % 3)::VARCHAR) AS sample_numbers,
+  count(DISTINCT event_id % 3)::VARCHAR AS occurrences FROM events GROUP BY 1, 2""")
+def coalesced_findings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as findings of repeated samples, merged."""
+    rows = _read(spark, sf_dir, "events").selectExpr(
+        "cast(user_id AS int) AS target_ord", "cast(event_id % 3 AS int) AS sample", "0 AS probe_ord", "0 AS rule_ord", "cast(event_id AS int) AS within",
+        "event_type AS code", "'info' AS severity", "'m' AS message", "'u' AS url", "CAST(NULL AS string) AS agent",
+        "array(named_struct('k', 'raw', 't', 'number', 'v', cast(event_id AS string))) AS evidence",
+    )
+    value = lambda k: F.get(F.filter("evidence", lambda e: e["k"] == k), 0)["v"]
+    merged = findings.coalesce_findings(rows, 3)
+    return merged.select("target_ord", "code", F.size(F.split(value("raw"), r" \| ")).cast("bigint").alias("occurrences_raw"), value("sampleNumbers").alias("sample_numbers"), value("occurrences").alias("occurrences"))
+
+
+@query("SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
+def merged_targets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as listed targets, then a sitemap's filtered ones, the first mention of a URL winning."""
+    pages = _read(spark, sf_dir, "pages").select("url", "page_id", F.col("page_id").alias("ord"))
+    found = sitemap.path_filtered(pages, ["/en/*"], ["*.html"])
+    return sitemap.merged_targets([pages, found]).select("url", "page_id")
+
+
+_FOUND_WHOLE = """SELECT 'id:' || (user_id % 40 + 5 * (event_id % 2)) AS target, event_type AS code, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'a' || (user_id % 3) END AS agent,
+  CASE WHEN event_type = 'error' THEN 0 WHEN value > 15 AND user_id % 4 <> event_id % 2 THEN 1 ELSE 2 END AS r, event_id % 2 AS side FROM events"""
+
+
+@query(f"""WITH f AS ({_FOUND_WHOLE}), r AS (SELECT target, code, agent, min(r) FILTER (WHERE side = 0) AS a, min(r) FILTER (WHERE side = 1) AS b FROM f GROUP BY ALL)
+SELECT target, agent, code, CASE WHEN a IS NULL THEN CASE WHEN b = 2 THEN 'changed' ELSE 'regression' END WHEN b IS NULL THEN 'fixed' WHEN b < a THEN 'regression' ELSE 'fixed' END AS kind
+FROM r WHERE a IS DISTINCT FROM b""")
+def finding_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even and odd events as the findings of two runs."""
+    rows = _read(spark, sf_dir, "events").selectExpr(
+        "concat('id:', user_id % 40 + 5 * (event_id % 2)) AS target", "event_type AS code", "CASE WHEN user_id % 3 = 0 THEN NULL ELSE concat('a', user_id % 3) END AS agent",
+        "CASE WHEN event_type = 'error' THEN 'error' WHEN value > 15 AND user_id % 4 <> event_id % 2 THEN 'warning' ELSE 'info' END AS severity",
+        "event_id % 2 AS side", "CAST(array() AS array<struct<k:string,t:string,v:string>>) AS evidence",
+    )
+    side = lambda k: rows.where(f"side = {k}").drop("side")
+    return compare.finding_changes(side(0), side(1), ()).select("target", "agent", "code", "kind")
+
+
+_META_WHOLE = "SELECT 'id:' || (o_orderkey // 2 % 20000) AS target, 'a' || (o_custkey % 2) AS agent, o_orderpriority AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'body' ELSE 'head' END AS location, o_orderkey % 2 AS side FROM orders"
+
+
+@query(f"""WITH m AS ({_META_WHOLE}), s AS (SELECT target, agent, list_sort(list(DISTINCT value) FILTER (WHERE side = 0)) AS va, list_sort(list(DISTINCT value) FILTER (WHERE side = 1)) AS vb,
+  list_sort(list(DISTINCT location) FILTER (WHERE side = 0)) AS pa, list_sort(list(DISTINCT location) FILTER (WHERE side = 1)) AS pb FROM m GROUP BY ALL HAVING count(*) FILTER (WHERE side = 0) > 0 AND count(*) FILTER (WHERE side = 1) > 0)
+SELECT target, agent, 'metadata-value-changed' AS code FROM s WHERE va <> vb UNION ALL SELECT target, agent, 'metadata-location-changed' FROM s WHERE pa <> pb""")
+def metadata_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even and odd orders as the metadata of two runs."""
+    rows = _read(spark, sf_dir, "orders").selectExpr(
+        "concat('id:', o_orderkey div 2 % 20000) AS target", "concat('a', o_custkey % 2) AS agent", "'title' AS field", "o_orderpriority AS value",
+        "CASE WHEN o_orderkey % 5 = 0 THEN 'body' ELSE 'head' END AS location", "o_orderkey % 2 AS side",
+    )
+    side = lambda k: rows.where(f"side = {k}").drop("side")
+    return compare.metadata_changes(side(0), side(1)).select("target", "agent", "code")
+
+
+@query("""WITH k AS (SELECT DISTINCT 'id:' || (c_nationkey + 2 * (c_custkey % 2)) AS target, c_mktsegment || CASE WHEN c_nationkey % 3 = 0 THEN '/' || (c_custkey % 2) ELSE '' END AS agent, c_custkey % 2 AS side FROM customer),
+b AS (SELECT target, agent, bool_or(side = 0) AS a, bool_or(side = 1) AS b FROM k GROUP BY ALL), t AS (SELECT target, bool_or(a) AS a, bool_or(b) AS b FROM b GROUP BY ALL)
+SELECT b.target, b.agent, CASE WHEN b.a THEN 'agent-removed' ELSE 'agent-added' END AS code FROM b JOIN t USING (target) WHERE t.a AND t.b AND b.a <> b.b
+UNION ALL SELECT target, NULL, CASE WHEN a THEN 'target-removed' ELSE 'target-added' END FROM t WHERE a <> b""")
+def membership_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even and odd customers as the targets and agents of two runs."""
+    rows = _read(spark, sf_dir, "customer").selectExpr(
+        "concat('id:', c_nationkey + 2 * (c_custkey % 2)) AS target", "concat(c_mktsegment, CASE WHEN c_nationkey % 3 = 0 THEN concat('/', c_custkey % 2) ELSE '' END) AS agent", "c_custkey % 2 AS side",
+    )
+    return compare.membership_changes(rows.where("side = 0"), rows.where("side = 1")).select("target", "agent", "code")
