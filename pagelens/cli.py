@@ -70,12 +70,13 @@ def compare_runs(args: argparse.Namespace) -> int:
             raise runs.RunError("a target is named twice in one run")
     url = lambda r: compare.keyed(r["probes"], r["targets"]).join(compare.target_key(r["targets"]).select("target", F.col("url").alias("target_url")), "target")
     pa, pb = url(before), url(after)
-    long = lambda p: p.where("completion = 'complete'").select("target", "agent", F.explode(F.create_map(*[x for m in ("headers_ms", "first_byte_ms", "complete_ms") for x in (F.lit(m), F.col(m))])).alias("metric", "ms"))
+    long = lambda p: p.where("completion = 'complete'").select("target", "agent", F.explode(F.create_map(*[x for m in compare.METRICS for x in (F.lit(m), F.col(m))])).alias("metric", "ms"))
     meta = lambda r, p: r["signals"].join(p.where("completion = 'complete'").select("probe_id", "target", "agent"), "probe_id").select("target", "agent", F.coalesce("property", "kind").alias("field"), "value", "location")
+    whole = tuple(p.where("completion = 'complete'") for p in (pa, pb))
     matched = pa.select("target").distinct().join(pb.select("target").distinct(), "target")
     changes = compare.finding_changes(compare.keyed(before["findings"], before["targets"]), compare.keyed(after["findings"], after["targets"]), matched=matched)
     for other in (
-        compare.response_changes(pa, pb), compare.metadata_changes(meta(before, pa), meta(after, pb)), compare.timing_changes(long(pa), long(pb), args.min_ms, args.min_percent),
+        compare.response_changes(pa, pb), compare.metadata_changes(meta(before, pa), meta(after, pb), whole), compare.timing_changes(long(pa), long(pb), args.min_ms, args.min_percent),
         compare.policy_changes(before["targets"], after["targets"]), compare.membership_changes(pa, pb),
     ):
         changes = changes.unionByName(other)

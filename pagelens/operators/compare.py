@@ -111,9 +111,15 @@ def response_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return out
 
 
-def metadata_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Changes of (target, agent, field, value, location) rows from complete probes; URLs are compared as written."""
-    both_have = before.select("target", "agent").distinct().join(after.select("target", "agent").distinct(), ["target", "agent"])
+def metadata_changes(before: DataFrame, after: DataFrame, complete: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Changes of (target, agent, field, value, location) rows from complete probes; URLs are compared as written.
+
+    `complete` has the (target, agent) rows of each run's complete probes, with signals or without; where it is not
+    given, those that have signals.
+    """
+    pair_of = lambda df: df.select("target", "agent").distinct()
+    first, second = complete or (before, after)
+    both_have = pair_of(first).join(pair_of(second), ["target", "agent"])
     text = F.when(F.col("field") == "robots", T.robots_value(F.col("value"))).otherwise(T.collapse(F.col("value")))
     sets = lambda df: df.withColumn("text", text).where("text <> ''").groupBy("target", "agent", "field").agg(F.array_sort(F.collect_set("text")).alias("values"), F.array_sort(F.collect_set("location")).alias("places"))
     both = _sides(sets(before), sets(after), ["target", "agent", "field"]).join(both_have, ["target", "agent"], "left_semi")

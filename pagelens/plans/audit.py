@@ -29,6 +29,8 @@ def audit(
         facts = facts.join(robots_verdicts(checks, robots_docs), "probe_id", "left")
     found = rules.probe_findings(facts).unionByName(rules.drift_findings(facts))
     stable = stability.stability(facts)
+    required = rules.prepared(facts).select("probe_id", F.when(F.col("completion") == "complete", stability.all_arrived()).alias("required_ms"))
+    timed = probes.join(required, "probe_id", "left")
     if repeat > 1:
         found = fin.coalesce_findings(found, repeat).unionByName(stability.stability_findings(stable))
     waived, notes = None, None
@@ -36,7 +38,7 @@ def audit(
         found, waived, notes = waivers.apply_waivers(found, waiver_rows, targets, now)
         found = found.unionByName(notes)
     summary = fin.summary(targets, probes, found, waived.count() if waived is not None else 0)
-    out = {"findings": found, "summary": summary, "signals": signals, "json_ld": json_ld, "stability": stable, "probes": probes, "targets": targets}
+    out = {"findings": found, "summary": summary, "signals": signals, "json_ld": json_ld, "stability": stable, "probes": timed, "targets": targets}
     if waived is not None:
         out["waived"] = waived
     if secrets:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelens import schemas
 
-TABLES = {"targets": schemas.TARGETS, "probes": schemas.PROBES, "signals": schemas.SIGNALS, "json_ld": schemas.JSON_LD, "findings": schemas.FINDINGS}
+TABLES = {"targets": schemas.TARGETS, "probes": schemas.PROBES + ", required_ms double", "signals": schemas.SIGNALS, "json_ld": schemas.JSON_LD, "findings": schemas.FINDINGS}
 VERSION = 2
 _MANIFEST = {"schemaVersion", "generatedAt", "durationMs", "summary"}
 
@@ -53,7 +53,8 @@ def read_run(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         known = spark.createDataFrame([], schema).columns
         if set(df.columns) - set(known):
             raise RunError(f"{name} has unknown columns {sorted(set(df.columns) - set(known))}")
-        found[name] = df
+        # runs written before the required signals' arrival was kept lack it
+        found[name] = df.withColumn("required_ms", F.lit(None).cast("double")) if name == "probes" and "required_ms" not in df.columns else df
     bad = found["probes"].where((F.col("status") < 100) | (F.col("status") > 599) | (F.col("bytes_read") < 0) | (F.col("sample") < 1))
     if not bad.isEmpty():
         raise RunError("probes hold values out of range")

@@ -65,6 +65,34 @@ def test_check_and_compare(spark, site, tmp_path, capsys):
     assert ("regression", "missing-description") in changes and ("changed", "target-policy-changed") in changes
 
 
+def test_compare_sees_lost_signals_and_required_arrival(spark, tmp_path, capsys):
+    from pagelens import schemas
+    from pagelens.operators.findings import summary
+    from pagelens.plans.audit import audit
+    from pagelens.sources import runs
+
+    targets = spark.createDataFrame([(0, "x", "http://x/", [200], None, True, False, False, False, False, False, False, None, None)], schemas.TARGETS)
+    agents_ = spark.createDataFrame([(0, "browser", "Browser", "Mozilla", False)], schemas.AGENTS)
+    probe = ("0/0/1", 0, 0, "browser", 1, "http://x/", "http://x/", 200, "complete", None, 9, "s", {"content-type": "text/html"}, [], 1.0, 2.0, 5000.0)
+    probes = spark.createDataFrame([probe], schemas.PROBES)
+
+    def write(name, html, at):
+        page = spark.createDataFrame([("0/0/1", html.encode(), [len(html)], [at])], "probe_id string, body binary, chunk_ends array<bigint>, chunk_at array<double>")
+        out = audit(probes, page, targets, agents_, now="2026-10-06")
+        runs.write_run(out, summary(out["targets"], out["probes"], out["findings"]), str(tmp_path / name), "2026-10-06")
+
+    write("early", "<html><head><title>Home</title></head></html>", 10.0)
+    write("late", "<html><head><title>Home</title></head></html>", 4000.0)
+    write("shell", "<html></html>", 10.0)
+
+    def changes(name):
+        cli.main(["compare", str(tmp_path / "early"), str(tmp_path / name), "--format", "json"])
+        return {(c["code"], c["field"]) for c in json.loads(capsys.readouterr().out)["changes"]}
+
+    assert ("timing-regression", "required_ms") in changes("late")
+    assert ("metadata-value-changed", "title") in changes("shell")
+
+
 def test_config(tmp_path, monkeypatch):
     monkeypatch.setenv("TOKEN", "t")
     parsed = config.parse({"targets": ["http://a.com/x"], "headers": {"X-A": "${TOKEN}"}}, ("http://a.com/x", "http://b.com/"))
