@@ -26,7 +26,7 @@ def _render(kind: str, out: dict) -> str:
     f, s = out["findings"], out["summary"]
     steps = fin.next_steps(f)
     if kind == "github":
-        return "\n".join(r.value for r in reports.github_lines(f).limit(reports.DOCUMENT_ROWS).collect()) + "\n"
+        return "\n".join(r.value for r in reports.github_lines(f).collect()) + "\n"
     return {
         "terminal": lambda: reports.terminal_document(s, f, steps), "json": lambda: reports.json_document(s, f), "sarif": lambda: reports.sarif_document(f),
         "html": lambda: reports.html_document(s, f, steps), "markdown": lambda: reports.markdown_document(s, f), "junit": lambda: reports.junit_document(out["probes"], f),

@@ -1,4 +1,4 @@
-"""Report formats. Line formats are columns and scale with the findings; documents are drawn from bounded lists."""
+"""Report formats. Line formats are columns and scale with the findings; documents hold every row and pass through the driver."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as T
 from pagelens.operators.findings import rank
 
-#: Rows of a document format; the line and table sinks have no such bound.
-DOCUMENT_ROWS = 5000
 STABLE_EVIDENCE = ("audience", "completion", "fields", "property")
 
 
@@ -48,7 +46,7 @@ def write_json(findings: DataFrame, path: str) -> None:
 
 
 def _rows(frame: DataFrame, order: list) -> list[dict]:
-    return [r.asDict(recursive=True) for r in frame.orderBy(*order).limit(DOCUMENT_ROWS).collect()]
+    return [r.asDict(recursive=True) for r in frame.orderBy(*order).collect()]
 
 
 def _ordered(findings: DataFrame) -> list[dict]:
@@ -110,7 +108,7 @@ def junit_document(probes: DataFrame, findings: DataFrame) -> str:
 def markdown_document(summary: DataFrame, findings: DataFrame) -> str:
     s = summary.first()
     head = f"## {s.errors} errors, {s.warnings} warnings, {s.info} notes\n\n| Severity | Code | URL | Agent | Message |\n| --- | --- | --- | --- | --- |\n"
-    return head + "\n".join(r.value for r in markdown_lines(findings).limit(DOCUMENT_ROWS).collect()) + "\n"
+    return head + "\n".join(r.value for r in markdown_lines(findings).collect()) + "\n"
 
 
 def terminal_document(summary: DataFrame, findings: DataFrame, steps: DataFrame) -> str:
@@ -156,7 +154,7 @@ def comparison_documents(changes: DataFrame, summary: DataFrame) -> dict[str, st
     from pagelens.operators.compare import sorted_changes
 
     s = summary.first().asDict()
-    rows = [r.asDict() for r in sorted_changes(changes).limit(DOCUMENT_ROWS).collect()]
+    rows = [r.asDict() for r in sorted_changes(changes).collect()]
     line = lambda r: f"{r['kind']}: {r['code']} {r['target']} {r['agent'] or ''} {r['field'] or ''} {r['before'] or ''} -> {r['after'] or ''}"
     level = {"regression": "error", "changed": "notice", "fixed": "notice"}
     cell = lambda v: str(v or "").replace("|", "\\|").replace("\n", " ")

@@ -105,3 +105,17 @@ def test_framework(spark, tmp_path):
     rows = [(0, 0, 1, {"x-powered-by": "PHP/8"}), (0, 1, 1, {"x-powered-by": "Next.js"})]
     frame = spark.createDataFrame(rows, "target_ord int, agent_ord int, sample int, headers map<string,string>")
     assert framework.framework_of_probes(frame).first().framework == "php"
+
+
+def test_documents_hold_every_row(spark):
+    from pagelens.sinks import reports
+
+    n = 5003
+    probes = spark.range(n).selectExpr("cast(id AS int) AS target_ord", "'x' AS agent", "1 AS sample")
+    found = probes.selectExpr("*", "'error' AS severity", "'missing-h1' AS code", "'m' AS message", "'u' AS url")
+    junit = reports.junit_document(probes, found)
+    assert f'tests="{2 * n}" errors="{n}"' in junit and junit.count("<testcase") == 2 * n
+    assert reports.markdown_document(spark.sql("SELECT 0 AS errors, 0 AS warnings, 0 AS info"), found).count("| missing-h1 |") == n
+    changes = probes.selectExpr("'changed' AS kind", "cast(target_ord AS string) AS target", "agent", "'f' AS field", "'code' AS code", "'a' AS before", "'b' AS after", "'' AS detail")
+    texts = reports.comparison_documents(changes, spark.sql("SELECT 0 AS regressions"))
+    assert texts["github"].count("::notice") == texts["html"].count("<tr>") == n
