@@ -46,5 +46,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+    # `edges` is read when the result is, so it stays until the application ends
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

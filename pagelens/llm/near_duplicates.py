@@ -9,6 +9,7 @@ disagree: 2 * (1 - s**2)**side, 7e-5 at 0.85 and 6e-4 at 0.80 with side = 8.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm.components import connected_components
-from pagelens.llm.storage import discard, release_shuffles, stored
+from pagelens.llm.storage import discard, stored
 from pagelens.llm.words import Words, mix, slices
 
-_FEATURES = "doc_id bigint, node bigint, n_shingles bigint, first array<bigint>, second array<bigint>, sketch array<bigint>"
+_FEATURES = "doc_id bigint, row bigint, node bigint, n_shingles bigint, first array<bigint>, second array<bigint>, sketch array<bigint>"
 _SETS = "node bigint, shingles array<bigint>"
 
 #: Bits of a set's parity sketch: bit h says whether the shingles hashed to h are odd in number. Two sketches
 #: differ in no more bits than the sets in shingles, so the bound on links that they give loses none.
 _PARITY = 1024
+#: Pairs of one class, and classes of one bucket, that a part holds before another is opened.
+_PART_PAIRS, _PART_ROWS = 128, 256
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -87,13 +90,14 @@ def _features(words: int, side: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, n),
+                        batch.column("row").slice(lo, n),
                         pa.array(_nodes(hashes, first), pa.int64(), mask=blank),
                         pa.array(np.diff(first), pa.int64()),
                         per_row(groups[:, :side], pa.int64()),
                         per_row(groups[:, side:], pa.int64()),
                         _lists(odd.view(np.int64), _PARITY // 64, pa.int64()),
                     ],
-                    names=["doc_id", "node", "n_shingles", "first", "second", "sketch"],
+                    names=["doc_id", "row", "node", "n_shingles", "first", "second", "sketch"],
                 )
 
     return run
@@ -120,22 +124,52 @@ def _near_enough(x: str, y: str, percent: int) -> str:
     return f"({differ}) * {100 + percent} <= ({x}.n_shingles + {y}.n_shingles) * {100 - percent}"
 
 
+def _end(pairs: DataFrame, end: str, table: DataFrame, hot: DataFrame) -> DataFrame:
+    """`pairs` with the columns of `table` for the class in column `end`.
+
+    A class in very many pairs (the centre of a hot bucket) would bring them all to one task; its pairs are dealt over
+    as many parts as `hot` says and its row is copied to each.
+    """
+    parts = F.coalesce("parts", F.lit(1))
+    named = hot.withColumnRenamed("node", end)
+    dealt = pairs.join(named, end, "left").withColumn("_part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("parts")
+    copies = table.join(hot, "node", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(copies.withColumnRenamed("node", end), [end, "_part"]).drop("_part")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose full sets reach the similarity."""
-    side = lambda name, to: classes.select(F.col("node").alias(name), F.struct("sketch", "n_shingles").alias(to))
-    likely = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_near_enough("x", "y", percent)).select("a", "b")
+    times = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.ceil(F.count("*") / _PART_PAIRS).cast("int").alias("parts"))
+    hot = times.where("parts > 1")
+    shape = lambda to: classes.select("node", F.struct("sketch", "n_shingles").alias(to))
+    likely = _end(_end(pairs, "a", shape("x"), hot), "b", shape("y"), hot).where(_near_enough("x", "y", percent)).select("a", "b")
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
+    of = lambda to: sets.select("node", F.col("shingles").alias(to))
     return (
-        likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        _end(_end(likely, "a", of("x"), hot), "b", of("y"), hot)
         .where(100 * both >= percent * (F.size("x") + F.size("y") - both))
         .select("a", "b")
         .distinct()
     )
 
 
+def _open_pairs(open_keys: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All pairs inside each bucket between classes of different components whose sketches leave a link possible.
+
+    A bucket of n classes is cut into parts of _PART_ROWS; every part meets the whole bucket in a task of its own.
+    """
+    shape = classes.select("node", F.struct("sketch", "n_shingles").alias("x"))
+    known = open_keys.select("key", "node", "label").join(shape, "node")
+    parts = open_keys.groupBy("key").agg(F.ceil(F.count("*") / _PART_ROWS).cast("int").alias("parts"))
+    left = known.join(parts, "key").withColumn("_part", F.pmod("node", F.col("parts")).cast("int")).withColumnRenamed("node", "a")
+    right = open_keys.select("key", "node", "label").join(parts, "key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.join(shape, "node").selectExpr("key", "_part", "node AS b", "label AS other", "x AS y")
+    pairs = left.join(right, ["key", "_part"])
+    return pairs.where(f"a < b AND label <> other AND {_near_enough('x', 'y', percent)}").select("a", "b")
+
+
 def near_duplicates(
-    docs: DataFrame, *, percent: int = 85, words: int = 5, side: int = 8, star_rounds: int = 2
+    docs: DataFrame, *, percent: int = 80, words: int = 5, side: int = 8, star_rounds: int = 2
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text; other columns ignored).
 
@@ -143,17 +177,20 @@ def near_duplicates(
     are kept; texts below `words` words are one shingle. Rows with equal sets are one class and are expanded only
     in the result, so repeated rows link without being paired. Inside a bucket every class is first held
     against the bucket's best-connected class; pairs are listed only between classes that are then still in
-    different components and whose sketches leave a link possible. Equal doc_ids give a row each; the least doc_id of a component is its id.
+    different components and whose sketches leave a link possible. Equal doc_ids give a row each; the least doc_id of a
+    component is its id. Rows without a doc_id link others as any row does; a component of such rows alone has no id.
+    A text of any length is read whole, by itself where it is longer than a slice.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    # a row is found again by a hash of its doc_id and text, so that rows without a doc_id are found too
+    doc_id = F.col("doc_id").cast("bigint")
+    texts = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, F.xxhash64("text")).alias("row"), "text")
     features = stored(texts.mapInArrow(_features(words, side), _FEATURES))
     classes = stored(
         features.where("node is not null")
         .groupBy("node")
         .agg(
             F.min("doc_id").alias("doc_id"),
-            F.first(F.struct("n_shingles", "first", "second", "sketch")).alias("f"),
+            F.first(F.struct("row", "n_shingles", "first", "second", "sketch")).alias("f"),
         )
         .select("node", "doc_id", "f.*")
     )
@@ -165,14 +202,12 @@ def near_duplicates(
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(keys.join(shared, "key"))
     near = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    wanted = classes.join(near, "node").select("doc_id").distinct()
-    sets = stored(
-        texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("text").mapInArrow(_sets(words), _SETS)
-    )
-    release_shuffles(spark)
+    wanted = classes.join(near, "node").select("row")
+    again = texts.join(wanted.hint("shuffle_hash"), "row", "left_semi").select("text").mapInArrow(_sets(words), _SETS)
+    sets = stored(again.dropDuplicates(["node"]))
 
     ranked = members.join(near, "node").select("key", "node", "weight")
-    links = tried = labels = None
+    links, tried, old, labels = [], [], [], None
     for turn in range(star_rounds + 1):
         now = ranked.withColumn("label", F.col("node"))
         if labels is not None:
@@ -181,29 +216,26 @@ def near_duplicates(
             F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("weight", "node", "label")).alias("top")
         )
         open_keys = stored(now.join(ends.where("low <> high"), "key").select("key", "node", "weight", "label", "top"))
+        discard(*old)
         if turn < star_rounds:
             pairs = open_keys.where("label <> top.label").select(F.col("node").alias("a"), F.col("top.node").alias("b"))
         else:
-            shape = F.struct("sketch", "n_shingles")
-            known = open_keys.select("key", "node", "label").join(classes.select("node", shape.alias("x")), "node")
-            other = known.selectExpr("key", "node AS b", "label AS other", "x AS y")
-            pairs = known.withColumnRenamed("node", "a").join(other, "key")
-            pairs = pairs.where(f"a < b AND label <> other AND {_near_enough('x', 'y', percent)}").select("a", "b")
+            pairs = _open_pairs(open_keys, classes, percent)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = stored(_confirmed(pairs, classes, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        pairs = stored(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti") if tried else pairs)
+        links.append(stored(_confirmed(pairs, classes, sets, percent)))
+        tried.append(pairs)
         # what was held against its bucket's centre needs no second turn there
         ranked = open_keys.where("node <> top.node").select("key", "node", "weight")
-        labels = stored(connected_components(links))
-        release_shuffles(spark)
-    discard(sets, members)
+        labels = stored(connected_components(reduce(DataFrame.unionByName, links)))
+        old = [open_keys, labels]
+    discard(sets, members, open_keys, *tried, *links)
 
     component = F.coalesce("component", "node")
     named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", component.alias("component"), "doc_id")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = stored(named.join(least, "component").select("node", "component_id"))
+    discard(classes, labels)
     linked = features.select("doc_id", "n_shingles", "node").join(of_class, "node", "left")
     return linked.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")

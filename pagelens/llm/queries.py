@@ -22,7 +22,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.llm.near_duplicates import near_duplicates
 
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
 def op3_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

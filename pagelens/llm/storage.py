@@ -1,15 +1,16 @@
-"""Intermediate tables in the folder that all executors share, and release of what is no longer needed."""
+"""Intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_marked: set[str] = set()
+#: Spark then deletes the shuffle files of a write as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,30 +24,40 @@ def shared_folder(spark: SparkSession) -> str:
     return _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="pagelens-"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends here and outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/pagelens/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _application_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it is deleted when the driver ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark).rstrip('/')}/pagelens-{context.applicationId}"
+    if folder not in _marked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _marked.add(folder)
+    return folder
 
 
-def discard(*tables: DataFrame) -> None:
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends here and outlives lost executors."""
+    spark = df.sparkSession
+    path = f"{_application_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame | None) -> None:
     """Delete tables made by `stored` that no later step reads."""
     for df in tables:
+        if df is None:
+            continue
         jvm = df.sparkSession._jvm
         conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for parent in {name.rpartition("/")[0] for name in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner see that finished phases are garbage, so that their shuffle files leave the disks.
-
-    Called between phases that each shuffle as much as the input. The cleaner works in a thread of its own and one
-    collection can come while the last job is still being wound up, hence the second, a moment later.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
