@@ -1,9 +1,9 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A document is the vector of its hashed n-grams that begin a word, each the square root of its share of all.
-Every n-gram is scaled by the log ratio of its smoothed weight in toxic and in clean training documents; a
-regularised logistic regression on the scaled features gives the final weights. It is fitted on a bounded
-sample of labelled rows and applied to every text.
+A document is the vector of all its hashed character n-grams, each the square root of its share of all. The n-grams
+of largest log ratio between their smoothed weights in toxic and in clean training documents are the features, scaled
+by that ratio; a regularised logistic regression on them gives the final weights. It is fitted on a bounded sample of
+labelled rows and applied to every text.
 """
 
 from __future__ import annotations
@@ -17,106 +17,128 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.words import slices
+from pagelens.llm.storage import discard, stored
 
-#: Hash buckets for n-grams (a power of two) and their lengths in bytes, the blank before the word included.
-BUCKET_BITS, LENGTHS = 18, (3, 4, 5, 6, 8)
+#: Hash buckets for n-grams (a power of two) and their lengths in characters, blanks between words included.
+BUCKET_BITS, LENGTHS = 18, (3, 4, 5, 6)
 #: The classifier is fitted on at most this many labelled rows of each class, the least by a hash of doc_id.
 ROWS_PER_CLASS = 1500
-#: Training rows that must hold an n-gram, and the least size of its log-count ratio, for it to be a feature.
-LEAST_ROWS, LEAST_RATIO = 4, 0.3
+#: Training rows that must hold an n-gram for it to be a feature, and the number of features.
+LEAST_ROWS, FEATURES = 4, 1 << 13
 
 _SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
 
-#: ASCII letters are lowered; other ASCII bytes that are no digit end a word.
-_LETTER = np.array([ord(chr(b).lower()) if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint64)
-_LETTER[128:] = np.arange(128, 256)
+#: ASCII characters that are neither letter nor digit count as blanks.
+_ASCII = np.array([b if chr(b).isalnum() else 32 for b in range(128)], np.uint32)
 
 
-def _ngrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct bucket numbers of one text's word-initial n-grams, and the square roots of their shares."""
-    x = np.concatenate([[32], _LETTER[data], [32]]).astype(np.uint64)
-    begins = (x[:-1] == 32) & (x[1:] != 32)
-    found, packed = [], x.copy()
+def characters(text: str | None) -> np.ndarray:
+    """Code points of a text in lower case, its runs of ASCII punctuation and white space as one blank, blanks around it."""
+    x = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    x = np.where(x < 128, _ASCII[np.minimum(x, 127)], x)
+    return x[np.concatenate([[True], (x[1:] != 32) | (x[:-1] != 32)])]
+
+
+def buckets(text: str | None) -> np.ndarray:
+    """The bucket of every n-gram of the text, at every place, repeats included."""
+    x = characters(text)
+    found, packed = [], x
     for n in range(2, max(LENGTHS) + 1):
         if len(x) < n:
             break
-        packed = packed[: len(x) - n + 1] | (x[n - 1 :] << np.uint64(8 * (n - 1)))
+        packed = packed[:-1] * np.uint32(0x9E3779B1) + x[n - 1 :]
         if n in LENGTHS:
-            mixed = packed[begins[: len(packed)]] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
-            mixed ^= mixed >> np.uint64(29)
-            found.append((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BUCKET_BITS))
-    ids, times = np.unique(np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32), return_counts=True)
-    return ids, np.sqrt(times / max(times.sum(), 1)).astype(np.float32)
+            mixed = (packed ^ (packed >> np.uint32(15))) * np.uint32(0x85EBCA77)
+            found.append(mixed >> np.uint32(32 - BUCKET_BITS))
+    return np.concatenate(found) if found else np.empty(0, np.uint32)
 
 
-def _each_text(column: pa.Array) -> Iterator[np.ndarray]:
-    for lo, hi in slices(column):
-        part = column.slice(lo, hi - lo).cast(pa.large_string()).fill_null("")
-        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
-        size = int(offsets[-1] - offsets[0])
-        data = np.frombuffer(part.buffers()[2], np.uint8, size, int(offsets[0])) if size else np.empty(0, np.uint8)
-        for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], strict=True):
-            yield data[a:b]
+def shares(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets, and the square root of each one's share."""
+    ids, times = np.unique(found, return_counts=True)
+    return ids.astype(np.int32), np.sqrt(times / max(len(found), 1))
 
 
 @dataclass(frozen=True)
 class Model:
+    """Weights of the features; `place` is each bucket's feature, or the number of features for none."""
+
+    place: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def score(self, data: np.ndarray) -> float:
-        ids, values = _ngrams(data)
-        z = self.bias + float(self.weights[ids] @ values)
+    def score(self, text: str | None) -> float:
+        found = buckets(text)
+        counts = np.bincount(self.place[found], minlength=len(self.weights) + 1)[: len(self.weights)]
+        z = self.bias + float(np.sqrt(counts / max(len(found), 1)) @ self.weights)
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(
-    rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 150, ridge: float = 1e-5, rate: float = 0.05
-) -> Model:
-    """A model from (label, buckets, values) rows; without both classes it scores by the labels' share."""
+def log_ratios(sums: pd.DataFrame, toxic_rows: int, clean_rows: int, smoothing: float) -> np.ndarray:
+    """Log of an n-gram's smoothed weight a toxic row over its weight a clean row, for rows (toxic, clean)."""
+    toxic, clean = (sums[c].to_numpy(float) + smoothing for c in ("toxic", "clean"))
+    return np.log((toxic / toxic_rows) / (clean / clean_rows))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, toxic, clean, n_rows) over a task's rows: sums of shares by class, and rows that hold the bucket."""
     size = 1 << BUCKET_BITS
-    labels = np.array([y for y, _, _ in rows], float)
-    if not len(labels) or labels.min() == labels.max():
-        share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-6, 1 - 1e-6))
-        return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    owner = np.repeat(np.arange(len(rows)), [len(b) for _, b, _ in rows])
-    ids, values = (np.concatenate([r[k] for r in rows]) for k in (1, 2))
-    ids, values = ids.astype(np.int64), values.astype(float) * 10
-    toxic, clean = (np.bincount(ids, values * (labels == y)[owner], size) + values.mean() for y in (1, 0))
-    ratio = np.log((toxic / (labels == 1).sum()) / (clean / (labels == 0).sum()))
-    ratio[(np.bincount(ids, minlength=size) < LEAST_ROWS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    chosen = ratio[ids] != 0
-    owner, ids = owner[chosen], ids[chosen]
-    scaled = values[chosen] * ratio[ids]
-    used, at = np.unique(ids, return_inverse=True)
-    beta, bias = np.zeros(len(used)), 0.0
-    # Adam on the logistic loss
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    total = np.zeros((3, size))
+    for batch in batches:
+        for y, ids, values in zip(batch.column("toxic"), batch.column("buckets"), batch.column("shares"), strict=True):
+            at = np.asarray(ids.values)
+            total[0 if y.as_py() else 1, at] += np.asarray(values.values)
+            total[2, at] += 1
+    at = np.flatnonzero(total[2])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(at.astype(np.int32)), *(pa.array(total[k, at]) for k in range(3))], names=["bucket", "toxic", "clean", "n_rows"]
+    )
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for y, text in zip(batch.column("toxic"), batch.column("text"), strict=True):
+            ids, values = shares(buckets(text.as_py()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([y.as_py()], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([values], pa.list_(pa.float64()))],
+                names=["toxic", "buckets", "shares"],
+            )
+
+
+def _chosen(place: np.ndarray, none: int):
+    """Only the features of each row, by their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, values = [], []
+            for x, v in zip(batch.column("buckets"), batch.column("shares"), strict=True):
+                at = place[np.asarray(x.values)]
+                ids.append(at[at < none])
+                values.append(np.asarray(v.values)[at < none])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("toxic"), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
+                names=["toxic", "buckets", "shares"],
+            )
+
+    return run
+
+
+def fit(
+    labels: np.ndarray, owner: np.ndarray, at: np.ndarray, scaled: np.ndarray, size: int,
+    rounds: int = 300, ridge: float = 1e-5, rate: float = 0.05,
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on sparse entries (owner row, feature, value), by Adam steps."""
+    beta, bias = np.zeros(size), 0.0
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(owner, scaled * beta[at], len(rows)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) / len(rows)
-        g, gb = np.bincount(at, scaled * error[owner], len(used)) + ridge * beta, error.sum()
+        z = np.bincount(owner, scaled * beta[at], len(labels)) + bias
+        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) / len(labels)
+        g, gb = np.bincount(at, scaled * error[owner], size) + ridge * beta, error.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.999**t
         beta -= rate * m / a / (np.sqrt(v / b) + 1e-8)
         bias -= rate * mb / a / (np.sqrt(vb / b) + 1e-8)
-    weights = np.zeros(size, np.float32)
-    weights[used] = 10 * ratio[used] * beta
-    return Model(weights, float(bias))
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = [_ngrams(data) for data in _each_text(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("toxic"),
-                pa.array([ids for ids, _ in pairs], pa.list_(pa.int32())),
-                pa.array([values for _, values in pairs], pa.list_(pa.float32())),
-            ],
-            names=["toxic", "buckets", "shares"],
-        )
+    return beta, float(bias)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
@@ -126,8 +148,10 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """Fit on labelled documents outside the held-out fold.
 
-    Null labels and labels other than 0 and 1 are left out. The sample's ids are at most
-    2 * rows_per_class, so they are broadcast to the scan of `docs`; repeated rows of a document may repeat.
+    Null labels and labels other than 0 and 1 are left out; a document labelled both ways counts as toxic. The sample's
+    ids are at most 2 * rows_per_class, so they are broadcast to the scan of `docs`; of several texts under one doc_id
+    the least is taken. Only sums by bucket and the rows' FEATURES best n-grams reach the driver. Without both
+    classes every text scores the labels' share.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -135,31 +159,49 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     picked = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(rows_per_class) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(sample, "doc_id")
-    # rows of one doc_id may repeat without bound; the sample is of rows, so it is bounded again
-    rows = texts.select("toxic", "text", "doc_id").orderBy(order, "doc_id").limit(2 * rows_per_class)
-    schema = "toxic int, buckets array<int>, shares array<float>"
-    learnt = rows.select("toxic", "text").mapInArrow(_features, schema).toArrow().to_batches()
-    return fit(
-        [
-            (y.as_py(), np.asarray(ids.values), np.asarray(values.values))
-            for part in learnt
-            for y, ids, values in zip(*part.columns, strict=True)
-        ]
-    )
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
+    rows = stored(rows.mapInArrow(_features, "toxic int, buckets array<int>, shares array<double>"))
+    n = {r.toxic: (r.n, r.mean or 0.0) for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.avg(F.expr("aggregate(shares, 0D, (a, x) -> a + x)")).alias("mean")).collect()}
+    size = 1 << BUCKET_BITS
+    if len(n) < 2:
+        share = float(np.clip(max(n, default=0), 1e-6, 1 - 1e-6))
+        discard(rows)
+        return Model(np.zeros(size, np.int32), np.zeros(0), float(np.log(share / (1 - share))))
+    each = rows.mapInArrow(_sums, "bucket int, toxic double, clean double, n_rows double").groupBy("bucket")
+    sums = each.agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "n_rows"))).where(F.col("n_rows") >= LEAST_ROWS).orderBy("bucket").toPandas()
+    # one average n-gram of a row is the prior of each class
+    smoothing = (sums["toxic"].sum() + sums["clean"].sum()) / max(sums["n_rows"].sum(), 1)
+    ratio = log_ratios(sums, n[1][0], n[0][0], smoothing)
+    best = np.sort(np.argsort(-np.abs(ratio), kind="stable")[:FEATURES])
+    place = np.full(size, len(best), np.int32)
+    place[sums["bucket"].to_numpy()[best]] = np.arange(len(best))
+    learnt = rows.mapInArrow(_chosen(place, len(best)), "toxic int, buckets array<int>, shares array<double>").toArrow().to_batches()
+    discard(rows)
+    ys, lists = [], ([], [])
+    for part in learnt:
+        for y, ids, values in zip(*part.columns, strict=True):
+            ys.append(y.as_py())
+            lists[0].append(np.asarray(ids.values))
+            lists[1].append(np.asarray(values.values))
+    owner = np.repeat(np.arange(len(ys)), [len(x) for x in lists[0]])
+    at, values = (np.concatenate(x) for x in lists)
+    factor = 10 * ratio[best]
+    beta, bias = fit(np.array(ys, float), owner, at, values * factor[at], len(best))
+    return Model(place, factor * beta, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text; other columns ignored).
 
-    The whole text is scored. Null and empty texts have no n-gram but the blanks around them, so their score is
-    near the bias; repeated rows score alike.
+    The whole text is scored, of any length. Null and empty texts have no n-gram, so their score is that of the bias;
+    repeated rows score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            scores = np.array([known.score(data) for data in _each_text(batch.column("text"))], float)
+            scores = np.array([known.score(text.as_py()) for text in batch.column("text")], float)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -181,7 +223,6 @@ def rejected(docs: DataFrame, model: Model, threshold: float = 0.5) -> F.Column:
     @F.pandas_udf("boolean")
     def is_toxic(texts: pd.Series) -> pd.Series:
         known = shared.value
-        scores = [known.score(data) for data in _each_text(pa.array(texts, pa.string()))]
-        return pd.Series([s >= threshold for s in scores], index=texts.index, dtype=bool)
+        return pd.Series([known.score(t) >= threshold for t in texts], index=texts.index, dtype=bool)
 
     return is_toxic("text")
