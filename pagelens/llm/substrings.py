@@ -17,14 +17,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.storage import discard, release_shuffles, stored
+from pagelens.llm.storage import discard, stored
 from pagelens.llm.words import Words, slices
 
 _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
+def _gathered(values: np.ndarray, owners: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Columns (value, key, keys) of (value, document key) pairs: values of one pair with key, others once with keys.
+
+    Pairs of one slice are gathered before the shuffle, so that a passage in very many documents costs its tasks a row
+    a slice.
+    """
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(values), 1), bool), values[1:] != values[:-1]]))
+    times = np.diff(np.append(first, len(values)))
+    one, more = first[times == 1], first[times > 1]
+    inside = np.repeat(times > 1, times)
+    sizes = np.zeros(len(one) + len(more) + 1, np.int32)
+    np.cumsum(times[times > 1], out=sizes[len(one) + 1 :])
+    lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(owners[inside]), mask=pa.array(np.arange(len(sizes) - 1) < len(one)))
+    key = pa.array(np.concatenate([owners[one], np.zeros(len(more), np.int64)]), mask=np.arange(len(sizes) - 1) >= len(one))
+    return pa.array(np.concatenate([values[one], values[more]])), key, lists
+
+
 def _blocks(block: int, aligned: bool):
-    """(block hash, document key) rows: the indexed blocks, or the probes, which are all other windows."""
+    """(h, key, keys) rows, h a block hash: the indexed blocks, or the probes, which are all other windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,7 +55,7 @@ def _blocks(block: int, aligned: bool):
                 starts, doc = starts[chosen], doc[chosen]
                 # 48 bits only nominate a place; what is removed is decided on 64 bits of the whole window
                 short = (table.windows(starts, block) >> np.uint64(16)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(short), pa.array(keys[lo:hi][doc])], names=["h", "key"])
+                yield pa.RecordBatch.from_arrays(list(_gathered(short, keys[lo:hi][doc])), names=["h", "key", "keys"])
 
     return run
 
@@ -62,15 +81,16 @@ def _candidates(block: int, window: int):
                     np.add.at(reach, np.maximum(at - (window - block), 0), 1)
                     np.add.at(reach, at + 1, -1)
                     near = np.flatnonzero(np.cumsum(reach)[: n - window + 1] > 0)
-                    values, times = np.unique(table.windows(table.first[d] + near, window), return_counts=True)
+                    values, times = np.unique(table.windows(table.first[d] + near, window).view(np.int64), return_counts=True)
                     found.append((values, times))
                     owner.append(np.full(len(values), keys[lo + d]))
                 if found:
                     values, times = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(values.view(np.int64)), pa.array(np.concatenate(owner)), pa.array(times)],
-                        names=["w", "key", "n"],
-                    )
+                    w, key, several = _gathered(values, np.concatenate(owner))
+                    # the sum of a value's starts over the slice, in the order of `w`
+                    sums = np.bincount(np.searchsorted(np.sort(w.to_numpy()), values), times, len(w)).astype(np.int64)
+                    n = sums[np.searchsorted(np.sort(w.to_numpy()), w.to_numpy())]
+                    yield pa.RecordBatch.from_arrays([w, key, several, pa.array(n)], names=["w", "key", "keys", "n"])
 
     return run
 
@@ -113,25 +133,26 @@ def _kept(window: int):
 def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     """(key, repeats): per document with repeats, the hashes of its windows that also start elsewhere.
 
-    `docs` has key (bigint, not null; rows may share it) and text.
+    `docs` has key (bigint, not null; equal rows may share it) and text. The tables that joins meet are stored first, so
+    that both sides of a join are plain shuffles, which adaptive execution may split where a hash is very frequent.
     """
     block = (window + 1) // 2
-    rows = "h bigint, key bigint"
+    rows = "h bigint, key bigint, keys array<bigint>"
+    each = F.explode(F.coalesce("keys", F.array("key"))).alias("key")
     indexed = docs.mapInArrow(_blocks(block, True), rows)
-    anchors = indexed.groupBy("h").agg(F.count("*").alias("n"))
+    anchors = stored(indexed.groupBy("h").agg(F.sum(F.when(F.col("keys").isNull(), 1).otherwise(F.size("keys"))).alias("n")))
     probes = docs.mapInArrow(_blocks(block, False), rows)
-    outside = stored(probes.join(anchors.select("h").hint("shuffle_hash"), "h").select("h", "key"))
-    release_shuffles(docs.sparkSession)
-    again = anchors.where("n > 1").select("h").unionByName(outside.select("h")).distinct()
+    outside = stored(probes.join(anchors.select("h").hint("shuffle_hash"), "h"))
+    again = stored(anchors.where("n > 1").select("h").unionByName(outside.select("h")).distinct())
     inside = indexed.join(again.hint("shuffle_hash"), "h", "left_semi")
-    hits = outside.unionByName(inside).groupBy("key").agg(F.collect_set("h").alias("hits"))
-    places = docs.join(hits, "key").mapInArrow(_candidates(block, window), "w bigint, key bigint, n bigint")
+    hits = stored(outside.unionByName(inside).select("h", each).groupBy("key").agg(F.collect_set("h").alias("hits")))
+    discard(anchors, outside, again)
+    places = docs.join(hits, "key").mapInArrow(_candidates(block, window), "w bigint, key bigint, keys array<bigint>, n bigint")
     windows = stored(places)
-    release_shuffles(docs.sparkSession)
-    repeated = windows.groupBy("w").agg(F.sum("n").alias("times")).where("times > 1").select("w")
-    result = stored(windows.join(repeated, "w").groupBy("key").agg(F.collect_set("w").alias("repeats")))
-    discard(outside, windows)
-    release_shuffles(docs.sparkSession)
+    discard(hits)
+    repeated = stored(windows.groupBy("w").agg(F.sum("n").alias("times")).where("times > 1").select("w"))
+    result = stored(windows.join(repeated, "w").select("w", each).groupBy("key").agg(F.collect_set("w").alias("repeats")))
+    discard(windows, repeated)
     return result
 
 
@@ -140,13 +161,11 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     Every word under a window of `window` words that also starts elsewhere, in this or any document, is removed;
     windows are judged on the input. Null and empty texts have no words; rows that repeat a document
-    repeat its windows. Documents below `window` words lose nothing.
+    repeat its windows. Documents below `window` words lose nothing. Null doc_ids are rows like others. A text of any
+    length is read whole, by itself where it is longer than a slice.
     """
-    least = F.lit(-(1 << 63)).cast("bigint")
-    texts = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("bigint"), least).alias("key"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+    doc_id, text = F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))
+    # rows without a doc_id are told apart by their texts
+    texts = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
     repeats = repeated_windows(texts.select("key", "text"), window)
     return texts.join(repeats, "key", "left").select("doc_id", "text", "repeats").mapInArrow(_kept(window), _RESULT)
