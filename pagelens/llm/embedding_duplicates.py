@@ -1,15 +1,18 @@
 """Near-duplicate vectors: iterative quantisation codes, multi-index Hamming tables, exact reranking.
 
-A rotation is learnt so that the signs of the rotated, centred vectors are balanced bits that lose little; a
-vector's code is cut into 16-bit segments, one table each. A pair is retrieved when some segment differs in
-at most one bit, is taken from the first such table only, and is then held against the original
-vectors in double precision. At cosine 0.95 each bit differs with probability 0.1, so one table of two
-rotations' eight misses half of such pairs and all eight miss 0.3 % of them.
+A rotation is learnt so that the signs of the rotated, centred vectors are balanced bits that lose little. Codes of
+several rotations are joined and cut into segments, one table each; a segment has about as many bits as the number of
+vectors, so that a bucket holds a few whatever their number. A pair is retrieved when some segment differs in
+at most one bit, is taken from the first such table only, and is then held against the original vectors in double
+precision. At cosine c each bit differs with probability acos(c) / pi; there are as many tables as it takes to miss
+a pair at the threshold with probability MISS.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -17,51 +20,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm.components import connected_components
-from pagelens.llm.storage import stored
+from pagelens.llm.storage import discard, stored
 
-#: Rotations are learnt from at most this many vectors, the least by a hash of vec_id.
-SAMPLE, ROTATIONS, SEGMENT = 4096, 2, 16
+#: Rotations are learnt from at most this many vectors of the commonest length, the least by a hash of the vector.
+SAMPLE = 4096
+#: Chance that no table retrieves a pair at the threshold, and bounds of a segment's bits.
+MISS, LEAST_BITS, MOST_BITS = 0.002, 8, 28
 
 
-def learn_rotations(sample: np.ndarray, bits: int, count: int, rounds: int = 50) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The mean, and `count` projections to `bits` signs each, by iterative quantisation from random starts."""
-    mean = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
-    centred = sample - mean
-    _, _, axes = np.linalg.svd(centred if len(sample) else np.eye(sample.shape[1]), full_matrices=True)
-    found = []
+def layout(rows: int, cosine: float) -> tuple[int, int]:
+    """(bits of a segment, number of tables) for so many vectors."""
+    width = min(max(ceil(log2(max(rows, 2))), LEAST_BITS), MOST_BITS)
+    p = acos(min(max(cosine, -1.0), 1.0)) / pi
+    hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return width, max(1, ceil(log(MISS) / log(1 - hit))) if hit < 1 else 1
+
+
+def learn_rotations(sample: np.ndarray, count: int, rounds: int = 50) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The mean, and `count` square rotations by iterative quantisation from random starts: a bit for every dimension."""
+    dimension = sample.shape[1]
+    mean = sample.mean(0) if len(sample) else np.zeros(dimension)
+    low, found = sample - mean, []
     for k in range(count):
-        random = np.random.default_rng(k)
-        rotation, _ = np.linalg.qr(random.standard_normal((len(axes), len(axes))))
-        main = axes.T  # all principal directions: the code has as many bits as the vectors dimensions
-        low = centred @ main
-        for _ in range(rounds if len(sample) > len(axes) else 0):
+        rotation, _ = np.linalg.qr(np.random.default_rng(k).standard_normal((dimension, dimension)))
+        for _ in range(rounds if len(sample) > dimension else 0):
             u, _, v = np.linalg.svd(np.where(low @ rotation >= 0, 1.0, -1.0).T @ low)
             rotation = (u @ v).T
-        turned = main @ rotation
-        while turned.shape[1] < bits:
-            turned = np.concatenate([turned, np.linalg.qr(random.standard_normal(main.shape))[0]], 1)
-        found.append(turned[:, :bits])
+        found.append(rotation)
     return mean, found
 
 
-def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(-1, dimension)
+@cache
+def _plain_rotations(dimension: int, count: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For vectors of another length than the learnt one: random rotations, the same in every task."""
+    return learn_rotations(np.empty((0, dimension)), count)
+
+
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Components of all vectors as doubles, and where each vector's begin."""
+    lists = column.cast(pa.large_list(pa.float64()))
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _encoder(dimension: int, mean: np.ndarray, rotations: list[np.ndarray], width: int, tables: int):
+    """(node, segments, embedding): the code cut into `tables` integers of `width` bits."""
+    powers = 1 << np.arange(width, dtype=np.int64)
+
+    def bits(x: np.ndarray) -> np.ndarray:
+        middle, turns = (mean, rotations) if x.shape[1] == dimension else _plain_rotations(x.shape[1], ceil(tables * width / x.shape[1]))
+        return np.concatenate([(x - middle) @ r >= 0 for r in turns], 1)[:, : tables * width]
 
-def _encoder(dimension: int, mean: np.ndarray, rotations: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("embedding"), dimension)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
-            codes = [
-                np.packbits((x - mean) @ r >= 0, axis=1, bitorder="little").view(np.int64).ravel() if len(x) else np.empty(0, np.int64)
-                for r in rotations
-            ]
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, len(x) * len(codes) + 1, len(codes)), pa.int32()), pa.array(np.stack(codes, 1).ravel())
-            )
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, batch.column("embedding")], names=["node", "codes", "embedding"])
+            flat, offsets = _rows(batch.column("embedding"))
+            sizes = np.diff(offsets)
+            segments = np.zeros((len(sizes), tables), np.int32)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                x = _unit(flat[offsets[at][:, None] + np.arange(n)])
+                segments[at] = bits(x).reshape(len(at), tables, width) @ powers
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, segments.size + 1, tables), pa.int32()), pa.array(segments.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, batch.column("embedding")], names=["node", "segments", "embedding"])
 
     return run
 
@@ -69,68 +95,70 @@ def _encoder(dimension: int, mean: np.ndarray, rotations: list[np.ndarray]):
 def _verify(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            width = len(batch.column("x")[0])
-            x, y = (_matrix(batch.column(c), width) for c in ("x", "y"))
-            value = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+            (x, offsets), (y, _) = (_rows(batch.column(c)) for c in ("x", "y"))
+            sizes, value = np.diff(offsets), np.zeros(batch.num_rows)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                places = offsets[at][:, None] + np.arange(n)
+                value[at] = (_unit(x[places]) * _unit(y[places])).sum(1)
             chosen = pa.array(value >= cosine)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(chosen) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
-def _links(classes: DataFrame, dimension: int, cosine: float) -> DataFrame:
-    rows = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()["embedding"]
-    sample = _matrix(rows.combine_chunks(), dimension)
-    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    bits = 64
-    mean, rotations = learn_rotations(sample, bits, ROTATIONS)
-    schema = "node bigint, codes array<bigint>, embedding array<float>"
-    coded = stored(classes.select("node", "embedding").mapInArrow(_encoder(dimension, mean, rotations), schema))
-    tables = ROTATIONS * bits // SEGMENT
-    per_code, low = bits // SEGMENT, (1 << SEGMENT) - 1
-    segment = lambda codes, t: f"shiftright({codes}[{t} div {per_code}], {SEGMENT} * ({t} % {per_code})) & {low}"
-    each = coded.select("node", "codes", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"))
-    index = each.selectExpr("node AS b", "codes AS codes_b", "t", f"{segment('codes', 't')} AS value")
-    flips = F.array(F.lit(0), *(F.lit(1 << k) for k in range(SEGMENT)))
-    probes = each.selectExpr("node AS a", "codes AS codes_a", "t", f"{segment('codes', 't')} AS own")
-    probes = probes.select("a", "codes_a", "t", "own", F.explode(flips).alias("flip")).selectExpr("a", "codes_a", "t", "own ^ flip AS value")
-    earlier = " AND ".join(
-        f"(t <= {t} OR bit_count(({segment('codes_a', t)}) ^ ({segment('codes_b', t)})) > 1)" for t in range(tables - 1)
-    )
-    distance = " + ".join(f"bit_count(codes_a[{r}] ^ codes_b[{r}])" for r in range(ROTATIONS))
-    # a cosine of 0.95 leaves 13 of 128 bits apart on average, and over 40 in one pair of 10^9
-    found = probes.join(index, ["t", "value"]).where(f"a < b AND {earlier} AND {distance} <= {40 * ROTATIONS // 2}").select("a", "b")
+def _links(classes: DataFrame, cosine: float) -> DataFrame:
+    """Pairs (a, b) of classes whose cosine reaches the threshold."""
+    sizes = classes.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n")
+    common = sizes.first()
+    if common is None:
+        return classes.sparkSession.createDataFrame([], "a bigint, b bigint")
+    dimension, kind = common.n, dict(classes.dtypes)["embedding"]
+    width, tables = layout(classes.count(), cosine)
+    rows = classes.where(F.size("embedding") == dimension).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding")
+    flat, _ = _rows(rows.toArrow()["embedding"].combine_chunks())
+    mean, rotations = learn_rotations(_unit(flat.reshape(-1, dimension)), ceil(tables * width / dimension))
+    encode = _encoder(dimension, mean, rotations, width, tables)
+    coded = stored(classes.select("node", "embedding").mapInArrow(encode, f"node bigint, segments array<int>, embedding {kind}"))
+    each = coded.select("node", "segments", F.size("embedding").alias("n"), F.posexplode("segments").alias("t", "value"))
+    index = each.selectExpr("node AS b", "segments AS other", "n", "t", "value")
+    flips = F.array(F.lit(0), *(F.lit(1 << k) for k in range(width)))
+    probes = each.select(F.col("node").alias("a"), "segments", "n", "t", "value", F.explode(flips).alias("flip"))
+    probes = probes.selectExpr("a", "segments", "n", "t", "value ^ flip AS value")
+    earlier = " AND ".join([f"(t <= {t} OR bit_count(segments[{t}] ^ other[{t}]) > 1)" for t in range(tables - 1)] or ["true"])
+    distance = " + ".join(f"bit_count(segments[{t}] ^ other[{t}])" for t in range(tables))
+    # eight deviations over the mean distance of a pair at the threshold
+    p, all_bits = acos(min(max(cosine, -1.0), 1.0)) / pi, tables * width
+    farthest = ceil(all_bits * p + 8 * sqrt(all_bits * p * (1 - p)))
+    found = probes.join(index, ["t", "value", "n"]).where(f"a < b AND {earlier} AND {distance} <= {farthest}").select("a", "b")
     vectors = coded.select("node", "embedding")
     pairs = found.join(vectors.withColumnsRenamed({"node": "a", "embedding": "x"}), "a").join(
         vectors.withColumnsRenamed({"node": "b", "embedding": "y"}), "b"
     )
-    return pairs.select("a", "b", "x", "y").mapInArrow(_verify(cosine), "a bigint, b bigint")
+    links = stored(pairs.select("a", "b", "x", "y").mapInArrow(_verify(cosine), "a bigint, b bigint"))
+    discard(coded)
+    return links
 
 
 def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of `vectors` (vec_id, embedding array of numbers).
+    """vec_id, n_links, component_id, kept for every row of `vectors` (vec_id, embedding array of numbers; others ignored).
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing and are kept. Vectors
-    of different length are not compared. Equal vectors are one class with a multiplicity: each of m copies has
-    the other m - 1 as links, and every copy of a linked class counts. Equal vec_ids give a row each.
+    of different length are not compared. Components count as doubles. Equal vectors are one class with a multiplicity:
+    each of m copies has the other m - 1 as links, and every copy of a linked class counts. Equal vec_ids give a row
+    each. Every link between unequal vectors is listed, since each counts in n_links, so a group of g near but unequal
+    vectors costs up to g * g / 2 pairs.
     """
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     ok = "embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    rows = rows.withColumn("node", F.expr(f"CASE WHEN {ok} THEN xxhash64(embedding, size(embedding)) END"))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    # 0.0 and -0.0 are one value
+    rows = rows.withColumn("node", F.expr(f"CASE WHEN {ok} THEN xxhash64(transform(embedding, x -> x + 0), size(embedding)) END"))
     usable = rows.where("node IS NOT NULL")
     classes = stored(
         usable.groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
     )
-    sizes = [r[0] for r in classes.groupBy(F.size("embedding")).count().select(F.col("size(embedding)")).collect()]
-    links = None
-    for n in sizes:
-        part = _links(classes.where(F.size("embedding") == n), n, cosine)
-        links = part if links is None else links.unionByName(part)
-    if links is None:
-        links = vectors.sparkSession.createDataFrame([], "a bigint, b bigint")
-    links = stored(links)
+    links = _links(classes, cosine)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = classes.select(F.col("node").alias("b"), "copies")
     degree = both.join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("degree"))
@@ -141,9 +169,11 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     of_class = named.join(first, "component").select(
         "node", "component_id", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links")
     )
+    of_class = stored(of_class)
+    discard(classes)
     return (
         rows.select("vec_id", "node")
-        .join(stored(of_class), "node", "left")
+        .join(of_class, "node", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )

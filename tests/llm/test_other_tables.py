@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import pagelens.llm.chat_repair as chat
 
@@ -28,18 +29,17 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
-def test_embedding_duplicates(spark):
-    from pagelens.llm.embedding_duplicates import embedding_duplicates
-
-    random_ = np.random.default_rng(3)
-    base = random_.standard_normal((150, 16))
-    near = base[:40].repeat(3, 0) + random_.standard_normal((120, 16)) * 0.03
-    rows = [(k, [float(x) for x in v]) for k, v in enumerate(np.concatenate([base, near, base[:5]]))]
-    rows += [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [float("nan")] + [1.0] * 15), (1004, [1.0] * 8), (1005, [2.0] * 8), (3, rows[3][1])]
-    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "'x' AS node", "1 AS kept")
-    got = sorted(tuple(r) for r in embedding_duplicates(frame).collect())
-    vectors = [np.array(v, np.float32).astype(float) if v and np.isfinite(v).all() and any(v) else None for _, v in rows]
-    link = [[b for b in range(len(rows)) if b != a and vectors[a] is not None and vectors[b] is not None and len(vectors[a]) == len(vectors[b]) and vectors[a] @ vectors[b] / np.sqrt((vectors[a] @ vectors[a]) * (vectors[b] @ vectors[b])) >= 0.95] for a in range(len(rows))]
+def brute_links(rows, cosine=0.95):
+    """Rows (vec_id, n_links, component_id, kept) by comparing every pair of usable vectors of equal length."""
+    usable = [np.array(v, float) if v and all(x is not None and np.isfinite(x) for x in v) and any(v) else None for _, v in rows]
+    unit = [None if v is None else (v / np.abs(v).max()) / np.linalg.norm(v / np.abs(v).max()) for v in usable]
+    link = [[] for _ in rows]
+    for n in {len(v) for v in unit if v is not None}:
+        at = [k for k, v in enumerate(unit) if v is not None and len(v) == n]
+        x = np.array([unit[k] for k in at])
+        for a, b in zip(*np.nonzero(x @ x.T >= cosine), strict=True):
+            if a != b:
+                link[at[a]].append(at[b])
     want = []
     for a, (i, _) in enumerate(rows):
         seen, stack = {a}, [a]
@@ -50,31 +50,85 @@ def test_embedding_duplicates(spark):
                     stack.append(b)
         least = min(rows[b][0] for b in seen)
         want.append((i, len(link[a]), least, i == least))
-    found = sum(r[1] for r in got) / sum(r[1] for r in want)
-    assert found >= 0.97
+    return want
+
+
+def test_embedding_duplicates(spark):
+    from pagelens.llm.embedding_duplicates import embedding_duplicates
+
+    random_ = np.random.default_rng(3)
+    base = random_.standard_normal((150, 16))
+    near = base[:40].repeat(3, 0) + random_.standard_normal((120, 16)) * 0.03
+    rows = [(k, [float(x) for x in np.float32(v)]) for k, v in enumerate(np.concatenate([base, near, base[:5]]))]
+    rows += [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [float("nan")] + [1.0] * 15), (1004, [1.0] * 8), (1005, [2.0] * 8), (3, rows[3][1]), (1006, [3.0]), (1007, [None, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "'x' AS node", "1 AS kept", "2 AS n_links")
+    got, want = sorted(tuple(r) for r in embedding_duplicates(frame).collect()), brute_links(rows)
+    assert sum(r[1] for r in got) / sum(r[1] for r in want) >= 0.97
     assert sum((Counter(got) & Counter(want)).values()) >= 0.95 * len(want)
     assert embedding_duplicates(frame.limit(0)).count() == 0
 
 
-def test_hamming_top_k(spark):
+@pytest.mark.parametrize("dimension", [64, 100])
+def test_embedding_links_just_over_the_threshold(spark, dimension):
+    """Planted pairs of cosine 0.9501 to 0.96, and none linked that is below."""
+    from pagelens.llm.embedding_duplicates import embedding_duplicates, layout
+
+    random_ = np.random.default_rng(6)
+    base = random_.standard_normal((700, dimension))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = random_.standard_normal(base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = np.concatenate([random_.uniform(0.9501, 0.96, 400), random_.uniform(0.9, 0.9499, 300)])[:, None]
+    vectors = np.concatenate([base, (c * base + np.sqrt(1 - c * c) * side) * 1e-30])
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    got, want = sorted(tuple(r) for r in embedding_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()), brute_links(rows)
+    assert sum(r[1] for r in want) == 800
+    assert sum(r[1] for r in got) >= 0.98 * 800
+    assert not any(r[1] for r in got if r[0] % 700 >= 400)
+    assert layout(10**9, 0.95)[0] == 28 and layout(10**9, 0.95)[1] > layout(10**4, 0.95)[1]
+
+
+def test_doubles_beyond_floats_are_compared(spark):
+    from pagelens.llm.embedding_duplicates import embedding_duplicates
+
+    rows = [(1, [1e200, 2e200]), (2, [1.0, 2.0]), (3, [1e-200, -2e-200]), (4, [5.0, 10.0 + 1e-12]), (5, [-0.0, 1.0]), (6, [0.0, 1.0])]
+    got = sorted(tuple(r) for r in embedding_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 2, 1, False), (5, 1, 5, True), (6, 1, 5, False)]
+
+
+@pytest.mark.parametrize("bits", [64, 150])
+def test_hamming_top_k(spark, bits):
     from pagelens.llm.hamming_search import hamming_top_k, sign_codes
 
     rng = random.Random(4)
-    codes = [(k, rng.getrandbits(64) - (1 << 63)) for k in range(300)]
-    codes += [(300 + k, codes[7][1]) for k in range(40)] + [(7, codes[7][1]), (900, None), (None, 5)]
-    frame = spark.createDataFrame(codes, "id bigint, code bigint").selectExpr("*", "1 AS rank", "2 AS distance")
+    cut = lambda x: [x >> 32 * w & 0xFFFFFFFF for w in range(-(-bits // 32))]
+    codes = [(k, rng.getrandbits(bits)) for k in range(300)]
+    codes += [(300 + k, codes[7][1]) for k in range(40)] + [(400 + k, codes[k][1] ^ 1 << 9 * k % bits) for k in range(60)] + [(7, codes[7][1]), (900, None), (None, 5)]
+    frame = spark.createDataFrame([(i, None if c is None else cut(c)) for i, c in codes], "id bigint, code array<bigint>").selectExpr("*", "1 AS rank", "2 AS distance", "3 AS t")
     asked = frame.where("id % 50 = 7 OR id IN (0, 310)")
     got = sorted(tuple(r) for r in hamming_top_k(frame, asked, 5).collect())
     known = sorted({c for c in codes if None not in c})
     want = []
     for q, code in sorted({c for c in known if c[0] % 50 == 7 or c[0] in (0, 310)}):
-        near = sorted(((code ^ o) % (1 << 64)).bit_count() * 10**6 + i for i, o in known if i != q)[:5]
+        near = sorted((code ^ o).bit_count() * 10**6 + i for i, o in known if i != q)[:5]
         want += [(q, k + 1, x % 10**6, x // 10**6) for k, x in enumerate(near)]
     assert got == sorted(want)
-    few = hamming_top_k(frame.limit(3), frame.limit(1), 10)
-    assert few.count() == 2
-    assert hamming_top_k(frame.limit(0), frame.limit(0), 3).count() == 0
-    assert sign_codes(spark.createDataFrame([(1, [1.0, -1.0, 2.0]), (2, None)], "vec_id bigint, embedding array<float>")).collect() == [(1, 5)]
+    if bits == 64:
+        assert hamming_top_k(frame.limit(3), frame.limit(1), 10).count() == 2
+        assert hamming_top_k(frame.limit(0), frame.limit(0), 3).count() == 0
+
+
+def test_sign_codes_take_every_component(spark):
+    from pagelens.llm.hamming_search import cuts, sign_codes
+
+    long = [1.0 if k % 3 == 0 else -1.0 for k in range(100)]
+    frame = spark.createDataFrame([(1, [1.0, -1.0, 2.0]), (2, None), (3, long), (4, []), (5, [float("nan"), None, 3.0])], "vec_id bigint, embedding array<float>")
+    code = sum(1 << k for k in range(0, 100, 3))
+    assert {r.id: list(r.code) for r in sign_codes(frame).collect()} == {1: [5], 3: [code >> 32 * w & 0xFFFFFFFF for w in range(4)], 4: [0], 5: [4]}
+    for bits, rows in ((64, 2000), (100, 10**8), (3, 5), (1000, 0)):
+        parts = cuts(bits, rows)
+        assert [a for a, _ in parts] == [sum(b for _, b in parts[:k]) for k in range(len(parts))] and sum(b for _, b in parts) == bits
 
 
 def brute_repair(roles):
