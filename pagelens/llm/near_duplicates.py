@@ -26,8 +26,6 @@ _SETS = "node bigint, shingles array<bigint>"
 #: Bits of a set's parity sketch: bit h says whether the shingles hashed to h are odd in number. Two sketches
 #: differ in no more bits than the sets in shingles, so the bound on links that they give loses none.
 _PARITY = 1024
-#: Pairs of one class, and classes of one bucket, that a part holds before another is opened.
-_PART_PAIRS, _PART_ROWS = 128, 256
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -124,29 +122,18 @@ def _near_enough(x: str, y: str, percent: int) -> str:
     return f"({differ}) * {100 + percent} <= ({x}.n_shingles + {y}.n_shingles) * {100 - percent}"
 
 
-def _end(pairs: DataFrame, end: str, table: DataFrame, hot: DataFrame) -> DataFrame:
-    """`pairs` with the columns of `table` for the class in column `end`.
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose full sets reach the similarity.
 
-    A class in very many pairs (the centre of a hot bucket) would bring them all to one task; its pairs are dealt over
-    as many parts as `hot` says and its row is copied to each.
+    The centre of a large bucket is in many pairs; both sides of each join are stored tables, so adaptive execution
+    splits such a key's partition once it is large.
     """
-    parts = F.coalesce("parts", F.lit(1))
-    named = hot.withColumnRenamed("node", end)
-    dealt = pairs.join(named, end, "left").withColumn("_part", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("parts")
-    copies = table.join(hot, "node", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return dealt.join(copies.withColumnRenamed("node", end), [end, "_part"]).drop("_part")
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose full sets reach the similarity."""
-    times = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.ceil(F.count("*") / _PART_PAIRS).cast("int").alias("parts"))
-    hot = times.where("parts > 1")
-    shape = lambda to: classes.select("node", F.struct("sketch", "n_shingles").alias(to))
-    likely = _end(_end(pairs, "a", shape("x"), hot), "b", shape("y"), hot).where(_near_enough("x", "y", percent)).select("a", "b")
+    side = lambda name, to: classes.select(F.col("node").alias(name), F.struct("sketch", "n_shingles").alias(to))
+    likely = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_near_enough("x", "y", percent)).select("a", "b")
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
-    of = lambda to: sets.select("node", F.col("shingles").alias(to))
     return (
-        _end(_end(likely, "a", of("x"), hot), "b", of("y"), hot)
+        likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .where(100 * both >= percent * (F.size("x") + F.size("y") - both))
         .select("a", "b")
         .distinct()
@@ -154,17 +141,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
 
 
 def _open_pairs(open_keys: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs inside each bucket between classes of different components whose sketches leave a link possible.
-
-    A bucket of n classes is cut into parts of _PART_ROWS; every part meets the whole bucket in a task of its own.
-    """
-    shape = classes.select("node", F.struct("sketch", "n_shingles").alias("x"))
-    known = open_keys.select("key", "node", "label").join(shape, "node")
-    parts = open_keys.groupBy("key").agg(F.ceil(F.count("*") / _PART_ROWS).cast("int").alias("parts"))
-    left = known.join(parts, "key").withColumn("_part", F.pmod("node", F.col("parts")).cast("int")).withColumnRenamed("node", "a")
-    right = open_keys.select("key", "node", "label").join(parts, "key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = right.join(shape, "node").selectExpr("key", "_part", "node AS b", "label AS other", "x AS y")
-    pairs = left.join(right, ["key", "_part"])
+    """All pairs inside each bucket between classes of different components whose sketches leave a link possible."""
+    shape = F.struct("sketch", "n_shingles")
+    known = open_keys.select("key", "node", "label").join(classes.select("node", shape.alias("x")), "node")
+    other = known.selectExpr("key", "node AS b", "label AS other", "x AS y")
+    pairs = known.withColumnRenamed("node", "a").join(other, "key")
     return pairs.where(f"a < b AND label <> other AND {_near_enough('x', 'y', percent)}").select("a", "b")
 
 
