@@ -3,7 +3,7 @@
 Legal: an optional system turn, then user and assistant in turn, the assistant last. Each input turn is kept,
 relabelled, or merged into the turn before it; empty turns may be inserted. The cheapest repair is a shortest
 path through the automaton, found with (min, +) matrices: one per turn, multiplied within blocks of
-sorted rows, then stitched along each conversation, so that a conversation of any length spans many tasks.
+sorted rows, bounded in rows and bytes, then stitched along each conversation, so that a conversation of any length spans many tasks.
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.storage import stored
+from pagelens.llm.storage import discard, stored
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role of the last turn so far. NEXT holds the legal successors of each.
@@ -23,8 +26,8 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 #: Costs of a repair; keeping a turn is free. Ties go to fewer resulting turns, then to the order of `moves`.
 MERGE, RELABEL, RELABEL_SYSTEM, INSERT, UNKNOWN_ROLE = 1, 2, 3, 2, 1
-#: Rows of a block, which one task holds at once.
-BLOCK_ROWS = 4096
+#: A block, which one task holds at once, ends at so many rows or bytes of text; a longer row is a block of its own.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 4 << 20
 
 _COUNT = 1 << 32
 _FAR = 1 << 60
@@ -72,6 +75,9 @@ def _number(role: object) -> int:
     return {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}.get(role, 0)
 
 
+_UNIT = [0 if a == b else _FAR for a in range(4) for b in range(4)]
+
+
 def _product(matrix: list[int], role: int) -> list[int]:
     out = [_FAR] * 16
     for (s, t), (weight, _, _) in moves(role).items():
@@ -81,15 +87,44 @@ def _product(matrix: list[int], role: int) -> list[int]:
     return out
 
 
-def _summaries(block: pd.DataFrame) -> pd.DataFrame:
-    """One row per conversation in a block: its (min, +) matrix."""
-    rows = []
-    for conv, part in block.sort_values("at", kind="stable").groupby("conv", sort=False):
-        matrix = [0 if a == b else _FAR for a in range(4) for b in range(4)]
-        for role in part["role"]:
-            matrix = _product(matrix, _number(role))
-        rows.append((conv, block["block"].iloc[0], matrix))
-    return pd.DataFrame(rows, columns=["conv", "block", "matrix"])
+def _blocks(rows: int, size: int):
+    """Sorted rows with `at`, their place, and `block`, the place of the first row of their run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = at = held = None
+        for batch in batches:
+            if first is None:
+                first = at = TaskContext.get().partitionId() << 40
+                held = 0
+            blocks = []
+            weights = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()
+            for k, n in enumerate(weights):
+                if at + k > first and (at + k - first >= rows or held + n > size):
+                    first, held = at + k, 0
+                held += n
+                blocks.append(first)
+            places = pa.array(range(at, at + len(blocks)), pa.int64())
+            at += len(blocks)
+            yield pa.RecordBatch.from_arrays([*batch.columns, places, pa.array(blocks, pa.int64())], names=[*batch.schema.names, "at", "block"])
+
+    return run
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A (min, +) matrix for each run of rows of one conversation and block in a batch, with the place of its first row."""
+    for batch in batches:
+        rows = []
+        for (conv, block), part in batch.sort_values("at", kind="stable").groupby(["conv", "block"], sort=False):
+            matrix = _UNIT
+            for role in part["role"]:
+                matrix = _product(matrix, _number(role))
+            rows.append((conv, block, part["at"].iloc[0], matrix))
+        yield pd.DataFrame(rows, columns=["conv", "block", "at", "matrix"])
+
+
+def _joined(x: list[int], y: list[int]) -> list[int]:
+    """The (min, +) product of two matrices."""
+    return [min(x[a * 4 + s] + y[s * 4 + b] for s in range(4)) for a in range(4) for b in range(4)]
 
 
 def _stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,8 +155,11 @@ def _stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if parts and c != conv:
                 found += solved(conv, parts)
                 parts = []
-            conv = c
-            parts.append((block, [int(x) for x in matrix]))
+            conv, m = c, [int(x) for x in matrix]
+            if parts and parts[-1][0] == block:  # a block that was read in several pieces
+                parts[-1] = (block, [min(x, _FAR) for x in _joined(parts[-1][1], m)])
+            else:
+                parts.append((block, m))
         yield pd.DataFrame(found, columns=names)
     if parts:
         yield pd.DataFrame(solved(conv, parts), columns=names)
@@ -182,7 +220,8 @@ def repair_roles(conversations: DataFrame) -> DataFrame:
     `conversations` has conv_id, turn, role, text; other columns are ignored. Turns are ordered by turn (null first),
     then role and a hash of text. Pieces of a conversation joined in the order of repaired_turn and turn are the whole
     rendering: they open and close turns, and hold inserted empty turns. Unknown and null roles are relabelled, a
-    null text is empty, rows with a null conv_id are one conversation, repeated rows are merged.
+    null text is empty, rows with a null conv_id are one conversation, repeated rows are merged. A text of any length
+    is rendered whole.
     conversation_cost is the whole conversation's; an empty table gives none.
     """
     spark = conversations.sparkSession
@@ -192,15 +231,17 @@ def repair_roles(conversations: DataFrame) -> DataFrame:
     order = ["conv_id", "turn", "role", F.xxhash64("text")]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    at = F.monotonically_increasing_id()
-    placed = stored(spread.withColumn("at", at).withColumn("conv", F.coalesce("conv_id", F.lit(-(1 << 63)).cast("bigint"))))
-    blocked = placed.withColumn("block", F.expr(f"at div {BLOCK_ROWS}"))
-    parts = blocked.select("conv", "role", "at", "block").groupBy("block").applyInPandas(_summaries, "conv bigint, block bigint, matrix array<bigint>")
-    ordered = stored(parts).repartition("conv").sortWithinPartitions("conv", "block")
+    spread = spread.withColumn("conv", F.coalesce("conv_id", F.lit(-(1 << 63)).cast("bigint")))
+    schema = "conv_id bigint, turn bigint, role string, text string, conv bigint, at bigint, block bigint"
+    placed = stored(spread.mapInArrow(_blocks(BLOCK_ROWS, BLOCK_BYTES), schema))
+    # pieces of a conversation are summed up where they lie; only their matrices are shuffled
+    parts = stored(placed.select("conv", "role", "at", "block").mapInPandas(_summaries, "conv bigint, block bigint, at bigint, matrix array<bigint>"))
+    ordered = parts.repartition("conv").sortWithinPartitions("conv", "at")
     plan = stored(
         ordered.mapInPandas(
             _stitch, "block bigint, conv bigint, entry int, leave int, first_turn bigint, cost bigint, closes boolean"
         )
     )
+    discard(parts)
     schema = "conv_id bigint, turn bigint, role string, repaired_role string, repaired_turn bigint, action string, conversation_cost bigint, rendered string"
-    return blocked.groupBy("block").cogroup(plan.groupBy("block")).applyInPandas(_render, schema)
+    return placed.groupBy("block").cogroup(plan.groupBy("block")).applyInPandas(_render, schema)

@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve over quantised metadata, in DataFrame operations only.
 
-Each dimension is cut at its own quantiles into 2**bits bins; the bins are the coordinates of a point whose
+Each dimension is cut into 2**bits bins, numbers at their quantiles and strings by rank of whole values; the bins are the coordinates of a point whose
 curve index orders the rows, so a run of the order is compact in every dimension and its files prune on
 all of them. Runs are cut by rank: row r of N goes to shard r * shards // N, sizes at most one apart.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.storage import stored
+from pagelens.llm.storage import discard, stored
 
 
 def _curve_tables(n: int) -> tuple[list[int], list[int]]:
@@ -31,57 +31,92 @@ def _curve_tables(n: int) -> tuple[list[int], list[int]]:
     return digit, after
 
 
-def hilbert_index(coordinates: list[Column], bits: int) -> Column:
-    """The curve index of points whose coordinates are integers below 2**bits."""
+def hilbert_index(df: DataFrame, coordinates: list[str], bits: int, name: str) -> DataFrame:
+    """`df` with column `name`: the curve index of points whose coordinates are integer columns below 2**bits.
+
+    One look-up in two constant tables a level, from the coarsest; each level's state is a column of its own.
+    """
     n = len(coordinates)
     digit, after = (F.array(*map(F.lit, t)) for t in _curve_tables(n))
+    out = df.withColumns({"_h": F.lit(0).cast("bigint"), "_state": F.lit(0)})
+    for level in reversed(range(bits)):
+        bit = lambda c, level=level: F.shiftright(c, level).bitwiseAND(F.lit(1))
+        cell = sum((bit(c) * (1 << k) for k, c in enumerate(coordinates)), F.col("_state") * (1 << n))
+        out = out.withColumn("_cell", cell)
+        out = out.withColumns({"_h": F.col("_h") * (1 << n) + F.get(digit, F.col("_cell")), "_state": F.get(after, F.col("_cell"))})
+    return out.withColumn(name, F.col("_h")).drop("_h", "_state", "_cell")
+
 
-    def step(state: Column, level: Column) -> Column:
-        bit = lambda c: F.call_function("shiftright", c, level).bitwiseAND(F.lit(1))
-        cell = sum((bit(c) * (1 << k) for k, c in enumerate(coordinates)), F.lit(0))
-        at = state["s"] * (1 << n) + cell
-        return F.struct((state["h"] * (1 << n) + F.get(digit, at)).alias("h"), F.get(after, at).alias("s"))
+def _running(df: DataFrame, order: list[str], weight: str) -> DataFrame:
+    """`df` stored in order with _before, the sum of `weight` over the rows before, and _all, the sum of all.
+
+    Partitions are ranges of the order; their sums, one row a partition, are added up first.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stored(df.repartitionByRange(tasks, *order).withColumn("_part", F.spark_partition_id()))
+    sums = cut.groupBy("_part").agg(F.sum(weight).alias("_n"))
+    parts = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    inside = F.sum(weight).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # one row a partition of the sort, whatever the number of rows
+    return cut.withColumn("_inside", inside - F.col(weight)).join(F.broadcast(parts), "_part").withColumn("_before", F.col("_first") + F.col("_inside"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("s"))
-    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda state: state["h"])
 
+def string_cuts(df: DataFrame, column: str, bits: int) -> list[str]:
+    """Least values of the bins above the first, whole strings in binary order.
 
-def as_number(column: str, kind: str) -> Column:
-    """A number in the order of the column: numbers themselves, strings by their first seven bytes."""
-    if kind == "string":
-        first = F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 7))
-        return F.conv(F.rpad(first, 14, "0"), 16, 10).cast("bigint")
-    return F.col(column).cast("double")
+    With no more distinct values than bins each has its own; else bins hold about equal numbers of rows.
+    """
+    bins = 1 << bits
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_rows"))
+    few = [r[0] for r in values.select("_value").orderBy("_value").limit(bins + 1).collect()]
+    if len(few) <= bins:
+        return few[1:]
+    placed = _running(values, ["_value"], "_rows").withColumn("_bin", F.expr(f"_before * {bins} div _all"))
+    return sorted(r[0] for r in placed.groupBy("_bin").agg(F.min("_value")).where("_bin > 0").select("min(_value)").collect())
+
+
+def number_cuts(df: DataFrame, columns: list[str], bits: int) -> dict[str, list[float]]:
+    """Distinct quantiles of each numeric column, over all rows."""
+    if not columns:
+        return {}
+    steps = F.array(*[F.lit(k / (1 << bits)) for k in range(1, 1 << bits)])
+    found = df.agg(*(F.percentile_approx(F.col(c).cast("double"), steps, 20_000).alias(c) for c in columns)).first()
+    return {c: sorted(set(found[c] or [])) for c in columns}
 
 
-def quantised(df: DataFrame, dimensions: list[str], bits: int) -> list[Column]:
-    """Bin numbers from 0 to 2**bits - 1, between quantiles taken over all rows; null is in bin 0."""
+def quantised(df: DataFrame, dimensions: list[str], bits: int) -> dict[str, Column]:
+    """Bin numbers from 0 to 2**bits - 1 by dimension, between cuts taken over all rows; null is in bin 0."""
     kinds = dict(df.dtypes)
-    steps = F.array(*[F.lit(k / (1 << bits)) for k in range(1, 1 << bits)])
-    values = {d: as_number(d, kinds[d]) for d in dimensions}
-    cuts = df.agg(*(F.percentile_approx(v, steps, 20_000).alias(d) for d, v in values.items())).first()
-    found = []
-    for d, v in values.items():
-        above = sum((F.when(v > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts[d] or []))), F.lit(0))
-        found.append(above.cast("int"))
+    numbers = number_cuts(df, [d for d in dimensions if kinds[d] != "string"], bits)
+    found = {}
+    for d in dimensions:
+        if kinds[d] == "string":
+            above = [F.col(d) >= F.lit(c) for c in string_cuts(df, d, bits)]
+        else:
+            above = [F.col(d).cast("double") > F.lit(c) for c in numbers[d]]
+        found[d] = sum((F.when(x, 1).otherwise(0) for x in above), F.lit(0)).cast("int")
     return found
 
 
 def hilbert_shards(df: DataFrame, dimensions: list[str], ties: list[str], shards: int, bits: int = 5) -> DataFrame:
     """`df` with shard (int) and slot (bigint, gapless from 0 in each shard).
 
-    Rows of equal curve index follow `ties`, then their place in the input, so that rows alike in everything,
-    of any number, are still cut evenly. Columns named shard or slot are replaced; an empty table stays empty.
+    Dimensions are numeric or string columns. Rows of equal curve index follow `ties`, then their place in the input, so
+    that rows alike in everything, of any number, are still cut evenly. Columns named shard, slot or with a leading
+    underscore are replaced; an empty table stays empty. Only the columns of `df` are shuffled, so give it narrow rows.
     """
-    inner = {"_curve", "_place", "_at"}
-    kept = [c for c in df.columns if c not in {"shard", "slot"} | inner]
-    rows = df.select(*kept).withColumn("_curve", hilbert_index(quantised(df, dimensions, bits), bits))
-    rows = rows.withColumn("_place", F.monotonically_increasing_id())
+    kept = [c for c in df.columns if c not in ("shard", "slot") and not c.startswith("_")]
+    narrow = stored(df.select(*kept))
+    bins = quantised(narrow, dimensions, bits)
+    points = narrow.withColumns({f"_d{k}": bins[d] for k, d in enumerate(dimensions)})
+    curved = hilbert_index(points, [f"_d{k}" for k in range(len(dimensions))], bits, "_curve").select(*kept, "_curve")
+    rows = stored(curved.withColumn("_place", F.monotonically_increasing_id()))
     order = ["_curve", *ties, "_place"]
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # in sorted partitions this id is the partition's number and the row's place in it
     ordered = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     placed = stored(ordered.withColumn("_at", F.monotonically_increasing_id()).drop("_curve", "_place"))
+    discard(narrow, rows)
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # one row a partition of the sort, whatever the number of rows
@@ -101,7 +136,8 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], ties: list[str], shards
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of `docs` under the law `rows`.
 
-    The dimensions are source, lang and size. A null text has size 8 and, as an empty one, checksum 0.
+    The dimensions are source, lang and size. A null text has size 8 and, as an empty one, checksum 0; a text of any
+    length is read whole. Other columns, of whatever names, are ignored; repeated rows each get a place.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     narrow = docs.select(
@@ -123,5 +159,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder of Parquet files a shard, rows in slot order; a shard is spread over no more than one task."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """A folder of Parquet files a shard, rows in slot order in each; the tasks are ranges of slots, so a shard spans several."""
+    tasks = int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = sharded.repartitionByRange(tasks, "shard", "slot").sortWithinPartitions("shard", "slot")
+    cut.write.partitionBy("shard").parquet(path)

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting, then sampling by calibrated probability.
 
 Tokens are counted by cell (source, language, topic). Cell weights are raked: each step scales the cells of
-one category so that its weighted tokens reach the target share. A document's probability is its cell's
-weight, scaled so that the expected tokens meet the budget and capped at one.
+one category so that its weighted tokens reach the target share, until no cell moves. A document's probability is its
+cell's weight, scaled so that the expected tokens meet the budget and capped at one.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pagelens.llm.storage import discard, stored
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Rounds of raking, and rounds in which capped cells hand their excess to the others.
-RAKES, CAPS = 12, 8
+#: Most rounds of raking, the relative move of every category below which it ends, and rounds in which capped cells hand
+#: their excess to the others.
+RAKES, STILL, CAPS = 24, 1e-10, 8
 #: Target shares are observed shares to this power; 1 keeps the mixture, 0 makes categories equal.
 TEMPER = 0.7
 #: Expected tokens of the sample as a share of all tokens.
@@ -25,26 +26,57 @@ SEED = "mix-1"
 #: Up to so many cells are raked in the driver's memory; more stay a distributed table and take the same steps there.
 DRIVER_CELLS = 20_000
 
+# Words, whole and in lower case, that speak for a topic in English, German, French and Spanish.
+KEYWORDS = {
+    "law": "law court license contract legal clause gesetz gericht vertrag lizenz recht loi tribunal contrat licence juridique ley contrato licencia juicio derecho",
+    "science": "science research theory experiment study analysis forschung theorie studie versuch wissenschaft recherche experience analyse etude ciencia teoria estudio experimento",
+    "commerce": "price market shop order payment customer preis markt kaufen kunde zahlung prix client commande achat paiement precio mercado cliente compra pago",
+    "technology": "software server code data token computer daten rechner programm logiciel serveur donnees ordinateur datos servidor programa ordenador",
+    "health": "health doctor patient disease hospital gesundheit arzt krankheit klinik sante medecin maladie hopital salud medico enfermedad",
+    "society": "government election school city people regierung wahl schule stadt gouvernement ecole ville gobierno eleccion escuela ciudad",
+}
+#: Distinct keywords that a text must hold to be given a topic by them.
+LEAST_KEYWORDS = 2
+#: Shares of characters above which a text without such a topic is one of figures, or of symbols.
+FIGURES, SYMBOLS = 0.02, 0.02
+_SYMBOLS = "[|{}<>=;_&%$#*+]"
+
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic by a document's form: table, notice, code or prose; none without text."""
+    """The topic whose keywords a whole text holds most of, ties to the first in KEYWORDS; else figures, symbols or prose.
+
+    Null and empty texts have none.
+    """
+    words = F.split(F.lower(text), "[^a-z]+")
+    known = sorted({w for ws in KEYWORDS.values() for w in ws.split()})
+    held = F.array_intersect(words, F.array(*map(F.lit, known)))
+    # (keywords held, place from the end, topic): the greatest is the topic
+    scored = F.transform(
+        F.array(*[F.struct(F.array(*map(F.lit, ws.split())).alias("w"), F.lit(-k).alias("k"), F.lit(t).alias("t")) for k, (t, ws) in enumerate(KEYWORDS.items())]),
+        lambda x: F.struct(F.size(F.array_intersect(held, x["w"])).alias("n"), x["k"].alias("k"), x["t"].alias("t")),
+    )
+    best = F.when(F.size(held) >= LEAST_KEYWORDS, F.array_max(scored))
+    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / F.length(text)
     return (
         F.when(text.isNull() | (text == ""), "none")
-        .when(text.contains(" | "), "table")
-        .when(text.contains("Licensed under"), "notice")
-        .when(text.contains('token = "'), "code")
+        .when(best["n"] >= LEAST_KEYWORDS, best["t"])
+        .when(share("[0-9]") > FIGURES, "figures")
+        .when(share(_SYMBOLS) > SYMBOLS, "symbols")
         .otherwise("prose")
     )
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens (white-space words); null categories become '?'."""
+def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens (white-space words); null categories become '?'.
+
+    `topic` is any expression over the columns of `docs`; by default topic_of its texts.
+    """
     text = F.col("text")
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce("source", F.lit("?")).alias("source"),
         F.coalesce("lang", F.lit("?")).alias("lang"),
-        topic_of(text).alias("topic"),
+        F.coalesce(topic_of(text) if topic is None else topic, F.lit("?")).alias("topic"),
         F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("n_tokens"),
     )
 
@@ -58,6 +90,21 @@ def tempered_targets(cells: DataFrame, power: float) -> dict[str, DataFrame]:
     return found
 
 
+def reachable(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """`targets` of the values that `cells` have tokens in, scaled to one again."""
+    found = {}
+    for d, target in targets.items():
+        have = target.join(cells.where("tokens > 0").select(d).distinct(), d, "left_semi")
+        found[d] = have.crossJoin(F.broadcast(have.agg(F.sum("_share").alias("_all")))).select(d, F.try_divide("_share", "_all").alias("_share"))
+    return found
+
+
+def given_targets(cells: DataFrame, shares: dict[str, dict[str, float]], power: float) -> dict[str, DataFrame]:
+    """Targets from explicit shares by dimension and value; a dimension that is not given is tempered."""
+    rows = {d: cells.sparkSession.createDataFrame(list(s.items()), f"{d} string, _share double") for d, s in shares.items()}
+    return reachable(cells, {d: rows.get(d, t) for d, t in tempered_targets(cells, power).items()})
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = RAKES) -> DataFrame:
     """`cells` (the dimensions, tokens) with weight: weighted token shares near the targets in every dimension.
 
@@ -66,16 +113,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = RAKES) -
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
     weighted = stored(cells.withColumn("weight", F.lit(1.0)))
     for _ in range(rounds):
-        now = weighted
+        now, moves = weighted.select(*cells.columns, "weight"), []
         for d, target in targets.items():
             have = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_have")).join(target, d)
-            scale = have.select(d, F.when(F.col("_have") > 0, F.col("_share") * total / F.col("_have")).otherwise(0.0).alias("_scale"))
-            now = now.join(scale, d, "left").withColumn("weight", F.col("weight") * F.coalesce("_scale", F.lit(0.0)))
-            now = now.select(*cells.columns, "weight")
+            scale = have.select(d, F.when(F.col("_have") > 0, F.col("_share") * total / F.col("_have")).otherwise(0.0).alias(f"_scale_{d}"))
+            now = now.join(scale, d, "left").withColumn(f"_scale_{d}", F.coalesce(f"_scale_{d}", F.lit(0.0)))
+            now = now.withColumn("weight", F.col("weight") * F.col(f"_scale_{d}"))
+            moves.append(F.max(F.when(F.col("weight") > 0, F.abs(F.col(f"_scale_{d}") - 1))))
         after = stored(now)
         discard(weighted)
         weighted = after
-    return weighted
+        if max((x or 0.0 for x in after.agg(*moves).first()), default=0.0) < STILL:
+            break
+    return weighted.select(*cells.columns, "weight")
 
 
 def calibrated(weighted: DataFrame, budget: float) -> DataFrame:
@@ -92,23 +142,23 @@ def calibrated(weighted: DataFrame, budget: float) -> DataFrame:
     return weighted.withColumn("probability", F.least(F.lit(1.0), weight * scale))
 
 
-def _fitted_here(cells: pd.DataFrame, shares: dict[str, dict] | None, power: float, budget: float) -> pd.DataFrame:
+def _fitted_here(cells: pd.DataFrame, shares: dict[str, dict], budget: float) -> pd.DataFrame:
     """What rake() and calibrated() give, for a bounded table of cells."""
     tokens = cells["tokens"].to_numpy(float)
     total, weight = tokens.sum(), np.ones(len(cells))
     parts = []
     for d in DIMENSIONS:
         codes, names = pd.factorize(cells[d])
-        if shares is None:
-            tempered = np.bincount(codes, tokens, len(names)) ** power
-            share = tempered / max(tempered.sum(), np.finfo(float).tiny)
-        else:
-            share = np.array([shares[d].get(x) or 0.0 for x in names], float)
-        parts.append((codes, share))
+        parts.append((codes, np.array([shares[d].get(x) or 0.0 for x in names], float)))
     for _ in range(RAKES):
+        moved = 0.0
         for codes, share in parts:
             have = np.bincount(codes, tokens * weight, len(share))
-            weight = weight * np.divide(share * total, have, out=np.zeros(len(share)), where=have > 0)[codes]
+            scale = np.divide(share * total, have, out=np.zeros(len(share)), where=have > 0)[codes]
+            weight = weight * scale
+            moved = max(moved, np.abs(scale - 1)[weight > 0].max(initial=0.0))
+        if moved < STILL:
+            break
     scale = 0.0
     for k in range(CAPS):
         capped = (weight * scale >= 1) & (k > 0)
@@ -120,17 +170,17 @@ def _fitted_here(cells: pd.DataFrame, shares: dict[str, dict] | None, power: flo
 
 
 def probabilities(
-    cells: DataFrame, targets: dict[str, DataFrame] | None, power: float, budget: float, driver_cells: int = DRIVER_CELLS
+    cells: DataFrame, targets: dict[str, dict[str, float]] | None, power: float, budget: float, driver_cells: int = DRIVER_CELLS
 ) -> DataFrame:
     """(source, lang, topic, weight, probability) for every row of `cells`, raked to `targets` or tempered shares."""
+    wanted = given_targets(cells, targets or {}, power)
     few = cells.limit(driver_cells + 1).toPandas()
     if len(few) > driver_cells:
-        found = calibrated(rake(cells, targets or tempered_targets(cells, power)), budget)
+        found = calibrated(rake(cells, wanted), budget)
         return stored(found.select(*DIMENSIONS, "weight", "probability"))
-    # only the values that cells have are asked of a target, so what comes is no more than the cells
-    asked = targets and {d: t.join(cells.select(d).distinct(), d, "left_semi").select(d, "_share").collect() for d, t in targets.items()}
-    shares = asked and {d: {r[0]: r[1] for r in rows} for d, rows in asked.items()}
-    fitted = _fitted_here(few, shares or None, power, budget)
+    # only values that cells have are in a target, so what comes is no more than the cells
+    shares = {d: {r[0]: r[1] for r in t.select(d, "_share").collect()} for d, t in wanted.items()}
+    fitted = _fitted_here(few, shares, budget)
     schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", weight double, probability double"
     return F.broadcast(cells.sparkSession.createDataFrame(fitted, schema))  # at most driver_cells rows
 
@@ -141,10 +191,16 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
+def _fitted(rows: DataFrame, targets: dict | None, power: float, budget: float, driver_cells: int) -> DataFrame:
+    cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
+    return probabilities(cells, targets, power, budget, driver_cells)
+
+
 def mixed(
     docs: DataFrame,
-    targets: dict[str, DataFrame] | None = None,
+    targets: dict[str, dict[str, float]] | None = None,
     *,
+    topic: Column | None = None,
     power: float = TEMPER,
     budget: float = BUDGET,
     seed: str = SEED,
@@ -152,13 +208,14 @@ def mixed(
 ) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, selected for every row of `docs`.
 
-    `targets` holds (value, _share) by dimension; without it shares are tempered. Weight and probability are rounded to
-    six places after the draw. Null source and lang count as '?', null and empty texts as topic none with
-    no tokens: weight 0, never drawn. Rows that share a doc_id are drawn by the same number.
+    `docs` has doc_id, text, source and lang; others are ignored unless `topic` reads them. `targets` holds the share of
+    each value by dimension, scaled to the values that there are; a value left out gets none, and a dimension
+    left out is tempered. Weight and probability are rounded to six places after the draw. Null source and lang count
+    as '?', null and empty texts as topic none with no tokens: weight 0, never drawn. Texts of any length are read
+    whole. Rows that share a doc_id are drawn by the same number, null ids never.
     """
-    rows = described(docs)
-    cells = stored(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    found = probabilities(cells, targets, power, budget, driver_cells)
+    rows = stored(described(docs, topic))
+    found = _fitted(rows, targets, power, budget, driver_cells)
     drawn = rows.join(found, [*DIMENSIONS]).withColumn("selected", uniform(F.col("doc_id"), seed) < F.col("probability"))
     return drawn.select(
         "doc_id",
@@ -170,30 +227,45 @@ def mixed(
     )
 
 
-def sampled(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of `docs` that the mixture draws, with their own columns."""
-    cells = stored(described(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    fitted = probabilities(cells, None, options.get("power", TEMPER), options.get("budget", BUDGET))
-    found = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("probability").alias("_probability"))
-    own = {"source": F.coalesce("source", F.lit("?")), "lang": F.coalesce("lang", F.lit("?")), "topic": topic_of(F.col("text"))}
-    match = [own[d] == F.col(f"_{d}") for d in DIMENSIONS]
-    drawn = uniform(F.col("doc_id"), options.get("seed", SEED)) < F.col("_probability")
-    return docs.join(found, match).where(drawn).select(*(docs[c] for c in docs.columns))
+def sampled(
+    docs: DataFrame,
+    targets: dict[str, dict[str, float]] | None = None,
+    *,
+    topic: Column | None = None,
+    power: float = TEMPER,
+    budget: float = BUDGET,
+    seed: str = SEED,
+    driver_cells: int = DRIVER_CELLS,
+) -> DataFrame:
+    """The rows of `docs` that the mixture draws, with their own columns; options as in mixed()."""
+    found = _fitted(described(docs, topic), targets, power, budget, driver_cells)
+    own = {"source": F.coalesce("source", F.lit("?")), "lang": F.coalesce("lang", F.lit("?"))}
+    own["topic"] = F.coalesce(topic_of(F.col("text")) if topic is None else topic, F.lit("?"))
+    named = docs.select(F.struct(*docs.columns).alias("_row"), *[own[d].alias(d) for d in DIMENSIONS])
+    drawn = uniform(F.col("_row")["doc_id"].cast("bigint"), seed) < F.col("probability")
+    return named.join(found, [*DIMENSIONS]).where(drawn).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
-def oracle(documents: str = "documents") -> str:
-    """DuckDB SQL for mixed() with its defaults."""
+def oracle(documents: str = "documents", targets: dict[str, dict[str, float]] | None = None) -> str:
+    """DuckDB SQL for mixed() with its defaults and the given targets."""
+    known = sorted({w for ws in KEYWORDS.values() for w in ws.split()})
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    scores = ", ".join(f"{{n: len(list_intersect(held, {listed(ws.split())})), k: {-k}, t: '{t}'}}" for k, (t, ws) in enumerate(KEYWORDS.items()))
+    share = lambda pattern: f"len(regexp_extract_all(text, '{pattern}')) / length(text)"
     parts = [
+        f"""held_ AS (SELECT *, list_intersect(string_split_regex(lower(text), '[^a-z]+'), {listed(known)}) AS held FROM {documents})""",
+        f"""scored_ AS (SELECT *, list_max([{scores}]) AS best FROM held_)""",
         f"""rows_ AS (SELECT doc_id, coalesce(source, '?') AS source, coalesce(lang, '?') AS lang,
-  CASE WHEN text IS NULL OR text = '' THEN 'none' WHEN contains(text, ' | ') THEN 'table'
-       WHEN contains(text, 'Licensed under') THEN 'notice' WHEN contains(text, 'token = "') THEN 'code' ELSE 'prose' END AS topic,
-  coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM {documents})""",
-        "cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM rows_ GROUP BY ALL)",
+  CASE WHEN text IS NULL OR text = '' THEN 'none' WHEN len(held) >= {LEAST_KEYWORDS} AND best.n >= {LEAST_KEYWORDS} THEN best.t
+       WHEN {share("[0-9]")} > {FIGURES} THEN 'figures' WHEN {share(_SYMBOLS)} > {SYMBOLS} THEN 'symbols' ELSE 'prose' END AS topic,
+  coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM scored_)""",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM rows_ GROUP BY ALL)",
         "total AS (SELECT sum(tokens) AS t FROM cells)",
         *(
-            f"""target_{d} AS (SELECT {d}, p / sum(p) OVER () AS share FROM
-  (SELECT {d}, pow(sum(tokens), {TEMPER}) AS p FROM cells GROUP BY {d}))"""
+            f"""target_{d} AS MATERIALIZED (SELECT {d}, p / sum(p) OVER () AS share FROM
+  (SELECT {d}, {given} AS p FROM cells GROUP BY {d}) WHERE p IS NOT NULL)"""
             for d in DIMENSIONS
+            for given in [f"pow(sum(tokens), {TEMPER})" if d not in (targets or {}) else f"CASE WHEN sum(tokens) > 0 THEN CASE {d} " + " ".join(f"WHEN '{v}' THEN {x}" for v, x in targets[d].items()) + " END END"]
         ),
         "w_0 AS (SELECT *, 1.0::DOUBLE AS weight FROM cells)",
     ]
@@ -202,8 +274,8 @@ def oracle(documents: str = "documents") -> str:
         for d in DIMENSIONS:
             k += 1
             parts.append(
-                f"""w_{k} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN have > 0 THEN weight * share * t / have ELSE 0 END AS weight
-  FROM (SELECT *, sum(tokens * weight) OVER (PARTITION BY {d}) AS have FROM {last}) JOIN target_{d} USING ({d}), total)"""
+                f"""w_{k} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN have > 0 THEN weight * coalesce(share, 0) * t / have ELSE 0 END AS weight
+  FROM (SELECT *, sum(tokens * weight) OVER (PARTITION BY {d}) AS have FROM {last}) LEFT JOIN target_{d} USING ({d}), total)"""
             )
             last = f"w_{k}"
     parts.append("s_0 AS (SELECT 0.0::DOUBLE AS s)")

@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Token shares that op1_mixing rakes languages and topics to; those of sources are tempered.
+TARGETS = {
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15},
+    "topic": {"prose": 0.5, "symbols": 0.1, "figures": 0.1, "law": 0.06, "science": 0.06, "commerce": 0.06, "technology": 0.06, "health": 0.03, "society": 0.03},
+}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.llm.mixing import mixed
 
-    return mixed(read(spark, sf_dir, "documents"))
+    return mixed(read(spark, sf_dir, "documents"), TARGETS)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +102,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from pagelens.llm import hamming_search, mixing
 
-    return {"op1_mixing": mixing.oracle(), "op10_hamming_top_k": hamming_search.oracle(k=10)}
+    return {"op1_mixing": mixing.oracle(targets=TARGETS), "op10_hamming_top_k": hamming_search.oracle(k=10)}

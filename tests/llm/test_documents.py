@@ -134,13 +134,81 @@ def test_base_spans_are_linear_in_the_text():
         base_spans(text)
 
 
-def test_hilbert_shards(docs, none, spark):
-    from pagelens.llm.hilbert_shards import hilbert_index, shard_documents
+def skilling(point, bits):
+    """The Hilbert index of a point by rotating it level by level (J. Skilling's transpose), for any curve of its kind."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    index = 0
+    for level in range(bits - 1, -1, -1):
+        for v in x:
+            index = index << 1 | v >> level & 1
+    return index
+
+
+def test_hilbert_index(spark):
+    from pagelens.llm.hilbert_shards import hilbert_index
 
     cube = spark.range(512).selectExpr("cast(id % 8 AS int) x", "cast(id div 8 % 8 AS int) y", "cast(id div 64 AS int) z")
-    path = cube.withColumn("h", hilbert_index([F.col("x"), F.col("y"), F.col("z")], 3)).orderBy("h").collect()
+    path = hilbert_index(cube, ["x", "y", "z"], 3, "h").orderBy("h").collect()
     assert [r.h for r in path] == list(range(512))
     assert all(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) == 1 for a, b in zip(path, path[1:]))
+    # every aligned run of 8**k indexes is a cube, as it is on the reference curve
+    for k in (1, 2):
+        for runs in (path, sorted(path, key=lambda r: skilling((r.x, r.y, r.z), 3))):
+            for lo in range(0, 512, 8**k):
+                assert all(len({r[c] for r in runs[lo : lo + 8**k]}) == 2**k for c in range(3))
+
+
+def test_string_dimensions_are_cut_by_whole_values(spark):
+    from pagelens.llm.hilbert_shards import hilbert_shards, quantised, string_cuts, write_shards
+
+    names = ["crawl-2019", "crawl-2020", "crawl-2021-b", "crawl-2", None]
+    frame = spark.range(500).selectExpr("id", f"element_at(array({', '.join('NULL' if n is None else repr(n) for n in names)}), cast(id % 5 + 1 AS int)) AS name", "'x' AS shard")
+    bins = {r.name: r.b for r in frame.select("name", quantised(frame, ["name"], 3)["name"].alias("b")).distinct().collect()}
+    assert bins == {None: 0, "crawl-2": 0, "crawl-2019": 1, "crawl-2020": 2, "crawl-2021-b": 3}
+    many = spark.range(3000).selectExpr("concat('https://host/', lpad(cast(pow(id, 2) % 3001 AS string), 5, '0')) AS name")
+    values = sorted(r.name for r in many.collect())
+    cuts = string_cuts(many, "name", 3)
+    assert len(cuts) == 7 and cuts == sorted(cuts)
+    counts = Counter(sum(v >= c for c in cuts) for v in values)
+    assert all(abs(n - 375) <= 5 for n in counts.values())
+    placed = hilbert_shards(frame, ["name", "id"], ["id"], 4)
+    assert placed.columns == ["id", "name", "shard", "slot"] and sorted(r["count"] for r in placed.groupBy("shard").count().collect()) == [125] * 4
+
+
+def test_written_shards_are_in_order(spark, tmp_path):
+    from pagelens.llm.hilbert_shards import hilbert_shards, write_shards
+
+    placed = hilbert_shards(spark.range(900).selectExpr("id", "id % 30 AS a", "id div 30 AS b"), ["a", "b"], ["id"], 5)
+    write_shards(placed, str(tmp_path / "out"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("id", "a", "b", "shard", "slot").collect()} == {tuple(r) for r in placed.collect()}
+    import glob
+
+    for f in glob.glob(str(tmp_path / "out" / "shard=*" / "*.parquet")):
+        slots = [r.slot for r in spark.read.parquet(f).collect()]
+        assert slots == sorted(slots)
+
+
+def test_hilbert_shards(docs, none, spark):
+    from pagelens.llm.hilbert_shards import shard_documents
+
     got = shard_documents(docs, 7).collect()
     want = Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in documents())
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
@@ -152,6 +220,26 @@ def test_hilbert_shards(docs, none, spark):
     assert shard_documents(none, 7).count() == 0
 
 
+def test_topics(spark):
+    from pagelens.llm.mixing import topic_of
+
+    texts = {"The court read the contract, again the court.": "law", "Der Arzt in der Klinik": "health", "court doctor hospital": "health", "12 34 of 5": "figures", "a | b | c": "symbols", "just words court": "prose", "": "none"}
+    frame = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    assert {r.text: r.t for r in frame.select("text", topic_of(F.col("text")).alias("t")).collect()} == texts | {None: "none"}
+
+
+def brute_rake(cells, shares, rounds=200):
+    weight = dict.fromkeys(cells, 1.0)
+    total = sum(cells.values())
+    for _ in range(rounds):
+        for d in range(3):
+            have = Counter()
+            for c, w in weight.items():
+                have[c[d]] += cells[c] * w
+            weight = {c: w * shares[d].get(c[d], 0) * total / have[c[d]] if have[c[d]] else 0 for c, w in weight.items()}
+    return weight
+
+
 def test_mixing(docs, none):
     from pagelens.llm.mixing import mixed, sampled
 
@@ -167,7 +255,7 @@ def test_mixing(docs, none):
         by_source[r.source][1] += r.n_tokens * r.weight
     target = {s: v[0] ** 0.7 for s, v in by_source.items()}
     for s, (_, weighted) in by_source.items():
-        assert abs(weighted / tokens - target[s] / sum(target.values())) < 0.02
+        assert abs(weighted / tokens - target[s] / sum(target.values())) < 0.001
     assert sampled(docs).count() == sum(r.selected for r in got)
     assert sampled(docs).columns == docs.columns
     near = lambda rows: sorted(repr((r.doc_id, r.source, r.n_tokens, round(r.weight, 4), round(r.probability, 4))) for r in rows)
@@ -176,6 +264,23 @@ def test_mixing(docs, none):
     assert all(not r.selected for r in mixed(docs.where("trim(text) = ''")).collect())
 
 
+def test_mixing_to_given_targets(docs):
+    from pagelens.llm.mixing import mixed, sampled
+
+    targets = {"source": {"s0": 3.0, "s1": 1.0, "?": 1.0, "absent": 5.0}, "lang": {"en": 0.5, "de": 0.3, "?": 0.2}, "topic": {"a": 0.25, "b": 0.75}}
+    clash = docs.withColumn("topic", F.lit("x")).withColumn("weight", F.lit(1)).withColumn("probability", F.lit(0))
+    options = {"topic": F.when(F.length("text") % 2 == 0, "a").otherwise("b"), "budget": 0.3}
+    got = mixed(clash, targets, **options).collect()
+    cells = Counter()
+    for r in got:
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    shares = [{"s0": 0.6, "s1": 0.2, "?": 0.2}, targets["lang"], targets["topic"]]
+    want = brute_rake(cells, shares)
+    assert all(abs(r.weight - want[r.source, r.lang, r.topic]) < 1e-3 * max(1, r.weight) for r in got)
+    drawn = sampled(clash, targets, **options)
+    assert drawn.columns == clash.columns and drawn.count() == sum(r.selected for r in got)
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     folder = "/root/testdata/sf0.001"

@@ -163,6 +163,7 @@ def brute_repair(roles):
 
 def test_role_repair(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(chat, "BLOCK_BYTES", 200)
     rng = random.Random(5)
     talks = {c: [rng.choice(["system", "user", "assistant", "user", "assistant", "tool", None]) for _ in range(rng.choice([1, 2, 4, 9]))] for c in range(80)}
     talks[500] = [rng.choice(["user", "assistant", "tool"]) for _ in range(400)]
