@@ -29,23 +29,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, steps: int | None = None) -> DataFrame:
     """(node, component) for every node of `links` (columns a, b): component is the least node reachable.
 
-    Self-links and rows with a null end say nothing and are left out; repeated links are harmless.
+    Self-links and rows with a null end say nothing and are left out; repeated links are harmless. With `steps`, after
+    so many steps at most: nodes of one component are then connected, but connected nodes may still be in two.
     """
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = _checksum(edges)
-    while seen[0]:
+    done, seen = 0, None if steps else _checksum(edges)
+    while done != steps and (seen is None or seen[0]):
         after = stored(_small_star(_large_star(edges)))
-        now = _checksum(after)
         discard(edges)
-        edges = after
-        if now == seen:
-            break
-        seen = now
+        edges, done = after, done + 1
+        if steps is None:
+            now = _checksum(after)
+            if now == seen:
+                break
+            seen = now
     # `edges` is read when the result is, so it stays until the application ends
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    if steps is None:
+        return both.unionByName(roots.distinct())
+    return both.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

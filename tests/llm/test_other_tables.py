@@ -27,6 +27,8 @@ def test_components(spark):
             parent[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in parent}
+    early = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint"), steps=1).collect()}
+    assert early.keys() == got.keys() and all(find(x) == find(y) for x, y in early.items())
 
 
 def brute_links(rows, cosine=0.95):
