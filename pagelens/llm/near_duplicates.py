@@ -208,8 +208,8 @@ def near_duplicates(
         tried.append(pairs)
         # what was held against its bucket's centre needs no second turn there
         ranked = open_keys.where("node <> top.node").select("key", "node", "weight")
-        # between rounds labels only spare work, so one step will do
-        labels = stored(connected_components(reduce(DataFrame.unionByName, links), steps=1 if turn < star_rounds else None))
+        # before another star round labels only spare some work, so one step will do
+        labels = stored(connected_components(reduce(DataFrame.unionByName, links), steps=1 if turn < star_rounds - 1 else None))
         old = [open_keys, labels]
     discard(sets, members, open_keys, *tried, *links)
 
