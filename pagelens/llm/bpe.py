@@ -49,6 +49,8 @@ class WordBpe:
         model, end = spec["model"], spec["model"]["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if max(vocab.values(), default=0) >= 1 << 16:
+            raise ValueError("ids of 65536 and above do not fit a packed pair")
         self.entries = {vocab[a] << 16 | vocab[b]: k << 17 | vocab[a + b] for k, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (vocab | self.special).items()}
@@ -175,6 +177,7 @@ def _digests(path: str):
         memory = _loaded.get(path) or _loaded.setdefault(path, _Remembered(WordBpe(path)))
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
+            # one text at a time leaves Arrow; of each only two digests stay
             for text in batch.column("text"):
                 chunks = memory.bpe.chunks(text.as_py() or "")
                 packed = b"".join(map(memory.__getitem__, chunks))
@@ -217,7 +220,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of `docs` (doc_id, text).
 
     Null texts count as empty: no tokens, and the digests of nothing. Other columns are ignored and repeated
-    rows each give their row. `path` names the vocabulary file, which every executor must have.
+    rows each give their row. A text of any length is encoded whole, by itself. `path` names the vocabulary file, which every executor must have.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_digests(path), schema)

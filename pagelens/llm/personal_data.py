@@ -245,7 +245,8 @@ def find_personal_data(docs: DataFrame, detector: Detector) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of `docs` (doc_id, text).
 
     Counts and digest are of base spans, `spans` lists all; positions are code points. A null text counts as
-    empty: no spans, and the digest of nothing. Repeated rows each give a row; other columns are ignored.
+    empty: no spans, and the digest of nothing. Repeated rows each give a row; other columns are ignored. A text of any
+    length is read whole, by itself. Ties at one start go by kind, then by end.
     """
     shared = docs.sparkSession.sparkContext.broadcast(detector)
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]

@@ -127,11 +127,96 @@ def test_personal_data(docs, none, spark):
     assert find_personal_data(none, train(none)).count() == 0
 
 
+def contract_spans(text):
+    """Base spans by the patterns as they are written down."""
+    import re
+
+    from pagelens.llm.personal_data import luhn
+
+    size = lambda m: sum(map(str.isdigit, m[0]))
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= size(m) <= 19 and luhn("".join(filter(str.isdigit, m[0])))]
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= size(m) <= 15]
+    return sorted(found)
+
+
+def test_base_spans_follow_the_patterns(spark):
+    import random
+
+    from pagelens.llm.personal_data import base_spans
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("01259.@+- ()aZ%_") for _ in range(rng.randint(0, 60))) for _ in range(20_000)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    for text in texts:
+        assert base_spans(text) == contract_spans(text), text
+
+
+def test_added_spans_gain_recall(spark):
+    """Planted data that no base pattern matches: the classifier finds most of it and little else."""
+    import random
+
+    from pagelens.llm.personal_data import base_spans, find_personal_data, train
+
+    rng = random.Random(10)
+    words = lambda n: " ".join(rng.choice("the of page with number about garden river stone".split()) for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    make = {
+        "secret": lambda: f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}"', "phone": lambda: f"call (555) {digits(3)}-{digits(4)}",
+        "email": lambda: f"mail jo.{digits(2)} [at] host{digits(1)} [dot] com", "base": lambda: f"from jo{digits(2)}@host.example.com", "none": lambda: f"page {digits(3)} of {digits(4)}",
+    }
+    kinds = [rng.choice(list(make)) for _ in range(600)]
+    rows = [(k, f"{words(8)} {make[kind]()} {words(6)}") for k, kind in enumerate(kinds)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in find_personal_data(frame, train(frame)).collect()}
+    hidden = [k for k, kind in enumerate(kinds) if kind in ("secret", "phone", "email")]
+    assert not any(base_spans(rows[k][1]) for k in hidden)
+    assert sum(kinds[k] + ":" in found[k] for k in hidden) >= 0.9 * len(hidden)
+    assert not any(found[k] for k, kind in enumerate(kinds) if kind == "none")
+
+
 def test_base_spans_are_linear_in_the_text():
+    import time
+
     from pagelens.llm.personal_data import base_spans
 
-    for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "@" * 100_000, "0 " * 100_000):
-        base_spans(text)
+    for unit in ("1", "a", "1.", "@", "0 "):
+        began = time.perf_counter()
+        base_spans(unit * 20_000)
+        short = time.perf_counter() - began
+        base_spans(unit * 200_000)
+        assert time.perf_counter() - began < 1 + 60 * short
+
+
+def test_toxic_features_against_direct_counts(spark):
+    import numpy as np
+    import pandas as pd
+
+    from pagelens.llm.toxicity import LENGTHS, buckets, characters, log_ratios, shares
+
+    for text in ("", "A", "You!! idiot,\n 42", "Größe ΑΒΓ ×", None, "x" * 5000):
+        plain = "".join(map(chr, characters(text)))
+        assert len(buckets(text)) == sum(max(0, len(plain) - n + 1) for n in LENGTHS)
+        grams = Counter(plain[k : k + n] for n in LENGTHS for k in range(len(plain) - n + 1))
+        ids, values = shares(buckets(text))
+        assert len(ids) <= len(grams) and abs(float((values**2).sum()) - bool(grams)) < 1e-9
+        # the same n-gram has the same bucket wherever it stands
+        assert len({tuple(buckets(text)) for _ in range(2)}) == 1
+    assert plain == " " + "x" * 5000 + " " and "".join(map(chr, characters("You!! idiot,\n 42"))) == " you idiot 42 "
+    sums = pd.DataFrame({"toxic": [3.0, 0.0, 1.0], "clean": [0.0, 2.0, 1.0]})
+    want = [np.log(((t + 0.5) / 4) / ((c + 0.5) / 8)) for t, c in zip(sums.toxic, sums.clean)]
+    assert np.allclose(log_ratios(sums, 4, 8, 0.5), want)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    from pagelens.llm.toxicity import score, train
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = score(docs, train(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+    assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
 def skilling(point, bits):
