@@ -1,119 +1,187 @@
-"""Command line: check, compare, init. Exit codes: 0 clean, 1 findings reach the bar, 2 incomplete or wrong use."""
+"""Command line: check, compare, init. Exit codes: 0 clean, 1 findings or regressions reach the bar, 2 incomplete or wrong use."""
 
 from __future__ import annotations
 
 import argparse
-import json
 import sys
+from collections.abc import Iterable
 from datetime import UTC, datetime
+from pathlib import Path
+from time import monotonic
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from pagelens.operators import compare
+from pagelens.operators import compare, sitemap
 from pagelens.operators import findings as fin
-from pagelens.plans.audit import audit
+from pagelens.operators.framework import resolve_framework
+from pagelens.operators.ingest import planned_probes
+from pagelens.plans.audit import audit, release
 from pagelens.session import local_session, ship
 from pagelens.sinks import reports
 from pagelens.sources import agents as agent_source
 from pagelens.sources import config as conf
-from pagelens.sources import runs
-from pagelens.sources.http import PageSource
+from pagelens.sources import fetch, http, runs
 
 FORMATS = ("terminal", "json", "sarif", "html", "markdown", "junit", "github")
+COMPARISONS = ("terminal", "json", "html", "markdown", "github")
+BASELINE = "pagelens.baseline.json"
 
 
-def _render(kind: str, out: dict) -> str:
-    f, s = out["findings"], out["summary"]
-    steps = fin.next_steps(f)
-    if kind == "github":
-        return "\n".join(r.value for r in reports.github_lines(f).collect()) + "\n"
+def _say(text: str) -> None:
+    print(text, file=sys.stderr)
+
+
+def _write(parts: Iterable[str], path: str | None) -> None:
+    if path is None:
+        sys.stdout.writelines(parts)
+        return
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(parts)
+
+
+def _report(kind: str, out: dict, summary: dict, head: dict, framework: str | None) -> Iterable[str]:
+    f = out["findings"]
     return {
-        "terminal": lambda: reports.terminal_document(s, f, steps), "json": lambda: reports.json_document(s, f), "sarif": lambda: reports.sarif_document(f),
-        "html": lambda: reports.html_document(s, f, steps), "markdown": lambda: reports.markdown_document(s, f), "junit": lambda: reports.junit_document(out["probes"], f),
+        "terminal": lambda: reports.terminal_document(out, summary | {"repeat": head["repeat"]}), "json": lambda: reports.json_document(out, summary, {k: v for k, v in head.items() if k != "repeat"}),
+        "sarif": lambda: reports.sarif_document(f), "html": lambda: reports.html_document(out, summary, framework), "markdown": lambda: reports.markdown_document(out["summary"], f),
+        "junit": lambda: reports.junit_document(out["probes"], f, out["targets"], summary), "github": lambda: reports.github_document(f),
     }[kind]()
 
 
+def _discovered(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
+    """Targets of a sitemap with ids of their own; what went wrong on the way is told."""
+    if args.sitemap is None:
+        return []
+    found = sitemap.discover(fetch.sitemap_docs, args.sitemap, urls=args.sitemap_limit, include=tuple(args.sitemap_include), exclude=tuple(args.sitemap_exclude), spark=spark)
+    for error in found.errors:
+        _say(error)
+    if found.truncated:
+        _say(f"discovery ended at a limit after {len(found.urls)} URLs")
+    # at most as many rows as the limit of URLs
+    ids = {r.url: r.id for r in sitemap.target_ids(spark.createDataFrame([(u,) for u in found.urls], "url string")).collect()}
+    return [{"url": u, "id": ids[u]} for u in found.urls]
+
+
+def _comparison(before: dict[str, DataFrame], after: dict[str, DataFrame], args: argparse.Namespace) -> tuple[DataFrame, dict]:
+    changes = compare.compare_runs(before, after, args.min_ms, args.min_percent).persist()
+    return changes, compare.comparison_summary(changes).first().asDict()
+
+
 def check(args: argparse.Namespace) -> int:
-    settings = conf.load(args.config, extra_urls=tuple(args.urls))
+    baseline = args.baseline or (BASELINE if args.update_baseline else None)
+    if baseline and args.output and Path(baseline).resolve() == Path(args.output).resolve():
+        raise conf.ConfigError("the report and the baseline are different files")
+    began = monotonic()
     spark = ship(local_session())
-    spark.dataSource.register(PageSource)
+    stored = runs.read_run(spark, baseline) if baseline and not args.update_baseline else None
+    given = {k: v for k, v in (("timeoutMs", args.timeout), ("maxBytes", args.max_bytes), ("maxRedirects", args.max_redirects), ("repeat", args.repeat), ("concurrency", args.concurrency)) if v is not None}
+    settings = conf.load(args.config, extra_urls=tuple(args.urls), discovered=tuple(_discovered(spark, args)), agents=args.agent, headers=args.header, limits=given)
     agents, targets = agent_source.frame(spark, settings.agents), conf.target_frame(spark, settings)
-    repeat, limits = args.repeat or settings.limits["repeat"], settings.limits
-    tasks = [
-        {"probe_id": f"{t}/{a}/{n}", "lane": f"{t}/{a}", "url": target["url"], "user_agent": agent.user_agent, "headers": settings.headers,
-         "timeout_ms": limits["timeoutMs"], "max_bytes": limits["maxBytes"], "max_redirects": limits["maxRedirects"]}
-        for t, target in enumerate(settings.targets) for a, agent in enumerate(settings.agents) for n in range(1, repeat + 1)
-    ]
-    raw = spark.read.format("pagelens_http").option("tasks", json.dumps(tasks)).option("concurrency", str(limits["concurrency"])).load().persist()
-    part = lambda k: F.split_part("probe_id", F.lit("/"), F.lit(k)).cast("int")
-    probes = raw.withColumns({"target_ord": part(1), "agent_ord": part(2), "sample": part(3)}).join(agents.select("agent_ord", "agent"), "agent_ord").drop("body", "chunk_ends", "chunk_at")
+    limits = settings.limits
+    tasks = planned_probes(targets, agents, limits["repeat"])
+    raw = http.requested(tasks, limits["concurrency"], settings.headers, limits).persist()
+    asked = tasks.select("probe_id", "target_ord", "agent_ord", "agent", "sample")
+    probes = raw.drop("body", "chunk_ends", "chunk_at").join(asked, "probe_id")
     documents = raw.where("size(chunk_ends) > 0").select("probe_id", "body", "chunk_ends", "chunk_at")
+    robots = fetch.robots_docs(targets, limits["concurrency"]).persist()
     now = datetime.now(UTC)
-    out = audit(probes, documents, targets, agents, waiver_rows=conf.waiver_frame(spark, settings), repeat=repeat, now=now.date().isoformat(), secrets=tuple(settings.headers.values()))
-    text = _render(args.format, out)
-    if args.output:
-        with open(args.output, "w", encoding="utf-8") as f:
-            f.write(text)
-    else:
-        sys.stdout.write(text)
-    code = fin.exit_code(out["summary"].first().asDict(), args.fail_on)
+    out = audit(
+        probes, documents, targets, agents, robots_docs=robots, waiver_rows=conf.waiver_frame(spark, settings), repeat=limits["repeat"],
+        now=now.date().isoformat(), secrets=tuple(settings.headers.values()),
+    )
+    summary = out["summary"].first().asDict()
+    head = {"schemaVersion": runs.VERSION, "generatedAt": now.isoformat(), "durationMs": round((monotonic() - began) * 1000), "repeat": limits["repeat"]}
+    framework = resolve_framework(args.framework, out["probes"], ".") if args.format == "html" else None
+    code = _baseline(stored, out, summary, head, baseline, args)
+    code = max(fin.exit_code(summary, args.fail_on), code)
+    _write(_report(args.format, out, summary, head, framework), args.output)
     if args.write_run:
         runs.write_run(out, out["summary"], args.write_run, now.isoformat(), baseline=True)
+    release(out)
+    raw.unpersist()
+    robots.unpersist()
     return code
 
 
+def _baseline(stored: dict | None, out: dict, summary: dict, head: dict, path: str | None, args: argparse.Namespace) -> int:
+    """Writes the baseline, or compares with it; the comparison goes to the error stream."""
+    if path is None:
+        return 0
+    if args.update_baseline:
+        if summary["incomplete"]:
+            _say("the baseline stays as it was: the run is incomplete")
+            return 2
+        _write(_report("json", out, summary, head, None), path)
+        _say(f"{path} is the new baseline")
+        return 0
+    changes, found = _comparison(stored, out, args)
+    sys.stderr.writelines(reports.comparison_document("terminal", changes, found))
+    changes.unpersist()
+    return int(args.fail_on != "never" and found["regressions"] > 0)
+
+
 def compare_runs(args: argparse.Namespace) -> int:
     spark = ship(local_session())
     before, after = (runs.read_run(spark, p) for p in (args.baseline, args.candidate))
-    for side in (before, after):
-        if not compare.repeated_targets(side["targets"]).isEmpty():
-            raise runs.RunError("a target is named twice in one run")
-    url = lambda r: compare.keyed(r["probes"], r["targets"]).join(compare.target_key(r["targets"]).select("target", F.col("url").alias("target_url")), "target")
-    pa, pb = url(before), url(after)
-    long = lambda p: p.where("completion = 'complete'").select("target", "agent", F.explode(F.create_map(*[x for m in compare.METRICS for x in (F.lit(m), F.col(m))])).alias("metric", "ms"))
-    meta = lambda r, p: r["signals"].join(p.where("completion = 'complete'").select("probe_id", "target", "agent"), "probe_id").select("target", "agent", F.coalesce("property", "kind").alias("field"), "value", "location")
-    whole = tuple(p.where("completion = 'complete'") for p in (pa, pb))
-    matched = pa.select("target").distinct().join(pb.select("target").distinct(), "target")
-    changes = compare.finding_changes(compare.keyed(before["findings"], before["targets"]), compare.keyed(after["findings"], after["targets"]), matched=matched)
-    for other in (
-        compare.response_changes(pa, pb), compare.metadata_changes(meta(before, pa), meta(after, pb), whole), compare.timing_changes(long(pa), long(pb), args.min_ms, args.min_percent),
-        compare.policy_changes(before["targets"], after["targets"]), compare.membership_changes(pa, pb),
-    ):
-        changes = changes.unionByName(other)
-    changes = changes.persist()
-    summary = compare.comparison_summary(changes)
-    sys.stdout.write(reports.comparison_documents(changes, summary)[args.format])
-    return int(summary.first()["regressions"] > 0)
+    changes, found = _comparison(before, after, args)
+    _write(reports.comparison_document(args.format, changes, found), args.output)
+    changes.unpersist()
+    return int(args.fail_on == "regression" and found["regressions"] > 0)
+
+
+def _options(c: argparse.ArgumentParser) -> None:
+    c.add_argument("urls", nargs="*")
+    c.add_argument("-c", "--config", help="configuration file")
+    c.add_argument("-a", "--agent", action="append", default=[], help="crawler profile, may be given again")
+    c.add_argument("-H", "--header", action="append", default=[], help="'Name: value' for requests on the target's origin, may be given again")
+    c.add_argument("--timeout", type=int, help="milliseconds a request may take")
+    c.add_argument("--max-bytes", type=int)
+    c.add_argument("--max-redirects", type=int)
+    c.add_argument("--repeat", type=int, help="samples of each target and profile")
+    c.add_argument("--concurrency", type=int, help="requests at a time, 1 to 16")
+    c.add_argument("--sitemap", help="URL or file of a sitemap to take targets from")
+    c.add_argument("--sitemap-include", action="append", default=[])
+    c.add_argument("--sitemap-exclude", action="append", default=[])
+    c.add_argument("--sitemap-limit", type=int, default=sitemap.URLS)
+    c.add_argument("--baseline", help="JSON report to compare with")
+    c.add_argument("--update-baseline", action="store_true", help="write the baseline instead")
+    c.add_argument("-f", "--format", choices=FORMATS, default="terminal")
+    c.add_argument("-o", "--output")
+    c.add_argument("--fail-on", choices=("never", "error", "warning", "info"), default="error")
+    c.add_argument("--framework", default="auto", help="auto, none or a name")
+    c.add_argument("--no-color", action="store_true", help="output never has colours; taken for scripts that say so")
+    c.add_argument("--write-run", help="folder for the run's tables as Parquet")
+    c.set_defaults(min_ms=compare.MIN_MS, min_percent=compare.MIN_PERCENT)
 
 
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="pagelens")
     sub = top.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("check")
-    c.add_argument("urls", nargs="*")
-    c.add_argument("--config")
-    c.add_argument("--format", choices=FORMATS, default="terminal")
-    c.add_argument("--output")
-    c.add_argument("--repeat", type=int)
-    c.add_argument("--fail-on", choices=("never", "error", "warning", "info"), default="error")
-    c.add_argument("--write-run")
+    _options(sub.add_parser("check"))
     d = sub.add_parser("compare")
     d.add_argument("baseline")
     d.add_argument("candidate")
-    d.add_argument("--format", choices=("terminal", "json", "html", "markdown", "github"), default="terminal")
+    d.add_argument("-f", "--format", choices=COMPARISONS, default="terminal")
+    d.add_argument("-o", "--output")
+    d.add_argument("--fail-on", choices=("regression", "never"), default="regression")
     d.add_argument("--min-ms", type=float, default=compare.MIN_MS)
     d.add_argument("--min-percent", type=float, default=compare.MIN_PERCENT)
+    d.add_argument("--no-color", action="store_true")
     i = sub.add_parser("init")
     i.add_argument("path", nargs="?", default=conf.NAMES[0])
     i.add_argument("--force", action="store_true")
-    args = top.parse_args(argv)
+    given = list(sys.argv[1:] if argv is None else argv)
+    if given and given[0] not in ("check", "compare", "init", "-h", "--help"):
+        given.insert(0, "check")
+    args = top.parse_args(given)
     try:
         if args.command == "init":
             print(conf.write_template(args.path, args.force))
             return 0
         return check(args) if args.command == "check" else compare_runs(args)
-    except (conf.ConfigError, runs.RunError, ValueError) as error:
-        print(error, file=sys.stderr)
+    except (conf.ConfigError, runs.RunError, sitemap.SitemapError, ValueError) as error:
+        _say(str(error))
         return 2
 
 

@@ -139,7 +139,7 @@ def size_text(value: Column) -> Column:
 def title_of(code: Column) -> Column:
     """A code as words: first letter upper-case, dashes as blanks."""
     words = F.regexp_replace(code, "-", " ")
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 200))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
 
 
 def markdown_cell(value: Column) -> Column:
@@ -147,10 +147,17 @@ def markdown_cell(value: Column) -> Column:
 
 
 def xml_text(value: Column) -> Column:
+    """Escaped for XML and HTML; characters that XML 1.0 does not allow are left out."""
     out = value
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(raw), F.lit(safe))
-    return F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    return F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}\x{D800}-\x{DFFF}]", "")
+
+
+def json_string(value: Column) -> Column:
+    """A text as JSON writes it, in quotes."""
+    whole = F.to_json(F.struct(value.alias("v")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
 
 
 def annotation_text(value: Column) -> Column:
@@ -161,6 +168,11 @@ def annotation_text(value: Column) -> Column:
     return out
 
 
+def annotation_property(value: Column) -> Column:
+    """annotation_text for a property, where colons and commas separate."""
+    return F.replace(F.replace(annotation_text(value), F.lit(":"), F.lit("%3A")), F.lit(","), F.lit("%2C"))
+
+
 def printable(value: Column) -> Column:
     return F.regexp_replace(value, r"[\x00-\x1F\x7F-\x9F]", "?")
 

@@ -58,14 +58,9 @@ def _resolved(base: str | None, ref: str | None) -> str | None:
     return absolute(base, ref) or " ".join(ref.split())
 
 
-@F.pandas_udf(StringType())
-def url_resolve(base: pd.Series, ref: pd.Series) -> pd.Series:
-    """Resolved without fragment; empty stays empty and what is no URL stays text."""
-    return pd.Series([_resolved(b, r) for b, r in zip(base, ref, strict=True)], index=ref.index, dtype=object)
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def urls_resolve(base: pd.Series, refs: pd.Series) -> pd.Series:
+    """Resolved without fragment; empty stays empty, what is no URL stays text, and null stays null."""
     found = [None if r is None else [_resolved(b, x) for x in r] for b, r in zip(base, refs, strict=True)]
     return pd.Series(found, index=refs.index, dtype=object)
 
@@ -90,15 +85,22 @@ def url_for_origin(url: pd.Series, origin_of: pd.Series) -> pd.Series:
     return pd.Series([one(u, o) for u, o in zip(url, origin_of, strict=True)], index=url.index, dtype=object)
 
 
+def _is_http_url(u: str | None) -> bool:
+    full = absolute(None, u) if u and re.match(r"https?:", u.strip(), re.I) else None
+    return bool(full) and "@" not in urlsplit(full).netloc
+
+
 @F.pandas_udf(BooleanType())
 def is_http_url(url: pd.Series) -> pd.Series:
     """An absolute http or https URL without credentials."""
+    return url.map(_is_http_url).astype(bool)
 
-    def one(u: str | None) -> bool:
-        full = absolute(None, u) if u and re.match(r"https?:", u.strip(), re.I) else None
-        return bool(full) and "@" not in urlsplit(full).netloc
 
-    return url.map(one).astype(bool)
+@F.pandas_udf(ArrayType(BooleanType()))
+def are_http_urls(urls: pd.Series) -> pd.Series:
+    """is_http_url for each text of an array; null stays null."""
+    found = [None if r is None else [None if x is None else _is_http_url(x) for x in r] for r in urls]
+    return pd.Series(found, index=urls.index, dtype=object)
 
 
 def origin(url):  # type: ignore[no-untyped-def]

@@ -5,13 +5,15 @@ Every grain is one full outer join of the two runs after grouping, keyed by the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions.urls import url_for_origin
 from pagelens.operators.findings import rank
-from pagelens.operators.rules import OPEN_GRAPH, TWITTER
+from pagelens.operators.timeline import timings
 
 CHANGES = "kind string, target string, agent string, field string, code string, before string, after string, detail string"
 # Floors below which a change of median timing is no regression.
@@ -20,8 +22,7 @@ POLICY = (
     "statuses", "expected_final_url", "require_title", "require_description", "require_canonical", "require_h1",
     "require_main_text", "open_graph", "twitter_card", "max_first_byte_ms", "max_critical_ms",
 )
-METADATA = ("title", "description", "canonical", "robots", "h1", "main", *OPEN_GRAPH, *TWITTER)
-METRICS = ("headers_ms", "first_byte_ms", "complete_ms", "required_ms")
+REQUIREMENTS = ("require_title", "require_description", "require_canonical", "require_h1", "require_main_text", "open_graph", "twitter_card")
 
 
 def target_key(frame: DataFrame) -> DataFrame:
@@ -70,9 +71,16 @@ def evidence_text(evidence: Column) -> Column:
 def finding_changes(before: DataFrame, after: DataFrame, ignored: tuple[str, ...] = ("incomplete-probe",), matched: DataFrame | None = None) -> DataFrame:
     """Findings (target, code, agent, severity, evidence) gained, lost, moved in severity or changed in evidence.
 
-    Codes in `ignored` do not count on targets that both runs have (`matched`); an added target counts all.
+    The gravest of a key stands for it, the first of equals in the order of findings (sample, probe_ord, rule_ord,
+    within, as far as the columns are there, then by evidence). Codes in `ignored` do not count on targets that both
+    runs have (`matched`); an added target counts all.
     """
-    top = lambda df: df.groupBy("target", "code", "agent").agg(F.min_by(F.struct(rank("severity").alias("r"), "severity", evidence_text(F.col("evidence")).alias("e")), F.struct(rank("severity"), F.lit(0))).alias("f")).select("target", "code", "agent", "f.r", "f.severity", "f.e")
+
+    def top(df: DataFrame) -> DataFrame:
+        order = [c for c in ("sample", "probe_ord", "rule_ord", "within") if c in df.columns]
+        first = F.min(F.struct(rank("severity").alias("r"), *order, evidence_text(F.col("evidence")).alias("e"), "severity"))
+        return df.groupBy("target", "code", "agent").agg(first.alias("f")).select("target", "code", "agent", "f.r", "f.severity", "f.e")
+
     both = _sides(top(before), top(after), ["target", "code", "agent"])
     if matched is not None:
         known = matched.select("target", F.lit(True).alias("known"))
@@ -131,12 +139,20 @@ def metadata_changes(before: DataFrame, after: DataFrame, complete: tuple[DataFr
     )
 
 
-def timing_changes(before: DataFrame, after: DataFrame, min_ms: float = MIN_MS, min_percent: float = MIN_PERCENT) -> DataFrame:
-    """Medians of (target, agent, metric, ms) rows that moved by more than both floors."""
+def timing_changes(
+    before: DataFrame, after: DataFrame, min_ms: float = MIN_MS, min_percent: float = MIN_PERCENT, other_policy: DataFrame | None = None
+) -> DataFrame:
+    """Medians of (target, agent, metric, ms) rows that moved by more than both floors.
+
+    The required signals' arrival is not compared on targets (`other_policy`) that require others than before.
+    """
     if not (0 <= min_ms < float("inf") and 0 <= min_percent < float("inf")):
         raise ValueError("timing floors must be finite and not negative")
     medians = lambda df: df.where("ms IS NOT NULL").groupBy("target", "agent", "metric").agg(F.median("ms").alias("ms"))
     both = _sides(medians(before), medians(after), ["target", "agent", "metric"]).where("in_a AND in_b")
+    if other_policy is not None:
+        skipped = other_policy.select("target", F.lit("required_ms").alias("metric")).distinct()
+        both = both.join(skipped, ["target", "metric"], "left_anti")
     delta = F.col("ms_b") - F.col("ms_a")
     percent = F.when(F.col("ms_a") == 0, F.lit(float("inf"))).otherwise(F.abs(delta) / F.col("ms_a") * 100)
     moved = both.where((F.abs(delta) > min_ms) & (percent > min_percent))
@@ -178,11 +194,35 @@ def timeline_pairs(before: DataFrame, after: DataFrame) -> DataFrame:
     return _sides(timelines(before), timelines(after), ["target", "agent", "milestone_ord", "milestone"])
 
 
-def sorted_changes(changes: DataFrame) -> DataFrame:
-    """By kind (regressions, fixes, changes), then agent, field and code in dictionary order."""
+def compare_runs(before: dict[str, DataFrame], after: dict[str, DataFrame], min_ms: float = MIN_MS, min_percent: float = MIN_PERCENT) -> DataFrame:
+    """All changes between two runs (tables targets, probes, signals, findings); targets named twice are an error."""
+    for side in (before, after):
+        if not repeated_targets(side["targets"]).isEmpty():
+            raise ValueError("a target is named twice in one run")
+    urls = lambda r: target_key(r["targets"]).select("target", F.col("url").alias("target_url"))
+    probes = lambda r: keyed(r["probes"], r["targets"]).join(urls(r), "target")
+    pa, pb = probes(before), probes(after)
+    complete = lambda p: p.where("completion = 'complete'").select("probe_id", "target", "agent")
+    meta = lambda r, p: r["signals"].join(complete(p), "probe_id").select("target", "agent", F.coalesce("property", "kind").alias("field"), "value", "location")
+    timed = lambda r: keyed(timings(r["probes"]), r["targets"])
+    matched = pa.select("target").distinct().join(pb.select("target").distinct(), "target")
+    policies = policy_changes(before["targets"], after["targets"])
+    parts = (
+        finding_changes(keyed(before["findings"], before["targets"]), keyed(after["findings"], after["targets"]), matched=matched),
+        response_changes(pa, pb),
+        metadata_changes(meta(before, pa), meta(after, pb), (complete(pa), complete(pb))),
+        timing_changes(timed(before), timed(after), min_ms, min_percent, policies.where(F.col("field").isin(*REQUIREMENTS))),
+        policies,
+        membership_changes(pa, pb),
+    )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def change_order() -> list[Column]:
+    """By target, then kind (regressions, fixes, changes), then agent, field and code in dictionary order."""
     kind = F.when(F.col("kind") == "regression", 0).when(F.col("kind") == "fixed", 1).otherwise(2)
     word = lambda c: F.collate(F.coalesce(c, F.lit("")), "UNICODE")
-    return changes.orderBy(kind, "target", word("agent"), word("field"), word("code"))
+    return [F.col("target"), kind, word("agent"), word("field"), word("code")]
 
 
 def comparison_summary(changes: DataFrame) -> DataFrame:
@@ -191,7 +231,7 @@ def comparison_summary(changes: DataFrame) -> DataFrame:
 
 def expect_no_regressions(changes: DataFrame) -> None:
     """Raises with the first five regressions, if there are any."""
-    bad = sorted_changes(changes.where("kind = 'regression'")).limit(6).collect()
+    bad = changes.where("kind = 'regression'").orderBy(*change_order()).limit(6).collect()
     if bad:
         lines = [f"{r.code} {r.target} {r.agent or ''} {r.field or ''}: {r.before} -> {r.after}" for r in bad[:5]]
         raise AssertionError("regressions:\n" + "\n".join(lines))

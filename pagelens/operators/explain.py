@@ -35,17 +35,23 @@ TEXTS = {
     "waiver-expired": ("Waiver expired", "Renew it or solve its cause."),
     "waiver-unused": ("Waiver unused", "Delete it."),
 }
-# Codes with a snippet for a framework's own way to render metadata.
+#: Codes whose remedy has a snippet, and its theme.
+THEMES = {
+    "missing-title": "head", "missing-description": "head", "missing-canonical": "head", "head-metadata-in-body": "head",
+    "missing-open-graph-metadata": "social", "missing-twitter-card-metadata": "social",
+    "missing-h1": "content", "missing-main-text": "content",
+}
+#: Each framework's own way to render metadata, link previews and content on the server, by theme.
 SNIPPETS = {
-    "nextjs": "export const metadata = { title, description, alternates: { canonical } }",
-    "nuxt": "useSeoMeta({ title, description })",
-    "astro": "<title>{title}</title><meta name='description' content={description}>",
-    "sveltekit": "<svelte:head><title>{title}</title></svelte:head>",
-    "remix": "export const meta = () => [{ title }]",
-    "laravel": "<title>{{ $title }}</title>",
-    "wordpress": "add_theme_support('title-tag');",
-    "php": "<title><?= htmlspecialchars($title) ?></title>",
-}
+    "nextjs": {"head": "export const metadata = { title, description, alternates: { canonical } }", "social": "export const metadata = { openGraph: { title, type, url, images }, twitter: { card } }", "content": "export default async function Page() { const data = await load(); return <main><h1>{data.title}</h1></main> }"},
+    "nuxt": {"head": "useSeoMeta({ title, description }); useHead({ link: [{ rel: 'canonical', href }] })", "social": "useSeoMeta({ ogTitle, ogType, ogUrl, ogImage, twitterCard })", "content": "const { data } = await useAsyncData('page', load)"},
+    "astro": {"head": "<title>{title}</title><meta name='description' content={description}><link rel='canonical' href={url}>", "social": "<meta property='og:image' content={new URL(image, Astro.site)}>", "content": "--- const page = await load(); --- <main><h1>{page.title}</h1></main>"},
+    "sveltekit": {"head": "<svelte:head><title>{title}</title><link rel='canonical' {href}></svelte:head>", "social": "<svelte:head><meta property='og:title' content={title}></svelte:head>", "content": "export const load = async () => ({ page: await fetchPage() })"},
+    "remix": {"head": "export const meta = () => [{ title }, { name: 'description', content }]", "social": "export const meta = () => [{ property: 'og:title', content: title }]", "content": "export const loader = async () => json(await page())"},
+    "laravel": {"head": "<title>{{ $title }}</title><link rel=\"canonical\" href=\"{{ url()->current() }}\">", "social": "<meta property=\"og:title\" content=\"{{ $title }}\">", "content": "return view('page', ['page' => $page]);"},
+    "wordpress": {"head": "add_theme_support('title-tag');", "social": "add_action('wp_head', 'theme_preview_tags');", "content": "<main><h1><?php the_title(); ?></h1><?php the_content(); ?></main>"},
+    "php": {"head": "<title><?= htmlspecialchars($title) ?></title>", "social": "<meta property=\"og:title\" content=\"<?= htmlspecialchars($title) ?>\">", "content": "<main><h1><?= htmlspecialchars($title) ?></h1></main>"},
+}
 
 
 def explanations(spark: SparkSession) -> DataFrame:
@@ -53,9 +59,11 @@ def explanations(spark: SparkSession) -> DataFrame:
 
 
 def explained(findings: DataFrame, framework: str | None = None) -> DataFrame:
-    """Findings with title, remedy and, for missing metadata, the framework's snippet."""
-    known = F.broadcast(explanations(findings.sparkSession))  # as many rows as there are codes above
+    """Findings with title, remedy and, for codes with a theme, the framework's snippet."""
+    known = explanations(findings.sparkSession)  # as many rows as there are codes above
     title = F.when(F.col("code").startswith("duplicate-"), "Given more than once").when(F.col("code").startswith("conflicting-"), "Values disagree").when(F.col("code").endswith("-drift"), "Agents are answered differently")
     remedy = F.when(F.col("code").rlike("^(duplicate|conflicting)-"), "Keep one.").when(F.col("code").endswith("-drift"), "Answer all agents alike.").otherwise("Look at the evidence.")
-    snippet = F.when(F.col("code").startswith("missing-"), F.lit(SNIPPETS.get(framework or "")))
+    snippet = F.lit(None).cast("string")
+    for theme, text in SNIPPETS.get(framework or "", {}).items():
+        snippet = F.when(F.col("code").isin(*[c for c, t in THEMES.items() if t == theme]), text).otherwise(snippet)
     return findings.join(known, "code", "left").withColumn("title", F.coalesce("title", title, title_of(F.col("code")))).withColumn("remedy", F.coalesce("remedy", remedy)).withColumn("snippet", snippet)

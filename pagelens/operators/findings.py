@@ -46,13 +46,14 @@ def coalesce_findings(findings: DataFrame, total_samples: int) -> DataFrame:
     )
 
 
-def summary(targets: DataFrame, probes: DataFrame, findings: DataFrame, waived: int = 0) -> DataFrame:
+def summary(targets: DataFrame, probes: DataFrame, findings: DataFrame, waived: DataFrame | None = None) -> DataFrame:
     """targets, probes, errors, warnings, info, incomplete, waived in one row."""
     counted = findings.agg(*[F.count_if(F.col("severity") == s).alias(n) for s, n in (("error", "errors"), ("warning", "warnings"), ("info", "info"))])
     probed = probes.agg(F.count("*").alias("probes"), F.count_if(F.col("completion") != "complete").alias("incomplete"))
+    gone = (targets.where("false") if waived is None else waived).agg(F.count("*").alias("waived"))
     # each side is one row
     return (
-        targets.agg(F.count("*").alias("targets")).crossJoin(F.broadcast(probed)).crossJoin(F.broadcast(counted)).withColumn("waived", F.lit(waived).cast("bigint"))
+        targets.agg(F.count("*").alias("targets")).crossJoin(F.broadcast(probed)).crossJoin(F.broadcast(counted)).crossJoin(F.broadcast(gone))
         .select("targets", "probes", "errors", "warnings", "info", "incomplete", "waived")
     )
 

@@ -52,6 +52,8 @@ def framework_of_project(folder: str) -> str | None:
 
 def resolve_framework(choice: str, probes: DataFrame, folder: str) -> str | None:
     """none, an explicit name, or auto: headers, then project files."""
+    if choice not in ("auto", "none", *(n for n, _ in POWERED_BY)):
+        raise ValueError(f"framework {choice!r} is not known")
     if choice != "auto":
         return None if choice == "none" else choice
     return framework_of_probes(probes).first()["framework"] or framework_of_project(folder)

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import codecs
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Response headers that are kept.
 HEADERS = (
@@ -16,6 +11,7 @@ HEADERS = (
     "date", "etag", "expires", "last-modified", "server", "vary", "x-cache", "x-cache-hits", "x-nextjs-cache",
     "x-powered-by", "x-robots-tag", "x-vercel-cache",
 )
+# Statuses that redirect.
 REDIRECTS = (301, 302, 303, 307, 308)
 
 
@@ -51,78 +47,30 @@ def byte_capped(chunks: DataFrame, limit: int) -> DataFrame:
 
 def bodies(chunks: DataFrame) -> DataFrame:
     """One row a probe: body, chunk_ends, chunk_at, bytes_read, body_sha256 (null when the body was cut)."""
-    whole = chunks.where("octet_length(bytes) > 0").groupBy("probe_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "at_ms", "bytes"))).alias("c"), F.max("over").alias("over")
-    )
-    body = F.aggregate("c", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["bytes"]))
-    ends = F.expr("transform(sequence(1, size(c)), k -> aggregate(slice(c, 1, k), 0L, (a, x) -> a + octet_length(x.bytes)))")
-    at = F.transform("c", lambda x: F.greatest(F.coalesce(F.nanvl(x["at_ms"], F.lit(0.0)), F.lit(0.0)), F.lit(0.0)))
-    return whole.select("probe_id", body.alias("body"), ends.alias("chunk_ends"), at.alias("chunk_at"), "over").select(
-        "*", F.octet_length("body").cast("bigint").alias("bytes_read"), F.when(~F.col("over"), F.sha2("body", 256)).alias("body_sha256")
+    so_far = Window.partitionBy("probe_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = chunks.where("octet_length(bytes) > 0").withColumn("end", F.sum(F.octet_length("bytes")).over(so_far).cast("bigint"))
+    at = F.greatest(F.coalesce(F.nanvl(F.col("at_ms"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    whole = ended.groupBy("probe_id").agg(
+        F.expr("listagg(bytes) WITHIN GROUP (ORDER BY seq)").alias("body"), F.array_sort(F.collect_list(F.struct("seq", "end", at.alias("at")))).alias("c"), F.max("over").alias("over"), F.max("end").alias("bytes_read")
     )
-
-
-def _codec(label: str | None) -> str | None:
-    try:
-        name = codecs.lookup((label or "").strip().strip("\"'")).name
-    except LookupError:
-        return None
-    # a page's latin-1 and ascii are read as windows-1252
-    return {"iso8859-1": "cp1252", "ascii": "cp1252"}.get(name, name)
-
-
-def encoding_of(body: bytes, charset: str | None) -> str:
-    """Byte order mark, then the response's charset, then a declaration in the first 1024 bytes, then UTF-8."""
-    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
-        if body.startswith(mark):
-            return name
-    if found := _codec(charset):
-        return found
-    declared = re.search(rb"<meta[^>]*charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", body[:1024], re.I)
-    found = _codec(declared[1].decode()) if declared else None
-    return "utf-8" if not found or found.startswith("utf-16") else found
-
-
-@F.pandas_udf(StringType())
-def decoded(body: pd.Series, charset: pd.Series) -> pd.Series:
-    found = [None if b is None else bytes(b).decode(encoding_of(bytes(b), c), "replace") for b, c in zip(body, charset, strict=True)]
-    return pd.Series(found, index=body.index, dtype=object)
+    pick = lambda n: F.transform("c", lambda x: x[n]).alias(f"chunk_{n}s" if n == "end" else f"chunk_{n}")
+    return whole.select("probe_id", "body", pick("end"), pick("at"), "over", "bytes_read", F.when(~F.col("over"), F.sha2("body", 256)).alias("body_sha256"))
 
 
 def charset_parameter(content_type: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(content_type, r"(?i);\s*charset\s*=\s*[\"']?([^\"';\s]+)", 1)), F.lit(""))
+    """The charset of a media type; other parameters, quoted ones too, are passed over."""
+    other = r"""(?:;\s*+(?!charset\s*+=)(?:[^;"]|"(?:[^"\\]|\\.)*+")*+)*+"""
+    found = lambda k: F.regexp_extract(content_type, rf"""(?i)^[^;"]*+{other};\s*+charset\s*+=\s*+(?:"([^"\\]*+)"|'?([^;\s"']++))""", k)
+    return F.nullif(F.lower(F.concat(found(1), found(2))), F.lit(""))
 
 
 def is_html(content_type: Column) -> Column:
     return F.trim(F.split_part(F.lower(content_type), F.lit(";"), F.lit(1))).isin("text/html", "application/xhtml+xml")
 
 
-def kept_headers(headers: Column) -> Column:
-    return F.map_filter(headers, lambda k, _: k.isin(*HEADERS))
-
-
-def sets_cookie(headers: Column) -> Column:
-    return F.map_contains_key(headers, F.lit("set-cookie"))
-
-
-def invalid_request(timeout_ms: Column, max_bytes: Column, max_redirects: Column, url: Column) -> Column:
-    """True for limits out of range, and for URLs that are not http(s) or carry credentials."""
-    return (timeout_ms <= 0) | (max_bytes < 1) | (max_redirects < 0) | ~url.rlike(r"(?i)^https?://[^/@\s]+(?:[/?#]|$)")
-
-
-def redirect_outcome(redirects: Column, limit: int) -> Column:
-    """Completion of a redirect chain: too many hops, a bad Location, or null; overflow keeps limit + 1 hops."""
-    bad = F.exists(redirects, lambda r: r["location"].isNull() | ~r["location"].rlike(r"(?i)^(https?:|[^:]*$|[/?#.])"))
-    return F.when(F.size(redirects) > limit, "redirect-limit").when(bad, "invalid-response")
-
-
-def keeps_custom_headers(redirects: Column, first_origin: Column) -> Column:
-    """False once any hop has left the first origin: custom headers are then dropped for good."""
-    return ~F.exists(redirects, lambda r: ~r["url"].startswith(first_origin))
-
-
 def planned_probes(targets: DataFrame, agents: DataFrame, repeat: int) -> DataFrame:
     """Every target for every agent and sample, in stable order columns."""
-    pairs = targets.select("target_ord", F.col("url").alias("requested_url")).crossJoin(F.broadcast(agents.select("agent_ord", "agent")))
+    # agents are a short list that people write; Spark broadcasts it while it is small
+    pairs = targets.select("target_ord", F.col("url").alias("requested_url")).crossJoin(agents.select("agent_ord", "agent", "user_agent"))
     sample = F.explode(F.sequence(F.lit(1), F.lit(repeat)))
     return pairs.select("*", sample.alias("sample")).withColumn("probe_id", F.concat_ws("/", "target_ord", "agent_ord", "sample"))

@@ -1,48 +1,57 @@
-"""HTML responses to signals: tokens by one regular expression, document state by window functions.
+"""HTML responses to signals, chunk by chunk: one row of nested facts a document, then tables of them.
 
-A response is cut into markup tokens and text runs that together are the whole document, so running sums of
-their bytes are offsets; element scopes are running counts of opening and closing tags. Nothing but entity
-decoding and JSON-LD leaves the JVM, and those see single values only.
-
-Supported markup: comments, doctype, quoted attributes, script, style, title and textarea as text up to their end
-tag, head and body with explicit tags. Elements that browsers close by implication stay open to the end.
+A document is inspected where it lies; nothing of it is shuffled and only its facts leave the task, whose number is
+bounded. The same state machine takes a whole response in a batch and one chunk at a time in a stream.
 """
 
 from __future__ import annotations
 
-import html
 import json
+import re
+from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
-from pagelens.functions.text import clipped, collapse
+from pagelens.functions.encodings import Decoder
+from pagelens.functions.markup import Tokens
+from pagelens.functions.text import SPACE
 
 # Retained signals of a kind, and the limits of structured data and main text.
 SIGNAL_CAP, BLOCK_CAP, BLOCK_CHARS, NODE_CAP, TYPE_CAP = 256, 64, 1_048_576, 10_000, 256
 VALUE_CHARS, MAIN_CHARS, MAIN_RAW, ERROR_CHARS = 4096, 240, 1024, 240
-# The social properties that are read.
+# The social properties and the audiences of crawler directives that are read.
 SOCIAL = (
     "og:title", "og:type", "og:url", "og:image", "og:description",
     "twitter:card", "twitter:title", "twitter:description", "twitter:image",
 )
+AUDIENCES = ("robots", "googlebot", "bingbot")
+
+_SPACES = re.compile(SPACE.replace(r" ", " "))
+_INERT = ("template", "svg", "math")
+_SILENT = ("script", "style", "template", "noscript")
 
-_TEXTUAL = "|".join(rf"<{n}\b.*?(?:</{n}\s*>|\z)" for n in ("script", "style", "title", "textarea"))
-_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-TOKEN = rf"(?is)<!--.*?(?:-->|\z)|{_TEXTUAL}|</?[a-z]{_ATTRIBUTES}>|<[!?][^>]*>|[^<]+|<"
+SIGNAL = "struct<kind:string,ord:int,property:string,audience:string,value:string,location:string,at_ms:double,observed_by_byte:bigint>"
+BLOCK = "struct<ord:int,valid:boolean,types:array<string>,bytes:bigint,limit:string,error:string,location:string,at_ms:double,observed_by_byte:bigint>"
+MARK = "struct<at_ms:double,observed_by_byte:bigint>"
+INSPECTED = f"probe_id string, signals array<{SIGNAL}>, json_ld array<{BLOCK}>, body_start {MARK}, head_close {MARK}, document_close {MARK}"
 
 
-@F.pandas_udf(StringType())
-def unescape(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v is None or "&" not in v else html.unescape(v))
+def clip(text: str, limit: int) -> str:
+    """The first `limit` UTF-16 units of a text."""
+    if len(text) * 2 <= limit or (len(text) <= limit and text.isascii()):
+        return text
+    return text[:limit] if max(text[:limit]) <= "￿" else text.encode("utf-16-le", "surrogatepass")[: 2 * limit].decode("utf-16-le", "ignore")
 
 
-_FACTS = StructType().add("valid", BooleanType()).add("types", ArrayType(StringType())).add("error", StringType())
+def tidy(text: str, limit: int = VALUE_CHARS) -> str:
+    return clip(_SPACES.sub(" ", text).strip(" "), limit)
 
 
-def _types(value: object) -> list[str]:
+def json_types(value: object) -> list[str]:
+    """Distinct @type names of a JSON-LD value, within the limits of nodes and types."""
     found, stack, seen = set(), [value], 0
     while stack and seen < NODE_CAP and len(found) < TYPE_CAP:
         node, seen = stack.pop(), seen + 1
@@ -55,156 +64,196 @@ def _types(value: object) -> list[str]:
     return sorted(found)[:TYPE_CAP]
 
 
-@F.pandas_udf(_FACTS)
-def json_ld_facts(texts: pd.Series) -> pd.DataFrame:
-    def refuse(name: str) -> None:
-        raise ValueError(f"{name} is no JSON")
-
-    rows = []
-    for text in texts:
-        try:
-            rows.append((True, _types(json.loads(text, parse_constant=refuse)), None))
-        except (ValueError, RecursionError) as error:
-            rows.append((False, [], str(error)[:ERROR_CHARS]))
-    return pd.DataFrame(rows, columns=["valid", "types", "error"])
-
-
-def attribute(token: Column | str, name: str) -> Column:
-    """An attribute's raw value, '' when it has none, null when it is absent."""
-    token = F.col(token) if isinstance(token, str) else token
-    at = rf"(?is)^<[a-z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*?[\s/\"']{name}"
-    value = F.concat(*(F.regexp_extract(token, at + rf"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", k) for k in (1, 2, 3)))
-    return F.when(token.rlike(at + r"(?:\s*=|[\s/>])"), value)
-
-
-def tokens(responses: DataFrame) -> DataFrame:
-    """(probe_id, n, token, name, closing, ends, total) of responses (probe_id, html); ends is a byte offset."""
-    each = responses.where("html IS NOT NULL").select(
-        "probe_id", F.octet_length("html").alias("total"), F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("n", "token")
-    )
-    so_far = Window.partitionBy("probe_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        each.withColumn("ends", F.sum(F.octet_length("token")).over(so_far))
-        .withColumn("name", F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][^\s/>]*)", 1)))
-        .withColumn("closing", F.col("token").startswith("</"))
-    )
-
-
-def _scoped(rows: DataFrame) -> DataFrame:
-    so_far = Window.partitionBy("probe_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opens, closes = (F.col("name") != "") & ~F.col("closing"), F.col("closing")
-    self_closed = F.col("token").endswith("/>")
-
-    def depth(*names: str) -> Column:
-        step = F.when(F.col("name").isin(*names) & closes, -1).when(F.col("name").isin(*names) & opens & ~self_closed, 1)
-        return F.sum(F.coalesce(step, F.lit(0))).over(so_far)
-
-    place = (
-        F.when((F.col("name") == "head") & opens, "head")
-        .when((F.col("name") == "body") & opens, "body")
-        .when(F.col("name").isin("head", "body") & closes, "document")
-    )
-    return (
-        rows.withColumn("location", F.coalesce(F.last(place, ignorenulls=True).over(so_far), F.lit("document")))
-        .withColumn("hidden", depth("template", "svg", "math") > 0)
-        .withColumn("muted", depth("noscript") > 0)
-        .withColumn("in_h1", depth("h1") > 0)
-        .withColumn("in_main", depth("main") > 0)
-        .withColumn("h1_n", F.sum(((F.col("name") == "h1") & opens).cast("int")).over(so_far))
-        .withColumn("opens", opens)
-    )
-
-
-def _arrival(ends: Column) -> tuple[Column, Column]:
-    """Time and byte at which the chunk that ends a token had arrived."""
-    k = F.expr("size(filter(chunk_ends, e -> e < ends))")
-    return F.get("chunk_at", k), F.coalesce(F.get("chunk_ends", k), ends)
-
-
-def inspect(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signals, json_ld, marks) of responses (probe_id, html, chunk_ends array<bigint>, chunk_at array<double>).
-
-    Title, h1 and main text keep non-empty values only; the others keep empty ones. Chunks are cumulative byte ends.
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+class Page:
+    """Signals of one document as its chunks arrive.
+
+    `signals`, `blocks` and `marks` hold what has been found and was not yet taken; state() and Page(**state) carry the
+    rest over. A signal has the time of the chunk that completed it and all bytes up to that chunk's end.
     """
-    chunks = responses.select("probe_id", "chunk_ends", "chunk_at")
-    scoped = _scoped(tokens(responses.select("probe_id", "html"))).where(~F.col("hidden"))
-    inner = F.regexp_replace(F.regexp_replace("token", r"(?is)^<[^>]*>", ""), r"(?is)</[a-z]+\s*>\z", "")
-    meta_name = F.lower(F.trim(unescape(attribute("token", "name"))))
-    property_name = F.lower(F.trim(unescape(F.coalesce(attribute("token", "property"), attribute("token", "name")))))
-    content = clipped(unescape(attribute("token", "content")))
-    rel = F.split(F.lower(F.trim(attribute("token", "rel"))), r"\s+")
-    here = scoped.select("probe_id", "n", "token", "name", "opens", "ends", "location")
-    meta = here.where("name = 'meta' AND opens").select(
-        "probe_id", "n", "ends", "location", meta_name.alias("m"), property_name.alias("p"), content.alias("value")
-    ).where("value IS NOT NULL")
-    none = F.lit(None).cast("string")
-
-    def rows(frame: DataFrame, kind: Column | str, value: str = "value", prop: Column = none, audience: Column = none) -> DataFrame:
-        kind = F.lit(kind) if isinstance(kind, str) else kind
-        return frame.select(
-            "probe_id", "n", "ends", "location", kind.alias("kind"), prop.alias("property"), audience.alias("audience"), F.col(value).alias("value")
-        )
-
-    titles = here.where("name = 'title' AND opens").withColumn("value", clipped(unescape(inner))).where("value <> ''")
-    links = here.where("name = 'link' AND opens").where(F.array_contains(rel, "canonical"))
-    links = links.withColumn("value", clipped(unescape(attribute("token", "href")))).where("value IS NOT NULL")
-    text_run = (F.col("name") == "") & ~F.col("token").startswith("<!") & ~F.col("token").startswith("<?")
-    h1 = scoped.where(F.col("in_h1") | ((F.col("name") == "h1") & F.col("closing"))).groupBy("probe_id", "h1_n").agg(
-        F.min("n").alias("n"),
-        F.max("ends").alias("ends"),
-        F.min_by("location", "n").alias("location"),
-        F.expr("array_join(transform(array_sort(collect_list(CASE WHEN name = '' AND NOT token RLIKE '^<[!?]' THEN struct(n, token) END)), x -> x.token), '')").alias("raw"),
-    )
-    h1 = h1.withColumn("value", clipped(unescape("raw"))).where("value <> ''")
-    spoken = scoped.where(F.col("in_main") & text_run & ~F.col("muted")).where(F.trim(F.regexp_replace("token", r"\s+", "")) != "")
-    main = spoken.groupBy("probe_id").agg(
-        F.min("n").alias("n"),
-        F.min_by("ends", "n").alias("ends"),
-        F.min_by("location", "n").alias("location"),
-        F.expr(f"substring(array_join(transform(array_sort(collect_list(struct(n, substring(token, 1, {MAIN_RAW}) AS token))), x -> x.token), ' '), 1, {MAIN_RAW})").alias("raw"),
-    )
-    main = main.withColumn("value", F.substring(collapse(unescape("raw")), 1, MAIN_CHARS)).where("value <> ''")
-    found = (
-        rows(titles, "title")
-        .unionByName(rows(meta.where("m = 'description'"), "description"))
-        .unionByName(rows(meta.where("m IN ('robots', 'googlebot', 'bingbot')"), "robots", audience=F.col("m")))
-        .unionByName(rows(meta.where(F.col("p").isin(*SOCIAL)), "social", prop=F.col("p")))
-        .unionByName(rows(links, "canonical"))
-        .unionByName(rows(h1, "h1"))
-        .unionByName(rows(main, "main"))
-    )
-    at, byte = _arrival(F.col("ends"))
-    order = F.row_number().over(Window.partitionBy("probe_id", "kind", F.coalesce("property", F.lit(""))).orderBy("n"))
-    # documents are cut by probe already, so this join moves one narrow row a probe
-    signals = (
-        found.withColumn("ord", order)
-        .where(F.col("ord") <= SIGNAL_CAP)
-        .join(chunks, "probe_id")
-        .select("probe_id", "kind", "ord", "property", "audience", "value", "location", at.alias("at_ms"), byte.alias("observed_by_byte"))
-    )
-    kind = F.lower(F.trim(F.substring_index(attribute("token", "type"), ";", 1)))
-    blocks = here.where("name = 'script' AND opens").where(kind == "application/ld+json")
-    place = F.row_number().over(Window.partitionBy("probe_id").orderBy("n"))
-    blocks = blocks.withColumn("ord", place).where(F.col("ord") <= BLOCK_CAP + 1).withColumn("body", inner)
-    limit = F.when(F.col("ord") > BLOCK_CAP, "blocks").when(F.length("body") > BLOCK_CHARS, "size")
-    facts = blocks.withColumn("limit", limit).withColumn("facts", json_ld_facts(F.when(limit.isNull(), F.col("body")).otherwise("null")))
-    open_ = F.col("limit").isNull()
-    json_ld = facts.select(
-        "probe_id",
-        "ord",
-        F.when(open_, F.col("facts.valid")).alias("valid"),
-        F.when(open_, F.col("facts.types")).otherwise(F.array().cast("array<string>")).alias("types"),
-        F.octet_length("body").cast("bigint").alias("bytes"),
-        "limit",
-        F.when(open_, F.col("facts.error")).alias("error"),
-    )
-    mark = lambda cond: F.min(F.when(F.expr(cond), F.col("ends")))
-    marks = scoped.groupBy("probe_id").agg(
-        mark("name = 'body' AND opens").alias("body_start"),
-        mark("name = 'head' AND closing").alias("head_close"),
-        mark("name = 'html' AND closing").alias("document_close"),
-    )
-    return signals, json_ld, marks
+
+    def __init__(self, **state: object):
+        self.decoder, self.tokens = Decoder(**state.get("decoder", {})), Tokens(**state.get("tokens", {}))
+        # bytes so far; head and body open; depths of inert, main and silent elements; captures by element
+        self.read, self.inside, self.depth = state.get("read", 0), state.get("inside", {}), state.get("depth", {})
+        self.captures, self.counts = state.get("captures", {}), state.get("counts", {})
+        self.main = state.get("main")
+        self.signals: list[dict] = []
+        self.blocks: list[dict] = []
+        self.marks: dict[str, dict] = state.get("marks", {})
+
+    def state(self) -> dict:
+        keep = ("read", "inside", "depth", "captures", "counts", "main", "marks")
+        return {k: getattr(self, k) for k in keep} | {"decoder": self.decoder.state(), "tokens": self.tokens.state()}
+
+    def feed(self, data: bytes, at_ms: float, last: bool = False) -> None:
+        self.read += len(data)
+        at = max(0.0, at_ms) if at_ms is not None and abs(at_ms) < float("inf") else 0.0
+        for text, (at, read) in self.decoder.feed(data, (at, self.read), last):
+            self._events(text, {"at_ms": at, "observed_by_byte": read}, False)
+        if last:
+            mark = {"at_ms": at, "observed_by_byte": self.read}
+            self._events("", mark, True)
+            self._end_main()
+
+    def _events(self, text: str, mark: dict, last: bool) -> None:
+        for event, name, more in self.tokens.feed(text, last):
+            inert = any(self.depth.get(n) for n in _INERT)
+            if event == "text":
+                if not inert:
+                    self._text(more, mark)
+            elif name in _INERT:
+                self._step(name, 1 if event == "open" else -1)
+                if not inert and name in _SILENT and self.depth.get("main"):
+                    self._step("silent", 1 if event == "open" else -1)
+            elif not inert:
+                (self._opened if event == "open" else self._closed)(name, more, mark)
+
+    def _step(self, name: str, by: int) -> None:
+        self.depth[name] = max(0, self.depth.get(name, 0) + by)
+
+    def _location(self) -> str:
+        return next((n for n in ("head", "body") if self.inside.get(n)), "document")
+
+    def _signal(self, kind: str, value: str, mark: dict, location: str | None = None, prop: str | None = None, audience: str | None = None) -> None:
+        """Adds a signal unless its kind, or its social property, has its number already."""
+        key = prop or kind
+        n = self.counts.get(key, 0) + 1
+        if n > SIGNAL_CAP:
+            return
+        self.counts[key] = n
+        self.signals.append({"kind": kind, "ord": n, "property": prop, "audience": audience, "value": value, "location": location or self._location(), **mark})
+
+    def _opened(self, name: str, attributes: dict[str, str], mark: dict) -> None:
+        if name in ("head", "body"):
+            self.inside[name] = True
+            if name == "body":
+                self.marks.setdefault("body_start", mark)
+        if name in ("title", "h1") and name not in self.captures and self.counts.get(name, 0) < SIGNAL_CAP:
+            self.captures[name] = {"location": self._location(), "text": ""}
+        elif name == "meta" and "content" in attributes:
+            self._meta(attributes, mark)
+        elif name == "link" and "href" in attributes and "canonical" in attributes.get("rel", "").lower().split():
+            self._signal("canonical", tidy(attributes["href"]), mark)
+        elif name == "main":
+            self._step("main", 1)
+        if name in _SILENT and self.depth.get("main"):
+            self._step("silent", 1)
+        if name == "script" and attributes.get("type", "").split(";", 1)[0].strip().lower() == "application/ld+json":
+            self.captures["script"] = {"location": self._location(), "text": "", "bytes": 0, "cut": False}
+
+    def _meta(self, attributes: dict[str, str], mark: dict) -> None:
+        value = tidy(attributes["content"])
+        name, prop = (attributes.get(k, "").strip().lower() for k in ("name", "property"))
+        if name == "description":
+            self._signal("description", value, mark)
+        elif name in AUDIENCES:
+            self._signal("robots", value, mark, audience=name)
+        social = next((p for p in (prop, name) if p in SOCIAL), None)
+        if social:
+            self._signal("social", value, mark, prop=social)
+
+    def _text(self, text: str, mark: dict) -> None:
+        for name in ("title", "h1"):
+            if held := self.captures.get(name):
+                held["text"] = clip(held["text"] + text, VALUE_CHARS)
+        if held := self.captures.get("script"):
+            held["bytes"] += len(text.encode("utf-8", "replace"))
+            if self.counts.get("blocks", 0) < BLOCK_CAP:
+                held["cut"] = held["cut"] or len(held["text"]) + len(text) > BLOCK_CHARS
+                held["text"] = (held["text"] + text)[:BLOCK_CHARS]
+        if self.depth.get("main") and not self.depth.get("silent"):
+            if self.main is None and _SPACES.sub("", text):
+                self.main = {"text": "", "location": self._location(), **mark}
+            if self.main is not None and len(self.main["text"]) < MAIN_RAW:
+                self.main["text"] = clip(self.main["text"] + text, MAIN_RAW)
+
+    def _closed(self, name: str, written: bool, mark: dict) -> None:
+        held = self.captures.pop(name, None)
+        if held and name in ("title", "h1"):
+            if value := tidy(held["text"]):
+                self._signal(name, value, mark, held["location"])
+        elif held:
+            self._block(held, mark)
+        if name in _SILENT and self.depth.get("main"):
+            self._step("silent", -1)
+        if name == "main":
+            self._step("main", -1)
+        if name in ("head", "body"):
+            self.inside[name] = False
+        if name == "head" or (name == "html" and written):
+            self.marks.setdefault("head_close" if name == "head" else "document_close", mark)
+
+    def _block(self, held: dict, mark: dict) -> None:
+        n = self.counts["blocks"] = self.counts.get("blocks", 0) + 1
+        limit = "blocks" if n > BLOCK_CAP else "size" if held["cut"] else None
+        if n > BLOCK_CAP + 1:
+            return
+        found = {"ord": n, "valid": None, "types": [], "bytes": held["bytes"], "limit": limit, "error": None, "location": held["location"], **mark}
+        if limit is None:
+            try:
+                found |= {"valid": True, "types": json_types(json.loads(held["text"], parse_constant=_refuse))}
+            except (ValueError, RecursionError) as error:
+                found |= {"valid": False, "error": str(error)[:ERROR_CHARS]}
+        self.blocks.append(found)
+
+    def _end_main(self) -> None:
+        if self.main is not None and (value := tidy(self.main["text"], MAIN_CHARS)):
+            self._signal("main", value, {k: self.main[k] for k in ("at_ms", "observed_by_byte")}, self.main["location"])
+
+
+_ARROW = pa.schema([
+    ("probe_id", pa.string()),
+    ("signals", pa.list_(pa.struct([("kind", pa.string()), ("ord", pa.int32()), ("property", pa.string()), ("audience", pa.string()), ("value", pa.string()), ("location", pa.string()), ("at_ms", pa.float64()), ("observed_by_byte", pa.int64())]))),
+    ("json_ld", pa.list_(pa.struct([("ord", pa.int32()), ("valid", pa.bool_()), ("types", pa.list_(pa.string())), ("bytes", pa.int64()), ("limit", pa.string()), ("error", pa.string()), ("location", pa.string()), ("at_ms", pa.float64()), ("observed_by_byte", pa.int64())]))),
+    *((name, pa.struct([("at_ms", pa.float64()), ("observed_by_byte", pa.int64())])) for name in ("body_start", "head_close", "document_close")),
+])
+
+
+def inspect_page(body: bytes, charset: str | None, ends: list[int], times: list[float]) -> Page:
+    """A whole response, fed in chunks that end at `ends`."""
+    page, start = Page(decoder={"charset": charset}), 0
+    for end, at in zip(ends, times, strict=True):
+        if end > start:
+            page.feed(body[start:end], at)
+            start = end
+    page.feed(body[start:], times[-1] if times else 0.0, last=True)
+    return page
+
+
+def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one = partial(lambda k, c: batch.column(c)[k].as_py(), k)
+            page = inspect_page(one("body"), one("charset"), one("chunk_ends") or [], one("chunk_at") or [])
+            row = {"probe_id": one("probe_id"), "signals": page.signals, "json_ld": page.blocks} | {m: page.marks.get(m) for m in _ARROW.names[3:]}
+            yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+
+
+def inspected(responses: DataFrame) -> DataFrame:
+    """One row a document: probe_id, arrays signals and json_ld in order of appearance, and three marks.
+
+    `responses` has probe_id, chunk_ends (cumulative bytes, array<bigint>), chunk_at (array<double>), and body with charset, or
+    html. Responses without a body are left out. Title, h1 and main text keep non-empty values only; the others
+    keep empty ones.
+    """
+    if "html" in responses.columns:
+        responses = responses.withColumns({"body": F.encode("html", "UTF-8"), "charset": F.lit("utf-8")})
+    rows = responses.where("body IS NOT NULL").select("probe_id", "body", "charset", "chunk_ends", "chunk_at")
+    return rows.mapInArrow(_inspect, INSPECTED)
+
+
+def signals_of(documents: DataFrame) -> DataFrame:
+    """The signals of inspected documents, a row each."""
+    return documents.select("probe_id", F.inline("signals"))
+
+
+def json_ld_of(documents: DataFrame) -> DataFrame:
+    """The structured data of inspected documents, a row a block."""
+    return documents.select("probe_id", F.inline("json_ld"))
 
 
 def fixed_chunks(pages: DataFrame, size: int, step_ms: float = 1.0) -> DataFrame:

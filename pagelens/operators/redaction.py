@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from urllib.parse import quote, quote_plus
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 MASK = "[redacted]"
 
@@ -36,6 +38,12 @@ def redact(value: Column, secrets: list[str]) -> Column:
     return out
 
 
+def _struct_redactor(fields: list[StructField], secrets: list[str]) -> Callable[[Column], Column]:
+    """Masks the strings of a struct, but for the key and type of evidence entries."""
+    masked = lambda x, f: redact(x[f.name], secrets) if f.dataType.simpleString() == "string" and f.name not in ("k", "t") else x[f.name]
+    return lambda x: F.struct(*[masked(x, f).alias(f.name) for f in fields])
+
+
 def redact_table(df: DataFrame, secrets: list[str], columns: list[str]) -> DataFrame:
     """`df` with the listed string, array<string>, map and evidence columns masked; enumerations are left alone."""
     kinds, out = dict(df.dtypes), {}
@@ -48,7 +56,5 @@ def redact_table(df: DataFrame, secrets: list[str], columns: list[str]) -> DataF
         elif kind.startswith("map<string,string"):
             out[c] = F.transform_values(c, lambda _, v: redact(v, secrets))
         else:
-            names = [f.name for f in df.schema[c].dataType.elementType.fields]
-            texts = {f.name for f in df.schema[c].dataType.elementType.fields if f.dataType.simpleString() == "string"}
-            out[c] = F.transform(c, lambda x, names=names, texts=texts: F.struct(*[(redact(x[n], secrets) if n in texts and n not in ("k", "t") else x[n]).alias(n) for n in names]))
+            out[c] = F.transform(c, _struct_redactor(df.schema[c].dataType.elementType.fields, secrets))
     return df.withColumns(out)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
-from pagelens.functions.urls import is_http_url, url_plain, url_resolve
+from pagelens.functions.urls import are_http_urls, url_plain, urls_resolve
 from pagelens.operators.ingest import REDIRECTS
 from pagelens.schemas import EVIDENCE
 
@@ -101,23 +101,25 @@ def effective_twitter(field: str) -> Column:
     return F.col(f"t_{field}")
 
 
-def probe_facts(probes: DataFrame, signals: DataFrame, json_ld: DataFrame, targets: DataFrame, agents: DataFrame) -> DataFrame:
-    """One row a probe: its own columns, target and agent columns, signals and json_ld arrays in document order."""
-    base = probes.select("probe_id", F.coalesce("final_url", "requested_url").alias("base"))
-    urls = (F.col("kind") == "canonical") | F.col("property").isin(*URL_VALUED)
-    resolved = signals.join(base, "probe_id").withColumn("resolved", F.when(urls, url_resolve("base", "value")))
-    resolved = resolved.withColumn("absolute", F.when(F.col("property").isin(*URL_VALUED), is_http_url("value")))
-    item = F.struct("ord", "kind", "property", "audience", "value", "resolved", "absolute", "location", "at_ms", "observed_by_byte")
-    gathered = resolved.groupBy("probe_id").agg(F.array_sort(F.collect_list(item)).alias("signals"))
-    blocks = json_ld.groupBy("probe_id").agg(F.array_sort(F.collect_list(F.struct("ord", "valid", "limit", "error"))).alias("blocks"))
-    empty = lambda c, of: F.coalesce(F.col(c), F.filter(F.col(of), lambda _: F.lit(False)))
-    joined = probes.join(gathered, "probe_id", "left").join(blocks, "probe_id", "left")
-    joined = joined.join(targets.withColumnRenamed("id", "target_id"), "target_ord").join(agents.drop("agent"), "agent_ord")
-    none = "CAST(array() AS {})"
+def probe_facts(probes: DataFrame, documents: DataFrame, targets: DataFrame, agents: DataFrame) -> DataFrame:
+    """One row a probe: its own columns, target and agent columns, signals (URLs resolved) and blocks of structured data.
+
+    `documents` are inspected ones; a probe's is that of its document_id where there is such a column, else of its probe_id.
+    """
+    key = "document_id" if "document_id" in probes.columns else "probe_id"
+    found = documents.select(F.col("probe_id").alias(key), F.col("signals").alias("_signals"), F.col("json_ld").alias("_blocks"))
+    joined = probes.join(found, key, "left").join(targets.withColumnRenamed("id", "target_id"), "target_ord").join(agents.drop("agent"), "agent_ord")
     kinds = dict(joined.dtypes)
-    return joined.withColumn("signals", F.coalesce("signals", F.expr(none.format(kinds["signals"])))).withColumn(
-        "blocks", F.coalesce("blocks", F.expr(none.format(kinds["blocks"])))
+    joined = joined.withColumns({c: F.coalesce(c, F.expr(f"CAST(array() AS {kinds[c]})")) for c in ("_signals", "_blocks")})
+    url_valued = lambda s: (s["kind"] == "canonical") | F.coalesce(s["property"].isin(*URL_VALUED), F.lit(False))
+    refs = F.transform("_signals", lambda s: F.when(url_valued(s), s["value"]))
+    joined = joined.withColumn("_resolved", urls_resolve(F.coalesce("final_url", "requested_url"), refs)).withColumn("_absolute", are_http_urls(refs))
+    names = ("ord", "kind", "property", "audience", "value", "location", "at_ms", "observed_by_byte")
+    signals = F.transform(
+        "_signals",
+        lambda s, i: F.struct(*[s[n].alias(n) for n in names], F.get("_resolved", i).alias("resolved"), F.get("_absolute", i).alias("absolute")),
     )
+    return joined.withColumn("signals", signals).withColumnRenamed("_blocks", "blocks").drop("_signals", "_resolved", "_absolute")
 
 
 def _repeats(rule: int, kind: str, name: str, found: Column) -> Column:

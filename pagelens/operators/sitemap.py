@@ -2,58 +2,148 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
+from pagelens.functions.markup import Tokens
 from pagelens.functions.text import glob_pattern
-from pagelens.functions.urls import origin, url_decode
-from pagelens.operators.inspector import unescape
+from pagelens.functions.urls import absolute, url_decode
+
+# Budgets of documents and of page URLs.
+DOCUMENTS, URLS = 20, 100
+
+
+class SitemapError(ValueError):
+    """A sitemap that gives no targets."""
 
 
-@F.pandas_udf(BinaryType())
-def inflated(bodies):  # type: ignore[no-untyped-def]
-    """Gunzips what begins as gzip, to at most 50 MB; other content passes."""
-    import zlib
+def locs(xml: str) -> Iterator[tuple[str, str]]:
+    """("page" or "sitemap", location) for each loc right inside a url or sitemap element; prefixed names are not read."""
+    path: list[str] = []
+    text: str | None = None
+    for event, name, more in Tokens().feed(xml, last=True):
+        if event == "open":
+            text = "" if name == "loc" and path[-1:] in (["url"], ["sitemap"]) else text
+            path.append(name)
+        elif event == "text" and text is not None:
+            text += more
+        elif event == "close":
+            path.pop()
+            if name == "loc" and text is not None:
+                if found := " ".join(text.split()):
+                    yield ("page" if path[-1:] == ["url"] else "sitemap"), found
+                text = None
 
-    return bodies.map(lambda b: b if b is None or bytes(b[:2]) != b"\x1f\x8b" else zlib.decompressobj(31).decompress(bytes(b), 50 << 20))
+
+_LOCS = pa.schema([("source", pa.string()), ("kind", pa.string()), ("ord", pa.int64()), ("loc", pa.string())])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for source, xml in zip(batch.column("source").to_pylist(), batch.column("xml"), strict=True):
+            rows = [{"source": source, "kind": kind, "ord": k, "loc": loc} for k, (kind, loc) in enumerate(locs(xml.as_py() or ""))]
+            yield pa.RecordBatch.from_pylist(rows, schema=_LOCS)
 
 
 def locations(docs: DataFrame) -> DataFrame:
-    """(source, kind page or sitemap, ord, loc) of docs (source, xml); prefixed elements are not read."""
-    blocks = F.regexp_extract_all("xml", F.lit(r"(?s)<(?:url|sitemap)(?:\s[^>]*)?>.*?</(?:url|sitemap)\s*>"), F.lit(0))
-    each = docs.select("source", F.posexplode(blocks).alias("ord", "block"))
-    raw = F.regexp_extract("block", r"(?s)<loc(?:\s[^>]*)?>(.*?)</loc\s*>", 1)
-    plain = F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    kind = F.when(F.col("block").startswith("<sitemap"), "sitemap").otherwise("page")
-    return each.select("source", kind.alias("kind"), "ord", F.trim(F.regexp_replace(unescape(plain), r"\s+", " ")).alias("loc")).where("loc <> ''")
+    """(source, kind page or sitemap, ord, loc) of docs (source, xml)."""
+    return docs.select("source", "xml").mapInArrow(_read, "source string, kind string, ord bigint, loc string")
+
 
+@dataclass
+class Discovery:
+    """Page URLs in order of discovery, sitemaps read, whether a budget ended it, and what went wrong on the way."""
 
-def discover(docs: DataFrame, root: str, documents: int = 20, urls: int = 100) -> DataFrame:
-    """(loc, ord) of the pages reachable from `root` over the captured sitemap documents `docs` (source, xml).
+    urls: list[str] = field(default_factory=list)
+    sitemaps: list[str] = field(default_factory=list)
+    truncated: bool = False
+    errors: list[str] = field(default_factory=list)
 
-    Index entries are followed breadth first, on the root's origin only when the root is remote, until the document
-    budget is spent; locations are distinct in order of discovery and end at the URL budget.
+
+def _page_url(text: str) -> str | None:
+    found = absolute(None, text)
+    return found if found and found.startswith(("http://", "https://")) and "@" not in found.split("/")[2] else None
+
+
+def captured(docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A reader for discover() over sitemap documents that are there already (source, xml)."""
+    return lambda sources: sources.join(docs.select("source", "xml"), "source", "left").withColumn("error", F.when(F.col("xml").isNull(), "it is not there"))
+
+
+def discover(
+    docs: DataFrame | Callable[[DataFrame], DataFrame], root: str, documents: int = DOCUMENTS, urls: int = URLS,
+    include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), spark: SparkSession | None = None,
+) -> Discovery:
+    """The pages reachable from `root`, breadth first, over documents (source, xml) or a reader of sources.
+
+    Index entries are followed on the root's origin only where the root is remote. Entries seen before, foreign ones and
+    paths that the patterns leave out cost nothing of the budgets of documents and page URLs. A root that
+    can't be read, and a discovery without a page, is an error; other documents that can't are told in `errors`. The budgets
+    bound what comes to the driver: a level of at most `documents` entries, each told as locations in document order.
     """
-    spark = docs.sparkSession
-    found = locations(docs).select("source", "kind", "ord", "loc")
-    host = root.split("/")[2] if "://" in root else None
-    level = spark.createDataFrame([(root, "0")], "source string, place string")
-    seen, pages, spent = {root}, None, 0
-    while spent < documents:
-        reached = found.join(F.broadcast(level), "source").withColumn("at", F.concat_ws(".", "place", F.lpad(F.col("ord").cast("string"), 6, "0")))
-        spent += len(level.take(documents))
-        part = reached.where("kind = 'page'").select("loc", "at")
-        pages = part if pages is None else pages.unionByName(part)
-        nested = reached.where("kind = 'sitemap'").select("loc", "at").orderBy("at").limit(documents).collect()
-        fresh = [(r["loc"], r["at"]) for r in nested if r["loc"] not in seen and (host is None or r["loc"].split("/")[2:3] == [host])]
-        fresh = fresh[: documents - spent]
-        if not fresh:
+    if documents < 1 or urls < 1:
+        raise SitemapError("budgets are positive")
+    if isinstance(docs, DataFrame):
+        spark, read = docs.sparkSession, captured(docs)
+    else:
+        read = docs
+    site = "/".join(root.split("/")[:3]).lower() if root.startswith(("http://", "https://")) else None
+    found, level, queued, seen, pages = Discovery(), [root], {root}, set(), set()
+    keep = [re.compile(glob_pattern(g)) for g in include]
+    drop = [re.compile(glob_pattern(g)) for g in exclude]
+    while level:
+        room = documents - len(seen)
+        if room <= 0 or len(found.urls) >= urls:
+            found.truncated = True
             break
-        seen |= {x for x, _ in fresh}
-        level = spark.createDataFrame(fresh, "source string, place string")
-    first = pages.groupBy("loc").agg(F.min("at").alias("at")).orderBy("at").limit(urls)
-    return first.select("loc", F.row_number().over(Window.orderBy("at")).alias("ord"))
+        now, later, following = level[:room], level[room:], []
+        got = read(spark.createDataFrame([(s,) for s in now], "source string")).select("source", "xml", "error").persist()
+        failed = {r.source: r.error for r in got.where("error IS NOT NULL").select("source", "error").collect()}
+        if root in failed:
+            raise SitemapError(f"{root}: {failed[root]}")
+        order = {s: k for k, s in enumerate(now)}
+        rank = F.create_map(*[x for s, k in order.items() for x in (F.lit(s), F.lit(k))])[F.col("source")]
+        # one location at a time: a document may list very many
+        nested = {s: [] for s in now}
+        for r in locations(got.where("error IS NULL")).withColumn("rank", rank).orderBy("rank", "ord").toLocalIterator():
+            url = _page_url(r.loc)
+            if url is None:
+                continue
+            if r.kind == "sitemap":
+                nested[r.source].append(url)
+            elif url not in pages and not found.truncated:
+                pages.add(url)
+                path = "/" + url.split("/", 3)[3].partition("?")[0]
+                if (keep and not any(g.search(path) for g in keep)) or any(g.search(path) for g in drop):
+                    continue
+                if len(found.urls) >= urls:
+                    found.truncated = True
+                else:
+                    found.urls.append(url)
+        got.unpersist()
+        for s in now:
+            seen.add(s)
+            if s in failed:
+                found.errors.append(f"{s}: {failed[s]}")
+                continue
+            found.sitemaps.append(s)
+            for url in nested[s]:
+                if url in queued:
+                    continue
+                if site is not None and "/".join(url.split("/")[:3]).lower() != site:
+                    found.errors.append(f"{url} is a nested sitemap of another origin")
+                    continue
+                queued.add(url)
+                following.append(url)
+        level = later + following
+    if not found.urls:
+        raise SitemapError(f"{root} gives no page URL")
+    return found
 
 
 def path_filtered(urls: DataFrame, include: list[str], exclude: list[str], column: str = "url") -> DataFrame:
@@ -103,6 +193,3 @@ def conflicting_targets(targets: DataFrame, contract: list[str]) -> DataFrame:
     """URLs that are listed twice with different contracts."""
     return targets.groupBy("url").agg(F.count_distinct(F.to_json(F.struct(*contract))).alias("n")).where("n > 1").select("url")
 
-
-def same_origin(url: Column, root: str) -> Column:
-    return origin(url) == "/".join(root.lower().split("/")[:3])

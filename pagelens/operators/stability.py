@@ -70,7 +70,11 @@ def stability(facts: DataFrame) -> DataFrame:
     stats = []
     for m in ("headers_ms", "first_byte_ms", "complete_ms", "required_ms"):
         v = F.when((F.col(m) >= 0) & (F.col(m) < float("inf")), F.col(m))
-        stats += [F.struct(F.count(v).alias("n"), F.min(v).alias("min"), F.median(v).alias("median"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("spread")).alias(m)]
+        # nearest rank: the least value that so many are not above
+        p95 = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY t_{m})")
+        rows = rows.withColumn(f"t_{m}", v)
+        v = F.col(f"t_{m}")
+        stats += [F.struct(F.count(v).alias("n"), F.min(v).alias("min"), F.median(v).alias("median"), p95.alias("p95"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("spread")).alias(m)]
     return rows.groupBy("target_ord", "agent_ord", "agent").agg(
         F.first("url").alias("url"), F.count("*").alias("samples"), F.count_if(F.col("completion") == "complete").alias("completeSamples"), *counts, *stats
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as T
 from pagelens.operators import compare, findings, redaction, robots, rules, sitemap, stability, waivers
 from pagelens.operators import ingest
-from pagelens.operators.inspector import fixed_chunks, inspect
+from pagelens.operators.inspector import fixed_chunks, inspected, signals_of
 from pagelens.plans.derived import FINDINGS_SQL, PROBES_SQL, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,13 +47,11 @@ _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1))"
 def signals_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, headings and missing descriptions by host, from the raw pages."""
     pages = _read(spark, sf_dir, "pages").withColumn("probe_id", F.col("page_id").cast("string"))
-    signals, _, _ = inspect(fixed_chunks(pages.select("probe_id", "html"), 1024))
-    has = lambda k: F.count_if(F.col("kind") == k) > 0
-    kinds = signals.groupBy("probe_id").agg(*[has(k).alias(k) for k in ("title", "h1", "description")])
+    documents = inspected(fixed_chunks(pages.select("probe_id", "html"), 1024)).select("probe_id", "signals")
     host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1))
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    return pages.join(kinds, "probe_id", "left").groupBy(host.alias("host")).agg(
-        F.count("*").alias("pages"), F.count_if(yes("title")).alias("titles"), F.count_if(yes("h1")).alias("headings"), F.count_if(~yes("description")).alias("without_description")
+    has = lambda k: F.coalesce(F.exists("signals", lambda s: s["kind"] == k), F.lit(False))
+    return pages.select("probe_id", host.alias("host")).join(documents, "probe_id", "left").groupBy("host").agg(
+        F.count("*").alias("pages"), F.count_if(has("title")).alias("titles"), F.count_if(has("h1")).alias("headings"), F.count_if(~has("description")).alias("without_description")
     )
 
 
@@ -67,7 +65,7 @@ def _signal_sql(kind: str, value: str, close: str) -> str:
 def inspector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and headings with place and byte of arrival, in chunks of 1024 bytes."""
     pages = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("probe_id"), "html")
-    signals, _, _ = inspect(fixed_chunks(pages, 1024))
+    signals = signals_of(inspected(fixed_chunks(pages, 1024)))
     return signals.where("kind IN ('title', 'h1')").select(F.col("probe_id").cast("bigint").alias("page_id"), "kind", "value", "location", "observed_by_byte")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.operators.inspector import fixed_chunks, inspect
+from pagelens.operators.inspector import fixed_chunks, inspected, json_ld_of, signals_of
 from pagelens.operators.rules import probe_facts
 
 _CASES = (
@@ -24,7 +24,7 @@ HTML = f"replace(html, '</head>', concat({INJECTED}, '</head>'))"
 
 
 def tables(spark: SparkSession, sf_dir: str, chunk: int = 1024) -> dict[str, DataFrame]:
-    """pages, agents, targets, probes, signals, json_ld and facts, for two agents and one sample a page."""
+    """pages, agents, targets, probes, documents, signals, json_ld and facts, for two agents and one sample a page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id", "url", f"{HTML} AS html")
     agents = spark.createDataFrame(
         [(0, "browser", "Browser", "Mozilla/5.0", False), (1, "bingbot", "Bingbot", "Mozilla/5.0 (compatible; bingbot/2.0)", True)],
@@ -38,7 +38,7 @@ def tables(spark: SparkSession, sf_dir: str, chunk: int = 1024) -> dict[str, Dat
     )
     each = pages.select("page_id", "url").crossJoin(F.broadcast(agents.select("agent_ord", "agent")))
     probes = each.selectExpr(
-        "concat(page_id, '/', agent_ord, '/1') AS probe_id", "cast(page_id AS int) AS target_ord", "agent_ord", "agent", "1 AS sample",
+        "concat(page_id, '/', agent_ord, '/1') AS probe_id", "cast(page_id AS string) AS document_id", "cast(page_id AS int) AS target_ord", "agent_ord", "agent", "1 AS sample",
         "url AS requested_url", "CASE WHEN page_id % 17 = 0 AND agent_ord = 1 THEN 'https://other.example.net/moved' ELSE url END AS final_url",
         "CASE WHEN page_id % 9 = 0 THEN 500 ELSE 200 END AS status", "CASE WHEN page_id % 13 = 0 THEN 'timeout' ELSE 'complete' END AS completion",
         "CAST(NULL AS string) AS error", "page_id * 10 AS bytes_read", "sha2(concat(page_id, agent_ord), 256) AS body_sha256",
@@ -48,12 +48,9 @@ def tables(spark: SparkSession, sf_dir: str, chunk: int = 1024) -> dict[str, Dat
         "CAST(page_id AS double) AS headers_ms", "CAST(page_id * 7 % 1000 AS double) AS first_byte_ms", "CAST(page_id * 9 % 2000 AS double) AS complete_ms",
     )
     # both agents get the same document, so it is inspected once a page
-    signals, json_ld, marks = inspect(fixed_chunks(pages.selectExpr("cast(page_id AS string) AS probe_id", "html"), chunk))
-    ids = probes.select(F.col("probe_id").alias("_id"), F.substring_index("probe_id", "/", 1).alias("probe_id"))
-    spread = lambda df: df.join(ids, "probe_id").drop("probe_id").withColumnRenamed("_id", "probe_id")
-    signals, json_ld = spread(signals), spread(json_ld)
-    facts = probe_facts(probes, signals, json_ld, targets, agents)
-    return {"pages": pages, "agents": agents, "targets": targets, "probes": probes, "signals": signals, "json_ld": json_ld, "marks": marks, "facts": facts}
+    documents = inspected(fixed_chunks(pages.selectExpr("cast(page_id AS string) AS probe_id", "html"), chunk))
+    facts = probe_facts(probes, documents, targets, agents)
+    return {"pages": pages, "agents": agents, "targets": targets, "probes": probes, "documents": documents, "signals": signals_of(documents), "json_ld": json_ld_of(documents), "facts": facts}
 
 
 #: DuckDB: agents, and for each rule of a single probe the condition under which it fires and its severity.

@@ -12,7 +12,8 @@ PROBES = f"""probe_id string, target_ord int, agent_ord int, agent string, sampl
 SIGNALS = """probe_id string, kind string, ord int, property string, audience string, value string, location string,
  at_ms double, observed_by_byte bigint"""
 
-JSON_LD = "probe_id string, ord int, valid boolean, types array<string>, bytes bigint, limit string, error string"
+JSON_LD = """probe_id string, ord int, valid boolean, types array<string>, bytes bigint, limit string, error string, location string,
+ at_ms double, observed_by_byte bigint"""
 
 TARGETS = """target_ord int, id string, url string, statuses array<int>, expected_final_url string, require_title boolean,
  require_description boolean, require_canonical boolean, require_h1 boolean, require_main_text boolean,

@@ -1,17 +1,41 @@
-"""Report formats. Line formats are columns and scale with the findings; documents hold every row and pass through the driver."""
+"""Report formats as streams of text.
+
+What belongs to a row is rendered by Spark as a column of text; a document is its head, those texts in order and its
+foot. The driver takes one partition of texts at a time, so no document is held whole and none is cut.
+"""
 
 from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
+from pagelens.operators import findings as fin
+from pagelens.operators.explain import explained
 from pagelens.operators.findings import rank
 
 STABLE_EVIDENCE = ("audience", "completion", "fields", "property")
+#: Next steps shown in the terminal and in HTML, and signal arrivals of a target in HTML.
+STEPS, HTML_STEPS, ARRIVALS = 5, 6, 60
+
+
+def _texts(frame: DataFrame, *order: Column | str) -> Iterator[str]:
+    """The column value of a frame, in order."""
+    for row in frame.orderBy(*order).select("value").toLocalIterator():
+        yield row.value
+
+
+def _joined(texts: Iterator[str], between: str) -> Iterator[str]:
+    for k, text in enumerate(texts):
+        yield between + text if k else text
+
+
+def _severity_order() -> list:
+    return [rank("severity"), "code", "url", F.asc_nulls_first("agent"), "sample", "probe_ord", "within"]
 
 
 def fingerprint() -> Column:
@@ -21,6 +45,12 @@ def fingerprint() -> Column:
     return F.sha2(F.to_json(parts), 256)
 
 
+def evidence_json(evidence: Column | str = "evidence") -> Column:
+    """Evidence as one JSON object in its order; numbers and booleans without quotes."""
+    entry = lambda e: F.concat(T.json_string(e["k"]), F.lit(":"), F.when(e["t"] == "string", T.json_string(e["v"])).otherwise(e["v"]))
+    return F.concat(F.lit("{"), F.array_join(F.transform(evidence, entry), ","), F.lit("}"))
+
+
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """rule_id, level (of the gravest), results, urls."""
     level = F.element_at(F.array(F.lit("error"), F.lit("warning"), F.lit("note")), F.min(rank("severity")) + 1)
@@ -28,16 +58,26 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def github_lines(findings: DataFrame) -> DataFrame:
+    """The findings with value, an annotation each."""
     level = F.when(F.col("severity") == "info", "notice").otherwise(F.col("severity"))
     where = F.coalesce(F.concat(F.lit(" ("), "agent", F.lit(")")), F.lit(""))
-    return findings.select(F.format_string("::%s title=%s::%s %s%s", level, T.annotation_text(F.col("code")), T.annotation_text(F.col("message")), T.annotation_text(F.col("url")), where).alias("value"))
+    line = F.format_string("::%s title=%s::%s %s%s", level, T.annotation_property(F.col("code")), T.annotation_text(F.col("message")), T.annotation_text(F.col("url")), T.annotation_text(where))
+    return findings.withColumn("value", F.concat(line, F.lit("\n")))
+
+
+def github_document(findings: DataFrame) -> Iterator[str]:
+    return _texts(github_lines(findings), "target_ord", "sample", "probe_ord", "rule_ord", "within")
 
 
 def markdown_lines(findings: DataFrame) -> DataFrame:
     cell = lambda c: T.markdown_cell(F.coalesce(F.col(c), F.lit("")))
-    return findings.orderBy(rank("severity"), "code", "url", "agent").select(
-        F.format_string("| %s | %s | %s | %s | %s |", cell("severity"), cell("code"), cell("url"), cell("agent"), cell("message")).alias("value")
-    )
+    return findings.withColumn("value", F.format_string("| %s | %s | %s | %s | %s |\n", *map(cell, ("severity", "code", "url", "agent", "message"))))
+
+
+def markdown_document(summary: DataFrame, findings: DataFrame) -> Iterator[str]:
+    s = summary.first()
+    yield f"## {s.errors} errors, {s.warnings} warnings, {s.info} notes\n\n| Severity | Code | URL | Agent | Message |\n| --- | --- | --- | --- | --- |\n"
+    yield from _texts(markdown_lines(findings), *_severity_order())
 
 
 def write_json(findings: DataFrame, path: str) -> None:
@@ -45,86 +85,138 @@ def write_json(findings: DataFrame, path: str) -> None:
     findings.write.json(path)
 
 
-def _rows(frame: DataFrame, order: list) -> list[dict]:
-    return [r.asDict(recursive=True) for r in frame.orderBy(*order).collect()]
-
-
-def _ordered(findings: DataFrame) -> list[dict]:
-    return _rows(findings, [rank("severity"), "code", "url", "agent"])
-
-
-def json_document(summary: DataFrame, findings: DataFrame) -> str:
-    """A byte-stable document: sorted keys, two blanks, a final newline."""
-    body = {"summary": summary.first().asDict(), "findings": _ordered(findings)}
-    return json.dumps(body, sort_keys=True, indent=2, ensure_ascii=False) + "\n"
-
-
-def sarif_document(findings: DataFrame, tool: str = "pagelens") -> str:
-    marked = findings.withColumn("fingerprint", fingerprint())
-    rules = [{"id": r["rule_id"], "defaultConfiguration": {"level": r["level"]}} for r in _rows(sarif_rules(findings), ["rule_id"])]
-    results = [
-        {
-            "ruleId": f["code"],
-            "level": "note" if f["severity"] == "info" else f["severity"],
-            "message": {"text": f["message"]},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": f["url"]}}}],
-            "partialFingerprints": {"finding/v1": f["fingerprint"]},
-        }
-        for f in _ordered(marked)
+def json_document(out: dict[str, DataFrame], summary: dict, head: dict) -> Iterator[str]:
+    """A byte-stable report that can be read back: keys in order, a row a line, a final newline."""
+    yield "{\n"
+    for key, value in sorted((head | {"summary": summary}).items()):
+        yield f"  {json.dumps(key)}: {json.dumps(value, sort_keys=True)},\n"
+    names = [n for n in ("findings", "json_ld", "probes", "signals", "targets", "waived") if n in out]
+    for k, name in enumerate(names):
+        yield f"  {json.dumps(name)}: [\n"
+        frame = out[name]
+        kept = sorted(frame.columns)
+        rows = frame.select(F.to_json(F.struct(*kept), {"ignoreNullFields": "true"}).alias("value"), *[F.col(c).alias(f"_{c}") for c in kept if frame.schema[c].dataType.typeName() not in ("map",)])
+        order = [c for c in ("target_ord", "sample", "probe_ord", "agent_ord", "rule_ord", "within", "probe_id", "kind", "property", "ord") if c in kept]
+        yield from _joined(("    " + x for x in _texts(rows, *[F.asc_nulls_first(f"_{c}") for c in order], "value")), ",\n")
+        yield "\n  ]" + (",\n" if k + 1 < len(names) else "\n")
+    yield "}\n"
+
+
+def sarif_document(findings: DataFrame, tool: str = "pagelens") -> Iterator[str]:
+    """Rules of the codes, then a result a finding."""
+    named = explained(findings)
+    titles = {r.code: (r.title, r.remedy) for r in named.groupBy("code").agg(F.min("title").alias("title"), F.min("remedy").alias("remedy")).collect()}
+    rules = [
+        {"id": r.rule_id, "shortDescription": {"text": titles[r.rule_id][0]}, "help": {"text": titles[r.rule_id][1]}, "defaultConfiguration": {"level": r.level}}
+        for r in sarif_rules(findings).orderBy("rule_id").collect()
     ]
-    run = {"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}, indent=2) + "\n"
-
-
-def junit_document(probes: DataFrame, findings: DataFrame) -> str:
-    """A case for each probe and one for each target; errors win over failures, notes go to the output."""
-    own = findings.select("target_ord", "agent", "severity", "code", "message", F.col("sample").alias("s"))
-    cases = probes.select("target_ord", "agent", "sample").unionByName(
-        probes.select("target_ord").distinct().select("target_ord", F.lit(None).cast("string").alias("agent"), F.lit(0).alias("sample"))
-    )
-    near = (cases["target_ord"] == own["target_ord"]) & cases["agent"].eqNullSafe(own["agent"]) & ((cases["sample"] == 0) | (own["s"] == cases["sample"]) | (own["s"] >= 1 << 20))
-    grouped = cases.join(own, near, "left").groupBy(cases["target_ord"], cases["agent"], cases["sample"]).agg(
-        F.array_sort(F.collect_list(F.struct("severity", "code", "message"))).alias("found")
+    level = F.when(F.col("severity") == "info", "note").otherwise(F.col("severity"))
+    result = F.struct(
+        F.col("code").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
+        F.array(F.struct(F.struct(F.struct(F.col("url").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))).alias("locations"),
+        F.struct(fingerprint().alias("finding/v1")).alias("partialFingerprints"),
+    )
+    driver = json.dumps({"driver": {"name": tool, "rules": rules}})
+    yield f'{{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{{"tool": {driver}, "results": [\n'
+    yield from _joined(_texts(findings.withColumn("value", F.to_json(result)), *_severity_order()), ",\n")
+    yield "\n]}]}\n"
+
+
+def _element(found: Column) -> Column:
+    """The failing element of a case for findings (rank, code, message, agent, evidence), or nothing."""
+    first = found[0]
+    tag = F.when(first["rank"] == 0, "error").otherwise("failure")
+    line = lambda f: F.concat_ws("\n", F.concat(f["code"], F.lit(": "), f["message"]), F.concat(F.lit("agent: "), f["agent"]), F.concat(F.lit("evidence: "), f["evidence"]))
+    body = F.array_join(F.transform(found, line), "\n\n")
+    return F.when(F.size(found) == 0, "").otherwise(
+        F.format_string('<%s type="%s" message="%s">%s</%s>', tag, T.xml_text(first["code"]), T.xml_text(first["message"]), T.xml_text(body), tag)
     )
-    out, totals = [], {"tests": 0, "errors": 0, "failures": 0}
-    for c in _rows(grouped, ["target_ord", F.asc_nulls_first("agent"), "sample"]):
-        real = [f for f in c["found"] if f["code"]]
-        text = lambda s, real=real: html.escape("\n".join(f"{f['code']}: {f['message']}" for f in real if f["severity"] == s))
-        kinds, totals["tests"] = {f["severity"] for f in real}, totals["tests"] + 1
-        inner = ""
-        if "error" in kinds:
-            totals["errors"] += 1
-            inner = f"<error>{text('error')}</error>"
-        elif "warning" in kinds:
-            totals["failures"] += 1
-            inner = f"<failure>{text('warning')}</failure>"
-        inner += f"<system-out>{text('info')}</system-out>" if "info" in kinds else ""
-        name = f"{c['agent']} #{c['sample']}" if c["agent"] else "target"
-        out.append(f'  <testcase classname="{c["target_ord"]}" name="{html.escape(name)}">{inner}</testcase>')
-    head = " ".join(f'{k}="{v}"' for k, v in totals.items())
-    return f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuite name="pagelens" {head}>\n' + "\n".join(out) + "\n</testsuite>\n"
-
-
-def markdown_document(summary: DataFrame, findings: DataFrame) -> str:
-    s = summary.first()
-    head = f"## {s.errors} errors, {s.warnings} warnings, {s.info} notes\n\n| Severity | Code | URL | Agent | Message |\n| --- | --- | --- | --- | --- |\n"
-    return head + "\n".join(r.value for r in markdown_lines(findings).collect()) + "\n"
-
-
-def terminal_document(summary: DataFrame, findings: DataFrame, steps: DataFrame) -> str:
-    s = summary.first()
-    lines = [f"{s.targets} targets, {s.probes} probes: {s.errors} errors, {s.warnings} warnings, {s.info} notes, {s.waived} waived"]
-    lines += [f"  {f['severity']:8} {f['code']:32} {f['agent'] or '-':12} {f['url']}" for f in _ordered(findings)]
-    lines += ["Next:"] + [f"  {r.title} ({r.occurrences})" for r in steps.limit(5).collect()]
-    return "".join(c if c.isprintable() or c == "\n" else "?" for c in "\n".join(lines)) + "\n"
 
 
-def html_document(summary: DataFrame, findings: DataFrame, steps: DataFrame, title: str = "Page delivery") -> str:
-    s, e = summary.first().asDict(), html.escape
-    totals = "".join(f"<li>{e(k)}: {v}</li>" for k, v in s.items())
-    rows = "".join(f"<tr class={f['severity']}><td>{e(f['severity'])}<td>{e(f['code'])}<td>{e(f['url'])}<td>{e(f['agent'] or '')}<td>{e(f['message'])}</tr>" for f in _ordered(findings))
-    todo = "".join(f"<li>{e(r.title)} ({r.occurrences})</li>" for r in steps.limit(6).collect())
-    return f"<!doctype html><meta charset=utf-8><title>{e(title)}</title><h1>{e(title)}</h1><ul>{totals}</ul><ol>{todo}</ol><table>{rows}</table>\n"
+def junit_cases(probes: DataFrame, findings: DataFrame) -> DataFrame:
+    """(target_ord, agent_ord, sample, value, grave): a case for each probe, and one for findings of a target as a whole.
+
+    A finding belongs to the probes of its agent whose samples it names, or to all of them where it names none; grave is 0 with
+    an error, 1 with a warning, else null.
+    """
+    numbers = F.get(F.filter("evidence", lambda e: e["k"] == "sampleNumbers"), 0)["v"]
+    samples = F.when(numbers.isNotNull(), F.split(numbers, ",").cast("array<int>")).when(F.col("sample") < 1 << 20, F.array("sample"))
+    shown = F.struct(rank("severity").alias("rank"), "rule_ord", "within", "code", "message", "agent", evidence_json().alias("evidence")).alias("f")
+    graver = findings.where("severity <> 'info'").select("target_ord", F.col("agent").alias("case_agent"), samples.alias("samples"), shown)
+    asked = probes.select("target_ord", "agent_ord", "agent", "sample", F.coalesce("complete_ms", "first_byte_ms").alias("ms"))
+    near = (F.col("c.target_ord") == F.col("f.target_ord")) & (F.col("c.agent") == F.col("f.case_agent")) & (F.col("f.samples").isNull() | F.array_contains("f.samples", F.col("c.sample")))
+    found = lambda c: F.filter(F.array_sort(F.collect_list(c)), lambda f: f["code"].isNotNull()).alias("found")
+    own = asked.alias("c").join(graver.alias("f"), near, "left").groupBy("c.target_ord", "c.agent_ord", "c.agent", "c.sample", "c.ms").agg(found("f.f"))
+    whole = graver.where("case_agent IS NULL").groupBy("target_ord").agg(found("f"))
+    whole = whole.select("target_ord", F.lit(1 << 20).alias("agent_ord"), F.lit("target").alias("agent"), F.lit(0).alias("sample"), F.lit(None).cast("double").alias("ms"), "found")
+    several = probes.agg(F.max("sample")).first()[0] or 1
+    name = F.when((F.col("agent_ord") == 1 << 20) | (F.lit(several) == 1), F.col("agent")).otherwise(F.concat("agent", F.lit("#"), "sample"))
+    case = F.format_string('    <testcase classname="%s" name="%s" time="%.3f">%s</testcase>\n', "place", T.xml_text(name), F.coalesce("ms", F.lit(0.0)) / 1000, _element(F.col("found")))
+    every = own.unionByName(whole).withColumn("place", F.concat(F.lit("target "), "target_ord"))
+    return every.select("target_ord", "agent_ord", "sample", case.alias("value"), F.get("found", 0)["rank"].alias("grave"))
+
+
+def junit_document(probes: DataFrame, findings: DataFrame, targets: DataFrame, summary: dict) -> Iterator[str]:
+    """A suite a target; totals are counted over all cases."""
+    cases = junit_cases(probes, findings)
+    counts = [F.count("*").alias("tests"), F.count_if(F.col("grave") == 1).alias("failures"), F.count_if(F.col("grave") == 0).alias("errors")]
+    total = cases.agg(*counts).first()
+    head = lambda r: f'tests="{r.tests}" failures="{r.failures}" errors="{r.errors}" skipped="0"'
+    yield f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites name="pagelens" {head(total)}>\n  <properties>\n'
+    yield "".join(f'    <property name="{k}" value="{summary[k]}"/>\n' for k in ("waived", "incomplete"))
+    yield "  </properties>\n"
+    opens = cases.groupBy("target_ord").agg(*counts).join(targets.select("target_ord", "url"), "target_ord").select(
+        "target_ord", F.lit(-1).alias("agent_ord"), F.lit(0).alias("sample"),
+        F.format_string('  <testsuite name="%s" tests="%d" failures="%d" errors="%d" skipped="0">\n', T.xml_text(F.col("url")), "tests", "failures", "errors").alias("value"),
+    )
+    notes = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == "info", F.struct("sample", "probe_ord", "rule_ord", "within", F.concat("code", F.lit(": "), "message").alias("t"))))), lambda x: x["t"]), "\n")
+    closes = cases.select("target_ord").distinct().join(findings.groupBy("target_ord").agg(notes.alias("notes")), "target_ord", "left").select(
+        "target_ord", F.lit(1 << 21).alias("agent_ord"), F.lit(0).alias("sample"),
+        F.concat(F.when(F.col("notes") != "", F.concat(F.lit("    <system-out>"), T.xml_text(F.col("notes")), F.lit("</system-out>\n"))).otherwise(""), F.lit("  </testsuite>\n")).alias("value"),
+    )
+    yield from _texts(opens.unionByName(cases.drop("grave")).unionByName(closes), "target_ord", "agent_ord", "sample")
+    yield "</testsuites>\n"
+
+
+def _signal_text(kind: str) -> Column:
+    s = F.get(F.filter("signals", lambda s: s["kind"] == kind), 0)
+    return F.when(s.isNull(), "-").otherwise(F.concat(T.milliseconds(s["at_ms"]), F.lit("/"), s["location"]))
+
+
+def terminal_document(out: dict[str, DataFrame], summary: dict) -> Iterator[str]:
+    """Targets with their probes, link previews, stability and findings, then what to do next; control characters are masked."""
+    s = summary
+    yield f"{s['targets']} targets, {s['probes']} probes: {s['errors']} errors, {s['warnings']} warnings, {s['info']} notes, {s['waived']} waived\n"
+    sections = [out["targets"].select("target_ord", F.lit(0).alias("part"), F.lit("").alias("place"), F.col("url").alias("value"))]
+    line = lambda *cells: F.concat(F.lit("  "), *[F.rpad(F.coalesce(c.cast("string"), F.lit("-")), n, " ") for c, n in cells])
+    place = F.format_string("%06d/%04d", "agent_ord", "sample")
+    if "facts" in out:
+        from pagelens.operators.timeline import readiness
+
+        row = line(
+            (F.col("sample"), 3), (F.substring("label", 1, 24), 18), (F.col("status"), 5), (F.col("completion"), 20), (T.milliseconds(F.col("first_byte_ms")), 10),
+            (T.milliseconds(F.col("complete_ms")), 10), *((_signal_text(k), 18) for k in ("title", "description", "canonical", "main")),
+        )
+        sections.append(out["facts"].select("target_ord", F.lit(1).alias("part"), place.alias("place"), row.alias("value")))
+        social = out["facts"].where("open_graph OR twitter_card").select("target_ord", "agent_ord", "sample", "label")
+        ready = readiness(out["facts"]).join(social, ["target_ord", "agent_ord", "sample"])
+        sections.append(ready.select("target_ord", F.lit(2).alias("part"), place.alias("place"), line((F.col("sample"), 3), (F.col("label"), 18), (F.concat(F.lit("preview "), "open_graph"), 26), (F.concat(F.lit("card "), "twitter_card"), 26)).alias("value")))
+    if "stability" in out and s["repeat"] > 1:
+        timing = [(F.concat(F.lit(f"{m} "), T.milliseconds(F.col(f"{m}.median")), F.lit(" p95 "), T.milliseconds(F.col(f"{m}.p95"))), 34) for m in ("first_byte_ms", "complete_ms", "required_ms")]
+        sections.append(out["stability"].select("target_ord", F.lit(3).alias("part"), F.format_string("%06d", "agent_ord").alias("place"), line((F.col("agent"), 18), (F.concat("completeSamples", F.lit("/"), "samples"), 8), *timing).alias("value")))
+    text = line((F.col("severity"), 9), (F.col("code"), 34), (F.col("agent"), 16), (F.col("message"), 60))
+    order = F.format_string("%d/%09d/%06d/%04d/%06d", rank("severity"), "sample", "probe_ord", "rule_ord", "within")
+    sections.append(out["findings"].select("target_ord", F.lit(4).alias("part"), order.alias("place"), text.alias("value")))
+    every = sections[0]
+    for part in sections[1:]:
+        every = every.unionByName(part)
+    yield from _texts(every.withColumn("value", F.concat(F.rtrim(T.printable(F.col("value"))), F.lit("\n"))), "target_ord", "part", "place")
+    steps = fin.next_steps(out["findings"], titles(out["findings"])).limit(STEPS).collect()
+    yield "".join(["Next:\n", *(f"  {r.title} ({r.occurrences})\n" for r in steps)]) if steps else ""
+
+
+def titles(findings: DataFrame) -> DataFrame:
+    return explained(findings).groupBy("code").agg(F.min("title").alias("title"))
 
 
 def preview_cards(facts: DataFrame) -> DataFrame:
@@ -143,26 +235,85 @@ def preview_cards(facts: DataFrame) -> DataFrame:
     return rows.groupBy("target_ord").agg(F.min_by("card", "o").alias("card")).select("target_ord", "card.*")
 
 
-def arrival_rows(signals: DataFrame, limit: int = 60) -> DataFrame:
-    """The first signal of each kind of a probe in order of arrival, for the listing in the HTML report."""
-    first = signals.where("value <> ''").groupBy("probe_id", "kind").agg(F.min("at_ms").alias("at_ms"), F.min_by("location", "at_ms").alias("location"))
-    return first.orderBy("probe_id", "at_ms", "kind").limit(limit)
-
-
-def comparison_documents(changes: DataFrame, summary: DataFrame) -> dict[str, str]:
-    """Terminal, JSON, HTML, Markdown and annotation renderings of a comparison."""
-    from pagelens.operators.compare import sorted_changes
+def arrival_rows(facts: DataFrame, limit: int = ARRIVALS) -> DataFrame:
+    """(target_ord, place, label, kind, at_ms, location, observed_by_byte, value, n) of a target's first arrivals.
+
+    Five kinds of each probe: the first signal that says something, else the first. n counts all of the target's, of
+    which the first `limit` are listed.
+    """
+    from pyspark.sql import Window
+
+    kinds = ("title", "description", "canonical", "h1", "main")
+    of = lambda k: F.filter("signals", lambda s: s["kind"] == k)
+    first = lambda k: F.coalesce(F.get(F.filter(of(k), lambda s: F.trim(s["value"]) != ""), 0), F.get(of(k), 0))
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind"), first(k).alias("s")) for i, k in enumerate(kinds)])
+    rows = facts.select("target_ord", "agent_ord", "sample", "label", F.explode(each).alias("x")).where("x.s IS NOT NULL")
+    by_target = Window.partitionBy("target_ord")
+    place = F.row_number().over(by_target.orderBy("agent_ord", "sample", "x.i"))
+    rows = rows.withColumn("place", place).withColumn("n", F.count("*").over(by_target)).where(F.col("place") <= limit)
+    return rows.select("target_ord", "place", "label", "x.kind", "x.s.at_ms", "x.s.location", "x.s.observed_by_byte", F.substring("x.s.value", 1, 120).alias("value"), "n")
+
+
+def html_document(out: dict[str, DataFrame], summary: dict, framework: str | None = None, title: str = "Page delivery") -> Iterator[str]:
+    """A page with totals and next steps, then each target: its verdict, findings with what to do, arrivals and preview."""
+    e = lambda c: T.xml_text(F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit("")))
+    steps = fin.next_steps(out["findings"], titles(out["findings"])).limit(HTML_STEPS).collect()
+    yield f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>\n<ul>'
+    yield "".join(f"<li>{html.escape(k)}: {v}</li>" for k, v in summary.items()) + "</ul>\n<ol>"
+    yield "".join(f"<li>{html.escape(r.title)} ({r.occurrences})</li>" for r in steps) + "</ol>\n"
+    verdicts = out["targets"].select("target_ord", "url").join(fin.target_verdicts(out["findings"]), "target_ord", "left")
+    sections = [verdicts.select("target_ord", F.lit(0).alias("part"), F.lit("").alias("place"), F.format_string("<h2>%s</h2><p>Verdict: %s</p>", e("url"), F.coalesce("verdict", F.lit("clean"))).alias("value"))]
+    named = explained(out["findings"], framework)
+    order = F.format_string("%d/%s/%09d/%06d/%06d", rank("severity"), "code", "sample", "probe_ord", "within")
+    snippet = F.when(F.col("snippet").isNotNull(), F.concat(F.lit("<pre>"), e("snippet"), F.lit("</pre>"))).otherwise("")
+    row = F.format_string('<p class="%s"><b>%s</b> %s (%s) %s: %s %s</p>%s', "severity", e("severity"), e("title"), e("code"), e("agent"), e("message"), e("remedy"), snippet)
+    sections.append(named.select("target_ord", F.lit(1).alias("part"), order.alias("place"), row.alias("value")))
+    if "facts" in out:
+        arrivals = arrival_rows(out["facts"])
+        cells = F.format_string("<p>%s %s %s %s %d %s</p>", e("label"), e("kind"), T.milliseconds(F.col("at_ms")), "location", "observed_by_byte", e("value"))
+        cut = F.when((F.col("place") == ARRIVALS) & (F.col("n") > ARRIVALS), F.format_string("<p>%d of %d arrivals</p>", F.lit(ARRIVALS), "n")).otherwise("")
+        sections.append(arrivals.select("target_ord", F.lit(2).alias("part"), F.format_string("%06d", "place").alias("place"), F.concat(cells, cut).alias("value")))
+        card = F.format_string("<aside><b>%s</b><p>%s</p>%s</aside>", e("title"), e("description"), e("image"))
+        sections.append(preview_cards(out["facts"]).select("target_ord", F.lit(3).alias("part"), F.lit("").alias("place"), card.alias("value")))
+    every = sections[0]
+    for part in sections[1:]:
+        every = every.unionByName(part)
+    yield from _texts(every.withColumn("value", F.concat("value", F.lit("\n"))), "target_ord", "part", "place")
+    yield "</html>\n"
+
+
+def comparison_document(kind: str, changes: DataFrame, summary: dict, pairs: DataFrame | None = None) -> Iterator[str]:
+    """One rendering of a comparison: terminal, json, html, markdown, or github (regressions alone).
+
+    `pairs` are timelines of both runs, whose milestones HTML shows as bars on the scale of the longest.
+    """
+    from pagelens.operators.compare import change_order
 
-    s = summary.first().asDict()
-    rows = [r.asDict() for r in sorted_changes(changes).collect()]
-    line = lambda r: f"{r['kind']}: {r['code']} {r['target']} {r['agent'] or ''} {r['field'] or ''} {r['before'] or ''} -> {r['after'] or ''}"
-    level = {"regression": "error", "changed": "notice", "fixed": "notice"}
-    cell = lambda v: str(v or "").replace("|", "\\|").replace("\n", " ")
     names = ("kind", "code", "target", "agent", "field", "before", "after")
-    return {
-        "terminal": "\n".join([json.dumps(s), *map(line, rows)]) + "\n",
-        "json": json.dumps({"summary": s, "changes": rows}, sort_keys=True, indent=2) + "\n",
-        "html": "<!doctype html><table>" + "".join("<tr>" + "".join(f"<td>{html.escape(str(r[n] or ''))}" for n in names) + "</tr>" for r in rows) + "</table>\n",
-        "markdown": "| " + " | ".join(names) + " |\n|" + " --- |" * len(names) + "\n" + "".join("| " + " | ".join(cell(r[n]) for n in names) + " |\n" for r in rows),
-        "github": "".join(f"::{level[r['kind']]} title={r['code']}::" + line(r).replace("%", "%25").replace("\n", "%0A") + "\n" for r in rows),
-    }
+    text = lambda n: F.coalesce(F.col(n), F.lit(""))
+    line = F.concat(text("kind"), F.lit(": "), F.concat_ws(" ", *map(text, names[1:6])), F.lit(" -> "), text("after"))
+    if kind == "terminal":
+        yield json.dumps(summary) + "\n"
+        yield from _texts(changes.withColumn("value", F.concat(T.printable(line), F.lit("\n"))), *change_order())
+    elif kind == "json":
+        yield f'{{\n  "summary": {json.dumps(summary, sort_keys=True)},\n  "changes": [\n'
+        row = F.to_json(F.struct(*sorted(changes.columns)), {"ignoreNullFields": "false"})
+        yield from _joined(("    " + x for x in _texts(changes.withColumn("value", row), *change_order())), ",\n")
+        yield "\n  ]\n}\n"
+    elif kind == "markdown":
+        yield "| " + " | ".join(names) + " |\n|" + " --- |" * len(names) + "\n"
+        yield from _texts(changes.withColumn("value", F.format_string("| %s |\n", F.concat_ws(" | ", *[T.markdown_cell(text(n)) for n in names]))), *change_order())
+    elif kind == "github":
+        bad = F.format_string("::error title=%s::%s\n", T.annotation_property(F.col("code")), T.annotation_text(line))
+        yield from _texts(changes.where("kind = 'regression'").withColumn("value", bad), *change_order())
+    else:
+        yield f"<!doctype html><html lang=\"en\"><meta charset=\"utf-8\"><h1>Comparison</h1><p>{html.escape(json.dumps(summary))}</p><table>\n"
+        cells = F.concat(*[F.concat(F.lit("<td>"), T.xml_text(text(n)), F.lit("</td>")) for n in names])
+        yield from _texts(changes.withColumn("value", F.concat(F.lit("<tr>"), cells, F.lit("</tr>\n"))), *change_order())
+        yield "</table>\n"
+        if pairs is not None:
+            most = pairs.agg(F.max(F.greatest("at_ms_a", "at_ms_b"))).first()[0] or 1.0
+            bar = lambda c: F.format_string('<i style="margin-left:%.1f%%">%s</i>', F.coalesce(F.col(c), F.lit(0.0)) / most * 100, T.milliseconds(F.col(c)))
+            value = F.format_string("<p>%s %s %s %s %s</p>\n", T.xml_text(F.col("target")), T.xml_text(text("agent")), "milestone", bar("at_ms_a"), bar("at_ms_b"))
+            yield from _texts(pairs.withColumn("value", value), "target", "agent", "milestone_ord")
+        yield "</html>\n"

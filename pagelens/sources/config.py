@@ -88,12 +88,13 @@ def _target(item: str | dict, issues: list[str]) -> dict[str, Any]:
     return {"id": item.get("id"), "url": url, "statuses": statuses, "final": item.get("expectedFinalUrl"), "require": REQUIRE | required, "first": item.get("maxFirstByteMs"), "critical": item.get("maxCriticalMs")}
 
 
-def parse(raw: dict[str, Any], extra_urls: tuple[str, ...] = ()) -> Config:
+def parse(raw: dict[str, Any], extra_urls: tuple[str, ...] = (), discovered: tuple[dict, ...] = ()) -> Config:
+    """Listed targets, then extra URLs, then discovered ones (url, id), the first mention of a URL winning."""
     issues = [f"unknown key {k!r}" for k in raw.keys() - _TOP]
     limits = {}
     for name, (low, high, default) in LIMITS.items():
         value = raw.get(name, default)
-        if not isinstance(value, int) or not low <= value <= high:
+        if isinstance(value, bool) or not isinstance(value, int) or not low <= value <= high:
             issues.append(f"{name} is between {low} and {high}")
         limits[name] = value
     listed = [_target(t, issues) for t in raw.get("targets") or []]
@@ -103,6 +104,10 @@ def parse(raw: dict[str, Any], extra_urls: tuple[str, ...] = ()) -> Config:
             issues.append(f"{t['url']} is listed twice with different contracts")
     for t in (_target(u, issues) for u in extra_urls):
         targets.setdefault(t["url"], t)
+    taken = {t["id"] for t in targets.values() if t["id"]}
+    for t in discovered:
+        if t["url"] not in targets:
+            targets[t["url"]] = _target(t["url"], issues) | {"id": None if t["id"] in taken else t["id"]}
     ids = [t["id"] for t in targets.values() if t["id"]]
     issues += [f"target id {i!r} is used twice" for i in {i for i in ids if ids.count(i) > 1}]
     found = agent_source.resolve(raw.get("agents"))
@@ -110,8 +115,8 @@ def parse(raw: dict[str, Any], extra_urls: tuple[str, ...] = ()) -> Config:
     names, keys = {x for t in targets.values() for x in (t["id"], t["url"]) if x}, {a.key for a in found}
     for w in waivers:
         issues += [f"unknown waiver key {k!r}" for k in w.keys() - _WAIVER]
-        if not re.fullmatch(r"\*|[a-z0-9][a-z0-9-]{0,63}", str(w.get("code", ""))) or not str(w.get("reason") or "").strip():
-            issues.append("a waiver needs a code and a reason")
+        if not re.fullmatch(r"\*|[a-z0-9][a-z0-9-]{0,63}", str(w.get("code", ""))) or not 1 <= len(str(w.get("reason") or "").strip()) <= 500:
+            issues.append("a waiver needs a code and a reason of up to 500 characters")
         if w.get("until") is not None and not _real_date(str(w["until"])):
             issues.append(f"until {w['until']!r} is no date")
         if w.get("target") is not None and w["target"] not in names or w.get("agent") is not None and w["agent"] not in keys:
@@ -122,21 +127,29 @@ def parse(raw: dict[str, Any], extra_urls: tuple[str, ...] = ()) -> Config:
     return Config(list(targets.values()), found, waivers, headers, limits)
 
 
-def load(path: str | None = None, folder: str = ".", extra_urls: tuple[str, ...] = ()) -> Config:
-    """An explicit path wins; else the first default name there is; else the URLs alone."""
+def load(
+    path: str | None = None, folder: str = ".", extra_urls: tuple[str, ...] = (), discovered: tuple[dict, ...] = (),
+    agents: list[str] | None = None, headers: list[str] | None = None, limits: dict[str, int] | None = None,
+) -> Config:
+    """An explicit path wins; else the first default name there is; else the URLs alone. Options win over the file."""
     chosen = Path(path) if path else next((p for n in NAMES if (p := Path(folder) / n).is_file()), None)
-    if chosen is None:
-        return parse({}, extra_urls)
-    text = chosen.read_text(encoding="utf-8")
-    if chosen.suffix == ".json":
-        raw = json.loads(text)
-    else:
-        import yaml
-
-        raw = yaml.safe_load(text)
-    if not isinstance(raw, dict):
-        raise ConfigError("a configuration is a mapping")
-    return parse(raw, extra_urls)
+    raw: Any = {}
+    if chosen is not None:
+        text = chosen.read_text(encoding="utf-8")
+        if chosen.suffix == ".json":
+            raw = json.loads(text)
+        else:
+            import yaml
+
+            raw = yaml.safe_load(text)
+        if not isinstance(raw, dict):
+            raise ConfigError("a configuration is a mapping")
+    raw = raw | (limits or {}) | ({"agents": agents} if agents else {})
+    found = parse(raw, extra_urls, discovered)
+    if not found.targets:
+        raise ConfigError("there is no target: list some, or give URLs or a sitemap")
+    found.headers |= dict(header_option(h) for h in headers or ())
+    return found
 
 
 def target_frame(spark: SparkSession, config: Config) -> DataFrame:

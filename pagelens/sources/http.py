@@ -1,32 +1,27 @@
-"""A data source that requests pages: one partition a lane of probes, one row a probe with its chunks."""
+"""Requests of pages by Spark tasks: one row a probe with its chunks."""
 
 from __future__ import annotations
 
 import hashlib
 import http.client
-import json
 import ssl
 import time
 from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pandas as pd
+from pyspark.sql import DataFrame
 
 from pagelens.operators.ingest import HEADERS, REDIRECTS
+from pagelens.sources.fetch import is_web
 
 SCHEMA = """probe_id string, requested_url string, final_url string, status int, completion string, error string, bytes_read bigint,
  body_sha256 string, headers map<string,string>, redirects array<struct<url:string,status:int,location:string,duration_ms:double>>,
  headers_ms double, first_byte_ms double, complete_ms double, body binary, chunk_ends array<bigint>, chunk_at array<double>"""
-
-
-class Lane(InputPartition):
-    def __init__(self, tasks: list[dict]):
-        self.tasks = tasks
-
-
-def _web(url: str) -> bool:
-    parts = urlsplit(url)
-    return parts.scheme in ("http", "https") and bool(parts.hostname) and "@" not in parts.netloc
+_NAMES = [
+    "probe_id", "requested_url", "final_url", "status", "completion", "error", "bytes_read", "body_sha256", "headers", "redirects",
+    "headers_ms", "first_byte_ms", "complete_ms", "body", "chunk_ends", "chunk_at",
+]
 
 
 def probe(task: dict) -> tuple:
@@ -46,7 +41,7 @@ def probe(task: dict) -> tuple:
             state["h"], state["f"], state["c"], body, state["ends"], state["at"],
         )
 
-    if limit < 1 or most < 0 or timeout <= 0 or not _web(url):
+    if limit < 1 or most < 0 or timeout <= 0 or not is_web(url):
         return row("invalid-response", "the request is not valid")
     try:
         while True:
@@ -71,7 +66,7 @@ def probe(task: dict) -> tuple:
             if len(hops) > most:
                 return row("redirect-limit", "too many redirects")
             following = urljoin(url, location) if location else ""
-            if not _web(following):
+            if not is_web(following):
                 return row("invalid-response", "a redirect leads nowhere")
             url = following
             if urlsplit(url)[:2] != first_origin:
@@ -96,33 +91,17 @@ def probe(task: dict) -> tuple:
         return row("network-error", f"{type(error).__name__}: {error}"[:300])
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.tasks = json.loads(options["tasks"])
-        self.lanes = int(options.get("concurrency", "4"))
-
-    def partitions(self) -> list[Lane]:
-        # samples of one target and agent follow each other in one lane
-        keys = sorted({t.get("lane", t["probe_id"]) for t in self.tasks})
-        lanes: list[list[dict]] = [[] for _ in range(max(1, min(self.lanes, len(keys))))]
-        for t in self.tasks:
-            lanes[keys.index(t.get("lane", t["probe_id"])) % len(lanes)].append(t)
-        return [Lane(x) for x in lanes]
-
-    def read(self, partition: Lane) -> Iterator[tuple]:
-        for task in partition.tasks:
-            yield probe(task)
-
-
-class PageSource(DataSource):
-    """spark.read.format("pagelens_http").option("tasks", json) after spark.dataSource.register(PageSource)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "pagelens_http"
+def requested(tasks: DataFrame, lanes: int, headers: dict[str, str], limits: dict[str, int]) -> DataFrame:
+    """The planned probes (probe_id, target_ord, agent_ord, sample, requested_url, user_agent) carried out, a row each.
 
-    def schema(self) -> str:
-        return SCHEMA
+    `lanes` tasks request at a time; samples of one target and agent follow each other in one of them.
+    """
+    options = {"headers": headers, "timeout_ms": limits["timeoutMs"], "max_bytes": limits["maxBytes"], "max_redirects": limits["maxRedirects"]}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                found = probe({"probe_id": row.probe_id, "url": row.requested_url, "user_agent": row.user_agent, **options})
+                yield pd.DataFrame([found], columns=_NAMES)
 
-    def reader(self, schema: object) -> DataSourceReader:
-        return _Reader(self.options)
+    order = ["target_ord", "agent_ord", "sample"]
+    return tasks.repartition(lanes, *order[:2]).sortWithinPartitions(*order).mapInPandas(run, SCHEMA)

@@ -12,6 +12,9 @@ from pagelens import schemas
 TABLES = {"targets": schemas.TARGETS, "probes": schemas.PROBES + ", required_ms double", "signals": schemas.SIGNALS, "json_ld": schemas.JSON_LD, "findings": schemas.FINDINGS}
 VERSION = 2
 _MANIFEST = {"schemaVersion", "generatedAt", "durationMs", "summary"}
+_REPORT = _MANIFEST | set(TABLES) | {"waived"}
+# How a probe may end.
+COMPLETIONS = ("complete", "timeout", "max-bytes-exceeded", "redirect-limit", "invalid-response", "network-error")
 
 
 class RunError(ValueError):
@@ -31,21 +34,67 @@ def write_run(tables: dict[str, DataFrame], summary: DataFrame, path: str, gener
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
+def _refuse_version(version: object) -> None:
+    if isinstance(version, bool) or not isinstance(version, int) or version > VERSION:
+        raise RunError(f"schema version {version!r} is not known here")
+    if version < 1:
+        raise RunError(f"schema version {version} is none")
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict:
     lines = [r[0] for r in spark.read.text(f"{path}/manifest").limit(2).collect()]
     if len(lines) != 1:
         raise RunError("a run has one manifest")
     manifest = json.loads(lines[0])
-    version = manifest.get("schemaVersion")
-    if not isinstance(version, int) or version > VERSION:
-        raise RunError(f"schema version {version!r} is not known here")
-    if version < 1 or manifest.keys() - _MANIFEST:
+    _refuse_version(manifest.get("schemaVersion"))
+    if manifest.keys() - _MANIFEST:
         raise RunError("the manifest has unknown entries")
     return manifest
 
 
+def _refuse_values(found: dict[str, DataFrame]) -> None:
+    bad = found["probes"].where((F.col("status") < 100) | (F.col("status") > 599) | (F.col("bytes_read") < 0) | (F.col("sample") < 1) | ~F.col("completion").isin(*COMPLETIONS))
+    if not bad.isEmpty() or not found["findings"].where(~F.col("severity").isin("error", "warning", "info")).isEmpty():
+        raise RunError("the run holds values out of range")
+
+
+def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a JSON report: one document, refused where its version is newer or anything in it is unknown."""
+    text = spark.read.text(path, wholetext=True)
+    top = "map<string,string>"
+    head = text.select(F.from_json("value", top).alias("m")).first()
+    if head is None or head.m is None:
+        raise RunError(f"{path} is no JSON report")
+    version = json.loads(head.m.get("schemaVersion") or "null")
+    _refuse_version(version)
+    if unknown := set(head.m) - _REPORT:
+        raise RunError(f"the report has unknown entries {sorted(unknown)}")
+    found = {}
+    for name, schema in TABLES.items():
+        if name not in head.m:
+            raise RunError(f"the report has no {name}")
+        part = text.select(F.from_json("value", f"struct<{name}:array<string>>").getField(name).alias("rows"))
+        rows = part.select(F.explode("rows").alias("row"))
+        # a row's keys are looked at before it is read
+        known = spark.createDataFrame([], schema)
+        names = F.map_keys(F.from_json("row", top))
+        if not rows.where(F.size(F.array_except(names, F.array(*map(F.lit, known.columns)))) > 0).isEmpty():
+            raise RunError(f"{name} has unknown entries")
+        read = F.from_json("row", known.schema.simpleString(), {"mode": "FAILFAST"})
+        found[name] = rows.select(read.alias("r")).select("r.*").persist()
+    try:
+        _refuse_values(found)
+    except Exception as error:
+        if isinstance(error, RunError):
+            raise
+        raise RunError(f"{path} does not hold what a report holds") from error
+    return found
+
+
 def read_run(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a run, refused where columns are unknown, and checked for values out of range."""
+    """The tables of a run, a folder of Parquet tables or a JSON report; unknown columns and values out of range are refused."""
+    if path.endswith(".json"):
+        return read_report(spark, path)
     read_manifest(spark, path)
     found = {}
     for name, schema in TABLES.items():
@@ -55,7 +104,5 @@ def read_run(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             raise RunError(f"{name} has unknown columns {sorted(set(df.columns) - set(known))}")
         # runs written before the required signals' arrival was kept lack it
         found[name] = df.withColumn("required_ms", F.lit(None).cast("double")) if name == "probes" and "required_ms" not in df.columns else df
-    bad = found["probes"].where((F.col("status") < 100) | (F.col("status") > 599) | (F.col("bytes_read") < 0) | (F.col("sample") < 1))
-    if not bad.isEmpty():
-        raise RunError("probes hold values out of range")
+    _refuse_values(found)
     return found

@@ -1,7 +1,9 @@
-"""Live chunk feeds: chunks are held per probe until its last one, then inspected batch by batch."""
+"""Live chunk feeds: each chunk is inspected as it comes, and what it completes goes out in the same batch."""
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -10,80 +12,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagelens.operators.ingest import decoded
-from pagelens.operators.inspector import inspect
+from pagelens.operators.inspector import Page
 
 CHUNKS = "probe_id string, seq bigint, at_ms double, bytes binary, charset string, last boolean"
-BODIES = "probe_id string, body binary, charset string, chunk_ends array<bigint>, chunk_at array<double>, completion string"
-_STATE = "parts array<binary>, seqs array<bigint>, at array<double>, size bigint, closed boolean"
+RECORDS = """probe_id string, record string, kind string, ord int, property string, audience string, value string, location string,
+ at_ms double, observed_by_byte bigint, valid boolean, types array<string>, bytes bigint, limit string, error string,
+ completion string, bytes_read bigint"""
+_NAMES = [f.split()[0] for f in RECORDS.split(",")]
+_STATE = "page string, waiting string, following bigint, size bigint, closed boolean"
 
 
-def _assemble(max_bytes: int, timeout_ms: int) -> Callable:
+def _dump(value: object) -> str:
+    return json.dumps(value, default=lambda b: {"b64": base64.b64encode(bytes(b)).decode()})
+
+
+def _load(text: str) -> Any:
+    return json.loads(text, object_hook=lambda d: base64.b64decode(d["b64"]) if d.keys() == {"b64"} else d)
+
+
+def _inspect(max_bytes: int, timeout_ms: int) -> Callable:
     def run(key: tuple[str], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        def done(parts: list, at: list, completion: str, charset: str | None = None) -> pd.DataFrame:
-            ends, total = [], 0
-            for p in parts:
-                total += len(p)
-                ends.append(total)
-            row = (key[0], b"".join(map(bytes, parts)), charset, ends, [max(0.0, t) if t == t else 0.0 for t in at], completion)
-            return pd.DataFrame([row], columns=["probe_id", "body", "charset", "chunk_ends", "chunk_at", "completion"])
-
-        parts, seqs, at, size, closed = ([list(x) if i < 3 else x for i, x in enumerate(state.get)] if state.exists else [[], [], [], 0, False])
+        rows: list[dict] = []
+        saved, held, following, size, closed = state.get if state.exists else ("{}", "{}", 0, 0, False)
+        page, waiting = Page(**_load(saved)), _load(held)
+
+        def end(completion: str, at: float) -> None:
+            page.feed(b"", at, last=True)
+            rows.append({"record": "probe", "completion": completion, "bytes_read": page.read, "at_ms": at})
+
         if state.hasTimedOut:
             if not closed:
-                yield done(parts, at, "timeout")
+                end("timeout", 0.0)
             state.remove()
-            return
-        charset, ending = None, None
-        for batch in batches:
-            for r in batch.sort_values("seq").itertuples():
+        else:
+            for batch in batches:
+                for r in batch.sort_values("seq").itertuples():
+                    if closed or r.seq < following or str(r.seq) in waiting:
+                        rows.append({"record": "late", "completion": "late", "bytes_read": len(r.bytes), "at_ms": r.at_ms})
+                    else:
+                        waiting[str(r.seq)] = (bytes(r.bytes), None if r.at_ms != r.at_ms else r.at_ms, r.charset, bool(r.last))
+            while not closed and (chunk := waiting.pop(str(following), None)) is not None:
+                data, at, charset, last = chunk
+                following += 1
+                if charset and page.decoder.charset is None:
+                    page.decoder.charset = charset
+                if data[: max_bytes - size]:
+                    page.feed(data[: max_bytes - size], at)
+                closed = len(data) > max_bytes - size or last
                 if closed:
-                    yield done([r.bytes], [r.at_ms], "late")
-                    continue
-                charset = r.charset or charset
-                room = max_bytes - size
-                if len(r.bytes):
-                    parts, seqs, at = [*parts, r.bytes[:room]], [*seqs, r.seq], [*at, r.at_ms]
-                    size += min(len(r.bytes), room)
-                if len(r.bytes) > room:
-                    ending = "max-bytes-exceeded"
-                elif r.last:
-                    ending = "complete"
-                closed = ending is not None
-        if ending:
-            order = sorted(range(len(parts)), key=lambda k: seqs[k])
-            yield done([parts[k] for k in order], [at[k] for k in order], ending, charset)
-            parts, seqs, at = [], [], []
-        state.update((parts, seqs, at, size, closed))
-        state.setTimeoutDuration(timeout_ms)
+                    end("max-bytes-exceeded" if len(data) > max_bytes - size else "complete", at or 0.0)
+                size = min(size + len(data), max_bytes)
+            if closed:
+                rows += [{"record": "late", "completion": "late", "bytes_read": len(c[0]), "at_ms": c[1]} for c in waiting.values()]
+                waiting = {}
+            # the end of a probe is kept until its timeout, to tell late chunks
+            state.update(("{}" if closed else _dump(page.state()), _dump(waiting), following, size, closed))
+            state.setTimeoutDuration(timeout_ms)
+        rows += [{"record": "signal", **x} for x in page.signals] + [{"record": "json_ld", **x} for x in page.blocks]
+        yield pd.DataFrame([{"probe_id": key[0], **r} for r in rows], columns=_NAMES).astype(object).where(lambda f: f.notna(), None)
 
     return run
 
 
-def assembled(chunks: DataFrame, max_bytes: int = 10 << 20, timeout_ms: int = 15_000) -> DataFrame:
-    """Bodies of a streaming chunk frame: complete, cut at max_bytes, or given up after timeout_ms without a chunk.
+def inspected_stream(chunks: DataFrame, max_bytes: int = 10 << 20, timeout_ms: int = 15_000) -> DataFrame:
+    """Rows of a streaming chunk frame: signals and json_ld as chunks complete them, then one row probe an end.
 
-    A chunk that comes after the end of its probe is a row of its own with completion late.
+    Chunks of a probe are numbered by seq from 0; one that comes early waits for those before it. A probe ends with its
+    last chunk, at max_bytes, or after timeout_ms without a chunk; chunks that come after its end, or again, are
+    rows late. The state of a probe is what is not yet complete of its document, not its body.
     """
-    return chunks.groupBy("probe_id").applyInPandasWithState(_assemble(max_bytes, timeout_ms), BODIES, _STATE, "append", "ProcessingTimeTimeout")
+    return chunks.groupBy("probe_id").applyInPandasWithState(_inspect(max_bytes, timeout_ms), RECORDS, _STATE, "append", "ProcessingTimeTimeout")
+
+
+_TABLES = {
+    "signals": ("signal", ["probe_id", "kind", "ord", "property", "audience", "value", "location", "at_ms", "observed_by_byte"]),
+    "json_ld": ("json_ld", ["probe_id", "ord", "valid", "types", "bytes", "limit", "error", "location", "at_ms", "observed_by_byte"]),
+    "probes": ("probe", ["probe_id", "completion", "bytes_read"]),
+    "late": ("late", ["probe_id", "at_ms", "bytes_read"]),
+}
 
 
 def start(chunks: DataFrame, path: str, checkpoint: str, max_bytes: int = 10 << 20, timeout_ms: int = 15_000, every: str = "1 second") -> StreamingQuery:
-    """Writes signals, json_ld and late chunks under `path`, one folder a batch, so that a batch done again replaces itself.
+    """Writes the tables of inspected_stream under `path`, one folder a batch, so that a batch done again replaces itself.
 
     Timeouts make a batch `every` so often even without chunks, hence such a stream is never idle: wait for its
-    progress, not for processAllAvailable. Batches without a body write nothing.
+    progress, not for processAllAvailable. Batches without rows write nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        if batch.isEmpty():
-            batch.unpersist()
-            return
-        pages = batch.where("completion <> 'late'").withColumn("html", decoded("body", "charset"))
-        signals, json_ld, _ = inspect(pages.select("probe_id", "html", "chunk_ends", "chunk_at"))
-        for name, df in (("signals", signals), ("json_ld", json_ld), ("late", batch.where("completion = 'late'")), ("probes", pages.select("probe_id", "completion", F.octet_length("body").alias("bytes_read")))):
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        if not batch.isEmpty():
+            for name, (record, columns) in _TABLES.items():
+                batch.where(F.col("record") == record).select(*columns).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
         batch.unpersist()
 
-    return assembled(chunks, max_bytes, timeout_ms).writeStream.foreachBatch(write).trigger(processingTime=every).option("checkpointLocation", checkpoint).start()
+    return inspected_stream(chunks, max_bytes, timeout_ms).writeStream.foreachBatch(write).trigger(processingTime=every).option("checkpointLocation", checkpoint).start()

@@ -58,12 +58,29 @@ def test_sitemap(spark):
     index = "<sitemapindex><sitemap><loc> http://a.com/1.xml </loc></sitemap><sitemap><loc>http://b.com/2.xml</loc></sitemap></sitemapindex>"
     page = "<urlset><url><loc><![CDATA[http://a.com/p?a&b]]></loc></url><url><loc>http://a.com/q&amp;r</loc></url><url><x:loc>no</x:loc></url></urlset>"
     docs = spark.createDataFrame([("http://a.com/s.xml", index), ("http://a.com/1.xml", page), ("http://b.com/2.xml", page)], "source string, xml string")
-    got = [r.loc for r in sitemap.discover(docs, "http://a.com/s.xml").orderBy("ord").collect()]
-    assert got == ["http://a.com/p?a&b", "http://a.com/q&r"]
+    found = sitemap.discover(docs, "http://a.com/s.xml")
+    assert found.urls == ["http://a.com/p?a&b", "http://a.com/q&r"] and found.sitemaps == ["http://a.com/s.xml", "http://a.com/1.xml"]
+    assert not found.truncated and len(found.errors) == 1 and "http://b.com/2.xml" in found.errors[0]
     ids = {r.url: r.id for r in sitemap.target_ids(spark.createDataFrame([("http://a.com/",), ("http://a.com/Über/x",), ("http://a.com/b",), ("http://c.com/b",)], "url string")).collect()}
     assert ids["http://a.com/"] == "home" and ids["http://a.com/b"].startswith("b-") and ids["http://c.com/b"] == ids["http://a.com/b"] + "-2"
 
 
+def test_sitemap_budgets(spark):
+    locs = lambda kind, urls: f"<{kind}index>" * 0 + "".join(f"<{kind}><loc>{u}</loc></{kind}>" for u in urls)
+    index = locs("sitemap", ["http://a.com/s.xml", "http://b.com/x.xml"] * 20 + [f"http://a.com/{k}.xml" for k in range(3)] + ["http://a.com/gone.xml"])
+    docs = [("http://a.com/s.xml", index)] + [(f"http://a.com/{k}.xml", locs("url", [f"http://a.com/{w}/{k}" for w in ("en", "de") for _ in range(2)])) for k in range(3)]
+    frame = spark.createDataFrame(docs, "source string, xml string")
+    # entries that are repeated, foreign or left out cost nothing of the budgets
+    found = sitemap.discover(frame, "http://a.com/s.xml", documents=5, urls=3, include=("/en/*",))
+    assert found.urls == ["http://a.com/en/0", "http://a.com/en/1", "http://a.com/en/2"] and not found.truncated
+    assert any("gone.xml" in e for e in found.errors)
+    assert sitemap.discover(frame, "http://a.com/s.xml", urls=4, exclude=("/x*",)).truncated
+    assert sitemap.discover(frame, "http://a.com/s.xml", documents=2).sitemaps == ["http://a.com/s.xml", "http://a.com/0.xml"]
+    for bad in (lambda: sitemap.discover(frame, "http://a.com/none.xml"), lambda: sitemap.discover(frame, "http://a.com/s.xml", include=("/zz*",)), lambda: sitemap.discover(frame, "x", urls=0)):
+        with pytest.raises(sitemap.SitemapError):
+            bad()
+
+
 def test_waivers(spark):
     targets = spark.createDataFrame([(0, None, "http://a"), (1, "b", "http://b")], "target_ord int, id string, url string")
     rows = [(0, 1, 0, 5, 0, "missing-h1", "warning", "m", "http://a", "x"), (1, 1, 0, 5, 0, "missing-h1", "warning", "m", "http://b", "x")]
@@ -107,15 +124,57 @@ def test_framework(spark, tmp_path):
     assert framework.framework_of_probes(frame).first().framework == "php"
 
 
+def many_findings(spark, n):
+    from pagelens.schemas import EVIDENCE
+
+    probes = spark.range(n).selectExpr("cast(id AS int) AS target_ord", "0 AS agent_ord", "'x' AS agent", "1 AS sample", "1.0D AS complete_ms", "1.0D AS first_byte_ms")
+    targets = probes.selectExpr("target_ord", "concat('http://a/', target_ord) AS url")
+    found = probes.selectExpr("target_ord", "sample", "0 AS probe_ord", "1 AS rule_ord", "0 AS within", "'missing-h1' AS code", "'error' AS severity", "'m' AS message", "concat('http://a/', target_ord) AS url", "agent")
+    return probes, targets, found.withColumn("evidence", F.array().cast(EVIDENCE))
+
+
 def test_documents_hold_every_row(spark):
+    import json
+    from xml.etree import ElementTree
+
     from pagelens.sinks import reports
 
     n = 5003
-    probes = spark.range(n).selectExpr("cast(id AS int) AS target_ord", "'x' AS agent", "1 AS sample")
-    found = probes.selectExpr("*", "'error' AS severity", "'missing-h1' AS code", "'m' AS message", "'u' AS url")
-    junit = reports.junit_document(probes, found)
-    assert f'tests="{2 * n}" errors="{n}"' in junit and junit.count("<testcase") == 2 * n
-    assert reports.markdown_document(spark.sql("SELECT 0 AS errors, 0 AS warnings, 0 AS info"), found).count("| missing-h1 |") == n
-    changes = probes.selectExpr("'changed' AS kind", "cast(target_ord AS string) AS target", "agent", "'f' AS field", "'code' AS code", "'a' AS before", "'b' AS after", "'' AS detail")
-    texts = reports.comparison_documents(changes, spark.sql("SELECT 0 AS regressions"))
-    assert texts["github"].count("::notice") == texts["html"].count("<tr>") == n
+    probes, targets, found = many_findings(spark, n)
+    summary = {"targets": n, "probes": n, "errors": n, "warnings": 0, "info": 0, "incomplete": 0, "waived": 0}
+    junit = ElementTree.fromstring("".join(reports.junit_document(probes, found, targets, summary)))
+    assert junit.get("tests") == junit.get("errors") == str(n) and len(junit.findall("testsuite/testcase/error")) == n
+    sarif = json.loads("".join(reports.sarif_document(found)))
+    assert len(sarif["runs"][0]["results"]) == n and [r["id"] for r in sarif["runs"][0]["tool"]["driver"]["rules"]] == ["missing-h1"]
+    report = json.loads("".join(reports.json_document({"findings": found, "targets": targets}, summary, {"schemaVersion": 2})))
+    assert len(report["findings"]) == n and [f["target_ord"] for f in report["findings"]] == list(range(n))
+    row = spark.createDataFrame([tuple(summary.values())], ", ".join(f"{k} int" for k in summary))
+    assert sum(x.count("| missing-h1 |") for x in reports.markdown_document(row, found)) == n
+    assert sum(x.count("::error") for x in reports.github_document(found)) == n
+    assert sum(x.count("missing-h1") for x in reports.html_document({"findings": found, "targets": targets}, summary)) == n
+    changes = probes.selectExpr("'regression' AS kind", "cast(target_ord AS string) AS target", "agent", "'f' AS field", "'code' AS code", "'a' AS before", "'b' AS after", "'' AS detail")
+    for kind, mark in (("github", "::error"), ("html", "<tr>"), ("markdown", "| regression"), ("terminal", "regression:"), ("json", '"kind":"regression"')):
+        assert sum(x.count(mark) for x in reports.comparison_document(kind, changes, {"regressions": n})) == n
+
+
+def test_junit_samples_and_characters(spark):
+    from xml.etree import ElementTree
+
+    from pagelens.schemas import FINDINGS
+    from pagelens.sinks import reports
+
+    targets = spark.createDataFrame([(0, "http://a/?x=1&y")], "target_ord int, url string")
+    probes = spark.createDataFrame([(0, 0, "x", s, 10.0, 5.0) for s in (1, 2, 3)] + [(0, 1, "y", 1, None, 5.0)], "target_ord int, agent_ord int, agent string, sample int, complete_ms double, first_byte_ms double")
+    some = [("sampleNumbers", "string", "1,3")]
+    rows = [
+        (0, 1, 0, 1, 0, "bad-one", "warning", "m \x01 <&> \ud83d\ude00", "u", "x", some), (0, 1 << 20, 0, 42, 0, "whole-agent", "error", "m", "u", "y", []),
+        (0, 1 << 20, 1 << 20, 35, 0, "drift", "warning", "m", "u", None, []), (0, 1, 0, 24, 0, "note", "info", "seen", "u", "x", []),
+    ]
+    text = "".join(reports.junit_document(probes, spark.createDataFrame(rows, FINDINGS), targets, {"waived": 0, "incomplete": 0}))
+    suite = ElementTree.fromstring(text).find("testsuite")
+    kinds = {c.get("name"): [e.tag for e in c] for c in suite.findall("testcase")}
+    assert kinds == {"x#1": ["failure"], "x#2": [], "x#3": ["failure"], "y#1": ["error"], "target": ["failure"]}
+    assert (suite.get("tests"), suite.get("failures"), suite.get("errors")) == ("5", "3", "1")
+    assert suite.find("system-out").text == "note: seen" and "\x01" not in text
+    fixed = spark.createDataFrame([("fixed", "t", None, "f", "c", "a", "b", None), ("changed", "t", None, "f", "c", "a", "b", None)], "kind string, target string, agent string, field string, code string, before string, after string, detail string")
+    assert "".join(reports.comparison_document("github", fixed, {})) == ""

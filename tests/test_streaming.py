@@ -14,18 +14,37 @@ def wait(query, rows, seconds=60):
 
 
 def test_stream(spark, tmp_path):
-    html = b"<html><head><title>T</title></head><body><h1>H</h1></body></html>"
+    html = b"<html><head><title>T</title></head><body><h1>H\xe9</h1><script type='application/ld+json'>{\"@type\":\"A\"}</script></body></html>"
     feed = str(tmp_path / "feed")
     part = lambda rows: spark.createDataFrame(rows, CHUNKS).coalesce(1).write.mode("append").parquet(feed)
-    part([("a", 0, 1.0, html[:20], None, False), ("b", 0, 1.0, html, None, True)])
+    # a's charset comes with its first chunk only, and its third chunk before its second
+    part([("a", 0, 1.0, html[:30], "latin1", False), ("b", 0, 1.0, html, "latin1", True), ("c", 0, 1.0, html, None, False)])
     chunks = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).parquet(feed)
-    query = start(chunks, str(tmp_path / "out"), str(tmp_path / "cp"), timeout_ms=600_000)
-    wait(query, 2)
-    part([("a", 1, 9.0, html[20:], None, True), ("b", 1, 2.0, b"x", None, False)])
-    wait(query, 4)
-    query.stop()
+    query = start(chunks, str(tmp_path / "out"), str(tmp_path / "cp"), max_bytes=10_000, timeout_ms=600_000)
+    wait(query, 3)
     read = lambda t: spark.read.parquet(str(tmp_path / "out" / t))
-    titles = {r.probe_id: r.at_ms for r in read("signals").where("kind = 'title'").collect()}
-    assert titles == {"a": 9.0, "b": 1.0}
+    early = {(r.probe_id, r.kind, r.value) for r in read("signals").collect()}
+    assert ("a", "title", "T") in early and not any(p == "a" and k == "h1" for p, k, _ in early)
+    part([("a", 2, 9.0, html[55:], None, True), ("b", 1, 2.0, b"x", None, False)])
+    wait(query, 5)
+    assert read("signals").where("probe_id = 'a' AND kind = 'h1'").count() == 0
+    part([("a", 1, 5.0, html[30:55], None, False)])
+    wait(query, 6)
+    query.stop()
+    got = {(r.probe_id, r.kind): (r.value, r.at_ms) for r in read("signals").collect()}
+    assert got["a", "title"] == ("T", 1.0) and got["a", "h1"] == ("Hé", 5.0) and got["b", "h1"] == ("Hé", 1.0)
+    assert [(r.probe_id, list(r.types)) for r in read("json_ld").where("probe_id = 'a'").collect()] == [("a", ["A"])]
     assert [r.probe_id for r in read("late").collect()] == ["b"]
-    assert sorted((r.probe_id, r.completion) for r in read("probes").collect()) == [("a", "complete"), ("b", "complete")]
+    assert sorted((r.probe_id, r.completion, r.bytes_read) for r in read("probes").collect()) == [("a", "complete", len(html)), ("b", "complete", len(html))]
+
+
+def test_cut_and_timeout(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    spark.createDataFrame([("a", 0, 1.0, b"<title>T</title>", None, False), ("b", 0, 1.0, b"<h1>" + b"x" * 200, None, False)], CHUNKS).write.parquet(feed)
+    query = start(spark.readStream.schema(CHUNKS).parquet(feed), str(tmp_path / "out"), str(tmp_path / "cp"), max_bytes=50, timeout_ms=500)
+    until, found = time.monotonic() + 60, []
+    while len(found) < 2 and time.monotonic() < until:
+        time.sleep(1)
+        found = sorted((r.probe_id, r.completion, r.bytes_read) for r in spark.read.parquet(str(tmp_path / "out" / "probes")).collect()) if (tmp_path / "out").exists() else []
+    query.stop()
+    assert found == [("a", "timeout", 16), ("b", "max-bytes-exceeded", 50)]
