@@ -11,7 +11,7 @@ from pagelens.functions import text as T
 from pagelens.operators import compare, findings, redaction, robots, rules, sitemap, stability, waivers
 from pagelens.operators import ingest
 from pagelens.operators.inspector import fixed_chunks, inspected, signals_of
-from pagelens.plans.derived import FINDINGS_SQL, PROBES_SQL, tables
+from pagelens.plans.derived import FINDINGS_SQL, PROBES_SQL, STATUS, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,13 +79,44 @@ def probe_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _probe_findings(spark, sf_dir).select("target_ord", "agent", "code", "severity")
 
 
-@query("""SELECT page_id::INTEGER AS target_ord, 'agent-final-url-drift' AS code FROM pages WHERE page_id % 17 = 0 AND page_id % 13 <> 0
-UNION ALL SELECT page_id::INTEGER, 'agent-canonical-drift' FROM pages WHERE page_id % 17 = 0 AND page_id % 13 <> 0 AND page_id % 4 = 1""")
+_DRIFTS = {
+    "agent-status-drift": "page_id % 21 = 0 AND page_id % 9 <> 0",
+    "agent-final-url-drift": "page_id % 17 = 0",
+    "agent-title-drift": "page_id % 5 = 3",
+    "agent-canonical-drift": "page_id % 17 = 0 AND page_id % 4 = 1",
+    "agent-robots-drift": "page_id % 19 = 3",
+    "agent-open-graph-drift": "page_id % 5 = 3 AND page_id % 7 = 3 AND page_id % 2 = 1",
+    "agent-twitter-card-drift": "page_id % 5 = 3 AND page_id % 7 = 3 AND page_id % 3 = 2",
+}
+
+
+@query("\nUNION ALL ".join(f"SELECT page_id::INTEGER AS target_ord, '{c}' AS code FROM pages WHERE page_id % 13 <> 0 AND {w}" for c, w in _DRIFTS.items()))
 def drift_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the two agents were answered differently."""
     return rules.drift_findings(tables(spark, sf_dir)["facts"]).select("target_ord", "code")
 
 
+@query(f"""WITH {PROBES_SQL}, v AS (SELECT *, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), ''), '/') AS path FROM probes),
+d AS (SELECT *, CASE WHEN NOT starts_with(url, 'https') THEN 'unavailable' WHEN path = '/robots.txt' THEN 'allowed' WHEN ends_with(path, '.html') THEN 'disallowed'
+  WHEN starts_with(path, '/en/7') THEN 'allowed' WHEN starts_with(path, '/en/') THEN 'disallowed' ELSE 'allowed' END AS verdict FROM v)
+SELECT target_ord, agent, 'robots-txt-unavailable' AS code FROM d WHERE verdict = 'unavailable' UNION ALL SELECT target_ord, agent, 'robots-txt-disallowed' FROM d WHERE verdict = 'disallowed'
+UNION ALL SELECT target_ord, agent, 'robots-txt-conflict' FROM d WHERE verdict = 'disallowed' AND page_id % 5 <> 2""")
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What robots.txt says against the pages; http origins do not answer."""
+    from pagelens.functions.urls import origin
+
+    t = tables(spark, sf_dir)
+    sites = t["pages"].select(origin(F.col("url")).alias("origin")).distinct()
+    there = F.col("origin").startswith("https")
+    docs = sites.select(
+        "origin", F.when(there, "fetched").otherwise("unavailable").alias("state"), F.when(there, 200).otherwise(503).alias("status"),
+        F.lit(None).cast("string").alias("error"), F.when(there, F.lit(_ROBOTS)).alias("body"),
+    )
+    checks = t["probes"].join(t["agents"].select("agent_ord", "user_agent"), "agent_ord").selectExpr("probe_id", "requested_url AS url", "agent", "user_agent")
+    facts = t["facts"].join(robots.robots_verdicts(checks, docs), "probe_id", "left")
+    return rules.probe_findings(facts).where("code LIKE 'robots-txt-%'").select("target_ord", "agent", "code")
+
+
 @query("""SELECT event_type, count(*) AS n, min(value) AS min, median(value) AS median, quantile_disc(value, 0.95) AS p95, max(value) AS max,
   max(value) - min(value) AS spread FROM events WHERE value >= 0 AND isfinite(value) GROUP BY 1""")
 def timing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +132,12 @@ def stream_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.stream_shape(rows, "user_id").select("user_id", "chunks", r("spanned_ms"), r("max_gap_ms"), r("idle_ms"))
 
 
-@query("""WITH s AS (SELECT user_id, event_type, event_id % 3 AS sample FROM events WHERE event_id % 2 = 0)
+@query("""WITH s AS (SELECT user_id, event_type, event_id % 3 AS sample FROM events)
 SELECT user_id::INTEGER AS target_ord, event_type AS code, count(*) AS occurrences_raw, string_agg(DISTINCT sample::VARCHAR, ',' ORDER BY sample::VARCHAR) AS sample_numbers,
   count(DISTINCT sample)::VARCHAR AS occurrences FROM s GROUP BY 1, 2""")
 def coalesced_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as findings of repeated samples, merged."""
-    rows = _read(spark, sf_dir, "events").where("event_id % 2 = 0").selectExpr(
+    rows = _read(spark, sf_dir, "events").selectExpr(
         "cast(user_id AS int) AS target_ord", "cast(event_id % 3 AS int) AS sample", "0 AS probe_ord", "0 AS rule_ord", "cast(event_id AS int) AS within",
         "event_type AS code", "'info' AS severity", "'m' AS message", "'u' AS url", "CAST(NULL AS string) AS agent",
         "array(named_struct('k', 'raw', 't', 'number', 'v', cast(event_id AS string))) AS evidence",
@@ -135,7 +166,7 @@ UNION ALL SELECT * FROM (VALUES ('note', 'waiver-unused', 1), ('note', 'waiver-e
 def waived_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     w = spark.createDataFrame(_WAIVERS, "waiver_ord int, code string, target string, agent string, reason string, until string")
-    found = rules.probe_findings(t["facts"]).cache()  # read four times below
+    found = rules.probe_findings(t["facts"])
     kept, waived, notes = waivers.apply_waivers(found, w, t["targets"], "2026-10-06")
     count = lambda df, s: df.groupBy("code").agg(F.count("*").alias("n")).select(F.lit(s).alias("state"), "code", "n")
     return count(kept, "kept").unionByName(count(waived, "waived")).unionByName(count(notes, "note"))
@@ -174,13 +205,13 @@ def target_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT url, page_id FROM (SELECT url, page_id, row_number() OVER (PARTITION BY url ORDER BY src, page_id) AS k FROM
-  (SELECT url, page_id, 0 AS src FROM pages WHERE page_id % 2 = 1 UNION ALL SELECT url, page_id, 1 FROM pages
+  (SELECT url, page_id, 0 AS src FROM pages UNION ALL SELECT url, page_id, 1 FROM pages
    WHERE regexp_matches(url, '^[a-z]+://[^/?#]*/en/') AND NOT regexp_matches(url, '^[a-z]+://[^/?#]*[^?#]*[.]html($|[?#])'))) WHERE k = 1""")
 def merged_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed targets, then a sitemap's filtered ones, the first mention of a URL winning."""
     pages = _read(spark, sf_dir, "pages").select("url", "page_id", F.col("page_id").alias("ord"))
     found = sitemap.path_filtered(pages, ["/en/*"], ["*.html"])
-    return sitemap.merged_targets([pages.where("page_id % 2 = 1"), found]).select("url", "page_id")
+    return sitemap.merged_targets([pages, found]).select("url", "page_id")
 
 
 _SECRETS = ["Apache License", "CC BY-NC 4.0", "the"]
@@ -199,63 +230,109 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_RUNS = "SELECT user_id % 50 AS t, event_type, value * 40 * (1 + (event_id % 2) * (user_id % 4)) AS ms, event_id % 2 AS side FROM events"
+_RUNS = "SELECT user_id % 50 AS t, event_type, CASE WHEN user_id % 4 = 1 THEN 'required_ms' ELSE 'first_byte_ms' END AS metric, value * 40 * (1 + (event_id % 2) * (user_id % 4)) AS ms, event_id % 2 AS side FROM events"
 
 
-@query(f"""WITH r AS ({_RUNS}), m AS (SELECT t, event_type, median(ms) FILTER (WHERE side = 0) AS a, median(ms) FILTER (WHERE side = 1) AS b FROM r GROUP BY ALL)
-SELECT 'id:' || t AS target, event_type AS agent, CASE WHEN b > a THEN 'timing-regression' ELSE 'timing-improvement' END AS code FROM m
-WHERE a IS NOT NULL AND b IS NOT NULL AND abs(b - a) > 250 AND (a = 0 OR abs(b - a) / a * 100 > 25)""")
+@query(f"""WITH r AS ({_RUNS}), m AS (SELECT t, event_type, metric, median(ms) FILTER (WHERE side = 0) AS a, median(ms) FILTER (WHERE side = 1) AS b FROM r GROUP BY ALL)
+SELECT 'id:' || t AS target, event_type AS agent, metric AS field, CASE WHEN b > a THEN 'timing-regression' ELSE 'timing-improvement' END AS code FROM m
+WHERE a IS NOT NULL AND b IS NOT NULL AND abs(b - a) > 250 AND (a = 0 OR abs(b - a) / a * 100 > 25) AND (metric <> 'required_ms' OR t % 10 <> 3)""")
 def timing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median timings of two runs, made of even and odd events."""
+    """Median timings of two runs, made of even and odd events; some targets require other signals than before."""
     rows = _read(spark, sf_dir, "events").selectExpr(
-        "concat('id:', user_id % 50) AS target", "event_type AS agent", "'first_byte_ms' AS metric",
+        "concat('id:', user_id % 50) AS target", "event_type AS agent", "CASE WHEN user_id % 4 = 1 THEN 'required_ms' ELSE 'first_byte_ms' END AS metric",
         "value * 40 * (1 + (event_id % 2) * (user_id % 4)) AS ms", "event_id % 2 AS side",
     )
-    return compare.timing_changes(rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side")).select("target", "agent", "code")
+    other = spark.range(50).where("id % 10 = 3").select(F.concat(F.lit("id:"), "id").alias("target"))
+    side = lambda k: rows.where(f"side = {k}").drop("side")
+    return compare.timing_changes(side(0), side(1), other_policy=other).select("target", "agent", "field", "code")
 
 
-_FOUND = """SELECT 'id:' || (user_id % 40) AS target, event_type AS code, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'a' || (user_id % 3) END AS agent,
-  CASE WHEN event_type = 'error' THEN 'error' WHEN value > 15 THEN 'warning' ELSE 'info' END AS severity, event_id % 7 AS side FROM events"""
+_FOUND = """SELECT 'id:' || (user_id % 45 + 5 * (event_id % 2)) AS target, event_type AS code, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'a' || (user_id % 3) END AS agent,
+  CASE WHEN event_type = 'error' THEN 0 WHEN value > 15 AND user_id % 4 <> event_id % 2 THEN 1 ELSE 2 END AS r, (user_id % 50)::VARCHAR AS v, event_id % 2 AS side FROM events"""
 
 
-@query(f"""WITH f AS ({_FOUND}), r AS (SELECT target, code, agent, min(CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) FILTER (WHERE side = 0) AS a,
-  min(CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) FILTER (WHERE side = 1) AS b FROM f WHERE side < 2 GROUP BY ALL)
-SELECT target, agent, code, CASE WHEN a IS NULL THEN CASE WHEN b = 2 THEN 'changed' ELSE 'regression' END WHEN b IS NULL THEN 'fixed' WHEN b < a THEN 'regression' ELSE 'fixed' END AS kind
+@query(f"""WITH f AS ({_FOUND}), r AS (SELECT target, code, agent, min(r || ' ' || v) FILTER (WHERE side = 0) AS a, min(r || ' ' || v) FILTER (WHERE side = 1) AS b FROM f GROUP BY ALL)
+SELECT target, agent, CASE WHEN a[1] = b[1] THEN 'finding-evidence-changed' ELSE code END AS code,
+  CASE WHEN a[1] = b[1] THEN 'changed' WHEN a IS NULL THEN CASE WHEN b[1] = '2' THEN 'changed' ELSE 'regression' END WHEN b IS NULL THEN 'fixed' WHEN b[1] < a[1] THEN 'regression' ELSE 'fixed' END AS kind
 FROM r WHERE a IS DISTINCT FROM b""")
 def finding_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of two kinds of ids as the findings of two runs."""
+    """Even and odd events as the findings of two runs, with evidence."""
     rows = _read(spark, sf_dir, "events").selectExpr(
-        "concat('id:', user_id % 40) AS target", "event_type AS code", "CASE WHEN user_id % 3 = 0 THEN NULL ELSE concat('a', user_id % 3) END AS agent",
-        "CASE WHEN event_type = 'error' THEN 'error' WHEN value > 15 THEN 'warning' ELSE 'info' END AS severity", "event_id % 7 AS side",
-        "CAST(array() AS array<struct<k:string,t:string,v:string>>) AS evidence",
+        "concat('id:', user_id % 45 + 5 * (event_id % 2)) AS target", "event_type AS code", "CASE WHEN user_id % 3 = 0 THEN NULL ELSE concat('a', user_id % 3) END AS agent",
+        "CASE WHEN event_type = 'error' THEN 'error' WHEN value > 15 AND user_id % 4 <> event_id % 2 THEN 'warning' ELSE 'info' END AS severity", "event_id % 2 AS side",
+        "array(named_struct('k', 'v', 't', 'string', 'v', cast(user_id % 50 AS string))) AS evidence",
     )
     side = lambda k: rows.where(f"side = {k}").drop("side")
     return compare.finding_changes(side(0), side(1), ()).select("target", "agent", "code", "kind")
 
 
-_META = "SELECT 'id:' || (o_orderkey % 600) AS target, 'a' || (o_custkey % 2) AS agent, 'title' AS field, o_orderpriority AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'body' ELSE 'head' END AS location, o_orderkey % 7 AS side FROM orders"
+_ANSWERS = """SELECT 'id:' || (user_id % 300) AS target, 'a' || (user_id % 2) AS agent, event_id % 2 AS side,
+  CASE WHEN event_type = 'error' AND (user_id % 7 = 0 OR (user_id % 11 = 3 AND event_id % 2 = 1)) THEN 'timeout' ELSE 'complete' END AS completion,
+  CASE WHEN user_id % 13 = 1 THEN NULL WHEN user_id % 5 = event_id % 2 THEN 404 ELSE 200 END AS status,
+  CASE WHEN user_id % 6 = 2 AND event_id % 2 = 1 THEN 'https://other.example/x' ELSE 'https://site.example/p' END AS final_url,
+  CASE WHEN user_id % 9 = 4 + event_id % 2 THEN 'https://site.example/p' END AS hop FROM events"""
+
+
+@query(f"""WITH p AS ({_ANSWERS}), s AS (SELECT target, agent, side, list_sort(list(DISTINCT completion)) AS completion, list_sort(list(DISTINCT coalesce(status::VARCHAR, 'missing'))) AS status,
+  list_sort(list(DISTINCT final_url)) AS final, list_sort(list(DISTINCT coalesce(hop, '<none>'))) AS chain FROM p GROUP BY ALL),
+j AS (SELECT a.target, a.agent, a.completion AS ca, b.completion AS cb, a.status AS sa, b.status AS sb, a.final AS fa, b.final AS fb, a.chain AS ha, b.chain AS hb FROM s a JOIN s b ON a.target = b.target AND a.agent = b.agent AND a.side = 0 AND b.side = 1)
+SELECT target, agent, 'probe-completion-changed' AS code, CASE WHEN ca = ['complete'] THEN 'regression' WHEN cb = ['complete'] THEN 'fixed' ELSE 'changed' END AS kind FROM j WHERE ca <> cb
+UNION ALL SELECT target, agent, 'http-status-changed', 'changed' FROM j WHERE sa <> sb UNION ALL SELECT target, agent, 'final-url-changed', 'changed' FROM j WHERE fa <> fb
+UNION ALL SELECT target, agent, 'redirect-chain-changed', 'changed' FROM j WHERE ha <> hb""")
+def response_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even and odd events as the responses of two runs."""
+    rows = _read(spark, sf_dir, "events").selectExpr(
+        "concat('id:', user_id % 300) AS target", "concat('a', user_id % 2) AS agent", "event_id % 2 AS side", "'https://site.example/' AS target_url",
+        "CASE WHEN event_type = 'error' AND (user_id % 7 = 0 OR (user_id % 11 = 3 AND event_id % 2 = 1)) THEN 'timeout' ELSE 'complete' END AS completion",
+        "CASE WHEN user_id % 13 = 1 THEN NULL WHEN user_id % 5 = event_id % 2 THEN 404 ELSE 200 END AS status",
+        "CASE WHEN user_id % 6 = 2 AND event_id % 2 = 1 THEN 'https://other.example/x' ELSE 'https://site.example/p' END AS final_url",
+        "CASE WHEN user_id % 9 = 4 + event_id % 2 THEN array(named_struct('url', 'https://site.example/', 'status', 301, 'location', 'https://site.example/p', 'duration_ms', 1D)) ELSE CAST(array() AS array<struct<url:string,status:int,location:string,duration_ms:double>>) END AS redirects",
+    )
+    side = lambda k: rows.where(f"side = {k}")
+    return compare.response_changes(side(0), side(1)).select("target", "agent", "code", "kind")
+
+
+_POLICIES = {
+    "statuses": ("CASE WHEN c_nationkey % 4 = c_custkey % 2 THEN array(200, 404) ELSE array(200) END", "c_nationkey % 4 = c_custkey % 2"),
+    "expected_final_url": ("CASE WHEN c_nationkey % 5 = c_custkey % 2 THEN 'https://site.example/' END", "c_nationkey % 5 = c_custkey % 2"),
+    **{f: (f"c_acctbal > {k * 900}", f"c_acctbal > {k * 900}") for k, f in enumerate(("require_title", "require_description", "require_canonical", "require_h1", "require_main_text", "open_graph", "twitter_card"))},
+    "max_first_byte_ms": ("CAST(CASE WHEN c_nationkey % 3 = 1 THEN 500 END AS double)", "c_nationkey % 3 = 1"),
+    "max_critical_ms": ("CAST(900 AS double)", "true"),
+}
+
+
+@query("WITH c AS (SELECT 'id:' || (c_custkey // 2) AS target, c_custkey % 2 AS side, " + ", ".join(f"({w}) AS {f}" for f, (_, w) in _POLICIES.items()) + " FROM customer)\n"
+  + "\nUNION ALL ".join(f"SELECT a.target, '{f}' AS field FROM c a JOIN c b ON a.target = b.target AND a.side = 0 AND b.side = 1 WHERE a.{f} <> b.{f}" for f in _POLICIES))
+def policy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even and odd customers as the targets of two runs, with what each requires."""
+    rows = _read(spark, sf_dir, "customer").selectExpr("cast(c_custkey div 2 AS string) AS id", "'u' AS url", "c_custkey % 2 AS side", *[f"{e} AS {f}" for f, (e, _) in _POLICIES.items()])
+    side = lambda k: rows.where(f"side = {k}").drop("side")
+    return compare.policy_changes(side(0), side(1)).select("target", "field")
+
+
+_META = "SELECT 'id:' || (o_orderkey // 2 % 9000) AS target, 'a' || (o_custkey % 3) AS agent, 'title' AS field, o_orderpriority AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'body' ELSE 'head' END AS location, o_orderkey % 2 AS side FROM orders"
 
 
 @query(f"""WITH m AS ({_META}), s AS (SELECT target, agent, list_sort(list(DISTINCT value) FILTER (WHERE side = 0)) AS va, list_sort(list(DISTINCT value) FILTER (WHERE side = 1)) AS vb,
-  list_sort(list(DISTINCT location) FILTER (WHERE side = 0)) AS pa, list_sort(list(DISTINCT location) FILTER (WHERE side = 1)) AS pb FROM m WHERE side < 2 GROUP BY ALL HAVING count(*) FILTER (WHERE side = 0) > 0 AND count(*) FILTER (WHERE side = 1) > 0)
+  list_sort(list(DISTINCT location) FILTER (WHERE side = 0)) AS pa, list_sort(list(DISTINCT location) FILTER (WHERE side = 1)) AS pb FROM m GROUP BY ALL HAVING count(*) FILTER (WHERE side = 0) > 0 AND count(*) FILTER (WHERE side = 1) > 0)
 SELECT target, agent, 'metadata-value-changed' AS code FROM s WHERE va <> vb UNION ALL SELECT target, agent, 'metadata-location-changed' FROM s WHERE pa <> pb""")
 def metadata_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as the metadata of two runs."""
+    """Even and odd orders as the metadata of two runs, three agents."""
     rows = _read(spark, sf_dir, "orders").selectExpr(
-        "concat('id:', o_orderkey % 600) AS target", "concat('a', o_custkey % 2) AS agent", "'title' AS field", "o_orderpriority AS value",
-        "CASE WHEN o_orderkey % 5 = 0 THEN 'body' ELSE 'head' END AS location", "o_orderkey % 7 AS side",
+        "concat('id:', o_orderkey div 2 % 9000) AS target", "concat('a', o_custkey % 3) AS agent", "'title' AS field", "o_orderpriority AS value",
+        "CASE WHEN o_orderkey % 5 = 0 THEN 'body' ELSE 'head' END AS location", "o_orderkey % 2 AS side",
     )
     side = lambda k: rows.where(f"side = {k}").drop("side")
     return compare.metadata_changes(side(0), side(1)).select("target", "agent", "code")
 
 
-@query("""WITH k AS (SELECT DISTINCT 'id:' || c_nationkey AS target, c_mktsegment AS agent, c_custkey % 11 AS side FROM customer WHERE c_custkey % 11 < 2),
+@query("""WITH k AS (SELECT DISTINCT 'id:' || (c_nationkey * 8 + c_custkey % 8 + c_custkey % 2) AS target, c_mktsegment AS agent, c_custkey % 2 AS side FROM customer),
 b AS (SELECT target, agent, bool_or(side = 0) AS a, bool_or(side = 1) AS b FROM k GROUP BY ALL), t AS (SELECT target, bool_or(a) AS a, bool_or(b) AS b FROM b GROUP BY ALL)
 SELECT b.target, b.agent, CASE WHEN b.a THEN 'agent-removed' ELSE 'agent-added' END AS code FROM b JOIN t USING (target) WHERE t.a AND t.b AND b.a <> b.b
 UNION ALL SELECT target, NULL, CASE WHEN a THEN 'target-removed' ELSE 'target-added' END FROM t WHERE a <> b""")
 def membership_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as the targets and agents of two runs."""
-    rows = _read(spark, sf_dir, "customer").selectExpr("concat('id:', c_nationkey) AS target", "c_mktsegment AS agent", "c_custkey % 11 AS side")
+    """Even and odd customers as the targets and agents of two runs."""
+    rows = _read(spark, sf_dir, "customer").selectExpr("concat('id:', c_nationkey * 8 + c_custkey % 8 + c_custkey % 2) AS target", "c_mktsegment AS agent", "c_custkey % 2 AS side")
     return compare.membership_changes(rows.where("side = 0"), rows.where("side = 1")).select("target", "agent", "code")
 
 
@@ -296,13 +373,47 @@ def robots_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", T.robots_value(text).alias("directives"))
 
 
-@query(f"""WITH {PROBES_SQL}, c AS (SELECT page_id, agent_ord, agent, completion, status, final FROM (SELECT page_id, agent_ord, agent, CASE WHEN page_id % 13 = 0 THEN 'timeout' ELSE 'complete' END AS completion,
-  CASE WHEN page_id % 9 = 0 THEN 500 ELSE 200 END AS status, CASE WHEN page_id % 17 = 0 AND agent_ord = 1 THEN 'm' ELSE url END AS final FROM probes))
-SELECT agent, count(*) AS samples, count(*) FILTER (WHERE completion = 'complete') AS complete_samples, count(DISTINCT completion) AS completion, count(DISTINCT status) AS status FROM c GROUP BY 1""")
+_SAMPLES = f"""WITH {PROBES_SQL}, c AS (SELECT page_id // 6 AS t, page_id, agent, {STATUS} AS status, CASE WHEN page_id % 13 = 0 THEN 'timeout' ELSE 'complete' END AS completion,
+  CASE WHEN page_id % 17 = 0 AND agent_ord = 1 THEN 'm' ELSE 's' END AS final, page_id * 7 % 1000 AS first_byte,
+  regexp_extract(sent, '(?s)<title>(.*?)</title>', 1) AS title FROM probes)"""
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of six pages as samples of one target, answered from one address or another."""
+    facts = tables(spark, sf_dir)["facts"]
+    moved = F.col("final_url") == "https://other.example.net/moved"
+    return facts.withColumns({"sample": F.col("target_ord"), "target_ord": F.expr("target_ord div 6").cast("int"), "final_url": F.when(moved, F.col("final_url")).otherwise("https://site.example/")})
+
+
+@query(f"""{_SAMPLES} SELECT t::INTEGER AS target_ord, agent, count(*) AS samples, count(*) FILTER (WHERE completion = 'complete') AS complete_samples, count(DISTINCT completion) AS completion,
+  count(DISTINCT status) AS status, count(DISTINCT final) AS final_url, count(first_byte) AS n, min(first_byte)::DOUBLE AS min, median(first_byte)::DOUBLE AS median, quantile_disc(first_byte, 0.95)::DOUBLE AS p95,
+  max(first_byte)::DOUBLE AS max, (max(first_byte) - min(first_byte))::DOUBLE AS spread FROM c GROUP BY ALL""")
 def stability_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as samples of one target: how many ways each agent was answered."""
-    facts = tables(spark, sf_dir)["facts"].withColumn("sample", F.col("target_ord")).withColumn("target_ord", F.lit(0))
-    return stability.stability(facts).select("agent", "samples", F.col("completeSamples").alias("complete_samples"), "completion", "status")
+    """How many ways each agent was answered, and the times of first bytes."""
+    return stability.stability(_samples(spark, sf_dir)).select(
+        "target_ord", "agent", "samples", F.col("completeSamples").alias("complete_samples"), "completion", "status", F.col("finalUrl").alias("final_url"), "first_byte_ms.*"
+    )
+
+
+@query(f"""{_SAMPLES}, g AS (SELECT t, agent, count(DISTINCT completion) AS a, count(DISTINCT status) AS b, count(DISTINCT final) AS f, count(*) FILTER (WHERE completion = 'complete') AS n,
+  count(DISTINCT title) FILTER (WHERE completion = 'complete') AS m FROM c GROUP BY ALL)
+SELECT t::INTEGER AS target_ord, agent, 'response-instability' AS code, 'warning' AS severity FROM g WHERE a > 1 OR b > 1 OR f > 1
+UNION ALL SELECT t::INTEGER, agent, 'stream-instability', CASE WHEN m > 1 THEN 'warning' ELSE 'info' END FROM g WHERE n > 1""")
+def stability_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of answers that vary between samples."""
+    found = stability.stability_findings(stability.stability(_samples(spark, sf_dir)))
+    return found.select("target_ord", "agent", "code", "severity")
+
+
+@query(f"""{_SAMPLES}, m AS (SELECT t, agent, 0 AS k, 'headers' AS milestone, page_id::DOUBLE AS at_ms FROM c UNION ALL SELECT t, agent, 1, 'first-byte', first_byte FROM c
+UNION ALL SELECT t, agent, 9, 'complete', page_id * 9 % 2000 FROM c WHERE completion = 'complete')
+SELECT 'url:' || t AS target, agent, k AS milestone_ord, milestone, median(at_ms) AS at_ms FROM m GROUP BY ALL""")
+def probe_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median times of what probes alone tell of a target's milestones."""
+    from pagelens.operators.timeline import milestones
+
+    reached = milestones(_samples(spark, sf_dir)).withColumn("target", F.concat(F.lit("url:"), "target_ord"))
+    return compare.timelines(reached).where("milestone IN ('headers', 'first-byte', 'complete')").select("target", "agent", "milestone_ord", "milestone", "at_ms")
 
 
 @query("""SELECT page_id, least(strlen(html), 2000)::BIGINT AS bytes_read, CASE WHEN strlen(html) <= 2000 THEN sha256(html) END AS body_sha256, ((least(strlen(html), 2000) + 699) // 700)::BIGINT AS chunks FROM pages""")
