@@ -408,3 +408,112 @@ def test_pipeline_near_duplicates_link_from_080(docs, spark):
         left = stage(spark, frame.where("doc_id IS NOT NULL"), folder)
         assert left.columns == frame.columns
         assert {r.doc_id for r in left.select("doc_id").collect()} == want
+
+
+def brute_components(rows, percent):
+    """The rows (doc_id, text) that are the least of their group of near-duplicates."""
+    sets = []
+    for _, text in rows:
+        w = [x.lower() for x in words(text)]
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)]))
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if same and 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group):
+        least[g] = min(i, least.get(g, i))
+    return [r for r, g in zip(rows, group) if r[0] == least[g]]
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """run() over all documents, edge rows among them, against the same stages in plain Python."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pagelens.llm import mixing, personal_data, toxicity
+
+    folder = "/root/testdata/sf0.001"
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select(*columns).collect()]
+    rows += [(90_000 + k, t, None if k % 2 else "en", None if k % 3 else "src1", 0) for k, t in enumerate([None, "", " \t", "one", "one", "ONE", "w " * 700_000, "call (555) 123-4567 [at]", "you idiot stupid moron loser"])]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    model = toxicity.train(spark.read.parquet(str(tmp_path / "documents.parquet")), labels)
+    clean = [r for r in rows if model.score(r[1]) < 0.5]
+    kept = {i for i, _ in brute_components([(r[0], r[1]) for r in clean], 80)}
+    left = [r for r in clean if r[0] in kept]
+    detector = personal_data.train(spark.createDataFrame([(r[1],) for r in left], "text string"))
+    left = [(r[0], None if r[1] is None else personal_data.mask(r[1], personal_data.all_spans(r[1], detector, {})[1]), r[2], r[3]) for r in left]
+    topic = {r.doc_id: r.topic for r in mixing.described(spark.createDataFrame(left, "doc_id bigint, text string, lang string, source string")).collect()}
+    cell = {r[0]: (r[3] or "?", r[2] or "?", topic[r[0]]) for r in left}
+    tokens = Counter()
+    for r in left:
+        tokens[cell[r[0]]] += len(words(r[1]))
+    shares = []
+    for d in range(3):
+        have = Counter()
+        for c, n in tokens.items():
+            have[c[d]] += n
+        powers = {v: n**mixing.TEMPER for v, n in have.items()}
+        shares.append({v: p / sum(powers.values()) for v, p in powers.items()})
+    weight, total = brute_rake(tokens, shares), sum(tokens.values())
+    # the scale that spends the budget with probabilities capped at one
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(n * min(1, weight[c] * middle) for c, n in tokens.items()) < mixing.BUDGET * total else (low, middle)
+    known, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for i, text, _, _ in left:
+        draw = int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        if draw < weight[cell[i]] * low:
+            ids = known.encode(text or "", add_special_tokens=False).ids
+            plain = known.decode(ids, skip_special_tokens=False)
+            want.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()))
+    assert got == sorted(want) and len(got) > 50
+
+
+def test_stages_take_edge_tables(docs, none, spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    folder = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        for frame in (docs, none, docs.where("text IS NULL")):
+            out = stage(spark, frame, folder)
+            if name != "tokens":
+                assert out.columns == frame.columns
+            assert out.count() <= frame.count()
+        if name in ("personal_data", "tokens"):
+            assert stage(spark, docs, folder).count() == docs.count()
+
+
+@pytest.mark.parametrize("size", [40_000, 400_000])
+def test_long_texts_and_rows_without_ids(spark, size):
+    """Texts over a slice, near-duplicates and repeats through a row without a doc_id."""
+    from pagelens.llm.near_duplicates import near_duplicates
+    from pagelens.llm.substrings import remove_repeats
+
+    rng = random_words(size)
+    one, two, three = list(rng), list(rng), list(rng)
+    for k in range(size // 200):
+        two[(k * 193) % size] = f"two{k}"
+        three[(k * 193) % size], three[(k * 389 + 7) % size] = f"two{k}", f"three{k}"
+    rows = [(1, " ".join(one)), (None, " ".join(two)), (2, " ".join(three)), (3, "other " * 10)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame, percent=85).collect()}
+    assert got == {1: 1, None: 1, 2: 1, 3: 3}
+    removed = {r.doc_id: r.n_removed for r in remove_repeats(frame).collect()}
+    assert removed[1] > size // 2 and removed[3] == 0
+
+
+def random_words(size):
+    import random
+
+    rng = random.Random(8)
+    return [f"w{rng.randrange(50_000)}" for _ in range(size)]
