@@ -1,4 +1,8 @@
-"""A corpus pipeline: toxicity, near-duplicates, personal data, mixing, tokens."""
+"""A corpus pipeline: toxicity, near-duplicates, personal data, mixing, tokens.
+
+Every stage takes tables like `documents`, whatever other columns they have, and an empty table gives an empty one. Null texts
+count as empty, except that masking leaves them null; texts of any length are read whole, and repeated rows stay rows.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.storage import stored
+from pagelens.llm.storage import discard, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on `labels` among `docs`, scores below one half."""
+    """Documents that the classifier, trained on `labels` among `docs`, scores below one half; all others stay.
+
+    Null and empty texts score alike, as the classifier's bias says.
+    """
     from pagelens.llm.toxicity import rejected, train
 
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -21,7 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, linked from similarity 0.80: the one of least doc_id."""
+    """One document of each group of near-duplicates, linked from similarity 0.80: the one of least doc_id.
+
+    Documents without words link with nothing and stay, rows of one doc_id stay or go together, and rows without
+    a doc_id stay.
+    """
     from pagelens.llm.near_duplicates import near_duplicates
 
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
@@ -37,14 +48,14 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the raked mixture draws."""
+    """The documents that the raked mixture draws; those without words or without a doc_id are never drawn."""
     from pagelens.llm.mixing import sampled
 
     return sampled(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document left."""
+    """Token counts and digests of every document left; a null text counts as empty."""
     import public_tokenizers
 
     from pagelens.llm.bpe import token_digests
@@ -66,9 +77,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        after = stored(stage(spark, docs, sf_dir))
+        discard(before)
+        docs = before = after
+    return STAGES[-1][1](spark, docs, sf_dir)
