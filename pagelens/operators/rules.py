@@ -6,6 +6,8 @@ rule adds its findings to an array; rules that compare agents group by target an
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +65,9 @@ KINDS = ("title", "description", "canonical", "h1", "main")
 AUDIENCES = ("robots", "googlebot", "bingbot")
 
 
-def prepared(facts: DataFrame) -> DataFrame:
-    """Facts with what several rules read, each computed once: values by kind, directives, social fields, header."""
+@lru_cache(maxsize=1)
+def _preparations(application: str) -> tuple[dict[str, Column], ...]:
+    """Columns that several rules read, in three layers, built once for an application."""
     audience = lambda a: F.filter(of_kind("robots"), lambda s: s["audience"] == a)
     texts = lambda found: F.filter(F.transform(found, lambda s: T.robots_value(s["value"])), lambda v: v != "")
     own = T.audience_of(F.col("agent"))
@@ -85,7 +88,14 @@ def prepared(facts: DataFrame) -> DataFrame:
     second["audited"] = F.filter(F.array_union(F.array_union(og, tw), F.array(*backing)), lambda x: x.isNotNull())
     second["header_names"] = F.array_distinct(F.transform("header_items", lambda i: i["directive"]))
     third = {"effective": T.effective_directives(F.col("d_used"))} | {f"o_{a}": T.has_opposites(F.col(f"d_{a}")) for a in AUDIENCES}
-    return facts.withColumns(first).withColumns(second).withColumns(third)
+    return first, second, third
+
+
+def prepared(facts: DataFrame) -> DataFrame:
+    """Facts with what several rules read, each computed once: values by kind, directives, social fields, header."""
+    for layer in _preparations(facts.sparkSession.sparkContext.applicationId):
+        facts = facts.withColumns(layer)
+    return facts
 
 
 def kind_values(kind: str) -> Column:
@@ -193,8 +203,9 @@ def critical_arrival() -> Column:
     return F.when(~broken, F.array_max(F.array(*times, *social)))
 
 
-def probe_findings(facts: DataFrame) -> DataFrame:
-    """Findings of every rule that looks at one probe alone (F1 to F34 of the inventory)."""
+@lru_cache(maxsize=1)
+def _probe_rules(application: str) -> list[Column]:
+    """An array of findings for each rule that looks at one probe alone, built once for an application."""
     complete = F.col("completion") == "complete"
     final = F.col("status").isNotNull() & ~F.col("status").isin(*REDIRECTS)
     rules = [
@@ -256,9 +267,15 @@ def probe_findings(facts: DataFrame) -> DataFrame:
         finding(33, "slow-first-byte", "warning", F.col("first_byte_ms") > F.col("max_first_byte_ms"), "The first byte came late.", observedMs_n=F.col("first_byte_ms"), limitMs_n=F.col("max_first_byte_ms")),
         finding(34, "slow-critical-signals", "warning", arrival > F.col("max_critical_ms"), "Required signals came late.", observedMs_n=arrival, limitMs_n=F.col("max_critical_ms")),
     ]
+    return rules
+
+
+def probe_findings(facts: DataFrame) -> DataFrame:
+    """Findings of every rule that looks at one probe alone (F1 to F34 of the inventory)."""
     have = facts.columns
     blank = {c: "string" for c in ("robots_verdict", "robots_url", "robots_error", "robots_matched")} | {"robots_status": "int"}
     full = facts.withColumns({c: F.lit(None).cast(k) for c, k in blank.items() if c not in have})
+    rules = _probe_rules(facts.sparkSession.sparkContext.applicationId)
     found = prepared(full).select("target_ord", "sample", F.col("agent_ord").alias("probe_ord"), "agent", "url", F.explode(F.concat(*rules)).alias("f"))
     return found.select("target_ord", "sample", "probe_ord", "f.rule_ord", "f.within", "f.code", "f.severity", "f.message", "url", "agent", "f.evidence")
 
