@@ -125,7 +125,8 @@ def compare_runs(args: argparse.Namespace) -> int:
     spark = ship(local_session())
     before, after = (runs.read_run(spark, p) for p in (args.baseline, args.candidate))
     changes, found = _comparison(before, after, args)
-    _write(reports.comparison_document(args.format, changes, found), args.output)
+    pairs = compare.timeline_pairs(before, after) if args.format == "html" else None
+    _write(reports.comparison_document(args.format, changes, found, pairs), args.output)
     changes.unpersist()
     return int(args.fail_on == "regression" and found["regressions"] > 0)
 

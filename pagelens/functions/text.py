@@ -128,6 +128,12 @@ def milliseconds(value: Column) -> Column:
     )
 
 
+def shortened(value: Column, limit: int) -> Column:
+    """One line of at most `limit` characters, an ellipsis at the end of what was cut."""
+    line = collapse(value)
+    return F.when(F.length(line) <= limit, line).otherwise(F.concat(F.substring(line, 1, limit - 1), F.lit("\u2026")))
+
+
 def size_text(value: Column) -> Column:
     return (
         F.when(value < 1024, F.format_string("%d B", value))

@@ -8,7 +8,7 @@ from urllib.parse import quote, unquote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 _PORTS = {"http": 80, "https": 443}
 _KEEP = "%/?:@!$&'()*+,;=-._~[]"
@@ -120,24 +120,28 @@ def robots_path(text: str) -> str:
     return re.sub(r"%([0-9A-Fa-f]{2})", plain, encoded)
 
 
-@lru_cache(maxsize=50_000)
-def _rule(pattern: str) -> tuple[re.Pattern[str], int]:
-    ends = pattern.endswith("$")
-    text = robots_path(pattern[:-1] if ends else pattern).replace("$", "%24")
-    return re.compile(".*".join(map(re.escape, text.split("*"))) + ("$" if ends else ""), re.S), len(text.rstrip("*")) + ends
+_RULE = StructType().add("text", StringType()).add("pattern", StringType()).add("size", IntegerType())
+
 
+@F.pandas_udf(_RULE)
+def robots_rule(pattern: pd.Series) -> pd.DataFrame:
+    """(text, pattern, size) of a rule: a plain prefix in normal form or else a regular expression, and how specific it is in bytes."""
 
-@F.pandas_udf(IntegerType())
-def robots_match(pattern: pd.Series, path: pd.Series) -> pd.Series:
-    """How specific a rule's match is, in bytes; null when it does not match."""
+    def one(p: str) -> tuple[str | None, str | None, int]:
+        ends = p.endswith("$")
+        text = robots_path(p[:-1] if ends else p).replace("$", "%24")
+        size = len(text.rstrip("*")) + ends
+        if not ends and "*" not in text.rstrip("*"):
+            return text.rstrip("*"), None, size
+        return None, "^" + ".*".join(re.sub(r"([^A-Za-z0-9%/_])", r"\\\1", x) for x in text.split("*")) + ("$" if ends else ""), size
 
-    def one(p: str | None, x: str | None) -> int | None:
-        if not p or x is None:
-            return None
-        rule, size = _rule(p)
-        return size if rule.match(robots_path(x).replace("$", "%24")) else None
+    return pd.DataFrame([one(p) for p in pattern], columns=["text", "pattern", "size"])
 
-    return pd.Series([one(p, x) for p, x in zip(pattern, path, strict=True)], index=path.index, dtype="Int32")
+
+@F.pandas_udf(StringType())
+def robots_form(path: pd.Series) -> pd.Series:
+    """A path as rules are held against it."""
+    return path.map(lambda x: x if x is None else robots_path(x).replace("$", "%24"))
 
 
 @F.pandas_udf(StringType())

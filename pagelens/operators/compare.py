@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as T
 from pagelens.functions.urls import url_for_origin
 from pagelens.operators.findings import rank
-from pagelens.operators.timeline import timings
+from pagelens.operators.rules import probe_facts
+from pagelens.operators.timeline import milestones, timings
 
 CHANGES = "kind string, target string, agent string, field string, code string, before string, after string, detail string"
 # Floors below which a change of median timing is no regression.
@@ -190,8 +191,20 @@ def timelines(arrivals: DataFrame) -> DataFrame:
     )
 
 
-def timeline_pairs(before: DataFrame, after: DataFrame) -> DataFrame:
-    return _sides(timelines(before), timelines(after), ["target", "agent", "milestone_ord", "milestone"])
+def stored_facts(run: dict[str, DataFrame]) -> DataFrame:
+    """The facts of a stored run's probes, from its tables."""
+    item = F.struct("ord", "kind", "property", "audience", "value", "location", "at_ms", "observed_by_byte")
+    block = F.struct("ord", "valid", "limit", "error")
+    documents = run["signals"].groupBy("probe_id").agg(F.array_sort(F.collect_list(item)).alias("signals"))
+    documents = documents.join(run["json_ld"].groupBy("probe_id").agg(F.array_sort(F.collect_list(block)).alias("json_ld")), "probe_id", "full_outer")
+    agents = run["probes"].select("agent_ord", "agent").distinct().withColumns({"label": F.col("agent"), "user_agent": F.col("agent"), "requires_head": F.lit(False)})
+    return probe_facts(run["probes"].drop("required_ms"), documents, run["targets"], agents)
+
+
+def timeline_pairs(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """The milestones of two stored runs side by side, per target and agent."""
+    of = lambda run: timelines(keyed(milestones(stored_facts(run)), run["targets"]))
+    return _sides(of(before), of(after), ["target", "agent", "milestone_ord", "milestone"])
 
 
 def compare_runs(before: dict[str, DataFrame], after: dict[str, DataFrame], min_ms: float = MIN_MS, min_percent: float = MIN_PERCENT) -> DataFrame:

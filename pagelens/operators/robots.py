@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.functions.urls import origin, path_and_query, robots_match
+from pagelens.functions.urls import origin, path_and_query, robots_form, robots_rule
 
 
 def parse_robots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(agents, rules, sitemaps) of docs (origin, body).
+    """(agents, rules, sitemaps) of docs (origin, body); agents carry the first crawl delay of their group in delay_ms.
 
     Consecutive user-agent lines share a group; an allow or disallow line, even an empty one, ends the collection of
     agents; sitemap, crawl-delay and unknown lines do not. Rules before any agent are dropped.
@@ -24,7 +24,8 @@ def parse_robots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     last = F.last(marked, ignorenulls=True).over(so_far)
     starts = ((F.col("field") == "user-agent") & (F.coalesce(last, F.lit("rule")) == "rule")).cast("int")
     grouped = lines.withColumn("group_ord", F.sum(starts).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    agents = grouped.where("field = 'user-agent' AND value <> ''").select("origin", "group_ord", F.lower("value").alias("token"))
+    delays = grouped.where("field = 'crawl-delay' AND value RLIKE '^[0-9]+([.][0-9]+)?$'").groupBy("origin", "group_ord").agg(F.min_by(F.col("value").cast("double") * 1000, "n").alias("delay_ms"))
+    agents = grouped.where("field = 'user-agent' AND value <> ''").select("origin", "group_ord", F.lower("value").alias("token")).join(delays, ["origin", "group_ord"], "left")
     rules = grouped.where("group_ord > 0 AND field IN ('allow', 'disallow') AND value <> ''").select(
         "origin", "group_ord", F.col("n").alias("rule_ord"), (F.col("field") == "allow").alias("allow"), F.col("value").alias("path")
     )
@@ -32,11 +33,6 @@ def parse_robots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return agents, rules, sitemaps
 
 
-def crawl_delays(docs: DataFrame) -> DataFrame:
-    """(origin, delay_ms): the first crawl-delay in seconds."""
-    return docs.select("origin", (F.regexp_extract("body", r"(?im)^\s*crawl-delay\s*:\s*([0-9.]+)", 1).cast("double") * 1000).alias("delay_ms"))
-
-
 def selected_groups(checks: DataFrame, agents: DataFrame) -> DataFrame:
     """(origin, agent, group_ord): all groups whose longest token in the agent's name ties for the longest; '*' counts 0."""
     names = checks.select("origin", "agent", F.lower("user_agent").alias("ua")).distinct()
@@ -53,10 +49,13 @@ def robots_verdicts(checks: DataFrame, docs: DataFrame) -> DataFrame:
     """
     asked = checks.withColumn("origin", origin(F.col("url"))).withColumn("path", path_and_query(F.col("url")))
     agents, rules, _ = parse_robots(docs.where("state = 'fetched' AND body IS NOT NULL"))
-    rules = rules.withColumnRenamed("path", "rule")
+    # every rule and path is put in form once; rules without wildcards are prefixes, which the JVM compares
+    rules = rules.withColumnRenamed("path", "rule").withColumn("r", robots_rule("rule"))
     chosen = selected_groups(asked, agents)
-    pairs = asked.select("probe_id", "origin", "agent", "path").join(chosen, ["origin", "agent"]).join(rules, ["origin", "group_ord"])
-    hits = pairs.withColumn("size", robots_match("rule", "path")).where("size IS NOT NULL")
+    formed = asked.select("probe_id", "origin", "agent", robots_form("path").alias("form"))
+    pairs = formed.join(chosen, ["origin", "agent"]).join(rules, ["origin", "group_ord"])
+    matches = F.when(F.col("r.pattern").isNull(), F.startswith(F.col("form"), F.col("r.text"))).otherwise(F.rlike(F.col("form"), F.col("r.pattern")))
+    hits = pairs.where(matches).withColumn("size", F.col("r.size"))
     best = hits.groupBy("probe_id").agg(
         F.max_by(F.struct("allow", "rule"), F.struct("size", "allow", -F.col("rule_ord"))).alias("best")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
@@ -14,17 +14,21 @@ VARIANTS = ("completion", "status", "finalUrl", "redirectChain", "bodySha256", "
 
 
 def timing_stats(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, min, median, p95 (nearest rank), max, spread of finite non-negative values; groups without any are absent."""
+    """n, min, median, p95 (nearest rank), max, spread of finite non-negative values; groups without any are absent.
+
+    Equal values are counted before the shuffle, and ranks are running sums of the counts in order, so that a group of any
+    size is sorted with spilling rather than held.
+    """
     v = F.col(value).cast("double")
     usable = samples.where(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf")))
-    return usable.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.min(v).alias("min"),
-        F.median(v).alias("median"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY cast({value} AS double))").alias("p95"),
-        F.max(v).alias("max"),
-        (F.max(v) - F.min(v)).alias("spread"),
-    )
+    counted = usable.groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
+    so_far = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    ranked = counted.withColumn("_rank", F.sum("_n").over(so_far)).join(totals, keys)
+    at = lambda rank: F.min(F.when(F.col("_rank") >= rank, F.col("_v")))
+    lower, upper = at(F.floor((F.col("n") + 1) / 2)), at(F.floor(F.col("n") / 2) + 1)
+    picked = ranked.groupBy(*keys, "n", "min", "max").agg((0.5 * lower + 0.5 * upper).alias("median"), at(F.ceil(F.col("n") * 0.95)).alias("p95"))
+    return picked.select(*keys, "n", "min", "median", "p95", "max", (F.col("max") - F.col("min")).alias("spread"))
 
 
 def redirect_signature(redirects: Column) -> Column:

@@ -194,8 +194,8 @@ def terminal_document(out: dict[str, DataFrame], summary: dict) -> Iterator[str]
         from pagelens.operators.timeline import readiness
 
         row = line(
-            (F.col("sample"), 3), (F.substring("label", 1, 24), 18), (F.col("status"), 5), (F.col("completion"), 20), (T.milliseconds(F.col("first_byte_ms")), 10),
-            (T.milliseconds(F.col("complete_ms")), 10), *((_signal_text(k), 18) for k in ("title", "description", "canonical", "main")),
+            (F.col("sample"), 3), (T.shortened(F.col("label"), 16), 18), (F.col("status"), 5), (F.col("completion"), 20), (T.milliseconds(F.col("first_byte_ms")), 10),
+            (T.milliseconds(F.col("complete_ms")), 10), (T.size_text(F.col("bytes_read")), 11), *((_signal_text(k), 18) for k in ("title", "description", "canonical", "main")),
         )
         sections.append(out["facts"].select("target_ord", F.lit(1).alias("part"), place.alias("place"), row.alias("value")))
         social = out["facts"].where("open_graph OR twitter_card").select("target_ord", "agent_ord", "sample", "label")
@@ -204,7 +204,7 @@ def terminal_document(out: dict[str, DataFrame], summary: dict) -> Iterator[str]
     if "stability" in out and s["repeat"] > 1:
         timing = [(F.concat(F.lit(f"{m} "), T.milliseconds(F.col(f"{m}.median")), F.lit(" p95 "), T.milliseconds(F.col(f"{m}.p95"))), 34) for m in ("first_byte_ms", "complete_ms", "required_ms")]
         sections.append(out["stability"].select("target_ord", F.lit(3).alias("part"), F.format_string("%06d", "agent_ord").alias("place"), line((F.col("agent"), 18), (F.concat("completeSamples", F.lit("/"), "samples"), 8), *timing).alias("value")))
-    text = line((F.col("severity"), 9), (F.col("code"), 34), (F.col("agent"), 16), (F.col("message"), 60))
+    text = line((F.col("severity"), 9), (F.col("code"), 34), (F.col("agent"), 16), (T.shortened(F.col("message"), 120), 120))
     order = F.format_string("%d/%09d/%06d/%04d/%06d", rank("severity"), "sample", "probe_ord", "rule_ord", "within")
     sections.append(out["findings"].select("target_ord", F.lit(4).alias("part"), order.alias("place"), text.alias("value")))
     every = sections[0]
@@ -251,7 +251,7 @@ def arrival_rows(facts: DataFrame, limit: int = ARRIVALS) -> DataFrame:
     by_target = Window.partitionBy("target_ord")
     place = F.row_number().over(by_target.orderBy("agent_ord", "sample", "x.i"))
     rows = rows.withColumn("place", place).withColumn("n", F.count("*").over(by_target)).where(F.col("place") <= limit)
-    return rows.select("target_ord", "place", "label", "x.kind", "x.s.at_ms", "x.s.location", "x.s.observed_by_byte", F.substring("x.s.value", 1, 120).alias("value"), "n")
+    return rows.select("target_ord", "place", "label", "x.kind", "x.s.at_ms", "x.s.location", "x.s.observed_by_byte", T.shortened(F.col("x.s.value"), 120).alias("value"), "n")
 
 
 def html_document(out: dict[str, DataFrame], summary: dict, framework: str | None = None, title: str = "Page delivery") -> Iterator[str]:

@@ -52,6 +52,16 @@ def test_robots(spark):
     got = {r.probe_id: r.robots_verdict for r in robots.robots_verdicts(checks, docs).collect()}
     assert got == {"1": "allowed", "2": "allowed", "3": "disallowed", "4": "allowed", "5": "unavailable", "6": None, "7": "allowed"}
     assert robots.parse_robots(docs)[2].first().url == "http://s/m.xml"
+    assert {r.token: r.delay_ms for r in robots.parse_robots(docs)[0].collect()} == {"a": 2000.0, "bot": 2000.0, "*": None}
+
+
+def test_robots_rules_in_form(spark):
+    """Wildcards, ends, escapes and tied groups, as the most specific rule in bytes decides."""
+    body = "User-agent: one\nDisallow: /é\nDisallow: /a%2fb\nDisallow: /q?x=*&y\nDisallow: /d$\nDisallow: /s**\nAllow: /s/ok\nDisallow: /m.(x)\n\nUser-agent: one\nDisallow: /second\n\nUser-agent: on\nDisallow: /\n"
+    docs = spark.createDataFrame([("http://h.com", "fetched", 200, None, body)], "origin string, state string, status int, error string, body string")
+    paths = {"/%C3%A9x": "disallowed", "/a%2Fb": "disallowed", "/a/b": "allowed", "/q?x=1&y": "disallowed", "/d": "disallowed", "/dd": "allowed", "/s1": "disallowed", "/s/ok1": "allowed", "/second": "disallowed", "/m.(x)": "disallowed", "/mA(x)": "allowed", "/x": "allowed"}
+    checks = spark.createDataFrame([(p, "http://h.com" + p, "a", "oneBot/1") for p in paths], "probe_id string, url string, agent string, user_agent string")
+    assert {r.probe_id: r.robots_verdict for r in robots.robots_verdicts(checks, docs).collect()} == paths
 
 
 def test_sitemap(spark):
@@ -108,6 +118,38 @@ def test_timing_stats(spark):
     assert len(rows) == 1 and tuple(rows[0]) == ("a", 20, 1.0, 10.5, 19.0, 20.0, 19.0)
 
 
+def test_ties_of_findings_go_by_their_order(spark):
+    from pagelens.schemas import EVIDENCE
+
+    rows = [("t", "c", "x", "warning", s, 0, 1, 0, [("k", "string", v)]) for s, v in ((1, "b"), (2, "a"))]
+    schema = f"target string, code string, agent string, severity string, sample int, probe_ord int, rule_ord int, within int, evidence {EVIDENCE}"
+    before, after = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[::-1], schema)
+    assert compare.finding_changes(before, after, ()).count() == 0
+    other = spark.createDataFrame([rows[0][:4] + (3,) + rows[0][5:], rows[1]], schema)
+    assert [(r.code, r.kind) for r in compare.finding_changes(before, other, ()).collect()] == [("finding-evidence-changed", "changed")]
+
+
+def test_readiness_and_arrivals(spark):
+    from pagelens.operators.inspector import fixed_chunks, inspected
+    from pagelens.operators.rules import probe_facts
+    from pagelens.operators.timeline import milestones, readiness
+    from pagelens.schemas import AGENTS, PROBES, TARGETS
+    from pagelens.sinks.reports import arrival_rows, preview_cards
+
+    html = "<html><head><title>T</title><meta property=og:title content=O><meta property=og:type content=a><meta property=og:url content=http://a/></head><body><meta property=og:image content=http://a/i></body></html>"
+    targets = spark.createDataFrame([(0, None, "http://a/", [200], None, True, False, False, False, False, True, True, None, None)], TARGETS)
+    agents = spark.createDataFrame([(0, "browser", "Browser", "M", False), (1, "x", "X", "M", False)], AGENTS)
+    rows = [(f"0/{a}/1", 0, a, name, 1, "http://a/", "http://a/", 200, "complete", None, 9, "s", {}, [], 1.0, 2.0, 9.0) for a, name in ((0, "browser"), (1, "x"))]
+    pages = spark.createDataFrame([("0/0/1", html), ("0/1/1", "<title>U</title>")], "probe_id string, html string")
+    facts = probe_facts(spark.createDataFrame(rows, PROBES), inspected(fixed_chunks(pages, 50)), targets, agents)
+    ready = {r.agent_ord: (r.open_graph, r.twitter_card) for r in readiness(facts).collect()}
+    assert ready == {0: ("4 ms/body", "2/4"), 1: ("0/4", "0/4")}
+    reached = {(r.agent, r.milestone): (r.at_ms, r.location) for r in milestones(facts).collect()}
+    assert reached["browser", "open-graph"] == (4.0, "mixed") and reached["x", "title"] == (1.0, "document") and ("x", "open-graph") not in reached
+    assert [(r.label, r.kind, r.n) for r in arrival_rows(facts, 1).collect()] == [("Browser", "title", 2)]
+    assert [(r.title, r.image) for r in preview_cards(facts).collect()] == [("O", "http://a/i")]
+
+
 def test_both_timing_floors_are_needed(spark):
     side = lambda a, b, c: spark.createDataFrame([("t", "x", "m", a), ("t", "y", "m", b), ("t", "z", "m", c)], "target string, agent string, metric string, ms double")
     got = compare.timing_changes(side(100.0, 2000.0, 0.0), side(400.0, 2400.0, 251.0)).collect()
