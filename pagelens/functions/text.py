@@ -149,7 +149,7 @@ def title_of(code: Column) -> Column:
 
 
 def markdown_cell(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, r"\|", r"\\\\|"), r"[\r\n]+", " ")
+    return F.regexp_replace(F.replace(value, F.lit("|"), F.lit("\\|")), r"[\r\n]+", " ")
 
 
 def xml_text(value: Column) -> Column:

@@ -3,17 +3,18 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from pagelens.plans import catalog
+from pagelens.plans import catalog, parts  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    tidy = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+    tidy = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
     return sorted(repr([tidy(v) for v in r]) for r in frame.astype(object).itertuples(index=False, name=None))
 
 
