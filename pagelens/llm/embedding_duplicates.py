@@ -5,14 +5,16 @@ several rotations are joined and cut into segments, one table each; a segment ha
 vectors, so that a bucket holds a few whatever their number. A pair is retrieved when some segment differs in
 at most one bit, is taken from the first such table only, and is then held against the original vectors in double
 precision. At cosine c each bit differs with probability acos(c) / pi; there are as many tables as it takes to miss
-a pair at the threshold with probability MISS.
+a pair at the threshold with probability MISS. In crowded buckets vectors within half the threshold's angle of a centre
+are known to link with one another and are counted as a ball, so that a large group of near vectors is not listed
+pair by pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from math import acos, ceil, log, log2, pi, sqrt
+from math import acos, ceil, cos, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from pagelens.llm.storage import discard, stored
 SAMPLE = 4096
 #: Chance that no table retrieves a pair at the threshold, and bounds of a segment's bits.
 MISS, LEAST_BITS, MOST_BITS = 0.002, 8, 28
+#: A bucket of at least so many vectors is first held against its centre.
+CROWD = 32
 
 
 def layout(rows: int, cosine: float) -> tuple[int, int]:
@@ -107,12 +111,38 @@ def _verify(cosine: float):
     return run
 
 
-def _links(classes: DataFrame, cosine: float) -> DataFrame:
-    """Pairs (a, b) of classes whose cosine reaches the threshold."""
+def _verified(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
+    """Pairs (a, b) whose original vectors reach the cosine."""
+    found = pairs.join(vectors.withColumnsRenamed({"node": "a", "embedding": "x"}), "a").join(
+        vectors.withColumnsRenamed({"node": "b", "embedding": "y"}), "b"
+    )
+    return found.select("a", "b", "x", "y").mapInArrow(_verify(cosine), "a bigint, b bigint")
+
+
+def _balls(each: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
+    """(node, ball): vectors of crowded buckets within half the angle of a centre, so that all of one ball link with each other.
+
+    A crowded bucket's centre is its least node; a vector near several goes to the one that most are near.
+    """
+    crowded = each.groupBy("t", "value", "n").agg(F.count("*").alias("_size"), F.min("node").alias("b")).where(F.col("_size") >= CROWD)
+    stars = each.select("t", "value", "n", F.col("node").alias("a")).join(crowded, ["t", "value", "n"]).where("a <> b").select("a", "b").distinct()
+    # a hair inside, so that rounding never makes a link of none
+    near = stored(_verified(stars, vectors, cos(acos(min(max(cosine, -1.0), 1.0)) / 2) + 1e-9))
+    own = near.select(F.col("b").alias("a"), "b").distinct()
+    weight = near.groupBy("b").agg(F.count("*").alias("w"))
+    best = F.max(F.struct("w", (-F.col("b")).alias("least"), "b"))
+    found = stored(near.unionByName(own).join(weight, "b").groupBy(F.col("a").alias("node")).agg(best.alias("m")).select("node", F.col("m.b").alias("ball")))
+    discard(near)
+    return found
+
+
+def _links(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes whose cosine reaches the threshold but for pairs inside a ball, and balls (node, ball)."""
     sizes = classes.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n")
     common = sizes.first()
     if common is None:
-        return classes.sparkSession.createDataFrame([], "a bigint, b bigint")
+        empty = classes.sparkSession.createDataFrame([], "a bigint, b bigint")
+        return empty, empty.withColumnsRenamed({"a": "node", "b": "ball"})
     dimension, kind = common.n, dict(classes.dtypes)["embedding"]
     width, tables = layout(classes.count(), cosine)
     rows = classes.where(F.size("embedding") == dimension).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding")
@@ -120,24 +150,24 @@ def _links(classes: DataFrame, cosine: float) -> DataFrame:
     mean, rotations = learn_rotations(_unit(flat.reshape(-1, dimension)), ceil(tables * width / dimension))
     encode = _encoder(dimension, mean, rotations, width, tables)
     coded = stored(classes.select("node", "embedding").mapInArrow(encode, f"node bigint, segments array<int>, embedding {kind}"))
-    each = coded.select("node", "segments", F.size("embedding").alias("n"), F.posexplode("segments").alias("t", "value"))
-    index = each.selectExpr("node AS b", "segments AS other", "n", "t", "value")
+    vectors = coded.select("node", "embedding")
+    plain = coded.select("node", F.size("embedding").alias("n"), F.posexplode("segments").alias("t", "value"))
+    balls = _balls(plain, vectors, cosine)
+    each = coded.select("node", "segments", F.size("embedding").alias("n")).join(balls, "node", "left").select("node", "segments", "n", "ball", F.posexplode("segments").alias("t", "value"))
+    index = each.selectExpr("node AS b", "segments AS other", "ball AS other_ball", "n", "t", "value")
     flips = F.array(F.lit(0), *(F.lit(1 << k) for k in range(width)))
-    probes = each.select(F.col("node").alias("a"), "segments", "n", "t", "value", F.explode(flips).alias("flip"))
-    probes = probes.selectExpr("a", "segments", "n", "t", "value ^ flip AS value")
+    probes = each.select(F.col("node").alias("a"), "segments", "ball", "n", "t", "value", F.explode(flips).alias("flip"))
+    probes = probes.selectExpr("a", "segments", "ball", "n", "t", "value ^ flip AS value")
     earlier = " AND ".join([f"(t <= {t} OR bit_count(segments[{t}] ^ other[{t}]) > 1)" for t in range(tables - 1)] or ["true"])
     distance = " + ".join(f"bit_count(segments[{t}] ^ other[{t}])" for t in range(tables))
     # eight deviations over the mean distance of a pair at the threshold
     p, all_bits = acos(min(max(cosine, -1.0), 1.0)) / pi, tables * width
     farthest = ceil(all_bits * p + 8 * sqrt(all_bits * p * (1 - p)))
-    found = probes.join(index, ["t", "value", "n"]).where(f"a < b AND {earlier} AND {distance} <= {farthest}").select("a", "b")
-    vectors = coded.select("node", "embedding")
-    pairs = found.join(vectors.withColumnsRenamed({"node": "a", "embedding": "x"}), "a").join(
-        vectors.withColumnsRenamed({"node": "b", "embedding": "y"}), "b"
-    )
-    links = stored(pairs.select("a", "b", "x", "y").mapInArrow(_verify(cosine), "a bigint, b bigint"))
+    apart = "coalesce(ball <> other_ball, true)"
+    found = probes.join(index, ["t", "value", "n"]).where(f"a < b AND {apart} AND {earlier} AND {distance} <= {farthest}").select("a", "b")
+    links = stored(_verified(found, vectors, cosine))
     discard(coded)
-    return links
+    return links, balls
 
 
 def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
@@ -146,8 +176,7 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     Null, empty and zero vectors and those with null or non-finite components link with nothing and are kept. Vectors
     of different length are not compared. Components count as doubles. Equal vectors are one class with a multiplicity:
     each of m copies has the other m - 1 as links, and every copy of a linked class counts. Equal vec_ids give a row
-    each. Every link between unequal vectors is listed, since each counts in n_links, so a group of g near but unequal
-    vectors costs up to g * g / 2 pairs.
+    each. Links inside a ball of near vectors are counted without being listed; the others are listed, since each counts.
     """
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     ok = "embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
@@ -158,16 +187,19 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     classes = stored(
         usable.groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
     )
-    links = _links(classes, cosine)
+    links, balls = _links(classes, cosine)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = classes.select(F.col("node").alias("b"), "copies")
     degree = both.join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("degree"))
-    components = connected_components(links)
-    named = classes.select("node", "copies", "least").join(components, "node", "left").join(degree, "node", "left")
+    # within a ball every class has all copies of the others as links
+    held = balls.join(classes.select("node", F.col("copies").alias("_own")), "node")
+    inside = held.join(held.groupBy("ball").agg(F.sum("_own").alias("_all")), "ball").select("node", (F.col("_all") - F.col("_own")).alias("inside"))
+    components = connected_components(links.unionByName(balls.selectExpr("node AS a", "ball AS b")))
+    named = classes.select("node", "copies", "least").join(components, "node", "left").join(degree, "node", "left").join(inside, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = named.join(first, "component").select(
-        "node", "component_id", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links")
+        "node", "component_id", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0)) + F.coalesce("inside", F.lit(0))).alias("n_links")
     )
     of_class = stored(of_class)
     discard(classes)

@@ -91,6 +91,22 @@ def test_embedding_links_just_over_the_threshold(spark, dimension):
     assert layout(10**9, 0.95)[0] == 28 and layout(10**9, 0.95)[1] > layout(10**4, 0.95)[1]
 
 
+def test_a_large_group_of_near_vectors_is_counted_not_listed(spark):
+    from pagelens.llm.embedding_duplicates import _links, embedding_duplicates
+
+    random_ = np.random.default_rng(7)
+    base = random_.standard_normal((3, 64))
+    group = np.concatenate([base[0] + random_.standard_normal((400, 64)) * s for s in (0.08, 0.14)] + [base[1] + random_.standard_normal((60, 64)) * 0.05, random_.standard_normal((200, 64))])
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(np.concatenate([group, group[:7]]))]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got, want = sorted(tuple(r) for r in embedding_duplicates(frame).collect()), brute_links(rows)
+    assert 0.98 <= sum(r[1] for r in got) / sum(r[1] for r in want) <= 1
+    assert [r[2:] for r in got] == [r[2:] for r in want]
+    classes = frame.selectExpr("xxhash64(embedding, 64) AS node", "embedding").distinct()
+    links, balls = _links(classes, 0.95)
+    assert balls.count() > 300 and links.count() < 0.8 * sum(r[1] for r in want) / 2
+
+
 def test_doubles_beyond_floats_are_compared(spark):
     from pagelens.llm.embedding_duplicates import embedding_duplicates
 
