@@ -25,6 +25,8 @@ BUCKET_BITS, LENGTHS = 18, (3, 4, 5, 6)
 ROWS_PER_CLASS = 1500
 #: Training rows that must hold an n-gram for it to be a feature, and the number of features.
 LEAST_ROWS, FEATURES = 4, 1 << 13
+#: Places of a text that are looked at together.
+PLACES = 1 << 16
 
 _SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
 
@@ -39,24 +41,39 @@ def characters(text: str | None) -> np.ndarray:
     return x[np.concatenate([[True], (x[1:] != 32) | (x[:-1] != 32)])]
 
 
-def buckets(text: str | None) -> np.ndarray:
-    """The bucket of every n-gram of the text, at every place, repeats included."""
-    x = characters(text)
-    found, packed = [], x
+def _starting(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The bucket of every n-gram of characters `x` that starts at a place from lo up to hi."""
+    found, packed = [], x[lo:hi]
     for n in range(2, max(LENGTHS) + 1):
-        if len(x) < n:
+        size = min(hi, len(x) - n + 1) - lo
+        if size <= 0:
             break
-        packed = packed[:-1] * np.uint32(0x9E3779B1) + x[n - 1 :]
+        packed = packed[:size] * np.uint32(0x9E3779B1) + x[lo + n - 1 : lo + n - 1 + size]
         if n in LENGTHS:
             mixed = (packed ^ (packed >> np.uint32(15))) * np.uint32(0x85EBCA77)
             found.append(mixed >> np.uint32(32 - BUCKET_BITS))
     return np.concatenate(found) if found else np.empty(0, np.uint32)
 
 
-def shares(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pieces(text: str | None) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams of a text, of so many places at a time that a long text needs no more memory than a short one."""
+    x = characters(text)
+    for lo in range(0, len(x), PLACES):
+        yield _starting(x, lo, min(lo + PLACES, len(x)))
+
+
+def buckets(text: str | None) -> np.ndarray:
+    """The bucket of every n-gram of the text, at every place, repeats included."""
+    return np.concatenate(list(pieces(text)))
+
+
+def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets, and the square root of each one's share."""
-    ids, times = np.unique(found, return_counts=True)
-    return ids.astype(np.int32), np.sqrt(times / max(len(found), 1))
+    times = np.zeros(1 << BUCKET_BITS, np.int64)
+    for found in pieces(text):
+        np.add.at(times, found, 1)
+    ids = np.flatnonzero(times)
+    return ids.astype(np.int32), np.sqrt(times[ids] / max(times.sum(), 1))
 
 
 @dataclass(frozen=True)
@@ -68,9 +85,10 @@ class Model:
     bias: float
 
     def score(self, text: str | None) -> float:
-        found = buckets(text)
-        counts = np.bincount(self.place[found], minlength=len(self.weights) + 1)[: len(self.weights)]
-        z = self.bias + float(np.sqrt(counts / max(len(found), 1)) @ self.weights)
+        counts = np.zeros(len(self.weights) + 1, np.int64)
+        for found in pieces(text):
+            counts += np.bincount(self.place[found], minlength=len(counts))
+        z = self.bias + float(np.sqrt(counts[:-1] / max(counts.sum(), 1)) @ self.weights)
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -98,7 +116,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for y, text in zip(batch.column("toxic"), batch.column("text"), strict=True):
-            ids, values = shares(buckets(text.as_py()))
+            ids, values = shares(text.as_py())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([y.as_py()], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([values], pa.list_(pa.float64()))],
                 names=["toxic", "buckets", "shares"],
