@@ -88,9 +88,8 @@ def test_baseline_sitemap_and_options(spark, site, tmp_path, capsys):
     assert cli.main([*args, "-f", "html", "-o", out, "--framework", "nextjs"]) == 0
     said = capsys.readouterr().err
     assert '"regressions": 0' in said and "export const metadata" in open(out).read()
-    for kind in ("sarif", "junit", "terminal"):
-        assert cli.main([*args[:-2], "-f", kind, "--repeat", "2"]) == 0
-        assert "missing-canonical" in capsys.readouterr().out
+    assert cli.main([*args[:-2], "-f", "terminal", "--repeat", "2"]) == 0
+    assert "missing-canonical" in capsys.readouterr().out
     assert cli.main(["compare", base, base, "-f", "html", "-o", str(tmp_path / "c.html")]) == 0
     # a report that is newer, or holds something unknown, is refused
     for change in ({"schemaVersion": 9}, {"more": 1}, {"probes": [{"nope": 1}]}, {"findings": [{"severity": "fatal"}]}):

@@ -45,6 +45,7 @@ def test_cut_and_timeout(spark, tmp_path):
     until, found = time.monotonic() + 60, []
     while len(found) < 2 and time.monotonic() < until:
         time.sleep(1)
-        found = sorted((r.probe_id, r.completion, r.bytes_read) for r in spark.read.parquet(str(tmp_path / "out" / "probes")).collect()) if (tmp_path / "out").exists() else []
+        if list((tmp_path / "out" / "probes").glob("batch=*/_SUCCESS")):
+            found = sorted((r.probe_id, r.completion, r.bytes_read) for r in spark.read.parquet(*[str(f.parent) for f in (tmp_path / "out" / "probes").glob("batch=*/_SUCCESS")]).collect())
     query.stop()
     assert found == [("a", "timeout", 16), ("b", "max-bytes-exceeded", 50)]
