@@ -102,8 +102,8 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], ties: list[str], shards
     """`df` with shard (int) and slot (bigint, gapless from 0 in each shard).
 
     Dimensions are numeric or string columns. Rows of equal curve index follow `ties`, then their place in the input, so
-    that rows alike in everything, of any number, are still cut evenly. Columns named shard, slot or with a leading
-    underscore are replaced; an empty table stays empty. Only the columns of `df` are shuffled, so give it narrow rows.
+    that rows alike in everything, of any number, are still cut evenly. Columns named shard or slot or with a leading
+    underscore are left out; an empty table stays empty. Only the columns of `df` are shuffled, so give it narrow rows.
     """
     kept = [c for c in df.columns if c not in ("shard", "slot") and not c.startswith("_")]
     narrow = stored(df.select(*kept))
