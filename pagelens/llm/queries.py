@@ -84,6 +84,26 @@ def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_top_k(codes, codes.where("id % 100 = 0"), k=10)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.fill_in_middle import digests, fill_in_middle
+
+    return digests(fill_in_middle(read(spark, sf_dir, "documents"), rate=50, spm=80, seed=42))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pagelens.llm.best_fit_packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=2048, end=0)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.importance_resampling import resampled
+
+    return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
@@ -96,10 +116,17 @@ def queries() -> dict[str, Query]:
         "op8_personal_data": op8_personal_data,
         "op9_chat_repair": op9_chat_repair,
         "op10_hamming_top_k": op10_hamming_top_k,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from pagelens.llm import hamming_search, mixing
+    from pagelens.llm import fill_in_middle, hamming_search, mixing
 
-    return {"op1_mixing": mixing.oracle(targets=TARGETS), "op10_hamming_top_k": hamming_search.oracle(k=10)}
+    return {
+        "op1_mixing": mixing.oracle(targets=TARGETS),
+        "op10_hamming_top_k": hamming_search.oracle(k=10),
+        "op11_fill_in_middle": fill_in_middle.ORACLE,
+    }
