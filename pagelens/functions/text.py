@@ -60,6 +60,13 @@ def expanded(directives: Column, words: tuple[str, ...] = ("none", "all")) -> Co
     return F.array_distinct(F.flatten(F.transform(directives, one)))
 
 
+def with_meaning(directives: Column, word: str) -> Column:
+    """Distinct directives; where `word` (none or all) is among them, what it means is added to it."""
+    meaning = {"none": ("noindex", "nofollow"), "all": ("index", "follow")}[word]
+    distinct = F.array_distinct(directives)
+    return F.when(F.array_contains(distinct, word), F.array_union(distinct, strings(meaning))).otherwise(distinct)
+
+
 def effective_directives(directives: Column) -> Column:
     """none and all spelt out; a restrictive directive beats its permissive opposite."""
     found, stricter = expanded(directives), _lookup(OPPOSITES)
@@ -102,7 +109,8 @@ def header_applies(scope: Column, agent: Column, user_agent: Column) -> Column:
 
 
 def audience_of(agent: Column) -> Column:
-    return F.when(agent.isin("googlebot", "bingbot"), agent).otherwise("robots")
+    key = F.lower(F.trim(agent))
+    return F.when(key.isin("googlebot", "bingbot"), key).otherwise("robots")
 
 
 def first_values(values: Column) -> Column:

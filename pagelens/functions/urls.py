@@ -65,6 +65,17 @@ def urls_resolve(base: pd.Series, refs: pd.Series) -> pd.Series:
     return pd.Series(found, index=refs.index, dtype=object)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def hops_plain(urls: pd.Series, locations: pd.Series) -> pd.Series:
+    """Each location of a chain of redirects in normal form against the URL that named it."""
+
+    def one(base: str | None, ref: str | None) -> str | None:
+        return None if ref is None else absolute(base, ref) or " ".join(ref.split())
+
+    found = [None if u is None else [one(a, b) for a, b in zip(u, r, strict=True)] for u, r in zip(urls, locations, strict=True)]
+    return pd.Series(found, index=urls.index, dtype=object)
+
+
 @F.pandas_udf(StringType())
 def url_plain(url: pd.Series) -> pd.Series:
     """Normal form without fragment; what is no URL stays as it is."""
@@ -120,28 +131,31 @@ def robots_path(text: str) -> str:
     return re.sub(r"%([0-9A-Fa-f]{2})", plain, encoded)
 
 
-_RULE = StructType().add("text", StringType()).add("pattern", StringType()).add("size", IntegerType())
+_RULE = StructType().add("head", StringType()).add("pattern", StringType()).add("size", IntegerType())
 
 
 @F.pandas_udf(_RULE)
 def robots_rule(pattern: pd.Series) -> pd.DataFrame:
-    """(text, pattern, size) of a rule: a plain prefix in normal form or else a regular expression, and how specific it is in bytes."""
+    """(head, pattern, size) of a rule: what a path begins with that it matches, a regular expression where that is not all, and how specific it is.
+
+    Stars at the very end say nothing and count nothing; those in front of a dollar that ends the rule count.
+    """
 
-    def one(p: str) -> tuple[str | None, str | None, int]:
-        ends = p.endswith("$")
-        text = robots_path(p[:-1] if ends else p).replace("$", "%24")
-        size = len(text.rstrip("*")) + ends
-        if not ends and "*" not in text.rstrip("*"):
-            return text.rstrip("*"), None, size
-        return None, "^" + ".*".join(re.sub(r"([^A-Za-z0-9%/_])", r"\\\1", x) for x in text.split("*")) + ("$" if ends else ""), size
+    def one(p: str) -> tuple[str, str | None, int]:
+        whole, ends = robots_path(p), p.endswith("$")
+        text = (whole[:-1] if ends else whole.rstrip("*")).replace("$", "%24")
+        size, parts = len(whole.rstrip("*")), text.split("*")
+        if not ends and len(parts) == 1:
+            return text, None, size
+        return parts[0], "^" + ".*".join(re.sub(r"([^A-Za-z0-9%/_])", r"\\\1", x) for x in parts) + ("$" if ends else ""), size
 
-    return pd.DataFrame([one(p) for p in pattern], columns=["text", "pattern", "size"])
+    return pd.DataFrame([one(p) for p in pattern], columns=["head", "pattern", "size"])
 
 
 @F.pandas_udf(StringType())
 def robots_form(path: pd.Series) -> pd.Series:
     """A path as rules are held against it."""
-    return path.map(lambda x: x if x is None else robots_path(x).replace("$", "%24"))
+    return path.map(lambda x: x if x is None else robots_path(x).replace("*", "%2A").replace("$", "%24"))
 
 
 @F.pandas_udf(StringType())

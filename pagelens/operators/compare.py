@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as T
 from pagelens.functions.urls import url_for_origin
 from pagelens.operators.findings import rank
+from pagelens.operators.order_stats import medians
 from pagelens.operators.rules import probe_facts
 from pagelens.operators.timeline import milestones, timings
 
@@ -121,7 +122,7 @@ def response_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def metadata_changes(before: DataFrame, after: DataFrame, complete: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Changes of (target, agent, field, value, location) rows from complete probes; URLs are compared as written.
+    """Changes of (target, agent, field, value, location) rows from complete probes; values are compared as written, URLs and directives too.
 
     `complete` has the (target, agent) rows of each run's complete probes, with signals or without; where it is not
     given, those that have signals.
@@ -129,8 +130,7 @@ def metadata_changes(before: DataFrame, after: DataFrame, complete: tuple[DataFr
     pair_of = lambda df: df.select("target", "agent").distinct()
     first, second = complete or (before, after)
     both_have = pair_of(first).join(pair_of(second), ["target", "agent"])
-    text = F.when(F.col("field") == "robots", T.robots_value(F.col("value"))).otherwise(T.collapse(F.col("value")))
-    sets = lambda df: df.withColumn("text", text).where("text <> ''").groupBy("target", "agent", "field").agg(F.array_sort(F.collect_set("text")).alias("values"), F.array_sort(F.collect_set("location")).alias("places"))
+    sets = lambda df: df.withColumn("text", T.collapse(F.col("value"))).where("text <> ''").groupBy("target", "agent", "field").agg(F.array_sort(F.collect_set("text")).alias("values"), F.array_sort(F.collect_set("location")).alias("places"))
     both = _sides(sets(before), sets(after), ["target", "agent", "field"]).join(both_have, ["target", "agent"], "left_semi")
     none = F.array().cast("array<string>")
     va, vb = F.coalesce("values_a", none), F.coalesce("values_b", none)
@@ -149,8 +149,8 @@ def timing_changes(
     """
     if not (0 <= min_ms < float("inf") and 0 <= min_percent < float("inf")):
         raise ValueError("timing floors must be finite and not negative")
-    medians = lambda df: df.where("ms IS NOT NULL").groupBy("target", "agent", "metric").agg(F.median("ms").alias("ms"))
-    both = _sides(medians(before), medians(after), ["target", "agent", "metric"]).where("in_a AND in_b")
+    keys = ["target", "agent", "metric"]
+    both = _sides(medians(before, keys, "ms", "ms"), medians(after, keys, "ms", "ms"), keys).where("in_a AND in_b")
     if other_policy is not None:
         skipped = other_policy.select("target", F.lit("required_ms").alias("metric")).distinct()
         both = both.join(skipped, ["target", "metric"], "left_anti")
@@ -185,10 +185,13 @@ def membership_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def timelines(arrivals: DataFrame) -> DataFrame:
     """Median time and byte and the shared location of (target, agent, milestone_ord, milestone, at_ms, byte, location) rows."""
-    place = F.when(F.count_distinct("location") > 1, "mixed").otherwise(F.first("location", ignorenulls=True))
-    return arrivals.groupBy("target", "agent", "milestone_ord", "milestone").agg(
-        F.median("at_ms").alias("at_ms"), F.median("byte").alias("byte"), place.alias("location")
-    )
+    keys = ["target", "agent", "milestone_ord", "milestone"]
+    place = F.when(F.min("location") != F.max("location"), "mixed").otherwise(F.min("location"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.col(m).cast("double").alias("value")) for m in ("at_ms", "byte")]))
+    middle = medians(arrivals.select(*keys, each.alias("m")).select(*keys, "m.name", "m.value"), [*keys, "name"], "value", "value")
+    of = lambda m: F.max(F.when(F.col("name") == m, F.col("value"))).alias(m)
+    wide = middle.groupBy(*keys).agg(of("at_ms"), of("byte"))
+    return arrivals.groupBy(*keys).agg(place.alias("location")).join(wide, keys, "left").select(*keys, "at_ms", "byte", "location")
 
 
 def stored_facts(run: dict[str, DataFrame]) -> DataFrame:

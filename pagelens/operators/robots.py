@@ -9,7 +9,7 @@ from pagelens.functions.urls import origin, path_and_query, robots_form, robots_
 
 
 def parse_robots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(agents, rules, sitemaps) of docs (origin, body); agents carry the first crawl delay of their group in delay_ms.
+    """(agents, rules, sitemaps) of docs (origin, body); agents carry the last crawl delay of their group in delay_ms.
 
     Consecutive user-agent lines share a group; an allow or disallow line, even an empty one, ends the collection of
     agents; sitemap, crawl-delay and unknown lines do not. Rules before any agent are dropped.
@@ -24,7 +24,7 @@ def parse_robots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     last = F.last(marked, ignorenulls=True).over(so_far)
     starts = ((F.col("field") == "user-agent") & (F.coalesce(last, F.lit("rule")) == "rule")).cast("int")
     grouped = lines.withColumn("group_ord", F.sum(starts).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    delays = grouped.where("field = 'crawl-delay' AND value RLIKE '^[0-9]+([.][0-9]+)?$'").groupBy("origin", "group_ord").agg(F.min_by(F.col("value").cast("double") * 1000, "n").alias("delay_ms"))
+    delays = grouped.where("field = 'crawl-delay' AND value RLIKE '^[0-9]+([.][0-9]+)?$'").groupBy("origin", "group_ord").agg(F.max_by(F.round(F.col("value").cast("double") * 1000), "n").alias("delay_ms"))
     agents = grouped.where("field = 'user-agent' AND value <> ''").select("origin", "group_ord", F.lower("value").alias("token")).join(delays, ["origin", "group_ord"], "left")
     rules = grouped.where("group_ord > 0 AND field IN ('allow', 'disallow') AND value <> ''").select(
         "origin", "group_ord", F.col("n").alias("rule_ord"), (F.col("field") == "allow").alias("allow"), F.col("value").alias("path")
@@ -42,6 +42,19 @@ def selected_groups(checks: DataFrame, agents: DataFrame) -> DataFrame:
     return hits.withColumn("place", place).where("place = 1").select("origin", "agent", "group_ord").distinct()
 
 
+def rule_matches(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """`paths` (origin, group_ord, form and others) with every rule of their group that matches, by equality of what rules begin with.
+
+    A group's rules begin with texts of a few lengths. A path is cut at each of these lengths and meets only the rules that
+    begin with the cut; those with wildcards or an end are then held against the whole path.
+    """
+    formed = rules.withColumn("r", robots_rule("path")).select("origin", "group_ord", "rule_ord", "allow", F.col("path").alias("rule"), "r.*")
+    lengths = formed.groupBy("origin", "group_ord").agg(F.collect_set(F.length("head")).alias("lengths"))
+    fitting = F.filter("lengths", lambda n: n <= F.length("form"))
+    cut = paths.join(lengths, ["origin", "group_ord"]).withColumn("head", F.explode(F.transform(fitting, lambda n: F.substring(F.col("form"), F.lit(1), n)))).drop("lengths")
+    return cut.join(formed, ["origin", "group_ord", "head"]).where(F.col("pattern").isNull() | F.rlike("form", F.col("pattern")))
+
+
 def robots_verdicts(checks: DataFrame, docs: DataFrame) -> DataFrame:
     """checks (probe_id, url, agent, user_agent) with robots_verdict, robots_matched, robots_url, robots_status, robots_error.
 
@@ -49,13 +62,9 @@ def robots_verdicts(checks: DataFrame, docs: DataFrame) -> DataFrame:
     """
     asked = checks.withColumn("origin", origin(F.col("url"))).withColumn("path", path_and_query(F.col("url")))
     agents, rules, _ = parse_robots(docs.where("state = 'fetched' AND body IS NOT NULL"))
-    # every rule and path is put in form once; rules without wildcards are prefixes, which the JVM compares
-    rules = rules.withColumnRenamed("path", "rule").withColumn("r", robots_rule("rule"))
     chosen = selected_groups(asked, agents)
     formed = asked.select("probe_id", "origin", "agent", robots_form("path").alias("form"))
-    pairs = formed.join(chosen, ["origin", "agent"]).join(rules, ["origin", "group_ord"])
-    matches = F.when(F.col("r.pattern").isNull(), F.startswith(F.col("form"), F.col("r.text"))).otherwise(F.rlike(F.col("form"), F.col("r.pattern")))
-    hits = pairs.where(matches).withColumn("size", F.col("r.size"))
+    hits = rule_matches(formed.join(chosen, ["origin", "agent"]), rules)
     best = hits.groupBy("probe_id").agg(
         F.max_by(F.struct("allow", "rule"), F.struct("size", "allow", -F.col("rule_ord"))).alias("best")
     )

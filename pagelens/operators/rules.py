@@ -148,26 +148,32 @@ def _repeats(rule: int, kind: str, name: str, found: Column) -> Column:
 
 
 def _robots_rules(rule: int) -> list[Column]:
-    out, any_opposed = [], F.lit(False)
+    """Directives that a general or an agent's own audience is given twice, and own ones that loosen the general ones.
+
+    One element alone never disagrees with itself, and what other agents are told does not count.
+    """
+    out, reported, own = [], F.lit(False), T.audience_of(F.col("agent"))
     for k, name in enumerate(AUDIENCES):
-        found, opposed = F.col(f"r_{name}"), F.col(f"o_{name}")
+        found = F.col(f"r_{name}")
         distinct = F.array_distinct(found)
-        any_opposed = any_opposed | opposed
+        repeated = (F.size(found) >= 2) & (F.lit(name == "robots") | (own == name))
+        opposed = repeated & F.col(f"o_{name}")
+        reported = reported | opposed
         code = F.when(opposed, "conflicting-robots").when(F.size(distinct) == 1, "duplicate-robots").otherwise("multiple-robots")
         out.append(
             finding(
-                rule, code, "warning", opposed | (F.size(found) >= 2), F.lit(f"Crawler directives for {name} are repeated or disagree."), k,
+                rule, code, "warning", repeated, F.lit(f"Crawler directives for {name} are repeated or disagree."), k,
                 audience=F.lit(name), count_n=F.size(found), distinctValues_n=F.size(distinct), values=F.array_join(distinct, " | "),
             )
         )
-    own = T.audience_of(F.col("agent"))
-    generic = T.expanded(F.col("d_robots"), ("none",))
+    generic = T.with_meaning(F.col("d_robots"), "none")
     special = F.when(own == "googlebot", F.col("d_googlebot")).when(own == "bingbot", F.col("d_bingbot")).otherwise(T.strings([]))
-    special = T.expanded(special, ("all",))
+    special = T.with_meaning(special, "all")
+    both = F.array_sort(F.array_union(generic, special))
     out.append(
         finding(
-            rule, "conflicting-robots", "warning", ~any_opposed & T.loosened(generic, special), "A crawler's own directives loosen the general ones.", 3,
-            audience=F.lit("effective"), values=F.concat_ws(" | ", F.array_join(generic, ","), F.array_join(special, ",")),
+            rule, "conflicting-robots", "warning", ~reported & T.loosened(generic, special), "A crawler's own directives loosen the general ones.", 3,
+            audience=F.lit("effective"), count_n=F.size("r_used"), distinctValues_n=F.size(both), values=F.array_join(both, ","),
         )
     )
     return out
@@ -280,20 +286,38 @@ def probe_findings(facts: DataFrame) -> DataFrame:
     return found.select("target_ord", "sample", "probe_ord", "f.rule_ord", "f.within", "f.code", "f.severity", "f.message", "url", "agent", "f.evidence")
 
 
+def social_value(signal: Column) -> Column:
+    """A social signal's value as it is compared: URLs resolved, types and cards in lower case."""
+    text = T.collapse(signal["value"])
+    return (
+        F.when(signal["property"].isin(*URL_VALUED), T.collapse(F.coalesce(signal["resolved"], signal["value"])))
+        .when(signal["property"].isin("og:type", "twitter:card"), F.lower(text)).otherwise(text)
+    )
+
+
+def social_values(prop: str) -> Column:
+    """Distinct values of a property, in the order in which they came."""
+    return F.array_distinct(F.filter(F.transform(of_kind("social", prop), social_value), lambda v: v != ""))
+
+
+def card_values() -> list[tuple[str, Column]]:
+    """The value that a card shows for each of its fields, its own or the preview's."""
+    return [(f, F.coalesce(F.nullif(social_value(effective_twitter(f)), F.lit("")), F.lit("<missing>"))) for f in ("card", "title", "description", "image")]
+
+
 def drift_values() -> dict[str, tuple[int, Column, Column]]:
     """code -> (rule, value compared between agents, whether it applies)."""
-    first = lambda kind: F.coalesce(F.get(kind_values(kind), 0), F.lit("<missing>"))
-    shown = lambda v: F.when(v == "", "<missing>").otherwise(v)
-    social = lambda ps: F.concat_ws("; ", *[F.concat(F.lit(p + "="), F.coalesce(T.collapse(s["value"]), F.lit("<missing>"))) for p, s in ps])
+    or_missing = lambda v: F.when(v == "", "<missing>").otherwise(v)
+    named = lambda pairs: F.concat_ws(", ", *[F.concat(F.lit(f"{name}="), v) for name, v in pairs])
     yes = F.lit(True)
     return {
-        "agent-status-drift": (35, F.col("status").cast("string"), F.col("status").isNotNull()),
-        "agent-final-url-drift": (36, F.col("final_plain"), F.col("final_plain").isNotNull()),
-        "agent-title-drift": (37, first("title"), yes),
-        "agent-canonical-drift": (38, shown(F.array_join(F.array_sort(F.array_distinct(kind_values("canonical"))), ", ")), yes),
-        "agent-robots-drift": (39, shown(F.array_join(F.array_sort(F.col("effective")), ",")), yes),
-        "agent-open-graph-drift": (40, social([(p, first_social(p)) for p in OPEN_GRAPH]), F.col("open_graph")),
-        "agent-twitter-card-drift": (41, social([(f, effective_twitter(f)) for f in ("card", "title", "description", "image")]), F.col("twitter_card")),
+        "agent-status-drift": (35, F.coalesce(F.col("status").cast("string"), F.lit("missing")), yes),
+        "agent-final-url-drift": (36, F.coalesce("final_plain", F.lit("")), yes),
+        "agent-title-drift": (37, F.coalesce(F.get(kind_values("title"), 0), F.lit("<missing>")), yes),
+        "agent-canonical-drift": (38, or_missing(F.array_join(F.array_sort(F.array_distinct(kind_values("canonical"))), " | ")), yes),
+        "agent-robots-drift": (39, or_missing(F.array_join(F.array_sort(F.col("effective")), ",")), yes),
+        "agent-open-graph-drift": (40, named([(p, or_missing(F.array_join(social_values(p), " | "))) for p in OPEN_GRAPH]), F.col("open_graph")),
+        "agent-twitter-card-drift": (41, named(card_values()), F.col("twitter_card")),
     }
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,19 +41,26 @@ def locs(xml: str) -> Iterator[tuple[str, str]]:
                 text = None
 
 
-_LOCS = pa.schema([("source", pa.string()), ("kind", pa.string()), ("ord", pa.int64()), ("loc", pa.string())])
+#: Rows of locations that are sent on together.
+_ROWS = 10_000
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for source, xml in zip(batch.column("source").to_pylist(), batch.column("xml"), strict=True):
-            rows = [{"source": source, "kind": kind, "ord": k, "loc": loc} for k, (kind, loc) in enumerate(locs(xml.as_py() or ""))]
-            yield pa.RecordBatch.from_pylist(rows, schema=_LOCS)
+        found = (
+            (source, kind, k, loc, _page_url(loc))
+            for source, xml in zip(batch.column("source").to_pylist(), batch.column("xml"), strict=True)
+            for k, (kind, loc) in enumerate(locs(xml.as_py() or ""))
+        )
+        while rows := list(islice(found, _ROWS)):
+            names = ["source", "kind", "ord", "loc", "url"]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def locations(docs: DataFrame) -> DataFrame:
-    """(source, kind page or sitemap, ord, loc) of docs (source, xml)."""
-    return docs.select("source", "xml").mapInArrow(_read, "source string, kind string, ord bigint, loc string")
+    """(source, kind page or sitemap, ord, loc, url) of docs (source, xml); url is null for what is no plain http URL."""
+    return docs.select("source", "xml").mapInArrow(_read, "source string, kind string, ord bigint, loc string, url string")
 
 
 @dataclass
@@ -65,82 +73,105 @@ class Discovery:
     errors: list[str] = field(default_factory=list)
 
 
+@dataclass
+class Reached:
+    """What discovery reaches, as tables: pages (url, place), sitemaps (source, depth, key, error) and foreign ones (url, depth, key).
+
+    A sitemap's key is the path of places by which it was first reached: at one depth, keys are in the order of discovery.
+    """
+
+    pages: DataFrame
+    sitemaps: DataFrame
+    foreign: DataFrame
+    truncated: bool
+
+
 def _page_url(text: str) -> str | None:
     found = absolute(None, text)
     return found if found and found.startswith(("http://", "https://")) and "@" not in found.split("/")[2] else None
 
 
 def captured(docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A reader for discover() over sitemap documents that are there already (source, xml)."""
+    """A reader for reached() over sitemap documents that are there already (source, xml)."""
     return lambda sources: sources.join(docs.select("source", "xml"), "source", "left").withColumn("error", F.when(F.col("xml").isNull(), "it is not there"))
 
 
-def discover(
-    docs: DataFrame | Callable[[DataFrame], DataFrame], root: str, documents: int = DOCUMENTS, urls: int = URLS,
+def in_order(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`rows` with their place from 0 in a total order; ranges of it are sorted apart, and their sizes, one number each, are added up."""
+    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return numbered.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
+def reached(
+    docs: DataFrame | Callable[[DataFrame], DataFrame], root: str, documents: int | None = DOCUMENTS, urls: int | None = URLS,
     include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), spark: SparkSession | None = None,
-) -> Discovery:
-    """The pages reachable from `root`, breadth first, over documents (source, xml) or a reader of sources.
+) -> Reached:
+    """The pages reachable from `root`, breadth first, over documents (source, xml) or a reader of sources; None is no budget.
 
-    Index entries are followed on the root's origin only where the root is remote. Entries seen before, foreign ones and
-    paths that the patterns leave out cost nothing of the budgets of documents and page URLs. A root that
-    can't be read, and a discovery without a page, is an error; other documents that can't are told in `errors`. The budgets
-    bound what comes to the driver: a level of at most `documents` entries, each told as locations in document order.
+    A level of sitemaps is one table: it is read, its nested sitemaps are those not met before, each at its first mention,
+    and so on. The driver holds a count a level. Index entries are followed on the root's origin only where the root is remote.
+    Entries seen before, foreign ones and paths that the patterns leave out cost nothing of the budgets of documents and
+    page URLs. A root that can't be read is an error.
     """
-    if documents < 1 or urls < 1:
+    if any(b is not None and b < 1 for b in (documents, urls)):
         raise SitemapError("budgets are positive")
     if isinstance(docs, DataFrame):
         spark, read = docs.sparkSession, captured(docs)
     else:
         read = docs
-    site = "/".join(root.split("/")[:3]).lower() if root.startswith(("http://", "https://")) else None
-    found, level, queued, seen, pages = Discovery(), [root], {root}, set(), set()
-    keep = [re.compile(glob_pattern(g)) for g in include]
-    drop = [re.compile(glob_pattern(g)) for g in exclude]
-    while level:
-        room = documents - len(seen)
-        if room <= 0 or len(found.urls) >= urls:
-            found.truncated = True
+    site = F.lower(F.lit("/".join(root.split("/")[:3]))) if root.startswith(("http://", "https://")) else None
+    level = spark.createDataFrame([(root, [])], "source string, key array<bigint>")
+    met, depth, number, truncated = level.select("source"), 0, 0, False
+    sitemaps = foreign = pages = None
+    add = lambda all_, more: more if all_ is None else all_.unionByName(more)
+    found = lambda: path_filtered(pages.groupBy("url").agg(F.min(F.struct("depth", "key", "ord")).alias("first")), list(include), list(exclude))
+    while count := level.count():
+        if (documents is not None and number >= documents) or (urls is not None and pages is not None and found().count() >= urls):
+            truncated = True
+            break
+        over = documents is not None and number + count > documents
+        now = level.orderBy("key").limit(documents - number) if over else level
+        number, truncated = number + count, over
+        # fetched once, whatever reads it
+        got = read(now.select("source")).select("source", "xml", "error").persist(StorageLevel.DISK_ONLY)
+        at = F.lit(depth).alias("depth")
+        sitemaps = add(sitemaps, now.join(got.select("source", "error"), "source").select("source", at, "key", "error"))
+        if depth == 0 and (failed := sitemaps.where("error IS NOT NULL").first()):
+            raise SitemapError(f"{root}: {failed.error}")
+        listed = locations(got.where("error IS NULL")).where("url IS NOT NULL").join(now, "source")
+        pages = add(pages, listed.where("kind = 'page'").select("url", at, "key", "ord"))
+        if over:
             break
-        now, later, following = level[:room], level[room:], []
-        got = read(spark.createDataFrame([(s,) for s in now], "source string")).select("source", "xml", "error").persist()
-        failed = {r.source: r.error for r in got.where("error IS NOT NULL").select("source", "error").collect()}
-        if root in failed:
-            raise SitemapError(f"{root}: {failed[root]}")
-        order = {s: k for k, s in enumerate(now)}
-        rank = F.create_map(*[x for s, k in order.items() for x in (F.lit(s), F.lit(k))])[F.col("source")]
-        # one location at a time: a document may list very many
-        nested = {s: [] for s in now}
-        for r in locations(got.where("error IS NULL")).withColumn("rank", rank).orderBy("rank", "ord").toLocalIterator():
-            url = _page_url(r.loc)
-            if url is None:
-                continue
-            if r.kind == "sitemap":
-                nested[r.source].append(url)
-            elif url not in pages and not found.truncated:
-                pages.add(url)
-                path = "/" + url.split("/", 3)[3].partition("?")[0]
-                if (keep and not any(g.search(path) for g in keep)) or any(g.search(path) for g in drop):
-                    continue
-                if len(found.urls) >= urls:
-                    found.truncated = True
-                else:
-                    found.urls.append(url)
-        got.unpersist()
-        for s in now:
-            seen.add(s)
-            if s in failed:
-                found.errors.append(f"{s}: {failed[s]}")
-                continue
-            found.sitemaps.append(s)
-            for url in nested[s]:
-                if url in queued:
-                    continue
-                if site is not None and "/".join(url.split("/")[:3]).lower() != site:
-                    found.errors.append(f"{url} is a nested sitemap of another origin")
-                    continue
-                queued.add(url)
-                following.append(url)
-        level = later + following
+        nested = listed.where("kind = 'sitemap'").groupBy("url").agg(F.min(F.struct("key", "ord")).alias("first"))
+        nested = nested.join(met.withColumnRenamed("source", "url"), "url", "left_anti").select(F.col("url").alias("source"), F.concat("first.key", F.array("first.ord")).alias("key"))
+        here = F.lit(True) if site is None else F.lower(F.regexp_extract("source", r"^([a-z]+://[^/]*)", 1)) == site
+        foreign = add(foreign, nested.where(~here).select(F.col("source").alias("url"), at, "key"))
+        level = nested.where(here).persist(StorageLevel.DISK_ONLY)
+        met, depth = met.unionByName(level.select("source")), depth + 1
+    known = found().select("url", "first.*")
+    if urls is not None:
+        kept = known.orderBy("depth", "key", "ord").limit(urls)
+        truncated = truncated or known.count() > urls
+    else:
+        kept = known
+    none = spark.createDataFrame([], "url string, depth int, key array<bigint>")
+    return Reached(in_order(kept, ["depth", "key", "ord"], "place").select("url", "place"), sitemaps, none if foreign is None else foreign, truncated)
+
+
+def discover(
+    docs: DataFrame | Callable[[DataFrame], DataFrame], root: str, documents: int = DOCUMENTS, urls: int = URLS,
+    include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), spark: SparkSession | None = None,
+) -> Discovery:
+    """What `reached` finds, as lists: at most `urls` pages and `documents` sitemaps; a discovery without a page is an error."""
+    met = reached(docs, root, documents, urls, include, exclude, spark)
+    read = met.sitemaps.orderBy("depth", "key").collect()
+    errors = [f"{r.source}: {r.error}" for r in read if r.error is not None]
+    errors += [f"{r.url} is a nested sitemap of another origin" for r in met.foreign.orderBy("depth", "key").toLocalIterator()]
+    found = Discovery([r.url for r in met.pages.orderBy("place").collect()], [r.source for r in read if r.error is None], met.truncated, errors)
     if not found.urls:
         raise SitemapError(f"{root} gives no page URL")
     return found

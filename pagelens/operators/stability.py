@@ -2,49 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
+from pagelens.functions.urls import hops_plain
+from pagelens.operators import order_stats as O
 from pagelens.operators.ingest import REDIRECTS
-from pagelens.operators.rules import OPEN_GRAPH, TWITTER, critical_arrival, evidence, of_kind, prepared
+from pagelens.operators.rules import OPEN_GRAPH, card_values, critical_arrival, effective_twitter, evidence, of_kind, prepared, social_value
 
 #: Compared per agent, with the probes that each looks at.
 VARIANTS = ("completion", "status", "finalUrl", "redirectChain", "bodySha256", "metadataValues", "metadataLocations")
+METRICS = ("headers_ms", "first_byte_ms", "complete_ms", "required_ms")
 
 
 def timing_stats(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, min, median, p95 (nearest rank), max, spread of finite non-negative values; groups without any are absent.
+    """n, min, median, p95 (nearest rank), max, spread of finite non-negative values; groups without any are absent."""
+    ranks = {"_lower": O.LOWER_MIDDLE, "_upper": O.UPPER_MIDDLE, "p95": O.nearest(0.95)}
+    found = O.at_ranks(samples.where(F.col(value) >= 0), keys, value, ranks, (F.min("_v").alias("min"), F.max("_v").alias("max")))
+    median = 0.5 * F.col("_lower") + 0.5 * F.col("_upper")
+    return found.select(*keys, "n", "min", median.alias("median"), "p95", "max", (F.col("max") - F.col("min")).alias("spread"))
 
-    Equal values are counted before the shuffle, and ranks are running sums of the counts in order, so that a group of any
-    size is sorted with spilling rather than held.
-    """
-    v = F.col(value).cast("double")
-    usable = samples.where(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf")))
-    counted = usable.groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
-    so_far = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
-    ranked = counted.withColumn("_rank", F.sum("_n").over(so_far)).join(totals, keys)
-    at = lambda rank: F.min(F.when(F.col("_rank") >= rank, F.col("_v")))
-    lower, upper = at(F.floor((F.col("n") + 1) / 2)), at(F.floor(F.col("n") / 2) + 1)
-    picked = ranked.groupBy(*keys, "n", "min", "max").agg((0.5 * lower + 0.5 * upper).alias("median"), at(F.ceil(F.col("n") * 0.95)).alias("p95"))
-    return picked.select(*keys, "n", "min", "median", "p95", "max", (F.col("max") - F.col("min")).alias("spread"))
 
+def _pairs(signals: Column, value: Callable[[Column], Column] | None = None) -> Column:
+    """(value, location) of the signals whose value is not empty, in the order in which they came."""
+    shown = value or (lambda s: T.collapse(F.coalesce(s["resolved"], s["value"])))
+    each = F.transform(signals, lambda s: F.struct(shown(s).alias("value"), s["location"].alias("location")))
+    return F.filter(each, lambda x: x["value"] != "")
 
-def redirect_signature(redirects: Column) -> Column:
-    return F.to_json(F.transform(redirects, lambda r: F.struct(r["status"].alias("status"), r["url"].alias("url"), r["location"].alias("location"))))
+
+def _used_robots() -> Column:
+    own = T.audience_of(F.col("agent"))
+    return F.filter(of_kind("robots"), lambda s: (s["audience"] == "robots") | (s["audience"] == own))
 
 
-def _signature(field: str) -> Column:
-    """Sorted distinct values (or locations) by kind as JSON; og:image keeps its order, social only under contract."""
-    take = lambda s: F.coalesce(s["resolved"], T.collapse(s["value"])) if field == "value" else s["location"]
-    several = lambda found: F.array_sort(F.array_distinct(F.transform(found, take)))
-    social = []
-    for p in (*OPEN_GRAPH, *TWITTER):
-        found = F.transform(of_kind("social", p), take)
-        social.append(F.when(F.array_contains("audited", p), found if p == "og:image" else F.array_sort(F.array_distinct(found))).alias(p))
-    kinds = [several(of_kind(k)).alias(k) for k in ("title", "description", "canonical", "robots", "h1", "main")]
-    return F.to_json(F.struct(*kinds, *social))
+def _one_value(signal: Column) -> Column:
+    """The directives of one element, spelt out and reduced to those that hold, in order."""
+    words = F.split(T.robots_value(signal["value"]), ",")
+    return F.array_join(F.array_sort(T.effective_directives(F.filter(words, lambda w: w != ""))), ",")
+
+
+def metadata_signatures() -> tuple[Column, Column]:
+    """What a page says, and where it says it, as texts that are equal when two samples agree.
+
+    Titles, descriptions and canonicals are sets of values, directives one effective value; headings and main text do not
+    count. Social metadata count under a contract only: preview images keep their order, and a card's fields are those that
+    the card shows, its own or the preview's. Places are compared together with the values that stand there.
+    """
+    ordered = lambda found: F.array_sort(F.array_distinct(found))
+    values, places = [], []
+    for kind in ("title", "description", "canonical"):
+        pairs = _pairs(of_kind(kind))
+        values.append(ordered(F.transform(pairs, lambda x: x["value"])).alias(kind))
+        places.append(ordered(pairs).alias(kind))
+    values.append(F.array_join(F.array_sort(F.col("effective")), ",").alias("robots"))
+    places.append(ordered(_pairs(_used_robots(), _one_value)).alias("robots"))
+    for p in OPEN_GRAPH:
+        pairs = _pairs(of_kind("social", p), social_value)
+        found = F.array_distinct(F.transform(pairs, lambda x: x["value"]))
+        values.append(F.when(F.col("open_graph"), found if p == "og:image" else F.array_sort(found)).alias(p))
+        places.append(F.when(F.col("open_graph"), pairs if p == "og:image" else ordered(pairs)).alias(p))
+    for field, value in card_values():
+        values.append(F.when(F.col("twitter_card"), value).alias(f"card {field}"))
+        places.append(F.when(F.col("twitter_card"), F.struct(value.alias("value"), effective_twitter(field)["location"].alias("location"))).alias(f"card {field}"))
+    return F.to_json(F.struct(*values)), F.to_json(F.struct(*places))
+
+
+def redirect_signature(redirects: Column) -> Column:
+    """Status, URL and target of each redirect, URLs in normal form."""
+    urls, targets = F.transform(redirects, lambda r: r["url"]), F.transform(redirects, lambda r: r["location"])
+    nowhere = F.transform(redirects, lambda r: F.lit(None).cast("string"))
+    return F.to_json(F.arrays_zip(F.transform(redirects, lambda r: r["status"]).alias("status"), hops_plain(nowhere, urls).alias("url"), hops_plain(urls, targets).alias("location")))
 
 
 def all_arrived() -> Column:
@@ -57,45 +87,52 @@ def all_arrived() -> Column:
 
 
 def stability(facts: DataFrame) -> DataFrame:
-    """Samples, variant counts and timing statistics per target and agent."""
+    """Samples, variant counts and timing statistics per target and agent.
+
+    Status, final URL and the time of headers are those of final responses, not of redirects; digests, metadata and the
+    times of required signals and of completion are those of complete ones.
+    """
     complete, final = F.col("completion") == "complete", F.col("status").isNotNull() & ~F.col("status").isin(*REDIRECTS)
+    values, places = metadata_signatures()
     rows = prepared(facts).select(
-        "target_ord", "agent_ord", "agent", "url", "sample", "completion",
-        F.when(F.col("status").isNotNull(), F.col("status").cast("string")).alias("v_status"),
+        "target_ord", "agent_ord", "agent", "url", "sample", F.col("completion").alias("v_completion"),
+        F.when(final, F.col("status").cast("string")).alias("v_status"),
         F.when(final, F.col("final_plain")).alias("v_finalUrl"),
-        F.when(F.size("redirects") > 0, redirect_signature(F.col("redirects"))).otherwise("[]").alias("v_redirectChain"),
-        F.when(complete, F.col("body_sha256")).alias("v_bodySha256"),
-        F.when(complete, _signature("value")).alias("v_metadataValues"),
-        F.when(complete, _signature("location")).alias("v_metadataLocations"),
-        "headers_ms", "first_byte_ms", F.when(complete, F.col("complete_ms")).alias("complete_ms"), F.when(complete, all_arrived()).alias("required_ms"),
+        F.coalesce(redirect_signature(F.col("redirects")), F.lit("[]")).alias("v_redirectChain"),
+        F.when(complete, F.coalesce("body_sha256", F.lit("<missing>"))).alias("v_bodySha256"),
+        F.when(complete, values).alias("v_metadataValues"),
+        F.when(complete, places).alias("v_metadataLocations"),
+        F.when(final, F.col("headers_ms")).alias("headers_ms"), "first_byte_ms",
+        F.when(complete, F.col("complete_ms")).alias("complete_ms"), F.when(complete, all_arrived()).alias("required_ms"),
     )
-    rows = rows.withColumn("v_completion", F.col("completion"))
-    counts = [F.count_distinct(f"v_{v}").alias(v) for v in VARIANTS]
-    stats = []
-    for m in ("headers_ms", "first_byte_ms", "complete_ms", "required_ms"):
-        v = F.when((F.col(m) >= 0) & (F.col(m) < float("inf")), F.col(m))
-        # nearest rank: the least value that so many are not above
-        p95 = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY t_{m})")
-        rows = rows.withColumn(f"t_{m}", v)
-        v = F.col(f"t_{m}")
-        stats += [F.struct(F.count(v).alias("n"), F.min(v).alias("min"), F.median(v).alias("median"), p95.alias("p95"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("spread")).alias(m)]
-    return rows.groupBy("target_ord", "agent_ord", "agent").agg(
-        F.first("url").alias("url"), F.count("*").alias("samples"), F.count_if(F.col("completion") == "complete").alias("completeSamples"), *counts, *stats
+    keys = ["target_ord", "agent_ord", "agent"]
+    # signatures are counted by digest: two rounds of distinct values, none of them held as a set
+    each = F.array(*[F.struct(F.lit(v).alias("field"), F.sha2(F.col(f"v_{v}"), 256).alias("value")) for v in VARIANTS])
+    distinct = rows.select(*keys, F.explode(each).alias("e")).where("e.value IS NOT NULL").select(*keys, "e.field", "e.value").distinct()
+    counted = distinct.groupBy(*keys).agg(*[F.count_if(F.col("field") == v).alias(v) for v in VARIANTS])
+    times = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("ms")) for m in METRICS])
+    timed = timing_stats(rows.select(*keys, F.explode(times).alias("t")).select(*keys, "t.metric", "t.ms"), [*keys, "metric"], "ms")
+    stat = F.struct("n", "min", "median", "p95", "max", "spread")
+    by_metric = timed.groupBy(*keys).agg(*[F.first(F.when(F.col("metric") == m, stat), ignorenulls=True).alias(m) for m in METRICS])
+    whole = rows.groupBy(*keys).agg(
+        F.first("url").alias("url"), F.count("*").alias("samples"), F.count_if(F.col("v_completion") == "complete").alias("completeSamples")
     )
+    return whole.join(counted, keys, "left").join(by_metric, keys, "left").select(*keys, "url", "samples", "completeSamples", *VARIANTS, *METRICS)
 
 
 def stability_findings(stable: DataFrame) -> DataFrame:
     """Instability of responses, and of streams (a digest alone is only worth a note)."""
     response = [v for v in VARIANTS[:4]]
-    stream = ["metadataValues", "metadataLocations", "bodySha256"]
+    stream = ["bodySha256", "metadataValues", "metadataLocations"]
 
     def rows(rule: int, code: str, fields: list[str], severity: Column) -> DataFrame:
-        changed = F.filter(F.array(*[F.when(F.col(v) > 1, F.lit(v)) for v in fields]), lambda x: x.isNotNull())
-        counts = F.array_join(F.filter(F.array(*[F.when(F.col(v) > 1, F.concat(F.lit(v + "="), F.col(v).cast("string"))) for v in fields]), lambda x: x.isNotNull()), ",")
+        several = lambda shown: F.filter(F.array(*[F.when(F.col(v) > 1, shown(v)) for v in fields]), lambda x: x.isNotNull())
+        changed = several(F.lit)
+        counts = several(lambda v: F.concat(F.lit(v + "="), F.col(v).cast("string")))
         return stable.where(F.size(changed) > 0).select(
             "target_ord", F.lit(1 << 20).alias("sample"), F.col("agent_ord").alias("probe_ord"), F.lit(rule).alias("rule_ord"), F.lit(0).alias("within"),
             F.lit(code).alias("code"), severity.alias("severity"), F.lit("Repeated requests were answered differently.").alias("message"), "url", "agent",
-            evidence(samples_n=F.col("samples"), completeSamples_n=F.col("completeSamples"), fields=F.array_join(changed, ","), variantCounts=counts).alias("evidence"),
+            evidence(samples_n=F.col("samples"), completeSamples_n=F.col("completeSamples"), fields=F.array_join(changed, ", "), variantCounts=F.array_join(counts, "; ")).alias("evidence"),
         )
 
     meta = (F.col("metadataValues") > 1) | (F.col("metadataLocations") > 1)

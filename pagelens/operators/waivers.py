@@ -13,29 +13,42 @@ def expired(until: Column, now: str) -> Column:
     return until.isNotNull() & (until < now)
 
 
-def _matches() -> Column:
-    return (
-        ((F.col("w.code") == "*") | (F.col("w.code") == F.col("f.code")))
-        & (F.col("w.target").isNull() | (F.col("w.target") == F.col("f.target_id")) | (F.col("w.target") == F.col("f.url")))
-        & (F.col("w.agent").isNull() | F.col("w.agent").eqNullSafe(F.col("f.agent")))
-    )
+#: Which of code, target and agent a waiver names.
+_SHAPES = tuple((code, target, agent) for code in (True, False) for target in (True, False) for agent in (True, False))
 
 
-def apply_waivers(findings: DataFrame, waivers: DataFrame, targets: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(kept findings, waived findings with waiver_ord, diagnostics about waivers).
+def first_waiver(findings: DataFrame, waivers: DataFrame) -> DataFrame:
+    """`findings` (with target_id) and waiver_ord, the first of the waivers that match each, null where none does.
 
-    Waivers are a short list that people write, so they are held against the findings as a broadcast side only
-    while Spark finds it small; the join is on a condition, the rest is grouping.
+    A waiver that leaves the code, the target or the agent open is one of eight shapes. Waivers of one shape are told apart
+    by what they name, so each shape is one join by equality against the first waiver of each name, twice where a target
+    may be named by id or by URL; Spark broadcasts these while they are small, and findings are then not shuffled.
     """
-    order = ["target_ord", "sample", "probe_ord", "rule_ord", "within"]
-    named = findings.join(targets.select("target_ord", F.col("id").alias("target_id")), "target_ord", "left")
+    named = (F.col("code") != "*", F.col("target").isNotNull(), F.col("agent").isNotNull())
+    there = {tuple(r) for r in waivers.select(*[c.alias(f"s{k}") for k, c in enumerate(named)]).distinct().collect()}
+    out, hits = findings, []
+    for shape in (s for s in _SHAPES if s in there):
+        fields = [f for f, given in zip(("code", "target", "agent"), shape) if given]
+        one = waivers.where(named[0] == shape[0]).where(named[1] == shape[1]).where(named[2] == shape[2])
+        least = one.groupBy(*fields).agg(F.min("waiver_ord").alias("_ord"))
+        for target in ("target_id", "url") if shape[1] else (None,):
+            hit, name = f"_hit{len(hits)}", {"target": target}
+            side = least.select(*[F.col(f).alias(f"_{f}") for f in fields], F.col("_ord").alias(hit))
+            on = [F.col(name.get(f, f)) == F.col(f"_{f}") for f in fields]
+            out = (out.join(side, on, "left") if fields else out.crossJoin(side)).drop(*[f"_{f}" for f in fields])
+            hits.append(F.col(hit))
+    first = F.array_min(F.array(*hits)) if hits else F.lit(None).cast("int")
+    return out.select(*findings.columns, first.alias("waiver_ord"))
+
+
+def apply_waivers(findings: DataFrame, waivers: DataFrame, targets: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept findings, waived findings with waiver_ord, diagnostics about waivers)."""
+    ids = targets.select("target_ord", F.col("id").alias("target_id"))
     active = waivers.where(~expired(F.col("until"), now))
-    hits = named.alias("f").join(active.alias("w"), _matches(), "inner")
-    first = hits.groupBy(*[F.col(f"f.{c}").alias(f"_{c}") for c in (*order, "code", "agent")]).agg(F.min("w.waiver_ord").alias("waiver_ord"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*order, "code", "agent")]
-    kept = findings.join(first, same, "left_anti")
-    waived = findings.join(first, same).select(*findings.columns, "waiver_ord")
-    used = first.groupBy("waiver_ord").agg(F.count("*").alias("used"))
+    judged = first_waiver(findings.join(ids, "target_ord", "left"), active)
+    kept = judged.where("waiver_ord IS NULL").select(*findings.columns)
+    waived = judged.where("waiver_ord IS NOT NULL").select(*findings.columns, "waiver_ord")
+    used = waived.groupBy("waiver_ord").agg(F.count("*").alias("used"))
     state = waivers.join(used, "waiver_ord", "left")
     anchors = _anchors(waivers, targets)
     gone, idle = expired(F.col("until"), now), F.col("used").isNull()
@@ -61,7 +74,8 @@ def _anchors(waivers: DataFrame, targets: DataFrame) -> DataFrame:
     ends = t.agg(F.min_by(F.struct("anchor_ord", "id", "anchor_url"), "anchor_ord").alias("a"), F.min(F.when(F.col("id").isNull(), F.struct("anchor_ord", "id", "anchor_url"))).alias("b"))
     some = ends.select(F.explode(F.filter(F.array("a", "b"), lambda x: x.isNotNull())).alias("x")).select("x.*").distinct()
     # scoped waivers meet their target by equality; the fallback is at most two rows
-    by_id = waivers.join(t, (F.col("target") == F.col("id")) | (F.col("target") == F.col("anchor_url"))).select("waiver_ord", "target", "anchor_ord", "id", "anchor_url")
+    scoped = waivers.select("waiver_ord", "target")
+    by_id = scoped.join(t, F.col("target") == F.col("id")).unionByName(scoped.join(t, F.col("target") == F.col("anchor_url")))
     rest = waivers.select("waiver_ord", "target").crossJoin(F.broadcast(some))
     both = by_id.unionByName(rest).withColumn("grade", grade)
     return both.groupBy("waiver_ord").agg(F.min(F.struct("grade", "anchor_ord", "anchor_url")).alias("m")).select("waiver_ord", "m.anchor_ord", "m.anchor_url")

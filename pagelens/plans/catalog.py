@@ -11,7 +11,7 @@ from pagelens.functions import text as T
 from pagelens.operators import compare, findings, redaction, robots, rules, sitemap, stability, waivers
 from pagelens.operators import ingest
 from pagelens.operators.inspector import fixed_chunks, inspected, signals_of
-from pagelens.plans.derived import FINDINGS_SQL, PROBES_SQL, STATUS, tables
+from pagelens.plans.derived import FINDINGS_SQL, PROBES_SQL, STATUS, noindex_sql, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,13 +84,15 @@ _DRIFTS = {
     "agent-final-url-drift": "page_id % 17 = 0",
     "agent-title-drift": "page_id % 5 = 3",
     "agent-canonical-drift": "page_id % 17 = 0 AND page_id % 4 = 1",
-    "agent-robots-drift": "page_id % 19 = 3",
-    "agent-open-graph-drift": "page_id % 5 = 3 AND page_id % 7 = 3 AND page_id % 2 = 1",
-    "agent-twitter-card-drift": "page_id % 5 = 3 AND page_id % 7 = 3 AND page_id % 3 = 2",
+    "agent-robots-drift": "(SELECT count(DISTINCT coalesce(e.directives, '')) FROM probes p LEFT JOIN effective e USING (page_id, agent) WHERE p.page_id = pages.page_id) > 1",
+    # another first or second image; case and fragments do not count, but relative URLs follow the final one
+    "agent-open-graph-drift": "page_id % 2 = 1 AND (page_id % 5 = 3 AND (page_id % 7 = 3 OR page_id % 35 = 13) OR page_id % 17 = 0 AND (page_id % 7 = 3 OR page_id % 70 = 23))",
+    # a card shows the first image only
+    "agent-twitter-card-drift": "page_id % 3 = 2 AND page_id % 7 = 3 AND (page_id % 5 = 3 OR page_id % 17 = 0)",
 }
 
 
-@query("\nUNION ALL ".join(f"SELECT page_id::INTEGER AS target_ord, '{c}' AS code FROM pages WHERE page_id % 13 <> 0 AND {w}" for c, w in _DRIFTS.items()))
+@query(f"WITH {PROBES_SQL}\n" + "\nUNION ALL ".join(f"SELECT page_id::INTEGER AS target_ord, '{c}' AS code FROM pages WHERE page_id % 13 <> 0 AND {w}" for c, w in _DRIFTS.items()))
 def drift_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the two agents were answered differently."""
     return rules.drift_findings(tables(spark, sf_dir)["facts"]).select("target_ord", "code")
@@ -100,7 +102,7 @@ def drift_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT *, CASE WHEN NOT starts_with(url, 'https') THEN 'unavailable' WHEN path = '/robots.txt' THEN 'allowed' WHEN ends_with(path, '.html') THEN 'disallowed'
   WHEN starts_with(path, '/en/7') THEN 'allowed' WHEN starts_with(path, '/en/') THEN 'disallowed' ELSE 'allowed' END AS verdict FROM v)
 SELECT target_ord, agent, 'robots-txt-unavailable' AS code FROM d WHERE verdict = 'unavailable' UNION ALL SELECT target_ord, agent, 'robots-txt-disallowed' FROM d WHERE verdict = 'disallowed'
-UNION ALL SELECT target_ord, agent, 'robots-txt-conflict' FROM d WHERE verdict = 'disallowed' AND page_id % 5 <> 2""")
+UNION ALL SELECT target_ord, agent, 'robots-txt-conflict' FROM d WHERE verdict = 'disallowed' AND NOT {noindex_sql('d')}""")
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What robots.txt says against the pages; http origins do not answer."""
     from pagelens.functions.urls import origin
@@ -310,20 +312,22 @@ def policy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.policy_changes(side(0), side(1)).select("target", "field")
 
 
-_META = "SELECT 'id:' || (o_orderkey // 2 % 9000) AS target, 'a' || (o_custkey % 3) AS agent, 'title' AS field, o_orderpriority AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'body' ELSE 'head' END AS location, o_orderkey % 2 AS side FROM orders"
+_META = "SELECT 'id:' || (o_orderkey // 2 % 9000) AS target, 'a' || (o_custkey % 3) AS agent, CASE WHEN o_orderkey // 2 % 4 = 1 THEN 'robots' ELSE 'title' END AS field, CASE WHEN o_orderkey // 2 % 4 = 1 AND o_orderkey % 2 = 1 THEN lower(o_orderpriority) ELSE o_orderpriority END AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'body' ELSE 'head' END AS location, o_orderkey % 2 AS side FROM orders"
 
 
-@query(f"""WITH m AS ({_META}), s AS (SELECT target, agent, list_sort(list(DISTINCT value) FILTER (WHERE side = 0)) AS va, list_sort(list(DISTINCT value) FILTER (WHERE side = 1)) AS vb,
-  list_sort(list(DISTINCT location) FILTER (WHERE side = 0)) AS pa, list_sort(list(DISTINCT location) FILTER (WHERE side = 1)) AS pb FROM m GROUP BY ALL HAVING count(*) FILTER (WHERE side = 0) > 0 AND count(*) FILTER (WHERE side = 1) > 0)
-SELECT target, agent, 'metadata-value-changed' AS code FROM s WHERE va <> vb UNION ALL SELECT target, agent, 'metadata-location-changed' FROM s WHERE pa <> pb""")
+@query(f"""WITH m AS ({_META}), b AS (SELECT target, agent FROM m GROUP BY ALL HAVING count(DISTINCT side) = 2),
+s AS (SELECT target, agent, field, list_sort(list(DISTINCT value) FILTER (WHERE side = 0)) AS va, list_sort(list(DISTINCT value) FILTER (WHERE side = 1)) AS vb,
+  list_sort(list(DISTINCT location) FILTER (WHERE side = 0)) AS pa, list_sort(list(DISTINCT location) FILTER (WHERE side = 1)) AS pb FROM m JOIN b USING (target, agent) GROUP BY ALL)
+SELECT target, agent, field, 'metadata-value-changed' AS code FROM s WHERE va IS DISTINCT FROM vb UNION ALL SELECT target, agent, field, 'metadata-location-changed' FROM s WHERE pa IS DISTINCT FROM pb""")
 def metadata_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even and odd orders as the metadata of two runs, three agents."""
     rows = _read(spark, sf_dir, "orders").selectExpr(
-        "concat('id:', o_orderkey div 2 % 9000) AS target", "concat('a', o_custkey % 3) AS agent", "'title' AS field", "o_orderpriority AS value",
+        "concat('id:', o_orderkey div 2 % 9000) AS target", "concat('a', o_custkey % 3) AS agent", "CASE WHEN o_orderkey div 2 % 4 = 1 THEN 'robots' ELSE 'title' END AS field",
+        "CASE WHEN o_orderkey div 2 % 4 = 1 AND o_orderkey % 2 = 1 THEN lower(o_orderpriority) ELSE o_orderpriority END AS value",
         "CASE WHEN o_orderkey % 5 = 0 THEN 'body' ELSE 'head' END AS location", "o_orderkey % 2 AS side",
     )
     side = lambda k: rows.where(f"side = {k}").drop("side")
-    return compare.metadata_changes(side(0), side(1)).select("target", "agent", "code")
+    return compare.metadata_changes(side(0), side(1)).select("target", "agent", "field", "code")
 
 
 @query("""WITH k AS (SELECT DISTINCT 'id:' || (c_nationkey * 8 + c_custkey % 8 + c_custkey % 2) AS target, c_mktsegment AS agent, c_custkey % 2 AS side FROM customer),
@@ -373,6 +377,54 @@ def robots_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", T.robots_value(text).alias("directives"))
 
 
+#: What the third of three samples of a page differs in, by page_id % 8; SQL that Spark and DuckDB both read.
+_VARIED = """CASE page_id % 8 WHEN 1 THEN replace(html, '<h1>', CASE WHEN s = 2 THEN '<h1>Other ' ELSE '<h1>' END)
+  WHEN 2 THEN replace(html, '</head>', CASE WHEN s = 2 THEN '<meta name="robots" content="follow,NOINDEX"></head>' ELSE '<meta name="robots" content="noindex, follow"></head>' END)
+  WHEN 3 THEN replace(replace(html, '</head>', concat('<meta name="description" content="', CASE WHEN s = 2 THEN 'B' ELSE 'A' END, '"></head>')), '</footer>', concat('<meta name="description" content="', CASE WHEN s = 2 THEN 'A' ELSE 'B' END, '"></footer>'))
+  WHEN 4 THEN replace(html, '</head>', concat('<meta property="og:image" content="', CASE WHEN s = 2 THEN 'b' ELSE 'a' END, '.png"><meta property="og:image" content="', CASE WHEN s = 2 THEN 'a' ELSE 'b' END, '.png"></head>'))
+  WHEN 6 THEN replace(html, '</head>', CASE WHEN s = 2 THEN '<meta property="og:type" content="ARTICLE"><meta property="og:url" content="/p#x"></head>' ELSE '<meta property="og:type" content="article"><meta property="og:url" content="/p"></head>' END)
+  WHEN 7 THEN replace(html, '<title>', CASE WHEN s = 2 THEN '<title>New ' ELSE '<title>' END) ELSE html END"""
+
+
+@query(f"""WITH c AS (SELECT page_id, page_id % 8 AS v, page_id % 2 = 0 AS og, s, CASE WHEN page_id % 8 = 5 AND s = 2 THEN 302 ELSE 200 END AS status, CASE WHEN page_id % 8 = 6 AND s = 1 THEN 'timeout' ELSE 'complete' END AS completion,
+  {_VARIED} AS sent FROM pages, (VALUES (0), (1), (2)) x(s)),
+g AS (SELECT page_id, v, count(*) AS samples, count(*) FILTER (WHERE completion = 'complete') AS whole, count(DISTINCT completion) AS completion, count(DISTINCT status) FILTER (WHERE status <> 302) AS status, 1::BIGINT AS final_url,
+  CASE WHEN v = 5 THEN 2 ELSE 1 END::BIGINT AS redirects, count(DISTINCT sent) FILTER (WHERE completion = 'complete') AS bodies, CASE WHEN v = 7 OR v = 4 AND og THEN 2 ELSE 1 END::BIGINT AS metadata_values,
+  CASE WHEN v IN (3, 7) OR v = 4 AND og THEN 2 ELSE 1 END::BIGINT AS metadata_locations, count(*) FILTER (WHERE status <> 302) AS headers_n, median(page_id + 10 * s) FILTER (WHERE status <> 302)::DOUBLE AS headers_median,
+  max(page_id + 10 * s) FILTER (WHERE status <> 302)::DOUBLE AS headers_p95, count(*) AS first_byte_n, median(page_id % 1000 + s * s)::DOUBLE AS first_byte_median, count(*) FILTER (WHERE completion = 'complete') AS complete_n,
+  count(*) FILTER (WHERE completion = 'complete' AND NOT og AND {_entity_free(_TITLE)} <> '') AS required_n FROM c JOIN pages USING (page_id) GROUP BY ALL)
+SELECT page_id::INTEGER AS target_ord, g.* EXCLUDE (page_id, v), CASE WHEN completion > 1 OR status > 1 OR redirects > 1 THEN 'warning' END AS response_instability,
+  CASE WHEN metadata_values > 1 OR metadata_locations > 1 THEN 'warning' WHEN bodies > 1 THEN 'info' END AS stream_instability FROM g""")
+def stability_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three samples of each page, of which the last differs in a heading, in the spelling of directives, in places, in the order of images, in a redirect, in case or in the title."""
+    pages = _read(spark, sf_dir, "pages").selectExpr("page_id", "url", "html", "explode(array(0, 1, 2)) AS s").withColumn("sent", F.expr(_VARIED))
+    pages = pages.withColumn("probe_id", F.concat_ws("/", "page_id", "s"))
+    agents = spark.createDataFrame([(0, "browser", "Browser", "Mozilla/5.0", False)], "agent_ord int, agent string, label string, user_agent string, requires_head boolean")
+    no = ", ".join(f"false AS {f}" for f in ("require_description", "require_canonical", "require_h1", "require_main_text", "twitter_card"))
+    targets = _read(spark, sf_dir, "pages").selectExpr(
+        "cast(page_id AS int) AS target_ord", "CAST(NULL AS string) AS id", "url", "array(200) AS statuses", "CAST(NULL AS string) AS expected_final_url", "true AS require_title", *no.split(", "),
+        "page_id % 2 = 0 AS open_graph", "CAST(NULL AS double) AS max_first_byte_ms", "CAST(NULL AS double) AS max_critical_ms",
+    )
+    hop = "named_struct('url', {u}, 'status', 301, 'location', {l}, 'duration_ms', 1D)"
+    moved = [hop.format(u=u, l=l) for u, l in (("'http://A.example/'", "'http://a.example/p#part'"), ("'http://a.example/#x'", "'http://a.example/p'"), ("'http://a.example:80/'", "'/p'"))]
+    probes = pages.selectExpr(
+        "probe_id", "cast(page_id AS int) AS target_ord", "0 AS agent_ord", "'browser' AS agent", "s + 1 AS sample", "url AS requested_url", "CASE WHEN s = 1 THEN concat(url, '#part') ELSE url END AS final_url",
+        "CASE WHEN page_id % 8 = 5 AND s = 2 THEN 302 ELSE 200 END AS status", "CASE WHEN page_id % 8 = 6 AND s = 1 THEN 'timeout' ELSE 'complete' END AS completion", "CAST(NULL AS string) AS error",
+        "cast(octet_length(sent) AS bigint) AS bytes_read", "sha2(sent, 256) AS body_sha256", "CAST(map() AS map<string,string>) AS headers",
+        # one chain in three spellings, or none but for the last sample
+        f"CASE WHEN page_id % 8 = 5 AND s < 2 THEN CAST(array() AS array<struct<url:string,status:int,location:string,duration_ms:double>>) ELSE array(element_at(array({', '.join(moved)}), s + 1)) END AS redirects",
+        "cast(page_id + 10 * s AS double) AS headers_ms", "cast(page_id % 1000 + s * s AS double) AS first_byte_ms", "cast(page_id % 2000 + s AS double) AS complete_ms",
+    )
+    documents = inspected(fixed_chunks(pages.select("probe_id", F.col("sent").alias("html")), 1024))
+    stable = stability.stability(rules.probe_facts(probes, documents, targets, agents))
+    found = stability.stability_findings(stable).groupBy("target_ord").agg(
+        *[F.max(F.when(F.col("code") == c, F.col("severity"))).alias(c.replace("-", "_")) for c in ("response-instability", "stream-instability")]
+    )
+    named = {"samples": "samples", "whole": "completeSamples", "completion": "completion", "status": "status", "final_url": "finalUrl", "redirects": "redirectChain", "bodies": "bodySha256", "metadata_values": "metadataValues", "metadata_locations": "metadataLocations", "headers_n": "headers_ms.n", "headers_median": "headers_ms.median", "headers_p95": "headers_ms.p95", "first_byte_n": "first_byte_ms.n", "first_byte_median": "first_byte_ms.median", "complete_n": "complete_ms.n"}
+    shown = stable.select("target_ord", *[F.col(c).alias(name) for name, c in named.items()], F.coalesce("required_ms.n", F.lit(0)).alias("required_n"))
+    return shown.join(found, "target_ord", "left")
+
+
 _SAMPLES = f"""WITH {PROBES_SQL}, c AS (SELECT page_id // 6 AS t, page_id, agent, {STATUS} AS status, CASE WHEN page_id % 13 = 0 THEN 'timeout' ELSE 'complete' END AS completion,
   CASE WHEN page_id % 17 = 0 AND agent_ord = 1 THEN 'm' ELSE 's' END AS final, page_id * 7 % 1000 AS first_byte,
   regexp_extract(sent, '(?s)<title>(.*?)</title>', 1) AS title FROM probes)"""
@@ -433,75 +485,3 @@ def rule_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.sinks.reports import sarif_rules
 
     return sarif_rules(_probe_findings(spark, sf_dir))
-
-
-# Whole-table forms of the queries above that take a part of their table: every row is in one of two runs or sources,
-# and keys and severities shift with the side, so that every kind of change occurs.
-
-
-@query("""SELECT user_id::INTEGER AS target_ord, event_type AS code, count(*) AS occurrences_raw, string_agg(DISTINCT (event_id % 3)::VARCHAR, ',' ORDER BY (event_id % 3)::VARCHAR) AS sample_numbers,
-  count(DISTINCT event_id % 3)::VARCHAR AS occurrences FROM events GROUP BY 1, 2""")
-def coalesced_findings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as findings of repeated samples, merged."""
-    rows = _read(spark, sf_dir, "events").selectExpr(
-        "cast(user_id AS int) AS target_ord", "cast(event_id % 3 AS int) AS sample", "0 AS probe_ord", "0 AS rule_ord", "cast(event_id AS int) AS within",
-        "event_type AS code", "'info' AS severity", "'m' AS message", "'u' AS url", "CAST(NULL AS string) AS agent",
-        "array(named_struct('k', 'raw', 't', 'number', 'v', cast(event_id AS string))) AS evidence",
-    )
-    value = lambda k: F.get(F.filter("evidence", lambda e: e["k"] == k), 0)["v"]
-    merged = findings.coalesce_findings(rows, 3)
-    return merged.select("target_ord", "code", F.size(F.split(value("raw"), r" \| ")).cast("bigint").alias("occurrences_raw"), value("sampleNumbers").alias("sample_numbers"), value("occurrences").alias("occurrences"))
-
-
-@query("SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
-def merged_targets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as listed targets, then a sitemap's filtered ones, the first mention of a URL winning."""
-    pages = _read(spark, sf_dir, "pages").select("url", "page_id", F.col("page_id").alias("ord"))
-    found = sitemap.path_filtered(pages, ["/en/*"], ["*.html"])
-    return sitemap.merged_targets([pages, found]).select("url", "page_id")
-
-
-_FOUND_WHOLE = """SELECT 'id:' || (user_id % 40 + 5 * (event_id % 2)) AS target, event_type AS code, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'a' || (user_id % 3) END AS agent,
-  CASE WHEN event_type = 'error' THEN 0 WHEN value > 15 AND user_id % 4 <> event_id % 2 THEN 1 ELSE 2 END AS r, event_id % 2 AS side FROM events"""
-
-
-@query(f"""WITH f AS ({_FOUND_WHOLE}), r AS (SELECT target, code, agent, min(r) FILTER (WHERE side = 0) AS a, min(r) FILTER (WHERE side = 1) AS b FROM f GROUP BY ALL)
-SELECT target, agent, code, CASE WHEN a IS NULL THEN CASE WHEN b = 2 THEN 'changed' ELSE 'regression' END WHEN b IS NULL THEN 'fixed' WHEN b < a THEN 'regression' ELSE 'fixed' END AS kind
-FROM r WHERE a IS DISTINCT FROM b""")
-def finding_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even and odd events as the findings of two runs."""
-    rows = _read(spark, sf_dir, "events").selectExpr(
-        "concat('id:', user_id % 40 + 5 * (event_id % 2)) AS target", "event_type AS code", "CASE WHEN user_id % 3 = 0 THEN NULL ELSE concat('a', user_id % 3) END AS agent",
-        "CASE WHEN event_type = 'error' THEN 'error' WHEN value > 15 AND user_id % 4 <> event_id % 2 THEN 'warning' ELSE 'info' END AS severity",
-        "event_id % 2 AS side", "CAST(array() AS array<struct<k:string,t:string,v:string>>) AS evidence",
-    )
-    side = lambda k: rows.where(f"side = {k}").drop("side")
-    return compare.finding_changes(side(0), side(1), ()).select("target", "agent", "code", "kind")
-
-
-_META_WHOLE = "SELECT 'id:' || (o_orderkey // 2 % 20000) AS target, 'a' || (o_custkey % 2) AS agent, o_orderpriority AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'body' ELSE 'head' END AS location, o_orderkey % 2 AS side FROM orders"
-
-
-@query(f"""WITH m AS ({_META_WHOLE}), s AS (SELECT target, agent, list_sort(list(DISTINCT value) FILTER (WHERE side = 0)) AS va, list_sort(list(DISTINCT value) FILTER (WHERE side = 1)) AS vb,
-  list_sort(list(DISTINCT location) FILTER (WHERE side = 0)) AS pa, list_sort(list(DISTINCT location) FILTER (WHERE side = 1)) AS pb FROM m GROUP BY ALL HAVING count(*) FILTER (WHERE side = 0) > 0 AND count(*) FILTER (WHERE side = 1) > 0)
-SELECT target, agent, 'metadata-value-changed' AS code FROM s WHERE va <> vb UNION ALL SELECT target, agent, 'metadata-location-changed' FROM s WHERE pa <> pb""")
-def metadata_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even and odd orders as the metadata of two runs."""
-    rows = _read(spark, sf_dir, "orders").selectExpr(
-        "concat('id:', o_orderkey div 2 % 20000) AS target", "concat('a', o_custkey % 2) AS agent", "'title' AS field", "o_orderpriority AS value",
-        "CASE WHEN o_orderkey % 5 = 0 THEN 'body' ELSE 'head' END AS location", "o_orderkey % 2 AS side",
-    )
-    side = lambda k: rows.where(f"side = {k}").drop("side")
-    return compare.metadata_changes(side(0), side(1)).select("target", "agent", "code")
-
-
-@query("""WITH k AS (SELECT DISTINCT 'id:' || (c_nationkey + 2 * (c_custkey % 2)) AS target, c_mktsegment || CASE WHEN c_nationkey % 3 = 0 THEN '/' || (c_custkey % 2) ELSE '' END AS agent, c_custkey % 2 AS side FROM customer),
-b AS (SELECT target, agent, bool_or(side = 0) AS a, bool_or(side = 1) AS b FROM k GROUP BY ALL), t AS (SELECT target, bool_or(a) AS a, bool_or(b) AS b FROM b GROUP BY ALL)
-SELECT b.target, b.agent, CASE WHEN b.a THEN 'agent-removed' ELSE 'agent-added' END AS code FROM b JOIN t USING (target) WHERE t.a AND t.b AND b.a <> b.b
-UNION ALL SELECT target, NULL, CASE WHEN a THEN 'target-removed' ELSE 'target-added' END FROM t WHERE a <> b""")
-def membership_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even and odd customers as the targets and agents of two runs."""
-    rows = _read(spark, sf_dir, "customer").selectExpr(
-        "concat('id:', c_nationkey + 2 * (c_custkey % 2)) AS target", "concat(c_mktsegment, CASE WHEN c_nationkey % 3 = 0 THEN concat('/', c_custkey % 2) ELSE '' END) AS agent", "c_custkey % 2 AS side",
-    )
-    return compare.membership_changes(rows.where("side = 0"), rows.where("side = 1")).select("target", "agent", "code")

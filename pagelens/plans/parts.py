@@ -80,19 +80,31 @@ def robots_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.robots_verdicts(checks, docs).select(part(1).cast("bigint").alias("page_id"), part(2).alias("agent"), F.col("robots_verdict").alias("verdict"))
 
 
+#: Entries of one sitemap or index of the query below.
+FAN = 50
+
+
 @query(f"""SELECT url, (row_number() OVER (ORDER BY m)) - 1 AS place FROM (SELECT url, min(page_id) AS m FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages) p
   WHERE regexp_matches({_PATHS}, '^/(en|de)/') AND NOT regexp_matches({_PATHS}, '^.*[.]html$') GROUP BY url) u""")
 def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages listed in two sitemaps under an index, with patterns; discovery is over when both are read."""
-    pages = _read(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.col("url"), "&", "&amp;").alias("url"))
-    half = F.expr(f"CASE WHEN page_id < {_read(spark, sf_dir, 'pages').count() // 2} THEN 'one.xml' ELSE 'two.xml' END")
-    entry = F.expr("array_join(transform(array_sort(collect_list(struct(page_id, url))), x -> concat('<url><loc>', x.url, '</loc></url>')), '')")
-    docs = pages.groupBy(half.alias("source")).agg(F.concat(F.lit("<urlset>"), entry, F.lit("</urlset>")).alias("xml"))
-    listed = "".join(f"<sitemap><loc> https://site.example/{n} </loc></sitemap>" for n in ("one.xml", "two.xml", "one.xml"))
-    index = spark.createDataFrame([("index", f"<sitemapindex>{listed}</sitemapindex>")], "source string, xml string")
-    docs = docs.withColumn("source", F.concat(F.lit("https://site.example/"), "source")).unionByName(index)
-    found = sitemap.discover(docs, "index", urls=1 << 20, include=("/en/*", "/de/*"), exclude=("*.html",))
-    return spark.createDataFrame([(u, k) for k, u in enumerate(found.urls)], "url string, place bigint")
+    """Pages listed in sitemaps of at most FAN entries, under indexes of as many, up to one root; indexes repeat entries and name foreign ones."""
+    pages = _read(spark, sf_dir, "pages")
+    name = lambda level: F.concat(F.lit(f"https://site.example/{level}/"), F.col("id").cast("string"), F.lit(".xml"))
+    joined = F.expr("array_join(transform(array_sort(collect_list(struct(id, entry))), x -> x.entry), '')")
+    entries = pages.select(F.col("page_id").alias("id"), F.concat(F.lit("<url><loc> "), F.regexp_replace("url", "&", "&amp;"), F.lit(" </loc></url>")).alias("entry"))
+    last, level, docs = pages.agg(F.max("page_id")).first()[0] or 0, 0, None
+    while True:
+        tag = "sitemapindex" if level else "urlset"
+        # what repeats or leads elsewhere
+        more = F.lit("".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in ("https://site.example/0/0.xml", "https://elsewhere.example/x.xml")) if level else "")
+        groups = entries.groupBy(F.floor(F.col("id") / FAN).alias("id")).agg(F.concat(F.lit(f"<{tag}>"), joined, more, F.lit(f"</{tag}>")).alias("xml"))
+        part = groups.select(name(level).alias("source"), "xml")
+        docs = part if docs is None else docs.unionByName(part)
+        last //= FAN
+        if level and not last:
+            break
+        entries, level = groups.select("id", F.concat(F.lit("<sitemap><loc>"), name(level), F.lit("</loc></sitemap>")).alias("entry")), level + 1
+    return sitemap.reached(docs, f"https://site.example/{level}/0.xml", documents=None, urls=None, include=("/en/*", "/de/*"), exclude=("*.html",)).pages
 
 
 @query(f"""SELECT page_id, least(strlen(html), (({{}} + 1023) // 1024) * 1024)::BIGINT AS head_close, least(strlen(html), ((strlen(substr(html, 1, position('<body' IN html) + position('>' IN substr(html, position('<body' IN html))) - 1)) + 1023) // 1024) * 1024)::BIGINT AS body_start,
@@ -119,8 +131,8 @@ def json_ld_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {PROBES_SQL} SELECT target_ord, agent, ((page_id % 7 = 3)::INT * 2 + (page_id % 18 = 1)::INT) || '/4' AS open_graph,
-  ((page_id % 7 = 3)::INT * 2 + (page_id % 18 = 5)::INT) || '/4' AS twitter_card FROM probes""")
+@query(f"""WITH {PROBES_SQL} SELECT target_ord, agent, ((page_id % 7 = 3)::INT * 2 + (page_id % 18 = 1)::INT + (page_id % 35 = 13)::INT + (page_id % 70 = 23)::INT) || '/4' AS open_graph,
+  ((page_id % 7 = 3)::INT * 2 + (page_id % 18 = 5)::INT + (page_id % 35 = 13)::INT) || '/4' AS twitter_card FROM probes""")
 def preview_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the fields of a link preview and of a card are there."""
     t = tables(spark, sf_dir)
@@ -128,7 +140,7 @@ def preview_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT page_id::INTEGER AS target_ord, CASE WHEN page_id % 7 = 3 THEN 'T' ELSE {_entity_free(_TITLE)} END AS title,
-  CASE WHEN page_id % 18 = 5 THEN 'a' WHEN page_id % 3 = 0 THEN 'About' WHEN page_id % 69 = 4 THEN 'Late' END AS description, CASE WHEN page_id % 7 = 3 THEN 'rel.png' END AS image FROM pages""")
+  CASE WHEN page_id % 18 = 5 THEN 'a' WHEN page_id % 3 = 0 THEN 'About' WHEN page_id % 69 = 4 THEN 'Late' END AS description, CASE WHEN page_id % 7 = 3 THEN 'rel.png' WHEN page_id % 35 = 13 THEN 'https://img.example/one.png' END AS image FROM pages""")
 def link_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a link preview of each page shows."""
     return reports.preview_cards(tables(spark, sf_dir)["facts"])
