@@ -107,6 +107,41 @@ def test_a_large_group_of_near_vectors_is_counted_not_listed(spark):
     assert balls.count() > 300 and links.count() < 0.8 * sum(r[1] for r in want) / 2
 
 
+@pytest.mark.parametrize("share,spread", [(0.5, 0.01), (0.95, 0.01), (1.0, 0.01), (0.5, 0.03), (0.95, 0.03), (1.0, 0.03)])
+def test_a_group_that_holds_most_of_the_table(spark, share, spread):
+    """Recall where one group is half of the table, nearly all or all of it, within a ball (0.01) and beyond one (0.03)."""
+    from pagelens.llm.embedding_duplicates import _candidates, _links, embedding_duplicates
+
+    random_, n = np.random.default_rng(11), 1500
+    base = random_.standard_normal(64)
+    base /= np.linalg.norm(base)
+    inside = int(share * n)
+    others = random_.standard_normal((n - inside, 64))
+    # pairs at the threshold among the others
+    for k in range(1, len(others), 2):
+        side = random_.standard_normal(64)
+        side -= (side @ others[k - 1]) / (others[k - 1] @ others[k - 1]) * others[k - 1]
+        side *= np.linalg.norm(others[k - 1]) / np.linalg.norm(side)
+        others[k] = 0.951 * others[k - 1] + np.sqrt(1 - 0.951**2) * side
+    vectors = np.concatenate([base + random_.standard_normal((inside, 64)) * spread, others])
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    want, got = linked.sum(1), {r.vec_id: r for r in embedding_duplicates(frame).collect()}
+    assert all(got[k].n_links <= want[k] for k in range(n))
+    assert sum(r.n_links for r in got.values()) >= 0.98 * want.sum()
+    assert sum(got[k].n_links for k in range(inside, n)) >= 0.98 * want[inside:].sum()
+    if spread == 0.01:
+        # inside a ball nothing is listed and nothing meets
+        classes = frame.selectExpr("xxhash64(embedding, 64) AS node", "embedding")
+        links, balls = _links(classes, 0.95)
+        assert balls.count() >= 0.99 * inside and links.count() <= n
+        each = balls.selectExpr("node", "array(1, 2) AS segments", "64 AS n", "ball AS g", "explode(array(0, 1)) AS t").selectExpr("*", "t + 1 AS value")
+        assert _candidates(each, 8, 2, 0.95).count() == 0
+
+
 def test_doubles_beyond_floats_are_compared(spark):
     from pagelens.llm.embedding_duplicates import embedding_duplicates
 
