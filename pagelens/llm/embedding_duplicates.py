@@ -136,12 +136,17 @@ def _balls(each: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
 
 
 def _candidates(each: DataFrame, width: int, tables: int, cosine: float) -> DataFrame:
-    """Pairs (a, b) of nodes in different groups g, once each, from rows (node, segments, n, g, t, value): one for each table t.
+    """Pairs (a, b) of nodes in different groups, once each, from rows (node, segments, n, ball, t, value): one for each table t.
+
+    A group is a ball, or a node outside all balls.
 
     Groups meet in a bucket first, each once, however many members it has there; a group of one brings its member along,
     the members of others are joined to the groups that met.
     """
-    there = stored(each.groupBy("t", "value", "n", "g").agg(F.count("*").alias("size"), F.min(F.struct("node", "segments")).alias("one")))
+    member = F.struct("node", "segments")
+    held = each.where("ball IS NOT NULL").withColumnRenamed("ball", "g")
+    alone = each.where("ball IS NULL").select("t", "value", "n", F.col("node").alias("g"), F.lit(1).cast("bigint").alias("size"), member.alias("one"))
+    there = alone.unionByName(held.groupBy("t", "value", "n", "g").agg(F.count("*").alias("size"), F.min(member).alias("one")))
     flips = F.explode(F.array(F.lit(0), *(F.lit(1 << k) for k in range(width)))).alias("flip")
     probes = there.select("t", "n", F.col("g").alias("ga"), F.col("value").alias("va"), F.col("size").alias("sa"), F.col("one").alias("x"), flips).selectExpr("*", "va ^ flip AS value")
     # values that differ in one bit meet both ways; the order of the groups takes one of them
@@ -152,10 +157,10 @@ def _candidates(each: DataFrame, width: int, tables: int, cosine: float) -> Data
     p, all_bits = acos(min(max(cosine, -1.0), 1.0)) / pi, tables * width
     farthest = ceil(all_bits * p + 8 * sqrt(all_bits * p * (1 - p)))
     single = met.where("sa = 1 AND sb = 1").select("t", "x", "y")
-    member = F.struct("node", "segments")
+    # with one member a group brings it along
+    of = lambda g, value, x: alone.select("t", "n", F.col("g").alias(g), F.col("value").alias(value), F.col("one").alias(x)).unionByName(held.select("t", "n", F.col("g").alias(g), F.col("value").alias(value), member.alias(x)))
     large = met.where("sa > 1 OR sb > 1").select("t", "n", "ga", "va", "gb", "value")
-    large = large.join(each.select("t", "n", F.col("g").alias("ga"), F.col("value").alias("va"), member.alias("x")), ["t", "n", "ga", "va"])
-    large = large.join(each.select("t", "n", F.col("g").alias("gb"), "value", member.alias("y")), ["t", "n", "gb", "value"])
+    large = large.join(of("ga", "va", "x"), ["t", "n", "ga", "va"]).join(of("gb", "value", "y"), ["t", "n", "gb", "value"])
     near = single.unionByName(large.select("t", "x", "y")).where(f"{earlier} AND {distance} <= {farthest}")
     return near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
@@ -177,8 +182,7 @@ def _links(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     vectors = coded.select("node", "embedding")
     plain = coded.select("node", F.size("embedding").alias("n"), F.posexplode("segments").alias("t", "value"))
     balls = _balls(plain, vectors, cosine)
-    group = F.coalesce("ball", "node").alias("g")
-    each = coded.select("node", "segments", F.size("embedding").alias("n")).join(balls, "node", "left").select("node", "segments", "n", group, F.posexplode("segments").alias("t", "value"))
+    each = coded.select("node", "segments", F.size("embedding").alias("n")).join(balls, "node", "left").select("node", "segments", "n", "ball", F.posexplode("segments").alias("t", "value"))
     found = _candidates(each, width, tables, cosine)
     links = stored(_verified(found, vectors, cosine))
     discard(coded)

@@ -138,7 +138,7 @@ def test_a_group_that_holds_most_of_the_table(spark, share, spread):
         classes = frame.selectExpr("xxhash64(embedding, 64) AS node", "embedding")
         links, balls = _links(classes, 0.95)
         assert balls.count() >= 0.99 * inside and links.count() <= n
-        each = balls.selectExpr("node", "array(1, 2) AS segments", "64 AS n", "ball AS g", "explode(array(0, 1)) AS t").selectExpr("*", "t + 1 AS value")
+        each = balls.selectExpr("node", "array(1, 2) AS segments", "64 AS n", "ball", "explode(array(0, 1)) AS t").selectExpr("*", "t + 1 AS value")
         assert _candidates(each, 8, 2, 0.95).count() == 0
 
 
