@@ -1,15 +1,16 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A document is the vector of all its hashed character n-grams, each the square root of its share of all. The n-grams
-of largest log ratio between their smoothed weights in toxic and in clean training documents are the features, scaled
-by that ratio; a regularised logistic regression on them gives the final weights. It is fitted on a bounded sample of
-labelled rows and applied to every text.
+A document is the vector of all its hashed character n-grams, each the square root of its share of all. Every n-gram is
+a feature, scaled by the log ratio between its smoothed weights in toxic and in clean training documents; a regularised
+logistic regression on them gives the final weights. It is fitted on a bounded sample of labelled rows and applied to
+every text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,10 @@ from pagelens.llm.storage import discard, stored
 BUCKET_BITS, LENGTHS = 18, (3, 4, 5, 6)
 #: The classifier is fitted on at most this many labelled rows of each class, the least by a hash of doc_id.
 ROWS_PER_CLASS = 1500
-#: Training rows that must hold an n-gram for it to be a feature, and the number of features.
-LEAST_ROWS, FEATURES = 4, 1 << 13
+#: Average n-grams that smooth the weights of the smaller class.
+PRIOR = 0.3
+#: Entries of training rows that the fit works on together.
+ENTRIES = 1 << 20
 #: Places of a text that are looked at together.
 PLACES = 1 << 16
 
@@ -69,32 +72,36 @@ def buckets(text: str | None) -> np.ndarray:
 
 def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets, and the square root of each one's share."""
-    times = np.zeros(1 << BUCKET_BITS, np.int64)
-    for found in pieces(text):
-        np.add.at(times, found, 1)
-    ids = np.flatnonzero(times)
-    return ids.astype(np.int32), np.sqrt(times[ids] / max(times.sum(), 1))
+    found = pieces(text)
+    first, second = next(found), next(found, None)
+    if second is None:
+        ids, times = np.unique(first, return_counts=True)
+    else:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for x in chain((first, second), found):
+            total += np.bincount(x, minlength=len(total))
+        ids = np.flatnonzero(total)
+        times = total[ids]
+    return ids.astype(np.int32), np.sqrt(times / max(times.sum(), 1))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the features; `place` is each bucket's feature, or the number of features for none."""
+    """A weight for every bucket of n-grams."""
 
-    place: np.ndarray
     weights: np.ndarray
     bias: float
 
     def score(self, text: str | None) -> float:
-        counts = np.zeros(len(self.weights) + 1, np.int64)
-        for found in pieces(text):
-            counts += np.bincount(self.place[found], minlength=len(counts))
-        z = self.bias + float(np.sqrt(counts[:-1] / max(counts.sum(), 1)) @ self.weights)
+        ids, values = shares(text)
+        z = self.bias + float(values @ self.weights[ids])
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def log_ratios(sums: pd.DataFrame, toxic_rows: int, clean_rows: int, smoothing: float) -> np.ndarray:
-    """Log of an n-gram's smoothed weight a toxic row over its weight a clean row, for rows (toxic, clean)."""
-    toxic, clean = (sums[c].to_numpy(float) + smoothing for c in ("toxic", "clean"))
+def log_ratios(sums: pd.DataFrame, toxic_rows: int, clean_rows: int, smoothing: float | tuple[float, float]) -> np.ndarray:
+    """Log of an n-gram's smoothed weight a toxic row over its weight a clean row, for rows (toxic, clean); the smoothing may differ by class."""
+    prior = smoothing if isinstance(smoothing, tuple) else (smoothing, smoothing)
+    toxic, clean = (sums[c].to_numpy(float) + p for c, p in zip(("toxic", "clean"), prior))
     return np.log((toxic / toxic_rows) / (clean / clean_rows))
 
 
@@ -118,40 +125,35 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for y, text in zip(batch.column("toxic"), batch.column("text"), strict=True):
             ids, values = shares(text.as_py())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([y.as_py()], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([values], pa.list_(pa.float64()))],
+                [pa.array([y.as_py()], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([values.astype(np.float32)], pa.list_(pa.float32()))],
                 names=["toxic", "buckets", "shares"],
             )
 
 
-def _chosen(place: np.ndarray, none: int):
-    """Only the features of each row, by their places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, values = [], []
-            for x, v in zip(batch.column("buckets"), batch.column("shares"), strict=True):
-                at = place[np.asarray(x.values)]
-                ids.append(at[at < none])
-                values.append(np.asarray(v.values)[at < none])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
-                names=["toxic", "buckets", "shares"],
-            )
-
-    return run
-
-
 def fit(
-    labels: np.ndarray, owner: np.ndarray, at: np.ndarray, scaled: np.ndarray, size: int,
-    rounds: int = 300, ridge: float = 1e-5, rate: float = 0.05,
+    labels: np.ndarray, starts: np.ndarray, at: np.ndarray, scaled: np.ndarray, size: int,
+    rounds: int = 100, ridge: float = 5e-4, rate: float = 0.05, balance: float = 0.5,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on sparse entries (owner row, feature, value), by Adam steps."""
+    """Weights and bias of a logistic regression by Adam steps; row k's entries (feature, value) begin at starts[k], none is empty.
+
+    A row counts as the share of its class to the power -balance. A step goes over whole rows of about ENTRIES entries at a
+    time.
+    """
+    parts = np.bincount(labels.astype(int), minlength=2) / len(labels)
+    counts = np.maximum(parts, 1e-9)[labels.astype(int)] ** -balance
+    counts /= counts.sum()
     beta, bias = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    ends = np.append(starts[1:], len(at))
+    cuts = [0, *(int(k) for k in np.unique(np.searchsorted(ends, np.arange(ENTRIES, len(at), ENTRIES), "left") + 1) if k < len(labels)), len(labels)]
     for t in range(1, rounds + 1):
-        z = np.bincount(owner, scaled * beta[at], len(labels)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) / len(labels)
-        g, gb = np.bincount(at, scaled * error[owner], size) + ridge * beta, error.sum()
+        g, gb = ridge * beta, 0.0
+        for a, b in zip(cuts, cuts[1:]):
+            part = slice(starts[a], ends[b - 1])
+            z = np.add.reduceat(scaled[part] * beta[at[part]], starts[a:b] - starts[a]) + bias
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[a:b]) * counts[a:b]
+            g += np.bincount(at[part], scaled[part] * np.repeat(error, ends[a:b] - starts[a:b]), size)
+            gb += error.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.999**t
         beta -= rate * m / a / (np.sqrt(v / b) + 1e-8)
@@ -168,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
 
     Null labels and labels other than 0 and 1 are left out; a document labelled both ways counts as toxic. The sample's
     ids are at most 2 * rows_per_class, so they are broadcast to the scan of `docs`; of several texts under one doc_id
-    the least is taken. Only sums by bucket and the rows' FEATURES best n-grams reach the driver. Without both
-    classes every text scores the labels' share.
+    the least is taken. Sums by bucket and the distinct n-grams of these rows reach the driver. Without both classes every
+    text scores the labels' share.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -178,34 +180,28 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     sample = F.broadcast(picked[0].unionByName(picked[1]))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(sample, "doc_id")
     rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
-    rows = stored(rows.mapInArrow(_features, "toxic int, buckets array<int>, shares array<double>"))
-    n = {r.toxic: (r.n, r.mean or 0.0) for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.avg(F.expr("aggregate(shares, 0D, (a, x) -> a + x)")).alias("mean")).collect()}
+    rows = stored(rows.mapInArrow(_features, "toxic int, buckets array<int>, shares array<float>"))
+    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     size = 1 << BUCKET_BITS
     if len(n) < 2:
         share = float(np.clip(max(n, default=0), 1e-6, 1 - 1e-6))
         discard(rows)
-        return Model(np.zeros(size, np.int32), np.zeros(0), float(np.log(share / (1 - share))))
+        return Model(np.zeros(size), float(np.log(share / (1 - share))))
     each = rows.mapInArrow(_sums, "bucket int, toxic double, clean double, n_rows double").groupBy("bucket")
-    sums = each.agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "n_rows"))).where(F.col("n_rows") >= LEAST_ROWS).orderBy("bucket").toPandas()
-    # one average n-gram of a row is the prior of each class
-    smoothing = (sums["toxic"].sum() + sums["clean"].sum()) / max(sums["n_rows"].sum(), 1)
-    ratio = log_ratios(sums, n[1][0], n[0][0], smoothing)
-    best = np.sort(np.argsort(-np.abs(ratio), kind="stable")[:FEATURES])
-    place = np.full(size, len(best), np.int32)
-    place[sums["bucket"].to_numpy()[best]] = np.arange(len(best))
-    learnt = rows.mapInArrow(_chosen(place, len(best)), "toxic int, buckets array<int>, shares array<double>").toArrow().to_batches()
+    sums = each.agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "n_rows"))).toPandas()
+    # PRIOR average n-grams of a row in the smaller class, and as much a row in the other: one never seen speaks for neither
+    average = (sums["toxic"].sum() + sums["clean"].sum()) / max(sums["n_rows"].sum(), 1)
+    smoothing = tuple(PRIOR * average * k / min(n.values()) for k in (n[1], n[0]))
+    factor = np.zeros(size)
+    factor[sums["bucket"]] = 10 * log_ratios(sums, n[1], n[0], smoothing)
+    learnt = rows.where(F.size("buckets") > 0).orderBy("toxic", F.size("buckets"), F.xxhash64("buckets")).toArrow().combine_chunks()
     discard(rows)
-    ys, lists = [], ([], [])
-    for part in learnt:
-        for y, ids, values in zip(*part.columns, strict=True):
-            ys.append(y.as_py())
-            lists[0].append(np.asarray(ids.values))
-            lists[1].append(np.asarray(values.values))
-    owner = np.repeat(np.arange(len(ys)), [len(x) for x in lists[0]])
-    at, values = (np.concatenate(x) for x in lists)
-    factor = 10 * ratio[best]
-    beta, bias = fit(np.array(ys, float), owner, at, values * factor[at], len(best))
-    return Model(place, factor * beta, bias)
+    lists = [learnt.column(c).combine_chunks() for c in ("buckets", "shares")]
+    starts = lists[0].offsets.to_numpy()[:-1].astype(np.int64)
+    at, values = (np.asarray(x.values) for x in lists)
+    scaled = values * factor.astype(np.float32)[at]
+    beta, bias = fit(np.asarray(learnt.column("toxic"), float), starts, at, scaled, size)
+    return Model(factor * beta, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
