@@ -99,23 +99,25 @@ def quantised(df: DataFrame, dimensions: list[str], bits: int) -> dict[str, Colu
 
 
 def hilbert_shards(df: DataFrame, dimensions: list[str], ties: list[str], shards: int, bits: int = 5) -> DataFrame:
-    """`df` with shard (int) and slot (bigint, gapless from 0 in each shard).
+    """`df` with shard (int) and slot (bigint, gapless from 0 in each shard), which take the place of columns of these names.
 
     Dimensions are numeric or string columns. Rows of equal curve index follow `ties`, then their place in the input, so
-    that rows alike in everything, of any number, are still cut evenly. Columns named shard or slot or with a leading
-    underscore are left out; an empty table stays empty. Only the columns of `df` are shuffled, so give it narrow rows.
+    that rows alike in everything, of any number, are still cut evenly. All other columns are kept, whatever their names; an
+    empty table stays empty. The columns of `df` are shuffled, so give it narrow rows.
     """
-    kept = [c for c in df.columns if c not in ("shard", "slot") and not c.startswith("_")]
-    narrow = stored(df.select(*kept))
-    bins = quantised(narrow, dimensions, bits)
-    points = narrow.withColumns({f"_d{k}": bins[d] for k, d in enumerate(dimensions)})
-    curved = hilbert_index(points, [f"_d{k}" for k in range(len(dimensions))], bits, "_curve").select(*kept, "_curve")
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
+    # the rows' own columns travel in one, so that no name of theirs meets a name used here
+    cuts, orders = [f"_d{k}" for k in range(len(dimensions))], [f"_t{k}" for k in range(len(ties))]
+    narrow = stored(df.select(F.struct(*df.columns).alias("_row"), *[F.col(d).alias(n) for d, n in zip(dimensions, cuts)], *[F.col(t).alias(n) for t, n in zip(ties, orders)]))
+    bins = quantised(narrow, cuts, bits)
+    points = narrow.select("_row", *orders, *[bins[n].alias(n) for n in cuts])
+    curved = hilbert_index(points, cuts, bits, "_curve").select("_row", *orders, "_curve")
     rows = stored(curved.withColumn("_place", F.monotonically_increasing_id()))
-    order = ["_curve", *ties, "_place"]
+    order = ["_curve", *orders, "_place"]
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # in sorted partitions this id is the partition's number and the row's place in it
     ordered = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    placed = stored(ordered.withColumn("_at", F.monotonically_increasing_id()).drop("_curve", "_place"))
+    placed = stored(ordered.select("_row", F.monotonically_increasing_id().alias("_at")))
     discard(narrow, rows)
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
@@ -129,7 +131,7 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], ties: list[str], shards
         ranked.withColumn("_rank", rank)
         .withColumn("shard", F.expr(f"cast(_rank * {shards} div _all as int)"))
         .withColumn("slot", F.expr(f"_rank - (shard * _all + {shards - 1}) div {shards}"))
-        .select(*kept, "shard", "slot")
+        .select(*[F.col("_row")[c].alias(c) for c in kept], "shard", "slot")
     )
 
 
