@@ -1,12 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting, then sampling by calibrated probability.
 
 Tokens are counted by cell (source, language, topic). Cell weights are raked: each step scales the cells of
-one category so that its weighted tokens reach the target share, until no cell moves. A document's probability is its
+one category so that its weighted tokens reach the target share, until no cell moves or RAKES rounds are over, which is
+told in a warning where shares still move. A document's probability is its
 cell's weight, scaled so that the expected tokens meet the budget and capped at one.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Most rounds of raking, the relative move of every category below which it ends, and rounds in which capped cells hand
 #: their excess to the others.
 RAKES, STILL, CAPS = 24, 1e-10, 8
+#: A share that the last round still moves by more than this part of itself is told in a warning.
+SETTLED = 1e-4
 #: Target shares are observed shares to this power; 1 keeps the mixture, 0 makes categories equal.
 TEMPER = 0.7
 #: Expected tokens of the sample as a share of all tokens.
@@ -81,6 +86,12 @@ def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     )
 
 
+def _told(moved: float) -> None:
+    """A warning that targets contradict each other, or that raking needs more rounds than RAKES."""
+    if moved > SETTLED:
+        warnings.warn(f"after {RAKES} rounds raking still moves a share by {moved:.2g} of itself", stacklevel=3)
+
+
 def tempered_targets(cells: DataFrame, power: float) -> dict[str, DataFrame]:
     """For each dimension (value, share): observed token shares to `power`, scaled to one."""
     found = {}
@@ -123,8 +134,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = RAKES) -
         after = stored(now)
         discard(weighted)
         weighted = after
-        if max((x or 0.0 for x in after.agg(*moves).first()), default=0.0) < STILL:
+        moved = max((x or 0.0 for x in after.agg(*moves).first()), default=0.0)
+        if moved < STILL:
             break
+    else:
+        _told(moved)
     return weighted.select(*cells.columns, "weight")
 
 
@@ -159,6 +173,8 @@ def _fitted_here(cells: pd.DataFrame, shares: dict[str, dict], budget: float) ->
             moved = max(moved, np.abs(scale - 1)[weight > 0].max(initial=0.0))
         if moved < STILL:
             break
+    else:
+        _told(moved)
     scale = 0.0
     for k in range(CAPS):
         capped = (weight * scale >= 1) & (k > 0)

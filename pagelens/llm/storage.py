@@ -21,7 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="pagelens-"))
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="pagelens-")
+    return _own[context.applicationId]
 
 
 def _application_folder(spark: SparkSession) -> str:

@@ -355,6 +355,36 @@ def test_mixing(docs, none):
     assert all(not r.selected for r in mixed(docs.where("trim(text) = ''")).collect())
 
 
+def test_raking_tells_when_targets_contradict(spark):
+    import warnings
+
+    from pagelens.llm.mixing import mixed
+
+    rows = [(k, "word " * 10, lang, source) for k, (lang, source) in enumerate([("en", "a"), ("de", "b")] * 20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    options = {"topic": F.lit("t")}
+    for cells in (0, 20):
+        with pytest.warns(UserWarning, match="still moves"):
+            mixed(frame, {"lang": {"en": 0.9, "de": 0.1}, "source": {"a": 0.5, "b": 0.5}}, driver_cells=cells, **options)
+        with warnings.catch_warnings():
+            warnings.simplefilter("error", UserWarning)
+            mixed(frame, {"lang": {"en": 0.9, "de": 0.1}, "source": {"a": 0.9, "b": 0.1}}, driver_cells=cells, **options)
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    from pagelens.llm.hilbert_shards import hilbert_shards
+
+    rows = [(k, f"s{k % 3}", k * 7 % 11, -1, f"_{k}", k) for k in range(50)]
+    frame = spark.createDataFrame(rows, "id bigint, source string, size bigint, shard int, _row string, _d0 bigint")
+    found = hilbert_shards(frame, ["source", "size"], ["_d0"], 4)
+    assert found.columns == ["id", "source", "size", "_row", "_d0", "shard", "slot"]
+    got = found.collect()
+    assert sorted((r.id, r.source, r.size, r["_row"], r["_d0"]) for r in got) == [(r[0], r[1], r[2], r[4], r[5]) for r in rows]
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert {sum(r.shard == s for r in got) for s in range(4)} == {12, 13}
+
+
 def test_mixing_to_given_targets(docs):
     from pagelens.llm.mixing import mixed, sampled
 
