@@ -26,6 +26,8 @@ BUCKET_BITS, LENGTHS = 18, (3, 4, 5, 6)
 ROWS_PER_CLASS = 1500
 #: Average n-grams that smooth the weights of the smaller class.
 PRIOR = 0.3
+#: Parts in which the training rows come to the driver.
+PARTS = 8
 #: Entries of training rows that the fit works on together.
 ENTRIES = 1 << 20
 #: Places of a text that are looked at together.
@@ -161,6 +163,26 @@ def fit(
     return beta, float(bias)
 
 
+def _entries(rows: DataFrame, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, starts, features, scaled values) of all rows that are not empty, in an order of their own; fetched in PARTS."""
+    own = F.xxhash64("buckets", "shares")
+    some = rows.where(F.size("buckets") > 0)
+    entries = some.agg(F.sum(F.size("buckets"))).first()[0] or 0
+    at, scaled, labels, lengths, filled = np.empty(entries, np.int32), np.empty(entries, np.float32), [], [], 0
+    for part in range(PARTS):
+        for batch in some.where(F.pmod(own, F.lit(PARTS)) == part).orderBy(own, "toxic").toArrow().to_batches():
+            ids, values = batch.column("buckets"), batch.column("shares")
+            lo, hi = ids.offsets[0].as_py(), ids.offsets[-1].as_py()
+            room = slice(filled, filled + hi - lo)
+            at[room] = np.asarray(ids.values)[lo:hi]
+            scaled[room] = np.asarray(values.values)[lo:hi] * factor[at[room]]
+            filled = room.stop
+            labels.append(np.asarray(batch.column("toxic"), float))
+            lengths.append(np.diff(ids.offsets.to_numpy()))
+    sizes = np.concatenate(lengths) if lengths else np.empty(0, int)
+    return np.concatenate(labels) if labels else np.empty(0), (np.cumsum(sizes) - sizes).astype(np.int64), at, scaled
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
@@ -194,13 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     smoothing = tuple(PRIOR * average * k / min(n.values()) for k in (n[1], n[0]))
     factor = np.zeros(size)
     factor[sums["bucket"]] = 10 * log_ratios(sums, n[1], n[0], smoothing)
-    learnt = rows.where(F.size("buckets") > 0).orderBy("toxic", F.size("buckets"), F.xxhash64("buckets")).toArrow().combine_chunks()
+    labels, starts, at, scaled = _entries(rows, factor.astype(np.float32))
     discard(rows)
-    lists = [learnt.column(c).combine_chunks() for c in ("buckets", "shares")]
-    starts = lists[0].offsets.to_numpy()[:-1].astype(np.int64)
-    at, values = (np.asarray(x.values) for x in lists)
-    scaled = values * factor.astype(np.float32)[at]
-    beta, bias = fit(np.asarray(learnt.column("toxic"), float), starts, at, scaled, size)
+    beta, bias = fit(labels, starts, at, scaled, size)
     return Model(factor * beta, bias)
 
 
