@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Iterable
 from datetime import UTC, datetime
 from pathlib import Path
 from time import monotonic
@@ -31,16 +30,19 @@ def _say(text: str) -> None:
     print(text, file=sys.stderr)
 
 
-def _write(parts: Iterable[str], path: str | None) -> None:
+def _write(document: reports.Document, path: str | None) -> None:
+    """To a file or the terminal; a path that ends in a slash is a folder in which Spark writes the document's lines."""
     if path is None:
-        sys.stdout.writelines(parts)
-        return
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(parts)
+        sys.stdout.writelines(reports.streamed(document))
+    elif path.endswith("/"):
+        reports.write_document(document, SparkSession.active(), path)
+    else:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.writelines(reports.streamed(document))
 
 
-def _report(kind: str, out: dict, summary: dict, head: dict, framework: str | None) -> Iterable[str]:
+def _report(kind: str, out: dict, summary: dict, head: dict, framework: str | None) -> reports.Document:
     f = out["findings"]
     return {
         "terminal": lambda: reports.terminal_document(out, summary | {"repeat": head["repeat"]}), "json": lambda: reports.json_document(out, summary, {k: v for k, v in head.items() if k != "repeat"}),
@@ -116,7 +118,7 @@ def _baseline(stored: dict | None, out: dict, summary: dict, head: dict, path: s
         _say(f"{path} is the new baseline")
         return 0
     changes, found = _comparison(stored, out, args)
-    sys.stderr.writelines(reports.comparison_document("terminal", changes, found))
+    sys.stderr.writelines(reports.streamed(reports.comparison_document("terminal", changes, found)))
     changes.unpersist()
     return int(args.fail_on != "never" and found["regressions"] > 0)
 

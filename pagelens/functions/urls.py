@@ -96,6 +96,33 @@ def url_for_origin(url: pd.Series, origin_of: pd.Series) -> pd.Series:
     return pd.Series([one(u, o) for u, o in zip(url, origin_of, strict=True)], index=url.index, dtype=object)
 
 
+def shown_url(url: str | None) -> str | None:
+    """A URL as reports may show it: normal, with its fragment, and without a name and password; what is none is not shown."""
+    if url is None:
+        return None
+    full = absolute(None, url, True)
+    if full is None:
+        return "[invalid URL]"
+    parts = urlsplit(full)
+    return parts._replace(netloc=parts.netloc.rpartition("@")[2]).geturl() if "@" in parts.netloc else full
+
+
+def shown_host(url: str | None) -> str | None:
+    """Host and port of a URL, or the text itself where it is none."""
+    full = absolute(None, url) if url is not None else None
+    return url if full is None else urlsplit(full).netloc.rpartition("@")[2]
+
+
+@F.pandas_udf(StringType())
+def report_url(url: pd.Series) -> pd.Series:
+    return url.map(shown_url)
+
+
+@F.pandas_udf(StringType())
+def report_host(url: pd.Series) -> pd.Series:
+    return url.map(shown_host)
+
+
 def _is_http_url(u: str | None) -> bool:
     full = absolute(None, u) if u and re.match(r"https?:", u.strip(), re.I) else None
     return bool(full) and "@" not in urlsplit(full).netloc

@@ -18,6 +18,9 @@ TEXTS = {
     "missing-h1": ("No main heading", "Render the heading on the server."),
     "missing-main-text": ("No main text", "Render the text of the main element on the server."),
     "robots-header-noindex": ("Header forbids indexing", "Remove the directive from the response header."),
+    "robots-header-restrictive": ("Header restricts crawlers", "Keep only the restrictions that are meant for this page."),
+    "robots-header-ineffective": ("Header has no effect", "Lift the page's own noindex, or drop the permission from the header."),
+    "multiple-robots": ("Directives in several elements", "Put all directives for one crawler into one element."),
     "robots-txt-disallowed": ("Crawling is disallowed", "Allow the path in robots.txt."),
     "robots-txt-unavailable": ("robots.txt unreadable", "Serve robots.txt with a definite answer."),
     "robots-txt-conflict": ("robots.txt and page disagree", "Decide in one place whether the page may be found."),

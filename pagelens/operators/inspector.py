@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,17 +52,25 @@ def tidy(text: str, limit: int = VALUE_CHARS) -> str:
 
 
 def json_types(value: object) -> list[str]:
-    """Distinct @type names of a JSON-LD value, within the limits of nodes and types."""
-    found, stack, seen = set(), [value], 0
-    while stack and seen < NODE_CAP and len(found) < TYPE_CAP:
-        node, seen = stack.pop(), seen + 1
+    """Distinct @type names of a JSON-LD value: the first TYPE_CAP as they are met.
+
+    Values are looked at from the last one of a list or object to the first; those looked at and those that wait are NODE_CAP
+    together at most, and what no longer fits is left out.
+    """
+    found: dict[str, None] = {}
+    waiting, seen = [value], 0
+    while waiting and seen < NODE_CAP:
+        node, seen = waiting.pop(), seen + 1
+        inside: Iterable[object] = ()
         if isinstance(node, dict):
-            named = node.get("@type")
-            found |= {x.strip() for x in (named if isinstance(named, list) else [named]) if isinstance(x, str) and x.strip()}
-            stack += node.values()
+            inside, named = node.values(), node.get("@type")
+            for name in named if isinstance(named, list) else [named]:
+                if isinstance(name, str) and name.strip() and len(found) < TYPE_CAP:
+                    found[clip(name.strip(), VALUE_CHARS)] = None
         elif isinstance(node, list):
-            stack += node
-    return sorted(found)[:TYPE_CAP]
+            inside = node
+        waiting.extend(islice(inside, max(0, NODE_CAP - seen - len(waiting))))
+    return sorted(found)
 
 
 def _refuse(name: str) -> None:
@@ -205,6 +214,8 @@ class Page:
             self._signal("main", value, {k: self.main[k] for k in ("at_ms", "observed_by_byte")}, self.main["location"])
 
 
+#: Documents, signals and blocks that are sent on together.
+HELD = 4096
 _ARROW = pa.schema([
     ("probe_id", pa.string()),
     ("signals", pa.list_(pa.struct([("kind", pa.string()), ("ord", pa.int32()), ("property", pa.string()), ("audience", pa.string()), ("value", pa.string()), ("location", pa.string()), ("at_ms", pa.float64()), ("observed_by_byte", pa.int64())]))),
@@ -226,11 +237,17 @@ def inspect_page(body: bytes, charset: str | None, ends: list[int], times: list[
 
 def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        rows, held = [], 0
         for k in range(batch.num_rows):
             one = partial(lambda k, c: batch.column(c)[k].as_py(), k)
             page = inspect_page(one("body"), one("charset"), one("chunk_ends") or [], one("chunk_at") or [])
-            row = {"probe_id": one("probe_id"), "signals": page.signals, "json_ld": page.blocks} | {m: page.marks.get(m) for m in _ARROW.names[3:]}
-            yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+            rows.append({"probe_id": one("probe_id"), "signals": page.signals, "json_ld": page.blocks} | {m: page.marks.get(m) for m in _ARROW.names[3:]})
+            held += 1 + len(page.signals) + len(page.blocks)
+            if held >= HELD:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 def inspected(responses: DataFrame) -> DataFrame:

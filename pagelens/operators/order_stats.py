@@ -1,4 +1,4 @@
-"""Exact values at given ranks of groups of any size, without holding or sorting a whole group.
+"""Exact values at given ranks of groups of any size, without holding or sorting a whole group; places in a total order.
 
 Equal values are counted before any shuffle. The counts are summed up by ranges of value, some hundreds to a power of
 ten, whose running sums tell in which range each rank lies; only the values of that one range are put in order.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +65,14 @@ def medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFram
     """(keys, name): the median of each group that has values, the mean of the two middle ones."""
     found = at_ranks(rows, keys, value, {"_lower": LOWER_MIDDLE, "_upper": UPPER_MIDDLE})
     return found.select(*keys, (0.5 * F.col("_lower") + 0.5 * F.col("_upper")).alias(name))
+
+
+def in_order(rows: DataFrame, order: list[str], place: str, total: str | None = None) -> DataFrame:
+    """`rows` with their place from 0 in a total order, and how many there are; ranges of it are sorted apart, and their sizes, one number each, are added up."""
+    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
+    number = (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(place)
+    return numbered.select(*rows.columns, number, *([F.col("_all").alias(total)] if total else []))

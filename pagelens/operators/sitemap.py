@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pagelens.functions.markup import Tokens
 from pagelens.functions.text import glob_pattern
 from pagelens.functions.urls import absolute, url_decode
+from pagelens.operators.order_stats import in_order
 
 # Budgets of documents and of page URLs.
 DOCUMENTS, URLS = 20, 100
@@ -96,16 +97,6 @@ def captured(docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda sources: sources.join(docs.select("source", "xml"), "source", "left").withColumn("error", F.when(F.col("xml").isNull(), "it is not there"))
 
 
-def in_order(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """`rows` with their place from 0 in a total order; ranges of it are sorted apart, and their sizes, one number each, are added up."""
-    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
-    part = F.shiftright("_at", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    numbered = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return numbered.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
-
-
 def reached(
     docs: DataFrame | Callable[[DataFrame], DataFrame], root: str, documents: int | None = DOCUMENTS, urls: int | None = URLS,
     include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), spark: SparkSession | None = None,

@@ -100,8 +100,8 @@ effective AS (SELECT page_id, agent, string_agg(DISTINCT word, ',' ORDER BY word
   WHERE NOT EXISTS (SELECT 1 FROM meant o WHERE o.page_id = m.page_id AND o.agent = m.agent AND o.word = 'no' || m.word) GROUP BY ALL),
 repeated AS (SELECT page_id, agent, audience, count(*) AS n, count(DISTINCT list_sort(words)) AS variants FROM told WHERE len(words) > 0 GROUP BY ALL HAVING count(*) > 1),
 judged AS (SELECT r.*, EXISTS (SELECT 1 FROM meant a JOIN meant b USING (page_id, agent, audience) WHERE a.page_id = r.page_id AND a.agent = r.agent AND a.audience = r.audience AND b.word = 'no' || a.word) AS opposed FROM repeated r),
-robots_found AS (SELECT page_id, agent, CASE WHEN opposed THEN 'conflicting-robots' WHEN variants = 1 THEN 'duplicate-robots' ELSE 'multiple-robots' END AS code FROM judged
-  UNION ALL SELECT DISTINCT g.page_id, g.agent, 'conflicting-robots' FROM meant g JOIN meant s ON s.page_id = g.page_id AND s.agent = g.agent AND g.audience = 'robots' AND s.audience = g.agent AND g.word = 'no' || s.word
+robots_found AS (SELECT page_id, agent, audience, CASE WHEN opposed THEN 'conflicting-robots' WHEN variants = 1 THEN 'duplicate-robots' ELSE 'multiple-robots' END AS code FROM judged
+  UNION ALL SELECT DISTINCT g.page_id, g.agent, 'effective', 'conflicting-robots' FROM meant g JOIN meant s ON s.page_id = g.page_id AND s.agent = g.agent AND g.audience = 'robots' AND s.audience = g.agent AND g.word = 'no' || s.word
     WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.page_id = g.page_id AND j.agent = g.agent AND opposed))"""
 _EFFECTIVE = "EXISTS (SELECT 1 FROM effective e WHERE e.page_id = {t}.page_id AND e.agent = {t}.agent AND list_contains(string_split(e.directives, ','), 'noindex'))"
 

@@ -162,13 +162,27 @@ def junit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.groupBy("target_ord").agg(F.count("*").alias("tests"), F.count_if(F.col("grave") == 1).alias("failures"), F.count_if(F.col("grave") == 0).alias("errors"))
 
 
-@query(f"""WITH {FINDINGS_SQL} SELECT target_ord, agent, code, sha256('["' || code || '","' || url || '","' || agent || '","' ||
-  CASE code WHEN 'incomplete-probe' THEN '[{{\\"k\\":\\"completion\\",\\"t\\":\\"string\\",\\"v\\":\\"timeout\\"}}]' ELSE '[]' END || '"]') AS fingerprint
-FROM findings WHERE code IN ('incomplete-probe', 'missing-title', 'missing-description', 'missing-canonical', 'missing-h1', 'status-mismatch', 'slow-first-byte')""")
+def _listed(*pairs: tuple[str, str]) -> str:
+    """SQL for the names whose conditions do not hold, as evidence lists them."""
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT ({there}) THEN '{name}' END" for name, there in pairs) + "], lambda x: x IS NOT NULL), ', ')"
+
+
+_IMAGE = "page_id % 7 = 3 OR page_id % 35 = 13"
+_NO_PREVIEW = _listed(("og:title", "page_id % 7 = 3"), ("og:type", "page_id % 18 = 1"), ("og:url", "page_id % 70 = 23"), ("og:image", _IMAGE))
+_NO_CARD = _listed(("twitter:card", "false"), ("twitter:title", "page_id % 7 = 3"), ("twitter:description", "page_id % 18 = 5"), ("twitter:image", _IMAGE))
+
+
+@query(f"""WITH {FINDINGS_SQL}, f AS (SELECT target_ord, url, agent, code, target_ord AS page_id FROM findings WHERE NOT ends_with(code, '-robots')),
+e AS (SELECT target_ord, url, agent, code, CASE WHEN code = 'incomplete-probe' THEN ['completion', 'timeout'] WHEN code = 'missing-open-graph-metadata' THEN ['fields', {_NO_PREVIEW}]
+    WHEN code = 'missing-twitter-card-metadata' THEN ['fields', {_NO_CARD}] WHEN code = 'head-metadata-in-body' THEN ['fields', 'description']
+    WHEN code = 'duplicate-social-metadata' THEN ['property', 'og:type'] WHEN code = 'conflicting-social-metadata' THEN ['property', 'og:description']
+    WHEN code = 'invalid-social-metadata-url' THEN ['property', CASE WHEN page_id % 70 = 23 THEN 'og:url' ELSE 'og:image' END] END AS kept FROM f
+  UNION ALL SELECT p.target_ord, p.url, p.agent, r.code, ['audience', r.audience] FROM robots_found r JOIN probes p USING (page_id, agent))
+SELECT target_ord, agent, code, sha256('["' || code || '","' || url || '","' || agent || '","' ||
+  CASE WHEN kept IS NULL THEN '[]' ELSE '[{{\\"k\\":\\"' || kept[1] || '\\",\\"t\\":\\"string\\",\\"v\\":\\"' || kept[2] || '\\"}}]' END || '"]') AS fingerprint FROM e""")
 def finding_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests by which the next run knows a finding again."""
     found = rules.probe_findings(tables(spark, sf_dir)["facts"])
-    found = found.where(F.col("code").isin("incomplete-probe", "missing-title", "missing-description", "missing-canonical", "missing-h1", "status-mismatch", "slow-first-byte"))
     return found.select("target_ord", "agent", "code", reports.fingerprint().alias("fingerprint"))
 
 

@@ -1,7 +1,8 @@
-"""Report formats as streams of text.
+"""Report formats as documents: texts, and rows that Spark renders.
 
-What belongs to a row is rendered by Spark as a column of text; a document is its head, those texts in order and its
-foot. The driver takes one partition of texts at a time, so no document is held whole and none is cut.
+What belongs to a row is a column of text; a document is its head, those texts in order and its foot. `streamed` gives a
+document out as one text, of which the driver holds one partition of rows at a time. `write_document` has Spark write it as
+files that, one after the other, are the document; its rows do not pass the driver.
 """
 
 from __future__ import annotations
@@ -9,33 +10,85 @@ from __future__ import annotations
 import html
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.operators import findings as fin
 from pagelens.operators.explain import explained
 from pagelens.operators.findings import rank
+from pagelens.operators.order_stats import in_order
 
 STABLE_EVIDENCE = ("audience", "completion", "fields", "property")
 #: Next steps shown in the terminal and in HTML, and signal arrivals of a target in HTML.
 STEPS, HTML_STEPS, ARRIVALS = 5, 6, 60
 
 
-def _texts(frame: DataFrame, *order: Column | str) -> Iterator[str]:
-    """The column value of a frame, in order."""
-    for row in frame.orderBy(*order).select("value").toLocalIterator():
-        yield row.value
+@dataclass(frozen=True)
+class Rows:
+    """The column value of a frame, in order; `between` follows every row but the last, which `last` follows."""
 
+    frame: DataFrame
+    order: tuple[Column | str, ...]
+    between: str = ""
+    last: str = ""
 
-def _joined(texts: Iterator[str], between: str) -> Iterator[str]:
-    for k, text in enumerate(texts):
-        yield between + text if k else text
+
+Document = Iterator[str | Rows]
+
+
+def streamed(document: Document) -> Iterator[str]:
+    """A document as one text after the other, whole and in order."""
+    for part in document:
+        if isinstance(part, str):
+            yield part
+            continue
+        held = None
+        for row in part.frame.orderBy(*part.order).select("value").toLocalIterator():
+            if held is not None:
+                yield held + part.between
+            held = row.value
+        if held is not None:
+            yield held + part.last
+
+
+def write_document(document: Document, spark: SparkSession, path: str) -> None:
+    """Writes a document as text files under `path` that are its text, one after the other in the order of their names.
+
+    The rows of all parts are sorted together, by part and by their place in it, and each task writes its range. The writer
+    ends each row's line itself, so texts and rows are whole lines.
+    """
+    tables, text = [], ""
+
+    def add(rows: DataFrame) -> None:
+        tables.append(rows.withColumn("_part", F.lit(len(tables))))
+
+    def close() -> None:
+        if text:
+            if not text.endswith("\n"):
+                raise ValueError("the texts of a document are whole lines")
+            add(spark.createDataFrame([(text, 0)], "value string, _place bigint"))
+
+    for part in document:
+        if isinstance(part, str):
+            text += part
+            continue
+        close()
+        text = ""
+        keyed = part.frame.select("value", *[(F.col(o) if isinstance(o, str) else o).alias(f"_{n}") for n, o in enumerate(part.order)])
+        placed = in_order(keyed, keyed.columns[1:], "_place", "_all")
+        end = F.when(F.col("_place") < F.col("_all") - 1, F.lit(part.between)).otherwise(F.lit(part.last))
+        add(placed.select(F.concat("value", end).alias("value"), "_place"))
+    close()
+    lines = reduce(DataFrame.unionByName, tables).orderBy("_part", "_place")
+    lines.select(F.regexp_replace("value", r"\n\z", "").alias("value")).write.mode("overwrite").text(path)
 
 
 def _severity_order() -> list:
-    return [rank("severity"), "code", "url", F.asc_nulls_first("agent"), "sample", "probe_ord", "within"]
+    return [rank("severity"), "code", "url", "agent", "sample", "probe_ord", "within"]
 
 
 def fingerprint() -> Column:
@@ -65,8 +118,8 @@ def github_lines(findings: DataFrame) -> DataFrame:
     return findings.withColumn("value", F.concat(line, F.lit("\n")))
 
 
-def github_document(findings: DataFrame) -> Iterator[str]:
-    return _texts(github_lines(findings), "target_ord", "sample", "probe_ord", "rule_ord", "within")
+def github_document(findings: DataFrame) -> Document:
+    yield Rows(github_lines(findings), ("target_ord", "sample", "probe_ord", "rule_ord", "within"))
 
 
 def markdown_lines(findings: DataFrame) -> DataFrame:
@@ -74,10 +127,10 @@ def markdown_lines(findings: DataFrame) -> DataFrame:
     return findings.withColumn("value", F.format_string("| %s | %s | %s | %s | %s |\n", *map(cell, ("severity", "code", "url", "agent", "message"))))
 
 
-def markdown_document(summary: DataFrame, findings: DataFrame) -> Iterator[str]:
+def markdown_document(summary: DataFrame, findings: DataFrame) -> Document:
     s = summary.first()
     yield f"## {s.errors} errors, {s.warnings} warnings, {s.info} notes\n\n| Severity | Code | URL | Agent | Message |\n| --- | --- | --- | --- | --- |\n"
-    yield from _texts(markdown_lines(findings), *_severity_order())
+    yield Rows(markdown_lines(findings), tuple(_severity_order()))
 
 
 def write_json(findings: DataFrame, path: str) -> None:
@@ -85,7 +138,7 @@ def write_json(findings: DataFrame, path: str) -> None:
     findings.write.json(path)
 
 
-def json_document(out: dict[str, DataFrame], summary: dict, head: dict) -> Iterator[str]:
+def json_document(out: dict[str, DataFrame], summary: dict, head: dict) -> Document:
     """A byte-stable report that can be read back: keys in order, a row a line, a final newline."""
     yield "{\n"
     for key, value in sorted((head | {"summary": summary}).items()):
@@ -97,12 +150,13 @@ def json_document(out: dict[str, DataFrame], summary: dict, head: dict) -> Itera
         kept = sorted(frame.columns)
         rows = frame.select(F.to_json(F.struct(*kept), {"ignoreNullFields": "true"}).alias("value"), *[F.col(c).alias(f"_{c}") for c in kept if frame.schema[c].dataType.typeName() not in ("map",)])
         order = [c for c in ("target_ord", "sample", "probe_ord", "agent_ord", "rule_ord", "within", "probe_id", "kind", "property", "ord") if c in kept]
-        yield from _joined(("    " + x for x in _texts(rows, *[F.asc_nulls_first(f"_{c}") for c in order], "value")), ",\n")
-        yield "\n  ]" + (",\n" if k + 1 < len(names) else "\n")
+        shown = rows.withColumn("value", F.concat(F.lit("    "), "value"))
+        yield Rows(shown, (*[f"_{c}" for c in order], "value"), ",\n", "\n")
+        yield "  ]" + (",\n" if k + 1 < len(names) else "\n")
     yield "}\n"
 
 
-def sarif_document(findings: DataFrame, tool: str = "pagelens") -> Iterator[str]:
+def sarif_document(findings: DataFrame, tool: str = "pagelens") -> Document:
     """Rules of the codes, then a result a finding."""
     named = explained(findings)
     titles = {r.code: (r.title, r.remedy) for r in named.groupBy("code").agg(F.min("title").alias("title"), F.min("remedy").alias("remedy")).collect()}
@@ -118,8 +172,8 @@ def sarif_document(findings: DataFrame, tool: str = "pagelens") -> Iterator[str]
     )
     driver = json.dumps({"driver": {"name": tool, "rules": rules}})
     yield f'{{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{{"tool": {driver}, "results": [\n'
-    yield from _joined(_texts(findings.withColumn("value", F.to_json(result)), *_severity_order()), ",\n")
-    yield "\n]}]}\n"
+    yield Rows(findings.withColumn("value", F.to_json(result)), tuple(_severity_order()), ",\n", "\n")
+    yield "]}]}\n"
 
 
 def _element(found: Column) -> Column:
@@ -156,7 +210,7 @@ def junit_cases(probes: DataFrame, findings: DataFrame) -> DataFrame:
     return every.select("target_ord", "agent_ord", "sample", case.alias("value"), F.get("found", 0)["rank"].alias("grave"))
 
 
-def junit_document(probes: DataFrame, findings: DataFrame, targets: DataFrame, summary: dict) -> Iterator[str]:
+def junit_document(probes: DataFrame, findings: DataFrame, targets: DataFrame, summary: dict) -> Document:
     """A suite a target; totals are counted over all cases."""
     cases = junit_cases(probes, findings)
     counts = [F.count("*").alias("tests"), F.count_if(F.col("grave") == 1).alias("failures"), F.count_if(F.col("grave") == 0).alias("errors")]
@@ -174,7 +228,7 @@ def junit_document(probes: DataFrame, findings: DataFrame, targets: DataFrame, s
         "target_ord", F.lit(1 << 21).alias("agent_ord"), F.lit(0).alias("sample"),
         F.concat(F.when(F.col("notes") != "", F.concat(F.lit("    <system-out>"), T.xml_text(F.col("notes")), F.lit("</system-out>\n"))).otherwise(""), F.lit("  </testsuite>\n")).alias("value"),
     )
-    yield from _texts(opens.unionByName(cases.drop("grave")).unionByName(closes), "target_ord", "agent_ord", "sample")
+    yield Rows(opens.unionByName(cases.drop("grave")).unionByName(closes), ("target_ord", "agent_ord", "sample"))
     yield "</testsuites>\n"
 
 
@@ -183,7 +237,7 @@ def _signal_text(kind: str) -> Column:
     return F.when(s.isNull(), "-").otherwise(F.concat(T.milliseconds(s["at_ms"]), F.lit("/"), s["location"]))
 
 
-def terminal_document(out: dict[str, DataFrame], summary: dict) -> Iterator[str]:
+def terminal_document(out: dict[str, DataFrame], summary: dict) -> Document:
     """Targets with their probes, link previews, stability and findings, then what to do next; control characters are masked."""
     s = summary
     yield f"{s['targets']} targets, {s['probes']} probes: {s['errors']} errors, {s['warnings']} warnings, {s['info']} notes, {s['waived']} waived\n"
@@ -210,7 +264,7 @@ def terminal_document(out: dict[str, DataFrame], summary: dict) -> Iterator[str]
     every = sections[0]
     for part in sections[1:]:
         every = every.unionByName(part)
-    yield from _texts(every.withColumn("value", F.concat(F.rtrim(T.printable(F.col("value"))), F.lit("\n"))), "target_ord", "part", "place")
+    yield Rows(every.withColumn("value", F.concat(F.rtrim(T.printable(F.col("value"))), F.lit("\n"))), ("target_ord", "part", "place"))
     steps = fin.next_steps(out["findings"], titles(out["findings"])).limit(STEPS).collect()
     yield "".join(["Next:\n", *(f"  {r.title} ({r.occurrences})\n" for r in steps)]) if steps else ""
 
@@ -254,7 +308,7 @@ def arrival_rows(facts: DataFrame, limit: int = ARRIVALS) -> DataFrame:
     return rows.select("target_ord", "place", "label", "x.kind", "x.s.at_ms", "x.s.location", "x.s.observed_by_byte", T.shortened(F.col("x.s.value"), 120).alias("value"), "n")
 
 
-def html_document(out: dict[str, DataFrame], summary: dict, framework: str | None = None, title: str = "Page delivery") -> Iterator[str]:
+def html_document(out: dict[str, DataFrame], summary: dict, framework: str | None = None, title: str = "Page delivery") -> Document:
     """A page with totals and next steps, then each target: its verdict, findings with what to do, arrivals and preview."""
     e = lambda c: T.xml_text(F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit("")))
     steps = fin.next_steps(out["findings"], titles(out["findings"])).limit(HTML_STEPS).collect()
@@ -278,11 +332,11 @@ def html_document(out: dict[str, DataFrame], summary: dict, framework: str | Non
     every = sections[0]
     for part in sections[1:]:
         every = every.unionByName(part)
-    yield from _texts(every.withColumn("value", F.concat("value", F.lit("\n"))), "target_ord", "part", "place")
+    yield Rows(every.withColumn("value", F.concat("value", F.lit("\n"))), ("target_ord", "part", "place"))
     yield "</html>\n"
 
 
-def comparison_document(kind: str, changes: DataFrame, summary: dict, pairs: DataFrame | None = None) -> Iterator[str]:
+def comparison_document(kind: str, changes: DataFrame, summary: dict, pairs: DataFrame | None = None) -> Document:
     """One rendering of a comparison: terminal, json, html, markdown, or github (regressions alone).
 
     `pairs` are timelines of both runs, whose milestones HTML shows as bars on the scale of the longest.
@@ -294,26 +348,26 @@ def comparison_document(kind: str, changes: DataFrame, summary: dict, pairs: Dat
     line = F.concat(text("kind"), F.lit(": "), F.concat_ws(" ", *map(text, names[1:6])), F.lit(" -> "), text("after"))
     if kind == "terminal":
         yield json.dumps(summary) + "\n"
-        yield from _texts(changes.withColumn("value", F.concat(T.printable(line), F.lit("\n"))), *change_order())
+        yield Rows(changes.withColumn("value", F.concat(T.printable(line), F.lit("\n"))), tuple(change_order()))
     elif kind == "json":
         yield f'{{\n  "summary": {json.dumps(summary, sort_keys=True)},\n  "changes": [\n'
         row = F.to_json(F.struct(*sorted(changes.columns)), {"ignoreNullFields": "false"})
-        yield from _joined(("    " + x for x in _texts(changes.withColumn("value", row), *change_order())), ",\n")
-        yield "\n  ]\n}\n"
+        yield Rows(changes.withColumn("value", F.concat(F.lit("    "), row)), tuple(change_order()), ",\n", "\n")
+        yield "  ]\n}\n"
     elif kind == "markdown":
         yield "| " + " | ".join(names) + " |\n|" + " --- |" * len(names) + "\n"
-        yield from _texts(changes.withColumn("value", F.format_string("| %s |\n", F.concat_ws(" | ", *[T.markdown_cell(text(n)) for n in names]))), *change_order())
+        yield Rows(changes.withColumn("value", F.format_string("| %s |\n", F.concat_ws(" | ", *[T.markdown_cell(text(n)) for n in names]))), tuple(change_order()))
     elif kind == "github":
         bad = F.format_string("::error title=%s::%s\n", T.annotation_property(F.col("code")), T.annotation_text(line))
-        yield from _texts(changes.where("kind = 'regression'").withColumn("value", bad), *change_order())
+        yield Rows(changes.where("kind = 'regression'").withColumn("value", bad), tuple(change_order()))
     else:
         yield f"<!doctype html><html lang=\"en\"><meta charset=\"utf-8\"><h1>Comparison</h1><p>{html.escape(json.dumps(summary))}</p><table>\n"
         cells = F.concat(*[F.concat(F.lit("<td>"), T.xml_text(text(n)), F.lit("</td>")) for n in names])
-        yield from _texts(changes.withColumn("value", F.concat(F.lit("<tr>"), cells, F.lit("</tr>\n"))), *change_order())
+        yield Rows(changes.withColumn("value", F.concat(F.lit("<tr>"), cells, F.lit("</tr>\n"))), tuple(change_order()))
         yield "</table>\n"
         if pairs is not None:
             most = pairs.agg(F.max(F.greatest("at_ms_a", "at_ms_b"))).first()[0] or 1.0
             bar = lambda c: F.format_string('<i style="margin-left:%.1f%%">%s</i>', F.coalesce(F.col(c), F.lit(0.0)) / most * 100, T.milliseconds(F.col(c)))
             value = F.format_string("<p>%s %s %s %s %s</p>\n", T.xml_text(F.col("target")), T.xml_text(text("agent")), "milestone", bar("at_ms_a"), bar("at_ms_b"))
-            yield from _texts(pairs.withColumn("value", value), "target", "agent", "milestone_ord")
+            yield Rows(pairs.withColumn("value", value), ("target", "agent", "milestone_ord"))
         yield "</html>\n"

@@ -34,19 +34,20 @@ def is_web(url: str) -> bool:
     return parts.scheme in ("http", "https") and bool(parts.hostname) and "@" not in parts.netloc
 
 
-def _site(url: str) -> tuple[str, str | None, int]:
+def site(url: str) -> tuple[str, str | None, int]:
+    """Scheme, host in lower case and port, named or not, of a URL."""
     parts = urlsplit(url)
     return parts.scheme, parts.hostname, parts.port or (443 if parts.scheme == "https" else 80)
 
 
 def fetch(url: str, timeout_ms: int, max_bytes: int, accept: str, same_origin: bool) -> tuple[int, bytes]:
     """(status, body) after redirects; a body beyond max_bytes, a bad redirect or no time left is a FetchError."""
-    ends, first = time.monotonic() + timeout_ms / 1000, _site(url)
+    ends, first = time.monotonic() + timeout_ms / 1000, site(url)
     for _ in range(HOPS + 1):
         left = ends - time.monotonic()
         if left <= 0:
             raise FetchError("no time left")
-        scheme, host, port = _site(url)
+        scheme, host, port = site(url)
         secure = {"context": ssl.create_default_context()} if scheme == "https" else {}
         link = (http.client.HTTPSConnection if secure else http.client.HTTPConnection)(host, port, timeout=left, **secure)
         try:
@@ -57,7 +58,7 @@ def fetch(url: str, timeout_ms: int, max_bytes: int, accept: str, same_origin: b
                 following = urljoin(url, answer.getheader("location") or "").partition("#")[0]
                 if not answer.getheader("location") or not is_web(following):
                     raise FetchError(f"{url} redirects to no page")
-                if same_origin and _site(following) != first:
+                if same_origin and site(following) != first:
                     raise FetchError(f"{url} redirects to another origin, {following}")
                 url = following
                 continue
@@ -94,11 +95,11 @@ def inflated(body: bytes, max_bytes: int) -> bytes:
     return bytes(out)
 
 
-def robots_document(site: str, timeout_ms: int = ROBOTS_MS, max_bytes: int = ROBOTS_BYTES) -> dict:
+def robots_document(at: str, timeout_ms: int = ROBOTS_MS, max_bytes: int = ROBOTS_BYTES) -> dict:
     """An origin's robots.txt: a client error is one without rules, any other failure leaves it unavailable."""
-    row = {"origin": site, "state": "unavailable", "status": None, "error": None, "body": None}
+    row = {"origin": at, "state": "unavailable", "status": None, "error": None, "body": None}
     try:
-        status, body = fetch(f"{site}/robots.txt", timeout_ms, max_bytes, "text/plain,*/*", same_origin=False)
+        status, body = fetch(f"{at}/robots.txt", timeout_ms, max_bytes, "text/plain,*/*", same_origin=False)
     except (OSError, http.client.HTTPException, ValueError) as error:
         return row | {"error": f"{type(error).__name__}: {error}"[:300]}
     if 200 <= status < 300:

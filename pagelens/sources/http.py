@@ -12,8 +12,9 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pagelens.functions.urls import shown_url
 from pagelens.operators.ingest import HEADERS, REDIRECTS
-from pagelens.sources.fetch import is_web
+from pagelens.sources.fetch import is_web, site
 
 SCHEMA = """probe_id string, requested_url string, final_url string, status int, completion string, error string, bytes_read bigint,
  body_sha256 string, headers map<string,string>, redirects array<struct<url:string,status:int,location:string,duration_ms:double>>,
@@ -29,7 +30,6 @@ def probe(task: dict) -> tuple:
     began = time.monotonic()
     now = lambda: (time.monotonic() - began) * 1000
     url, custom, hops = task["url"], dict(task.get("headers") or {}), []
-    first_origin = urlsplit(url)[:2]
     limit, most, timeout = task.get("max_bytes", 10 << 20), task.get("max_redirects", 10), task.get("timeout_ms", 15_000) / 1000
     state = {"status": None, "headers": {}, "h": None, "f": None, "c": None, "body": b"", "ends": [], "at": [], "cookie": False}
 
@@ -37,12 +37,13 @@ def probe(task: dict) -> tuple:
         body = state["body"]
         digest = hashlib.sha256(body).hexdigest() if completion == "complete" else None
         return (
-            task["probe_id"], task["url"], url, state["status"], completion, error, len(body), digest, state["headers"], hops,
+            task["probe_id"], shown_url(task["url"]), shown_url(url), state["status"], completion, error, len(body), digest, state["headers"], hops,
             state["h"], state["f"], state["c"], body, state["ends"], state["at"],
         )
 
     if limit < 1 or most < 0 or timeout <= 0 or not is_web(url):
         return row("invalid-response", "the request is not valid")
+    first = site(url)
     try:
         while True:
             parts, left = urlsplit(url), timeout - now() / 1000
@@ -69,7 +70,7 @@ def probe(task: dict) -> tuple:
             if not is_web(following):
                 return row("invalid-response", "a redirect leads nowhere")
             url = following
-            if urlsplit(url)[:2] != first_origin:
+            if site(url) != first:
                 custom = {}
         if given.get("content-type", "").split(";")[0].strip().lower() not in ("text/html", "application/xhtml+xml"):
             return row("invalid-response", "the response is not HTML")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from pagelens import schemas
 
@@ -41,6 +42,35 @@ def _refuse_version(version: object) -> None:
         raise RunError(f"schema version {version} is none")
 
 
+def upgraded(manifest: dict) -> dict:
+    """A manifest of the present version: the first one knew no waivers."""
+    if manifest["schemaVersion"] == 1:
+        if "waived" in manifest or "waived" in (manifest.get("summary") or {}):
+            raise RunError("a run of version 1 has no waivers")
+        manifest = manifest | {"schemaVersion": VERSION, "summary": {"waived": 0} | (manifest.get("summary") or {})}
+    return manifest
+
+
+def unknown_keys(text: Column, kind: DataType) -> Column:
+    """Whether a JSON text has a key, at any depth, that its type does not know; maps may have any.
+
+    The check follows the type down: each nested object is taken out as a text and held against its own part of it.
+    """
+    if isinstance(kind, ArrayType):
+        if not isinstance(kind.elementType, (ArrayType, StructType)):
+            return F.lit(False)
+        return F.coalesce(F.exists(F.from_json(text, "array<string>"), lambda x: unknown_keys(x, kind.elementType)), F.lit(False))
+    if not isinstance(kind, StructType):
+        return F.lit(False)
+    held = F.from_json(text, "map<string,string>")
+    known = F.array(*[F.lit(f.name) for f in kind.fields])
+    bad = F.size(F.array_except(F.map_keys(held), known)) > 0
+    for f in kind.fields:
+        if isinstance(f.dataType, (ArrayType, StructType)):
+            bad = bad | unknown_keys(held[f.name], f.dataType)
+    return F.coalesce(bad, F.lit(False))
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict:
     lines = [r[0] for r in spark.read.text(f"{path}/manifest").limit(2).collect()]
     if len(lines) != 1:
@@ -49,7 +79,7 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     _refuse_version(manifest.get("schemaVersion"))
     if manifest.keys() - _MANIFEST:
         raise RunError("the manifest has unknown entries")
-    return manifest
+    return upgraded(manifest)
 
 
 def _refuse_values(found: dict[str, DataFrame]) -> None:
@@ -69,6 +99,7 @@ def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     _refuse_version(version)
     if unknown := set(head.m) - _REPORT:
         raise RunError(f"the report has unknown entries {sorted(unknown)}")
+    upgraded({k: json.loads(v) for k, v in head.m.items() if k in ("schemaVersion", "summary") and v is not None} | ({"waived": True} if "waived" in head.m else {}))
     found = {}
     for name, schema in TABLES.items():
         if name not in head.m:
@@ -77,8 +108,7 @@ def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         rows = part.select(F.explode("rows").alias("row"))
         # a row's keys are looked at before it is read
         known = spark.createDataFrame([], schema)
-        names = F.map_keys(F.from_json("row", top))
-        if not rows.where(F.size(F.array_except(names, F.array(*map(F.lit, known.columns)))) > 0).isEmpty():
+        if not rows.where(unknown_keys(F.col("row"), known.schema)).isEmpty():
             raise RunError(f"{name} has unknown entries")
         read = F.from_json("row", known.schema.simpleString(), {"mode": "FAILFAST"})
         found[name] = rows.select(read.alias("r")).select("r.*").persist()

@@ -181,22 +181,50 @@ def test_documents_hold_every_row(spark):
 
     from pagelens.sinks import reports
 
-    n = 5003
+    whole, n = (lambda document: "".join(reports.streamed(document))), 5003
     probes, targets, found = many_findings(spark, n)
     summary = {"targets": n, "probes": n, "errors": n, "warnings": 0, "info": 0, "incomplete": 0, "waived": 0}
-    junit = ElementTree.fromstring("".join(reports.junit_document(probes, found, targets, summary)))
+    junit = ElementTree.fromstring(whole(reports.junit_document(probes, found, targets, summary)))
     assert junit.get("tests") == junit.get("errors") == str(n) and len(junit.findall("testsuite/testcase/error")) == n
-    sarif = json.loads("".join(reports.sarif_document(found)))
+    sarif = json.loads(whole(reports.sarif_document(found)))
     assert len(sarif["runs"][0]["results"]) == n and [r["id"] for r in sarif["runs"][0]["tool"]["driver"]["rules"]] == ["missing-h1"]
-    report = json.loads("".join(reports.json_document({"findings": found, "targets": targets}, summary, {"schemaVersion": 2})))
+    report = json.loads(whole(reports.json_document({"findings": found, "targets": targets}, summary, {"schemaVersion": 2})))
     assert len(report["findings"]) == n and [f["target_ord"] for f in report["findings"]] == list(range(n))
     row = spark.createDataFrame([tuple(summary.values())], ", ".join(f"{k} int" for k in summary))
-    assert sum(x.count("| missing-h1 |") for x in reports.markdown_document(row, found)) == n
-    assert sum(x.count("::error") for x in reports.github_document(found)) == n
-    assert sum(x.count("missing-h1") for x in reports.html_document({"findings": found, "targets": targets}, summary)) == n
+    assert whole(reports.markdown_document(row, found)).count("| missing-h1 |") == n
+    assert whole(reports.github_document(found)).count("::error") == n
+    assert whole(reports.html_document({"findings": found, "targets": targets}, summary)).count("missing-h1") == n
     changes = probes.selectExpr("'regression' AS kind", "cast(target_ord AS string) AS target", "agent", "'f' AS field", "'code' AS code", "'a' AS before", "'b' AS after", "'' AS detail")
     for kind, mark in (("github", "::error"), ("html", "<tr>"), ("markdown", "| regression"), ("terminal", "regression:"), ("json", '"kind":"regression"')):
-        assert sum(x.count(mark) for x in reports.comparison_document(kind, changes, {"regressions": n})) == n
+        assert whole(reports.comparison_document(kind, changes, {"regressions": n})).count(mark) == n
+
+
+def test_documents_written_by_tasks_are_the_streamed_ones(spark, tmp_path, request):
+    from pagelens.sinks import reports
+
+    probes, targets, found = many_findings(spark, 37)
+    probes, targets, found = (df.repartition(3) for df in (probes, targets, found))
+    summary = {"targets": 37, "probes": 37, "errors": 37, "warnings": 0, "info": 0, "incomplete": 0, "waived": 0}
+    row = spark.createDataFrame([tuple(summary.values())], ", ".join(f"{k} int" for k in summary))
+    changes = probes.selectExpr("'regression' AS kind", "cast(target_ord AS string) AS target", "agent", "'f' AS field", "'code' AS code", "'a' AS before", "'b' AS after", "'' AS detail")
+    made = {
+        "json": lambda f: reports.json_document({"findings": f, "targets": targets}, summary, {"schemaVersion": 2}), "sarif": reports.sarif_document, "github": reports.github_document,
+        "markdown": lambda f: reports.markdown_document(row, f), "junit": lambda f: reports.junit_document(probes, f, targets, summary),
+        "comparison": lambda f: reports.comparison_document("json", changes, {"regressions": 37}),
+    }
+    # so that small tasks stay apart
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    for name, document in made.items():
+        for kind, frame in (("all", found), ("none", found.limit(0))):
+            path = tmp_path / f"{name}-{kind}"
+            reports.write_document(document(frame), spark, str(path))
+            files = sorted(path.glob("part-*"))
+            assert "".join(f.read_text() for f in files) == "".join(reports.streamed(document(frame)))
+            # the rows lie in more than one task's file
+            assert kind == "none" or len([f for f in files if f.stat().st_size]) > 1
+    with pytest.raises(ValueError):
+        reports.write_document(iter(["no line"]), spark, str(tmp_path / "bad"))
 
 
 def test_junit_samples_and_characters(spark):
@@ -212,11 +240,11 @@ def test_junit_samples_and_characters(spark):
         (0, 1, 0, 1, 0, "bad-one", "warning", "m \x01 <&> \ud83d\ude00", "u", "x", some), (0, 1 << 20, 0, 42, 0, "whole-agent", "error", "m", "u", "y", []),
         (0, 1 << 20, 1 << 20, 35, 0, "drift", "warning", "m", "u", None, []), (0, 1, 0, 24, 0, "note", "info", "seen", "u", "x", []),
     ]
-    text = "".join(reports.junit_document(probes, spark.createDataFrame(rows, FINDINGS), targets, {"waived": 0, "incomplete": 0}))
+    text = "".join(reports.streamed(reports.junit_document(probes, spark.createDataFrame(rows, FINDINGS), targets, {"waived": 0, "incomplete": 0})))
     suite = ElementTree.fromstring(text).find("testsuite")
     kinds = {c.get("name"): [e.tag for e in c] for c in suite.findall("testcase")}
     assert kinds == {"x#1": ["failure"], "x#2": [], "x#3": ["failure"], "y#1": ["error"], "target": ["failure"]}
     assert (suite.get("tests"), suite.get("failures"), suite.get("errors")) == ("5", "3", "1")
     assert suite.find("system-out").text == "note: seen" and "\x01" not in text
     fixed = spark.createDataFrame([("fixed", "t", None, "f", "c", "a", "b", None), ("changed", "t", None, "f", "c", "a", "b", None)], "kind string, target string, agent string, field string, code string, before string, after string, detail string")
-    assert "".join(reports.comparison_document("github", fixed, {})) == ""
+    assert "".join(reports.streamed(reports.comparison_document("github", fixed, {}))) == ""

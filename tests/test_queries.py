@@ -34,9 +34,9 @@ def test_entry(spark):
 def test_whole_table_queries_read_every_row(spark):
     run = lambda name: entry.queries()[name](spark, FOLDER)
     table = lambda name: spark.read.parquet(f"{FOLDER}/{name}.parquet")
-    assert sum(r.occurrences_raw for r in run("coalesced_findings_whole").collect()) == table("events").count()
-    assert {r.url for r in run("merged_targets_whole").collect()} == {r.url for r in table("pages").collect()}
+    assert sum(r.occurrences_raw for r in run("coalesced_findings").collect()) == table("events").count()
+    assert {r.url for r in run("merged_targets").collect()} == {r.url for r in table("pages").collect()}
     kinds = lambda name, c: {r[c] for r in run(name).collect()}
-    assert kinds("finding_changes_whole", "kind") == {"regression", "fixed", "changed"}
-    assert kinds("metadata_changes_whole", "code") == {"metadata-value-changed", "metadata-location-changed"}
-    assert kinds("membership_changes_whole", "code") == {"agent-added", "agent-removed", "target-added", "target-removed"}
+    assert kinds("finding_changes", "kind") == {"regression", "fixed", "changed"}
+    assert kinds("metadata_changes", "code") == {"metadata-value-changed", "metadata-location-changed"}
+    assert kinds("membership_changes", "code") == {"agent-added", "agent-removed", "target-added", "target-removed"}
