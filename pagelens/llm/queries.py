@@ -38,8 +38,10 @@ def op3_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.storage import small_batches
     from pagelens.llm.toxicity import score, train
 
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents")
     return score(docs, train(docs, read(spark, sf_dir, "labels")))
 

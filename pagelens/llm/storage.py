@@ -13,6 +13,15 @@ _marked: set[str] = set()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of rows that go to a Python worker together.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_BYTES, which whole texts fill long before Spark's own bounds: what a task holds of them, in the JVM and in Python, is then a few megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; only a local session without one gets a folder of its own."""
     context = spark.sparkContext
