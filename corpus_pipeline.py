@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.storage import discard, stored
+from pagelens.llm.storage import discard, small_batches, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,6 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from pagelens.llm.toxicity import rejected, train
 
+    small_batches(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(~rejected(docs, model))
 
@@ -35,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     from pagelens.llm.near_duplicates import near_duplicates
 
+    small_batches(spark)
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
@@ -43,6 +45,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """All documents, every span of personal data replaced by its kind; n_chars follows the text."""
     from pagelens.llm.personal_data import masked, train
 
+    small_batches(spark)
     changed = docs.withColumn("text", masked(docs, train(docs)))
     return changed.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
@@ -51,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the raked mixture draws; those without words or without a doc_id are never drawn."""
     from pagelens.llm.mixing import sampled
 
+    small_batches(spark)
     return sampled(docs)
 
 
@@ -60,6 +64,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from pagelens.llm.bpe import token_digests
 
+    small_batches(spark)
     return token_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
