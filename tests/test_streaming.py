@@ -49,3 +49,34 @@ def test_cut_and_timeout(spark, tmp_path):
             found = sorted((r.probe_id, r.completion, r.bytes_read) for r in spark.read.parquet(*[str(f.parent) for f in (tmp_path / "out" / "probes").glob("batch=*/_SUCCESS")]).collect())
     query.stop()
     assert found == [("a", "timeout", 16), ("b", "max-bytes-exceeded", 50)]
+
+
+def test_chunks_in_any_order_over_a_restart(spark, tmp_path):
+    """What comes of shuffled chunks, half of them before the query is stopped and half after, is what comes of whole documents."""
+    import random
+
+    from pagelens.operators.inspector import inspect_page
+
+    rng, feed = random.Random(8), str(tmp_path / "feed")
+    pages = {f"p{k}": b"<html><head><title>T%d</title><meta name=description content=d></head><body><h1>H%d \xc3\xa9</h1><main>text %s</main></body></html>" % (k, k, b"x" * rng.randint(0, 90)) for k in range(12)}
+    chunks, want = [], {}
+    for name, body in pages.items():
+        ends = sorted(rng.sample(range(1, len(body)), 6)) + [len(body)]
+        cuts = list(zip([0, *ends], ends))
+        chunks += [(name, n, float(n), body[a:b], "utf-8", b == len(body)) for n, (a, b) in enumerate(cuts)]
+        found = inspect_page(body, "utf-8", ends, [float(n) for n in range(len(ends))])
+        want |= {(name, s["kind"], s["ord"]): (s["value"], s["at_ms"], s["observed_by_byte"]) for s in found.signals}
+    rng.shuffle(chunks)
+    read = 0
+    for part in (chunks[:20], chunks[20:42], chunks[42:]):
+        spark.createDataFrame(part, CHUNKS).coalesce(1).write.mode("append").parquet(feed)
+        query = start(spark.readStream.schema(CHUNKS).parquet(feed), str(tmp_path / "out"), str(tmp_path / "cp"), timeout_ms=600_000)
+        wait(query, len(part))
+        query.stop()
+        read += len(part)
+    assert read == len(chunks)
+    got = {(r.probe_id, r.kind, r.ord): (r.value, r.at_ms, r.observed_by_byte) for r in spark.read.parquet(str(tmp_path / "out" / "signals")).collect()}
+    assert got == want
+    ends = spark.read.parquet(str(tmp_path / "out" / "probes")).collect()
+    assert sorted((r.probe_id, r.completion, r.bytes_read) for r in ends) == sorted((n, "complete", len(b)) for n, b in pages.items())
+    assert spark.read.parquet(str(tmp_path / "out" / "late")).count() == 0
