@@ -113,13 +113,15 @@ class Page:
             inert = any(self.depth.get(n) for n in _INERT)
             if event == "text":
                 if not inert:
-                    self._text(more, mark)
-            elif name in _INERT:
-                self._step(name, 1 if event == "open" else -1)
-                if not inert and name in _SILENT and self.depth.get("main"):
-                    self._step("silent", 1 if event == "open" else -1)
-            elif not inert:
-                (self._opened if event == "open" else self._closed)(name, more, mark)
+                    self._hear(more, mark)
+                continue
+            by = 1 if event == "open" else -1
+            if name in _SILENT and not inert and self.depth.get("main"):
+                self._step("silent", by)
+            if name in _INERT:
+                self._step(name, by)
+            elif not inert and (handler := (_OPENED if by > 0 else _CLOSED).get(name)):
+                handler(self, name, more, mark)
 
     def _step(self, name: str, by: int) -> None:
         self.depth[name] = max(0, self.depth.get(name, 0) + by)
@@ -136,84 +138,101 @@ class Page:
         self.counts[key] = n
         self.signals.append({"kind": kind, "ord": n, "property": prop, "audience": audience, "value": value, "location": location or self._location(), **mark})
 
-    def _opened(self, name: str, attributes: dict[str, str], mark: dict) -> None:
-        if name in ("head", "body"):
-            self.inside[name] = True
-            if name == "body":
-                self.marks.setdefault("body_start", mark)
-        if name in ("title", "h1") and name not in self.captures and self.counts.get(name, 0) < SIGNAL_CAP:
-            self.captures[name] = {"location": self._location(), "text": ""}
-        elif name == "meta" and "content" in attributes:
-            self._meta(attributes, mark)
-        elif name == "link" and "href" in attributes and "canonical" in attributes.get("rel", "").lower().split():
-            self._signal("canonical", tidy(attributes["href"]), mark)
-        elif name == "main":
-            self._step("main", 1)
-        if name in _SILENT and self.depth.get("main"):
-            self._step("silent", 1)
-        if name == "script" and attributes.get("type", "").split(";", 1)[0].strip().lower() == "application/ld+json":
-            self.captures["script"] = {"location": self._location(), "text": "", "bytes": 0, "cut": False}
-
-    def _meta(self, attributes: dict[str, str], mark: dict) -> None:
-        value = tidy(attributes["content"])
-        name, prop = (attributes.get(k, "").strip().lower() for k in ("name", "property"))
-        if name == "description":
-            self._signal("description", value, mark)
-        elif name in AUDIENCES:
-            self._signal("robots", value, mark, audience=name)
-        social = next((p for p in (prop, name) if p in SOCIAL), None)
-        if social:
-            self._signal("social", value, mark, prop=social)
+    def _enter(self, name: str, attributes: dict[str, str], mark: dict) -> None:
+        self.inside[name] = True
+        if name == "body":
+            self.marks.setdefault("body_start", mark)
 
-    def _text(self, text: str, mark: dict) -> None:
-        for name in ("title", "h1"):
-            if held := self.captures.get(name):
+    def _leave(self, name: str, written: bool, mark: dict) -> None:
+        """The end of head or body, or of the document where it is written out."""
+        if name != "html":
+            self.inside[name] = False
+        if name == "head":
+            self.marks.setdefault("head_close", mark)
+        elif name == "html" and written:
+            self.marks.setdefault("document_close", mark)
+
+    def _deepen(self, name: str, attributes: dict[str, str], mark: dict) -> None:
+        self._step(name, 1)
+
+    def _surface(self, name: str, written: bool, mark: dict) -> None:
+        self._step(name, -1)
+
+    def _listen(self, name: str, attributes: dict[str, str], mark: dict) -> None:
+        """Begin to take the text of an element, unless it is taken already or enough of its kind are known."""
+        if name == "script":
+            wanted = attributes.get("type", "").split(";", 1)[0].strip().lower() == "application/ld+json"
+        else:
+            wanted = name not in self.captures and self.counts.get(name, 0) < SIGNAL_CAP
+        if wanted:
+            self.captures[name] = {"location": self._location(), "text": "", "bytes": 0, "cut": False}
+
+    def _hear(self, text: str, mark: dict) -> None:
+        """Text for every element that is listened to, and for the main text."""
+        for name, held in self.captures.items():
+            if name != "script":
                 held["text"] = clip(held["text"] + text, VALUE_CHARS)
-        if held := self.captures.get("script"):
+                continue
             held["bytes"] += len(text.encode("utf-8", "replace"))
+            # blocks beyond the cap are told by their size alone
             if self.counts.get("blocks", 0) < BLOCK_CAP:
-                held["cut"] = held["cut"] or len(held["text"]) + len(text) > BLOCK_CHARS
-                held["text"] = (held["text"] + text)[:BLOCK_CHARS]
+                whole = held["text"] + text
+                held["cut"], held["text"] = held["cut"] or len(whole) > BLOCK_CHARS, whole[:BLOCK_CHARS]
         if self.depth.get("main") and not self.depth.get("silent"):
             if self.main is None and _SPACES.sub("", text):
                 self.main = {"text": "", "location": self._location(), **mark}
             if self.main is not None and len(self.main["text"]) < MAIN_RAW:
                 self.main["text"] = clip(self.main["text"] + text, MAIN_RAW)
 
-    def _closed(self, name: str, written: bool, mark: dict) -> None:
+    def _heard(self, name: str, written: bool, mark: dict) -> None:
+        """The text of an element is whole: a signal, unless it says nothing, or a block of structured data."""
         held = self.captures.pop(name, None)
-        if held and name in ("title", "h1"):
-            if value := tidy(held["text"]):
-                self._signal(name, value, mark, held["location"])
-        elif held:
+        if held is None:
+            return
+        if name == "script":
             self._block(held, mark)
-        if name in _SILENT and self.depth.get("main"):
-            self._step("silent", -1)
-        if name == "main":
-            self._step("main", -1)
-        if name in ("head", "body"):
-            self.inside[name] = False
-        if name == "head" or (name == "html" and written):
-            self.marks.setdefault("head_close" if name == "head" else "document_close", mark)
+        elif value := tidy(held["text"]):
+            self._signal(name, value, mark, held["location"])
+
+    def _link(self, name: str, attributes: dict[str, str], mark: dict) -> None:
+        if "href" in attributes and "canonical" in attributes.get("rel", "").lower().split():
+            self._signal("canonical", tidy(attributes["href"]), mark)
+
+    def _meta(self, name: str, attributes: dict[str, str], mark: dict) -> None:
+        if "content" not in attributes:
+            return
+        value = tidy(attributes["content"])
+        named, prop = (attributes.get(k, "").strip().lower() for k in ("name", "property"))
+        if named == "description":
+            self._signal("description", value, mark)
+        elif named in AUDIENCES:
+            self._signal("robots", value, mark, audience=named)
+        for social in (x for x in (prop, named) if x in SOCIAL):
+            self._signal("social", value, mark, prop=social)
+            break
 
     def _block(self, held: dict, mark: dict) -> None:
+        """A block of structured data: parsed within the limits; the first beyond their number stands for all of these."""
         n = self.counts["blocks"] = self.counts.get("blocks", 0) + 1
-        limit = "blocks" if n > BLOCK_CAP else "size" if held["cut"] else None
         if n > BLOCK_CAP + 1:
             return
-        found = {"ord": n, "valid": None, "types": [], "bytes": held["bytes"], "limit": limit, "error": None, "location": held["location"], **mark}
-        if limit is None:
+        told = {"valid": None, "types": [], "limit": "blocks" if n > BLOCK_CAP else "size" if held["cut"] else None, "error": None}
+        if told["limit"] is None:
             try:
-                found |= {"valid": True, "types": json_types(json.loads(held["text"], parse_constant=_refuse))}
+                told |= {"valid": True, "types": json_types(json.loads(held["text"], parse_constant=_refuse))}
             except (ValueError, RecursionError) as error:
-                found |= {"valid": False, "error": str(error)[:ERROR_CHARS]}
-        self.blocks.append(found)
+                told |= {"valid": False, "error": str(error)[:ERROR_CHARS]}
+        self.blocks.append({"ord": n, "bytes": held["bytes"], "location": held["location"], **told, **mark})
 
     def _end_main(self) -> None:
         if self.main is not None and (value := tidy(self.main["text"], MAIN_CHARS)):
             self._signal("main", value, {k: self.main[k] for k in ("at_ms", "observed_by_byte")}, self.main["location"])
 
 
+#: What the beginning and the end of an element mean, by its name; all others are passed over.
+_OPENED = {"head": Page._enter, "body": Page._enter, "title": Page._listen, "h1": Page._listen, "script": Page._listen, "meta": Page._meta, "link": Page._link, "main": Page._deepen}
+_CLOSED = {"head": Page._leave, "body": Page._leave, "html": Page._leave, "title": Page._heard, "h1": Page._heard, "script": Page._heard, "main": Page._surface}
+
 #: Documents, signals and blocks that are sent on together.
 HELD = 4096
 _ARROW = pa.schema([
