@@ -43,7 +43,7 @@ _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1))"
 
 
 @query(f"""SELECT {_HOST} AS host, count(*) AS pages, sum(CASE WHEN {_entity_free(_TITLE)} <> '' THEN 1 ELSE 0 END)::BIGINT AS titles,
-  sum(CASE WHEN {_entity_free(_H1)} <> '' THEN 1 ELSE 0 END)::BIGINT AS headings, count(*) AS without_description FROM pages GROUP BY 1""")
+  sum(CASE WHEN {_entity_free(_H1)} <> '' THEN 1 ELSE 0 END)::BIGINT AS headings, sum(CASE WHEN regexp_matches(html, '(?i)<meta[^>]*name="?description') THEN 0 ELSE 1 END)::BIGINT AS without_description FROM pages GROUP BY 1""")
 def signals_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, headings and missing descriptions by host, from the raw pages."""
     pages = _read(spark, sf_dir, "pages").withColumn("probe_id", F.col("page_id").cast("string"))
@@ -206,14 +206,17 @@ def target_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemap.target_ids(_read(spark, sf_dir, "pages"))
 
 
-@query("""SELECT url, page_id FROM (SELECT url, page_id, row_number() OVER (PARTITION BY url ORDER BY src, page_id) AS k FROM
-  (SELECT url, page_id, 0 AS src FROM pages UNION ALL SELECT url, page_id, 1 FROM pages
+_SHIFTED = "CASE WHEN page_id % 3 = 0 THEN concat(regexp_replace(url, '[?#].*$', ''), '?from=map') ELSE url END"
+
+
+@query(f"""SELECT url, page_id, src::INTEGER AS source_ord FROM (SELECT url, page_id, src, row_number() OVER (PARTITION BY url ORDER BY src, page_id) AS k FROM
+  (SELECT url, page_id, 0 AS src FROM pages UNION ALL SELECT url, page_id, 1 FROM (SELECT page_id, {_SHIFTED} AS url FROM pages) m
    WHERE regexp_matches(url, '^[a-z]+://[^/?#]*/en/') AND NOT regexp_matches(url, '^[a-z]+://[^/?#]*[^?#]*[.]html($|[?#])'))) WHERE k = 1""")
 def merged_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listed targets, then a sitemap's filtered ones, the first mention of a URL winning."""
+    """Listed targets, then a sitemap's filtered ones, a third of which only it has; the first mention of a URL wins."""
     pages = _read(spark, sf_dir, "pages").select("url", "page_id", F.col("page_id").alias("ord"))
-    found = sitemap.path_filtered(pages, ["/en/*"], ["*.html"])
-    return sitemap.merged_targets([pages, found]).select("url", "page_id")
+    found = sitemap.path_filtered(pages.withColumn("url", F.expr(_SHIFTED)), ["/en/*"], ["*.html"])
+    return sitemap.merged_targets([pages, found]).select("url", "page_id", "source_ord")
 
 
 _SECRETS = ["Apache License", "CC BY-NC 4.0", "the"]
