@@ -213,6 +213,48 @@ def test_toxic_features_against_direct_counts(spark):
     assert np.allclose(log_ratios(sums, 4, 8, 0.5), want)
 
 
+def test_toxicity_against_a_plain_version(spark):
+    """The whole method again, on a dense table of n-grams: shares, ratios, the fit, and the scores of texts that it was not fitted on."""
+    import math
+    import random
+
+    import numpy as np
+
+    from pagelens.llm.toxicity import PRIOR, buckets, score, train
+
+    rng = random.Random(3)
+    calm, rude = [f"calm{k}" for k in range(40)], ["idiot", "moron", "you fool"]
+    texts = [" ".join(rng.choice(calm) for _ in range(rng.randint(3, 9))) + (" " + rng.choice(rude) if k % 4 == 0 else "") for k in range(160)]
+    labels = {k: int(k % 4 == 0) for k in range(120)}
+    fitted = [k for k in labels if zlib.crc32(str(k).encode()) % 5]
+    grams = {k: Counter(buckets(t).tolist()) for k, t in enumerate(texts)}
+    share = {k: {b: math.sqrt(n / g.total()) for b, n in g.items()} for k, g in grams.items()}
+    rows = {y: [k for k in fitted if labels[k] == y] for y in (0, 1)}
+    known = sorted({b for k in fitted for b in share[k]})
+    sums = {y: {b: sum(share[k].get(b, 0.0) for k in rows[y]) for b in known} for y in rows}
+    average = sum(map(sum, (s.values() for s in sums.values()))) / sum(len(share[k]) for k in fitted)
+    least = min(map(len, rows.values()))
+    rate = lambda y, b: (sums[y][b] + PRIOR * average * len(rows[y]) / least) / len(rows[y])
+    factor = np.array([10 * math.log(rate(1, b) / rate(0, b)) for b in known])
+    dense = lambda k: np.array([share[k].get(b, 0.0) for b in known]) * factor
+    x, y = np.array([dense(k) for k in fitted]), np.array([labels[k] for k in fitted], float)
+    weight = np.array([(len(rows[int(v)]) / len(fitted)) ** -0.5 for v in y])
+    weight /= weight.sum()
+    beta, bias, m, v = np.zeros(len(known)), 0.0, np.zeros(len(known) + 1), np.zeros(len(known) + 1)
+    for t in range(1, 101):
+        error = (1 / (1 + np.exp(-(x @ beta + bias))) - y) * weight
+        g = np.append(x.T @ error + 5e-4 * beta, error.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = 0.05 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        beta, bias = beta - step[:-1], bias - step[-1]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    model = train(frame, spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int"))
+    got = {r.doc_id: r.score for r in score(frame, model).collect()}
+    for k in range(160):
+        assert abs(got[k] - 1 / (1 + math.exp(-(dense(k) @ beta + bias)))) < 2e-3
+    assert all((got[k] >= 0.5) == (k % 4 == 0) for k in range(160))
+
+
 def test_toxicity_on_held_out_labels(spark):
     """On 97 toxic and 728 clean rows; the smaller tables hold out too few toxic ones (6 at sf0.01, 4 of them found) to tell."""
     from pagelens.llm.toxicity import score, train
