@@ -309,6 +309,37 @@ def test_hilbert_index(spark):
                 assert all(len({r[c] for r in runs[lo : lo + 8**k]}) == 2**k for c in range(3))
 
 
+def test_shards_against_a_plain_version(docs):
+    """Bins, index, rank, shard and slot of every document again, row by row; only the curve's tables are the operator's."""
+    import math
+
+    from pagelens.llm.hilbert_shards import _curve_tables, shard_documents
+
+    digit, after = _curve_tables(3)
+    rows = [(i, (t or "").encode(), lang, source) for i, t, lang, source, *_ in documents()]
+    sizes = sorted(len(t) + 8 for _, t, _, _ in rows)
+    cuts = sorted({sizes[math.ceil(k / 32 * len(sizes)) - 1] for k in range(1, 32)})
+    names = [sorted({r[c] for r in rows if r[c] is not None}) for c in (3, 2)]
+
+    def index(point):
+        h = state = 0
+        for level in reversed(range(5)):
+            cell = state * 8 + sum((c >> level & 1) << k for k, c in enumerate(point))
+            h, state = h * 8 + digit[cell], after[cell]
+        return h
+
+    order = []
+    for i, text, lang, source in rows:
+        size = len(text) + 8
+        bins = [0 if v is None else known.index(v) for v, known in zip((source, lang), names)]
+        order.append((index([*bins, sum(size > c for c in cuts)]), size, zlib.crc32(text), i is not None, i or 0, i))
+    want, n = Counter(), len(rows)
+    for rank, (_, size, crc, _, _, i) in enumerate(sorted(order, key=lambda x: x[:5])):
+        shard = rank * 24 // n
+        want[i, size, crc, shard, rank - math.ceil(shard * n / 24)] += 1
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in shard_documents(docs).collect()) == want
+
+
 def test_string_dimensions_are_cut_by_whole_values(spark):
     from pagelens.llm.hilbert_shards import hilbert_shards, quantised, string_cuts, write_shards
 
