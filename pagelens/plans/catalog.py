@@ -11,7 +11,7 @@ from pagelens.functions import text as T
 from pagelens.operators import compare, findings, redaction, robots, rules, sitemap, stability, waivers
 from pagelens.operators import ingest
 from pagelens.operators.inspector import fixed_chunks, inspected, signals_of
-from pagelens.plans.derived import FINDINGS_SQL, PROBES_SQL, STATUS, noindex_sql, tables
+from pagelens.plans.derived import ALTERED, FINDINGS_SQL, OTHER_AGENT, PROBES_SQL, STATUS, noindex_sql, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -460,15 +460,35 @@ def stability_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target_ord", "agent", "code", "severity")
 
 
-@query(f"""{_SAMPLES}, m AS (SELECT t, agent, 0 AS k, 'headers' AS milestone, page_id::DOUBLE AS at_ms FROM c UNION ALL SELECT t, agent, 1, 'first-byte', first_byte FROM c
+def _chunk_of(mark: str) -> str:
+    """SQL: the number of the chunk of 1024 bytes that ends the first `mark` of what was sent."""
+    return f"ceil(strlen(substr(got, 1, position('{mark}' IN got) + {len(mark) - 1})) / 1024.0)"
+
+
+@query(f"""{_SAMPLES}, g AS (SELECT page_id, agent, CASE WHEN {OTHER_AGENT} THEN {ALTERED.replace("html", "sent", 1)} ELSE sent END AS got FROM probes),
+m AS (SELECT t, agent, 0 AS k, 'headers' AS milestone, page_id::DOUBLE AS at_ms FROM c UNION ALL SELECT t, agent, 1, 'first-byte', first_byte FROM c
+UNION ALL SELECT page_id // 6, agent, 2, 'title', CASE WHEN NOT regexp_matches(got, '<title>[^<]') THEN NULL WHEN regexp_matches(got, '^[^<]*(<[^>]*>[^<]*)*?<title>(Alt )?</title>') THEN {_chunk_of("Other</title>")} ELSE {_chunk_of("</title>")} END FROM g
+UNION ALL SELECT page_id // 6, agent, 3, 'description', CASE WHEN page_id % 3 = 0 THEN {_chunk_of('content="About">')} WHEN page_id % 69 = 4 THEN {_chunk_of('content="Late">')} END FROM g
+UNION ALL SELECT page_id // 6, agent, 4, 'canonical', CASE WHEN page_id % 4 = 1 THEN {_chunk_of('href="/c">')} END FROM g
 UNION ALL SELECT t, agent, 9, 'complete', page_id * 9 % 2000 FROM c WHERE completion = 'complete')
-SELECT 'url:' || t AS target, agent, k AS milestone_ord, milestone, median(at_ms) AS at_ms FROM m GROUP BY ALL""")
+SELECT 'url:' || t AS target, agent, k AS milestone_ord, milestone, median(at_ms) AS at_ms FROM m WHERE at_ms IS NOT NULL GROUP BY ALL""")
 def probe_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median times of what probes alone tell of a target's milestones."""
+    """Median times of a target's milestones; no page reaches those of whole previews and cards, or of all that is required."""
     from pagelens.operators.timeline import milestones
 
     reached = milestones(_samples(spark, sf_dir)).withColumn("target", F.concat(F.lit("url:"), "target_ord"))
-    return compare.timelines(reached).where("milestone IN ('headers', 'first-byte', 'complete')").select("target", "agent", "milestone_ord", "milestone", "at_ms")
+    return compare.timelines(reached).select("target", "agent", "milestone_ord", "milestone", "at_ms")
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '[invalid URL]' ELSE url END AS shown, CASE page_id % 4 WHEN 0 THEN 'page ' || page_id ELSE lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) END AS host FROM pages""")
+def shown_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as reports show them: without names and passwords and usual ports, and none that is no URL."""
+    from pagelens.functions.urls import report_host, report_url
+
+    named = F.expr("""CASE page_id % 4 WHEN 0 THEN concat('page ', page_id) WHEN 1 THEN regexp_replace(url, '://', '://me:secret@')
+        WHEN 2 THEN regexp_replace(url, '^(https?)(://[^/?#]+)', CASE WHEN url LIKE 'https%' THEN '$1$2:443' ELSE '$1$2:80' END) ELSE url END""")
+    pages = _read(spark, sf_dir, "pages").withColumn("named", named)
+    return pages.select("page_id", report_url("named").alias("shown"), report_host("named").alias("host"))
 
 
 @query("""SELECT page_id, least(strlen(html), 2000)::BIGINT AS bytes_read, CASE WHEN strlen(html) <= 2000 THEN sha256(html) END AS body_sha256, ((least(strlen(html), 2000) + 699) // 700)::BIGINT AS chunks FROM pages""")

@@ -50,9 +50,9 @@ _BODY = "CASE WHEN page_id % 69 = 4 THEN '<meta name=\"description\" content=\"L
 HTML = f"replace(replace(html, '</head>', concat({INJECTED}, '</head>')), '</footer>', concat({_BODY}, '</footer>'))"
 #: What the second agent is sent instead on some pages.
 OTHER_AGENT = "page_id % 5 = 3 AND agent_ord = 1"
-_ALTERED = "html"
+ALTERED = "html"
 for _old, _new in (("<title>", "<title>Alt "), ("rel.png", "alt.png"), ("two.png", "three.png"), ('content="Article"', 'content="ARTICLE"'), ('content="/p"', 'content="/p#part"')):
-    _ALTERED = f"replace({_ALTERED}, '{_old}', '{_new}')"
+    ALTERED = f"replace({ALTERED}, '{_old}', '{_new}')"
 STATUS = "CASE WHEN page_id % 9 = 0 THEN 500 WHEN page_id % 21 = 0 AND agent_ord = 1 THEN 404 ELSE 200 END"
 
 
@@ -81,7 +81,7 @@ def tables(spark: SparkSession, sf_dir: str, chunk: int = 1024) -> dict[str, Dat
         "CAST(page_id AS double) AS headers_ms", "CAST(page_id * 7 % 1000 AS double) AS first_byte_ms", "CAST(page_id * 9 % 2000 AS double) AS complete_ms",
     )
     # where both agents get the same document it is inspected once
-    sent = F.array(F.struct(F.lit("").alias("suffix"), F.col("html").alias("html")), F.expr(f"CASE WHEN page_id % 5 = 3 THEN named_struct('suffix', '/other', 'html', {_ALTERED}) END"))
+    sent = F.array(F.struct(F.lit("").alias("suffix"), F.col("html").alias("html")), F.expr(f"CASE WHEN page_id % 5 = 3 THEN named_struct('suffix', '/other', 'html', {ALTERED}) END"))
     each = pages.select("page_id", F.explode(sent).alias("d")).where("d IS NOT NULL").select(F.concat("page_id", "d.suffix").alias("probe_id"), "d.html")
     documents = inspected(fixed_chunks(each, chunk))
     facts = probe_facts(probes, documents, targets, agents)
