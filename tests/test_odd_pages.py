@@ -24,3 +24,8 @@ CUT = {1: "a&amp;&amp;b", 2: "and&amp;&amp", 4: "a&amp b", 5: "x &lt; &l", 6: "x
 def test_entities_cut_short(spark, tmp_path):
     got, known = compared(spark, tmp_path, "inspector_signals", CUT)
     assert got == known and len(got) == 2 * len(CUT)
+
+
+def test_previews_of_entities_cut_short(spark, tmp_path):
+    got, known = compared(spark, tmp_path, "link_previews", CUT)
+    assert got == known and len(got) == len(CUT)
