@@ -29,3 +29,9 @@ def test_entities_cut_short(spark, tmp_path):
 def test_previews_of_entities_cut_short(spark, tmp_path):
     got, known = compared(spark, tmp_path, "link_previews", CUT)
     assert got == known and len(got) == len(CUT)
+
+
+def test_code_waived_for_two_audiences(spark, tmp_path):
+    # page 877 tells both the general and the agent's own audience twice
+    got, known = compared(spark, tmp_path, "waived_findings", {k: "t" for k in (4, 9, 876, 877, 878)})
+    assert got == known and any("multiple-robots" in r and "waived" in r for r in got)
