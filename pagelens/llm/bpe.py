@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Words of more symbols than this use the heap.
 SCAN_LIMIT = 96
 #: Distinct pieces of text whose result a worker remembers before it starts again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _NEVER = 1 << 60
 _NOT_SPACE = regex.compile(r"[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -143,21 +143,22 @@ class _Remembered(dict):
     def __init__(self, bpe: WordBpe):
         super().__init__()
         self.bpe = bpe
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        bpe, ids = self.bpe, []
+        bpe, packed = self.bpe, b""
         if chunk in bpe.special:
-            ids = [bpe.special[chunk]]
+            packed = struct.pack("<I", bpe.special[chunk])
         else:
             for piece in bpe.pieces(chunk):
                 known = self.words.get(piece)
                 if known is None:
-                    known = self.words[piece] = bpe.word(piece)
-                ids += known
-        self[chunk] = packed = struct.pack(f"<{len(ids)}I", *ids)
-        self.decoded[chunk] = bpe.decode(ids).encode()
+                    ids = bpe.word(piece)
+                    known = self.words[piece] = struct.pack(f"<{len(ids)}I", *ids)
+                packed += known
+        self[chunk] = packed
+        self.decoded[chunk] = bpe.decode(struct.unpack(f"<{len(packed) // 4}I", packed)).encode()
         return packed
 
     def forget(self) -> None:
