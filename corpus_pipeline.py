@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from pagelens.llm.storage import discard, small_batches, stored
 
+#: Pieces of text that a worker of the last stage remembers. Workers outlive their stage, and all stages share an executor's memory.
+REMEMBERED = 50_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -65,7 +68,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from pagelens.llm.bpe import token_digests
 
     small_batches(spark)
-    return token_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_digests(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Stage]] = [

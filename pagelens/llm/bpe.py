@@ -140,9 +140,9 @@ class WordBpe:
 class _Remembered(dict):
     """Packed ids and decoded bytes of each piece of text seen lately."""
 
-    def __init__(self, bpe: WordBpe):
+    def __init__(self, bpe: WordBpe, most: int = REMEMBERED):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.most = bpe, most
         self.words: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
 
@@ -163,19 +163,26 @@ class _Remembered(dict):
 
     def forget(self) -> None:
         """Start again once much is held, so that memory stays bounded."""
-        if len(self) > REMEMBERED:
+        if len(self) > self.most:
             self.clear()
             self.decoded.clear()
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > self.most:
             self.words.clear()
 
 
-_loaded: dict[str, _Remembered] = {}
+#: By vocabulary and the number of pieces remembered.
+_loaded: dict[tuple[str, int], _Remembered] = {}
 
 
-def _digests(path: str):
+def _memory(path: str, most: int = REMEMBERED) -> _Remembered:
+    if (path, most) not in _loaded:
+        _loaded[path, most] = _Remembered(WordBpe(path), most)
+    return _loaded[path, most]
+
+
+def _digests(path: str, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _loaded.get(path) or _loaded.setdefault(path, _Remembered(WordBpe(path)))
+        memory = _memory(path, remembered)
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
             # one text at a time leaves Arrow; of each only two digests stay
@@ -200,7 +207,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def ids(texts):
-        memory = _loaded.get(path) or _loaded.setdefault(path, _Remembered(WordBpe(path)))
+        memory = _memory(path)
         return texts.map(lambda t: memory.bpe.encode(t or ""))
 
     return docs.withColumn("token_ids", ids("text"))
@@ -211,17 +218,18 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def texts(ids):
-        memory = _loaded.get(path) or _loaded.setdefault(path, _Remembered(WordBpe(path)))
+        memory = _memory(path)
         return ids.map(lambda x: memory.bpe.decode(list(x) if x is not None else []))
 
     return tokens.withColumn("decoded", texts("token_ids"))
 
 
-def token_digests(docs: DataFrame, path: str) -> DataFrame:
+def token_digests(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of `docs` (doc_id, text).
 
     Null texts count as empty: no tokens, and the digests of nothing. Other columns are ignored and repeated
     rows each give their row. A text of any length is encoded whole, by itself. `path` names the vocabulary file, which every executor must have.
+    A worker remembers the tokens of up to `remembered` distinct pieces of text: fewer take less of its memory and more time.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_digests(path), schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_digests(path, remembered), schema)

@@ -12,6 +12,7 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +113,10 @@ def reachable(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, Data
 
 def given_targets(cells: DataFrame, shares: dict[str, dict[str, float]], power: float) -> dict[str, DataFrame]:
     """Targets from explicit shares by dimension and value; a dimension that is not given is tempered."""
-    rows = {d: cells.sparkSession.createDataFrame(list(s.items()), f"{d} string, _share double") for d, s in shares.items()}
+    rows = {}
+    for d, given in shares.items():
+        kind = pa.schema([(d, pa.string()), ("_share", pa.float64())])
+        rows[d] = cells.sparkSession.createDataFrame(pa.table([list(given), [float(x) for x in given.values()]], schema=kind))
     return reachable(cells, {d: rows.get(d, t) for d, t in tempered_targets(cells, power).items()})
 
 
@@ -197,8 +201,10 @@ def probabilities(
     # only values that cells have are in a target, so what comes is no more than the cells
     shares = {d: {r[0]: r[1] for r in t.select(d, "_share").collect()} for d, t in wanted.items()}
     fitted = _fitted_here(few, shares, budget)
-    schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", weight double, probability double"
-    return F.broadcast(cells.sparkSession.createDataFrame(fitted, schema))  # at most driver_cells rows
+    kind = pa.schema([*((d, pa.string()) for d in DIMENSIONS), ("weight", pa.float64()), ("probability", pa.float64())])
+    # as an Arrow table, of at most driver_cells rows: pandas rows would go through Python workers of their own on the executors
+    table = pa.Table.from_pandas(fitted, schema=kind, preserve_index=False)
+    return F.broadcast(cells.sparkSession.createDataFrame(table))
 
 
 def uniform(key: Column, seed: str) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: Bytes of text handled at once; one longer document is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -30,20 +30,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse, extended on demand."""
+    """Powers of an odd base modulo 2^64 and of its inverse; those for a slice are kept, more are made for a long document alone."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
+        up, down = self.up, self.down
+        if n > len(up):
             size = max(n, SLICE_BYTES + 1)
-            self.up, self.down = (
+            up, down = (
                 np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]))
                 for b in (self.base, self.inverse)
             )
-        return self.up[:n], self.down[:n]
+            if size == SLICE_BYTES + 1:
+                self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 _bytes_powers, _word_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)

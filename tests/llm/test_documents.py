@@ -626,3 +626,40 @@ def random_words(size):
 
     rng = random.Random(8)
     return [f"w{rng.randrange(50_000)}" for _ in range(size)]
+
+
+def test_cells_reach_executors_without_python_workers(spark):
+    from pagelens.llm.mixing import given_targets, probabilities
+
+    values = ", ".join(f"('s{k % 3}', '{lang}', 'prose', {10 + k})" for k, lang in enumerate(["en", "de", "en", "?", "de"]))
+    cells = spark.sql(f"SELECT * FROM VALUES {values} AS t(source, lang, topic, tokens)")
+    found, targets = probabilities(cells, None, 0.7, 0.6), given_targets(cells, {"lang": {"en": 1.0, "de": 0.5}}, 0.7)
+    for df in (found, targets["lang"]):
+        assert "ExistingRDD" not in df._jdf.queryExecution().toString()
+    assert {r[0]: round(r[1], 6) for r in targets["lang"].collect()} == {"en": round(2 / 3, 6), "de": round(1 / 3, 6)}
+    assert found.columns == ["source", "lang", "topic", "weight", "probability"] and found.count() == 5
+
+
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from pagelens.llm import bpe, near_duplicates
+    from pagelens.llm import words as w
+
+    tables = [w._Powers(w._BYTE_BASE), w._Powers(w._WORD_BASE)]
+    monkeypatch.setattr(w, "_bytes_powers", tables[0])
+    monkeypatch.setattr(w, "_word_powers", tables[1])
+    texts = [" ".join(f"w{k * j % 977}" for k in range(200)) for j in range(1, 2000)] + [None, "", "a b " * 600_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "row", "text"])
+    assert sum(x.num_rows for x in near_duplicates._features(5, 8)(iter([batch]))) == len(texts)
+    # a long text's powers go with it
+    assert sum(x.nbytes for t in tables for x in (t.up, t.down)) <= 10 << 20
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    many = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([" ".join(f"{chr(97 + k % 26)}x{j * 400 + k}q" for k in range(400)) for j in range(300)])], names=["doc_id", "text"])
+    few, usual = (b"".join(str(x.to_pydict()).encode() for x in bpe._digests(path, n)(iter([many]))) for n in (corpus_pipeline.REMEMBERED, bpe.REMEMBERED))
+    assert few == usual
+    held = bpe._loaded.pop((path, corpus_pipeline.REMEMBERED))
+    assert corpus_pipeline.REMEMBERED <= 50_000 and max(len(held), len(held.decoded), len(held.words)) <= corpus_pipeline.REMEMBERED
